@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality
+from . import language, lines, mixing, packing, quality, toxicity, warc
 from .common import table
 
 
@@ -14,12 +14,40 @@ def op1_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
+
+
+def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+
+
+def op7_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_forest": op1_quality_forest,
+    "op2_warc_source": op2_warc_source,
+    "op3_line_spread": op3_line_spread,
+    "op6_cube_mixing": op6_cube_mixing,
+    "op7_nb_ngrams": op7_nb_ngrams,
     "op8_cost_packing": op8_cost_packing,
+    "op10_cross_parsing": op10_cross_parsing,
+}
+ORACLES: dict[str, str] = {
+    "op2_warc_source": warc.ORACLE,
+    "op3_line_spread": lines.ORACLE,
 }
-ORACLES: dict[str, str] = {}
