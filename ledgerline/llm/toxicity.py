@@ -21,9 +21,11 @@ from .common import Settled, held_out, map_texts
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 18
 #: Bounds of the fit: labelled rows of each class, features kept (those with the largest chi-square), steps of the descent.
-SAMPLE_ROWS, FEATURES, STEPS = 4_000, 30_000, 300
+SAMPLE_ROWS, FEATURES, STEPS = 4_000, 10_000, 300
+#: A bucket is a feature only if its chi-square against the label exceeds this.
+MIN_CHI = 10.0
 SAMPLE_PARTS = 8
-SMOOTHING, RIDGE, RATE = 1.0, 1e-4, 0.05
+SMOOTHING, RIDGE, RATE = 1.0, 0.1, 0.05
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -63,9 +65,8 @@ def choose(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray
     seen = c1 + c0
     expected = seen * n1 / max(n1 + n0, 1)
     chi = (c1 - expected) ** 2 / np.maximum(expected * (1 - seen / (n1 + n0 + 1)), 1e-9)
-    chi[seen < 2] = 0
     kept = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    kept = kept[chi[kept] > 0]
+    kept = kept[chi[kept] > MIN_CHI]
     return kept, ratio[kept]
 
 
