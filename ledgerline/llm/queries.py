@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lines, mixing, packing, quality, toxicity, warc
+from . import language, lines, minhash, mixing, packing, quality, toxicity, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_cube_mixing": op6_cube_mixing,
     "op7_nb_ngrams": op7_nb_ngrams,
     "op8_cost_packing": op8_cost_packing,
+    "op9_dart_minhash": op9_dart_minhash,
     "op10_cross_parsing": op10_cross_parsing,
 }
 ORACLES: dict[str, str] = {
