@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lines, minhash, mixing, packing, quality, toxicity, vectors, warc
+from . import language, lines, minhash, mixing, packing, pii, quality, toxicity, vectors, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
 
 
+def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op5_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_forest": op1_quality_forest,
     "op2_warc_source": op2_warc_source,
     "op3_line_spread": op3_line_spread,
+    "op4_bootstrapped_pii": op4_bootstrapped_pii,
     "op5_lattice_hashing": op5_lattice_hashing,
     "op6_cube_mixing": op6_cube_mixing,
     "op7_nb_ngrams": op7_nb_ngrams,
