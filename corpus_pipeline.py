@@ -5,19 +5,64 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ledgerline.llm import packing
-from ledgerline.llm.common import settle, table
+from ledgerline.llm import language, lines, minhash, mixing, packing
+from ledgerline.llm.common import WORD, free_name, settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known stay, with `lang` set to the prediction; those without a letter go.
+
+    Null texts go. The other columns stay as they are. Repeated rows stay as often as they come.
+    """
+    languages = language.fit(docs)
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    # text is carried along under its own name and read under another
+    found = language.identify(docs, languages, keep, "text")
+    return found.filter(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that spread over many sources go; documents left without a word go too. n_chars is that of the new text."""
+    cleaned = lines.dedup(docs).filter(F.col("text").rlike(WORD))
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates stays: that of the smallest id; of rows that repeat it, one."""
+    kept = settle(minhash.near_duplicates(docs).filter("kept").groupBy(F.col("id").alias("_kept")).agg(F.count("*").alias("_rows")), "pipeline-kept")
+    found = docs.join(kept.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    # ids are unique as a rule; only where they aren't are whole texts compared
+    return found if kept.filter("_rows > 1").isEmpty() else found.dropDuplicates(["doc_id", "text"])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as the mix takes them: not at all, once or twice."""
+    key = F.concat_ws(":", F.col("doc_id").cast("string"), "source", F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
+    mixed = mixing.mix(docs, key=key).filter("copies > 0").select("key", "copies")
+    # rows that share the key are equal in size and source, and so interchangeable: they share what the mix takes of them
+    share = mixed.groupBy("key").agg(F.sum("copies").alias("_copies"))
+    own, more = free_name(docs, "_key"), free_name(docs, "_n")
+    counted = docs.withColumn(own, F.coalesce(key, F.lit("")))
+    first = counted.dropDuplicates([own]).join(share.withColumnRenamed("key", "_of"), F.col(own) == F.col("_of"))
+    return first.withColumn(more, F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences of balanced cost."""
     return packing.digest(packing.pack(docs))
 
 
-STAGES: list[tuple[str, Stage]] = [("packing", pack_sequences)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", identify_language),
+    ("lines", dedup_lines),
+    ("near duplicates", dedup_documents),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: Language models, projections and sampling can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -26,7 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settle(docs, f"pipeline-{k}")

@@ -134,7 +134,7 @@ def _blocks(df: DataFrame, n: Column, step: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None) -> DataFrame:
-    """id, source, size, source_size, target, copies (0, 1 or 2) and taken for every document.
+    """id, key, source, size, source_size, target, copies (0, 1 or 2) and taken for every document.
 
     `key` orders documents within blocks (by default the id as text); documents that share key and size are interchangeable.
     A null text has size 0; a null source is a source of its own, the last one. Documents of size 0 may be taken but add no
@@ -167,7 +167,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for d in done[1:]:
         out = out.unionByName(d)
     copies = F.col("whole") + F.col("p").cast("long")
-    return out.select("id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("id", "key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def digest(mixed: DataFrame) -> DataFrame:
