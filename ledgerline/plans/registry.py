@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import fleet, governance, joins, logs, paths, placement, search, sets, streams, windows
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["MODULES", "ORACLES", "QUERIES"]
+MODULES = (fleet, governance, joins, logs, paths, placement, search, sets, streams, windows)
