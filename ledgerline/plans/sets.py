@@ -1 +1,204 @@
-"""Queries of this area."""
+"""Sets and bags over snapshots: manifests, diagnostic deltas, rebuild plans and reconciliations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.columns import human_bytes, length_prefixed, normalized_span
+from ..operators.matching import bag_delta
+from ..sources.telemetry import diagnostics, load, paths, tasks
+from .base import DIAGS, PATHS, TASKS, query
+
+# two snapshots of the documents: the later one lost every seventh, changed every fifth and has some of its own
+_SNAP = """before AS (SELECT doc_id, sha256(coalesce(text, '')) AS hash, n_chars AS size FROM documents WHERE doc_id % 11 <> 0),
+ after AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN sha256(coalesce(text, '') || '!') ELSE sha256(coalesce(text, '')) END AS hash, n_chars AS size FROM documents WHERE doc_id % 7 <> 0)"""
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = load(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    before = docs.filter("doc_id % 11 <> 0").select("doc_id", F.sha2(text, 256).alias("hash"), F.col("n_chars").alias("size"))
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat(text, F.lit("!"))).otherwise(text)
+    return before, docs.filter("doc_id % 7 <> 0").select("doc_id", F.sha2(changed, 256).alias("hash"), F.col("n_chars").alias("size"))
+
+
+def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both snapshots side by side, over the union of their paths."""
+    a, b = _snapshots(spark, sf_dir)
+    return a.withColumnRenamed("hash", "h0").withColumnRenamed("size", "s0").join(b.withColumnRenamed("hash", "h1").withColumnRenamed("size", "s1"), "doc_id", "full_outer")
+
+
+@query(f"WITH {_SNAP} SELECT doc_id, CASE WHEN a.hash IS NULL THEN 'appeared' WHEN b.hash IS NULL THEN 'vanished' ELSE 'changed' END AS change FROM before a FULL OUTER JOIN after b USING (doc_id) WHERE a.hash IS DISTINCT FROM b.hash")
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that appeared, vanished or changed between two scans."""
+    both = _compared(spark, sf_dir).filter(~F.col("h0").eqNullSafe(F.col("h1")))
+    return both.select("doc_id", F.when(F.col("h0").isNull(), "appeared").when(F.col("h1").isNull(), "vanished").otherwise("changed").alias("change"))
+
+
+@query(f"WITH {_SNAP} SELECT count(*) FILTER (WHERE a.hash IS DISTINCT FROM b.hash) = 0 AS stable, count(*) AS files FROM before a FULL OUTER JOIN after b USING (doc_id)")
+def snapshot_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether nothing changed between two scans, so that the first one may be trusted."""
+    return _compared(spark, sf_dir).agg((F.count_if(~F.col("h0").eqNullSafe(F.col("h1"))) == 0).alias("stable"), F.count("*").alias("files"))
+
+
+@query(f"WITH {_SNAP} SELECT doc_id, CASE WHEN b.hash IS NULL THEN 'delete' WHEN a.hash IS NULL THEN 'fetch' WHEN a.hash <> b.hash THEN 'fetch' WHEN doc_id % 13 = 0 THEN 'relink' ELSE 'keep' END AS action FROM before a FULL OUTER JOIN after b USING (doc_id)")
+def rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What turns the workspace on disk into that of the manifest."""
+    action = F.when(F.col("h1").isNull(), "delete").when(F.col("h0").isNull() | (F.col("h0") != F.col("h1")), "fetch").when(F.col("doc_id") % 13 == 0, "relink").otherwise("keep")
+    return _compared(spark, sf_dir).select("doc_id", action.alias("action"))
+
+
+@query("""SELECT source, count(*) AS files, sha256(string_agg(doc_id || ' ' || n_chars || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS root FROM documents GROUP BY 1""")
+def manifest_root_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash of each source's entries that doesn't depend on their order. Only ids and hashes come together, never texts."""
+    entry = F.struct("doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("line"))
+    docs = load(spark, sf_dir, "documents").select("source", entry.alias("e"))
+    lines = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"])
+    return docs.groupBy("source").agg(F.count("*").alias("files"), F.sha2(F.array_join(lines, "\n"), 256).alias("root"))
+
+
+@query("SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(CASE WHEN doc_id % 3 <> 0 THEN strlen(text) ELSE 0 END)::BIGINT AS dirty_bytes FROM documents")
+def storage_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes in store, and the bytes that the baseline doesn't cover."""
+    size = F.octet_length("text")
+    return load(spark, sf_dir, "documents").agg(F.count("*").alias("files"), F.sum(size).alias("bytes"), F.coalesce(F.sum(F.when(F.col("doc_id") % 3 != 0, size)), F.lit(0)).alias("dirty_bytes"))
+
+
+@query("""WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS hash, CASE WHEN doc_id % 17 = 0 THEN 'x' ELSE sha256(coalesce(text, '')) END AS declared FROM documents)
+ SELECT hash, min(doc_id) AS doc_id FROM d WHERE hash = declared AND hash NOT IN (SELECT hash FROM d WHERE doc_id % 4 = 0) GROUP BY 1""")
+def verified_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uploads whose content has the declared hash and isn't in store yet, each content once."""
+    docs = load(spark, sf_dir, "documents")
+    hashed = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    good = hashed.filter(F.col("hash") == F.when(F.col("doc_id") % 17 == 0, "x").otherwise(F.col("hash")))
+    return good.join(hashed.filter("doc_id % 4 = 0").select("hash"), "hash", "left_anti").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+
+
+_KEY = "trim(regexp_replace(regexp_replace(regexp_replace(message, '[A-Za-z0-9_./-]+\\.rs:[0-9]+(:[0-9]+)?', '', 'g'), ':[0-9]+:[0-9]+', '', 'g'), '\\s+', ' ', 'g'))"
+_DELTA = f"""{DIAGS}, k AS (SELECT *, sha256(level || chr(0) || code || chr(0) || {_KEY}) AS key FROM diags),
+ c AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY log_id, pos) AS nth FROM k WHERE log_id % 2 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY log_id, pos) AS nth FROM k WHERE log_id % 2 = 1),
+ delta AS (SELECT log_id, pos, level, code, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.key = c.key AND b.nth = c.nth) THEN 'preexisting' ELSE 'new' END AS side FROM c
+ UNION ALL SELECT log_id, pos, level, code, 'fixed' FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE b.key = c.key AND b.nth = c.nth))"""
+
+
+def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.sha2(F.concat_ws("\0", "level", "code", normalized_span(F.col("message"))), 256)
+    d = diagnostics(spark, sf_dir).withColumn("key", key)
+    parts = bag_delta(d.filter("log_id % 2 = 0"), d.filter("log_id % 2 = 1"), ["key"], ["log_id", "pos"])
+    out = [p.select("log_id", "pos", "level", "code", F.lit(side).alias("side")) for p, side in zip(parts, ("new", "preexisting", "fixed"), strict=True)]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+@query(f"WITH {_DELTA} SELECT * FROM delta")
+def diag_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics that are new, were there before, or are gone, as bags: positions don't count."""
+    return _delta(spark, sf_dir)
+
+
+@query(f"""WITH {_DELTA} SELECT side, level, count(*) AS n, count(*) FILTER (WHERE code = '' AND level IN ('error', 'warning')) > 0 AS approximate FROM delta GROUP BY 1, 2""")
+def diag_delta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The delta's sizes, and whether diagnostics without code make it approximate."""
+    vague = (F.col("code") == "") & F.col("level").isin("error", "warning")
+    return _delta(spark, sf_dir).groupBy("side", "level").agg(F.count("*").alias("n"), (F.count_if(vague) > 0).alias("approximate"))
+
+
+@query(f"WITH {PATHS}, p AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN upper(host) ELSE host END AS path FROM paths), f AS (SELECT *, first_value(path) OVER (PARTITION BY lower(path) ORDER BY page_id) AS first FROM p) SELECT page_id, path, first FROM f WHERE path <> first")
+def case_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that differ from an earlier one in case only."""
+    p = paths(spark, sf_dir).select("page_id", F.when(F.col("page_id") % 2 == 0, F.upper("host")).otherwise(F.col("host")).alias("path"))
+    firsts = p.groupBy(F.lower("path").alias("low")).agg(F.min_by("path", "page_id").alias("first"))
+    return p.join(firsts, F.lower("path") == F.col("low")).filter("path <> first").select("page_id", "path", "first")
+
+
+@query(f"""WITH {TASKS} SELECT id, sha256(strlen(project::VARCHAR) || ':' || project || strlen(worktree) || ':' || worktree || strlen(event_type) || ':' || event_type) AS fingerprint,
+ CASE WHEN k % 4 = 0 THEN sha256(strlen(event_type) || ':' || event_type) ELSE sha256(sha256(strlen(event_type) || ':' || event_type) || array_to_string(list_sort(list_distinct(['g' || (k % 5), 'g' || (k % 3)])), ',')) END AS granted FROM tasks""")
+def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints over length-prefixed fields, and with grants folded in, sorted and once each; no grants change nothing."""
+    plain = F.sha2(length_prefixed(F.col("event_type")), 256)
+    grants = F.array_join(F.array_sort(F.array_distinct(F.array(F.concat(F.lit("g"), F.col("k") % 5), F.concat(F.lit("g"), F.col("k") % 3)))), ",")
+    granted = F.when(F.col("k") % 4 == 0, plain).otherwise(F.sha2(F.concat(plain, grants), 256))
+    return tasks(spark, sf_dir).select("id", F.sha2(length_prefixed(F.col("project").cast("string"), F.col("worktree"), F.col("event_type")), 256).alias("fingerprint"), granted.alias("granted"))
+
+
+@query(f"""WITH {TASKS}, a AS (SELECT project, list_sort(list(DISTINCT event_type)) AS has FROM tasks WHERE id % 3 = 0 GROUP BY 1) SELECT project, coalesce(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(has, x))[1], '') AS first_missing FROM a""")
+def capability_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first capability that a worker lacks of those required."""
+    has = tasks(spark, sf_dir).filter("id % 3 = 0").groupBy("project").agg(F.collect_set("event_type").alias("has"))
+    need = F.array(*map(F.lit, ("click", "purchase", "view")))
+    return has.select("project", F.coalesce(F.get(F.array_except(need, "has"), F.lit(0)), F.lit("")).alias("first_missing"))
+
+
+@query(f"""WITH {TASKS}, a AS (SELECT project, coalesce(list_sort(list(DISTINCT k) FILTER (WHERE status = 'running')), []) AS r, coalesce(list_sort(list(DISTINCT k) FILTER (WHERE status = 'queued')), []) AS q FROM tasks GROUP BY 1) SELECT project, array_to_string(list_sort(list_intersect(r, q)), ',') AS assigned FROM a""")
+def assigned_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assigned work that the worker reports as under way."""
+    per = tasks(spark, sf_dir).groupBy("project").agg(F.collect_set(F.when(F.col("status") == "running", F.col("k"))).alias("r"), F.collect_set(F.when(F.col("status") == "queued", F.col("k"))).alias("q"))
+    return per.select("project", F.array_join(F.transform(F.array_sort(F.array_intersect("r", "q")), lambda x: x.cast("string")), ",").alias("assigned"))
+
+
+@query(f"""WITH {TASKS}, f AS (SELECT project, event_type, min((at_us, id)) AS first FROM tasks GROUP BY 1, 2) SELECT project, string_agg(event_type, ',' ORDER BY first) AS types FROM f GROUP BY 1""")
+def ordered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type once, in the order in which they first came."""
+    first = tasks(spark, sf_dir).groupBy("project", "event_type").agg(F.min(F.struct("at_us", "id")).alias("first"))
+    inorder = F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda x: x["event_type"])
+    return first.groupBy("project").agg(F.array_join(inorder, ",").alias("types"))
+
+
+@query("SELECT o_orderkey AS path, o_totalprice AS size FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def index_retain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index rows whose files are still live."""
+    live = load(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("path"))
+    return load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").alias("size")).join(live, "path", "left_semi")
+
+
+@query("SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_name || ' , ' || p_brand || ',', ','), lambda x: trim(x)), lambda x: x <> ''), '|') AS items FROM part")
+def array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma lists to arrays and back, without blanks and empty entries."""
+    items = F.filter(F.transform(F.split(F.concat("p_name", F.lit(" , "), "p_brand", F.lit(",")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    return load(spark, sf_dir, "part").select("p_partkey", F.array_join(items, "|").alias("items"))
+
+
+@query(f"""WITH {TASKS} SELECT id, left(sha256('p' || project), 16) AS project_id, left(sha256(project || chr(0) || worktree), 16) AS worktree_id, left(sha256(project || chr(0) || worktree || chr(0) || event_type), 16) AS supersede_key FROM tasks""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that depend on what they name alone."""
+    h = lambda *c: F.left(F.sha2(F.concat_ws("\0", *c), 256), F.lit(16))
+    return tasks(spark, sf_dir).select("id", F.left(F.sha2(F.concat(F.lit("p"), F.col("project")), 256), F.lit(16)).alias("project_id"), h("project", "worktree").alias("worktree_id"), h("project", "worktree", "event_type").alias("supersede_key"))
+
+
+@query(f"""WITH {TASKS}, f AS (SELECT project, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS features, string_agg(DISTINCT worktree, ',' ORDER BY worktree) AS egress FROM tasks GROUP BY 1) SELECT project, 'features=' || features || chr(10) || 'egress=' || egress AS canonical FROM f""")
+def canonical_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A profile as one text with its sets sorted."""
+    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
+    per = tasks(spark, sf_dir).groupBy("project").agg(joined("event_type").alias("f"), joined("worktree").alias("e"))
+    return per.select("project", F.concat(F.lit("features="), "f", F.lit("\negress="), "e").alias("canonical"))
+
+
+@query(f"""WITH {TASKS} SELECT id, CASE WHEN k * 4097 < 1024 THEN printf('%d B', k * 4097) WHEN k * 4097 < 1048576 THEN printf('%.1f KiB', k * 4097 / 1024.0::DOUBLE) ELSE printf('%.1f MiB', k * 4097 / 1048576.0::DOUBLE) END AS size,
+ CASE WHEN build_ms < 1000 THEN build_ms || 'ms' WHEN build_ms < 60000 THEN (build_ms // 1000) || 's' ELSE (build_ms // 60000) || 'm' || (build_ms // 1000 % 60) || 's' END AS duration, left(worktree || project, 8) AS short FROM tasks""")
+def humanize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, durations and ids for people."""
+    ms = F.col("build_ms")
+    duration = F.when(ms < 1000, F.concat(ms, F.lit("ms"))).when(ms < 60_000, F.concat(F.expr("build_ms div 1000"), F.lit("s"))).otherwise(F.concat(F.expr("build_ms div 60000"), F.lit("m"), F.expr("build_ms div 1000 % 60"), F.lit("s")))
+    return tasks(spark, sf_dir).select("id", human_bytes(F.col("k") * 4097).alias("size"), duration.alias("duration"), F.left(F.concat("worktree", F.col("project").cast("string")), F.lit(8)).alias("short"))
+
+
+@query(f"""WITH {TASKS} SELECT id, CASE WHEN k % 3 = 0 THEN 'workspace' WHEN k % 3 = 1 THEN 'package ' || worktree ELSE 'packages ' || worktree || ', p' || project END AS label, CASE WHEN k % 3 = 0 THEN '--workspace' WHEN k % 3 = 1 THEN '-p ' || worktree ELSE '-p ' || worktree || ' -p p' || project END AS flags FROM tasks""")
+def scope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scope's label and the flags that select it."""
+    one, two = F.col("k") % 3 == 0, F.col("k") % 3 == 1
+    p = F.concat(F.lit("p"), F.col("project"))
+    label = F.when(one, "workspace").when(two, F.concat(F.lit("package "), "worktree")).otherwise(F.concat(F.lit("packages "), "worktree", F.lit(", "), p))
+    return tasks(spark, sf_dir).select("id", label.alias("label"), F.when(one, "--workspace").when(two, F.concat(F.lit("-p "), "worktree")).otherwise(F.concat(F.lit("-p "), "worktree", F.lit(" -p "), p)).alias("flags"))
+
+
+@query()
+def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs come back equal from compressed storage in the shared folder."""
+    from ..sources.stores import shared_path
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    path = shared_path(spark, "logs")
+    docs.write.option("compression", "zstd").parquet(path)
+    back = spark.read.parquet(path).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").agg(F.count("*").alias("logs"), F.count_if(F.col("text").eqNullSafe(F.col("back"))).alias("equal"))
