@@ -1 +1,112 @@
-"""Queries of this area."""
+"""Configuration, closure of dependencies, sources of truth and reclaim reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.closure import closure
+from ..sources.telemetry import as_of, load, tasks
+from .base import TASKS, query
+
+
+@query(f"""WITH {TASKS}, l AS (SELECT project, id % 4 AS layer, arg_max(CASE WHEN k % 3 = 0 THEN NULL ELSE event_type END, (at_us, id)) AS name, arg_max(CASE WHEN k % 2 = 0 THEN NULL ELSE k END, (at_us, id)) AS n FROM tasks GROUP BY 1, 2)
+ SELECT project, arg_min(name, layer) FILTER (WHERE name IS NOT NULL) AS name, arg_min(n, layer) FILTER (WHERE n IS NOT NULL) AS n, max(n) FILTER (WHERE layer = 0) AS disclosed FROM l GROUP BY 1""")
+def profile_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Layers of configuration laid over each other, the first that says something winning; what is to be disclosed isn't inherited."""
+    t = tasks(spark, sf_dir).withColumn("layer", F.col("id") % 4)
+    at = F.struct("at_us", "id")
+    said = lambda c, given: F.max_by(F.when(given, F.col(c)), F.when(given, at))
+    layers = t.groupBy("project", "layer").agg(said("event_type", F.col("k") % 3 != 0).alias("name"), said("k", F.col("k") % 2 != 0).alias("n"))
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("layer")))
+    return layers.groupBy("project").agg(first("name").alias("name"), first("n").alias("n"), F.max(F.when(F.col("layer") == 0, F.col("n"))).alias("disclosed"))
+
+
+@query("""WITH RECURSIVE edges AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation WHERE n_nationkey % 4 <> 0 UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation WHERE n_nationkey % 3 = 0),
+ c(root, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT root, dst, depth + 1 FROM c JOIN edges ON src = node WHERE depth < 4)
+ SELECT root, node, min(depth) AS depth, node % 6 <> 5 AS complete FROM c GROUP BY 1, 2""")
+def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that each root reaches in four steps, with the fewest steps; entries that failed to load make it incomplete."""
+    n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    edges = n.filter("k % 4 <> 0").select(F.col("k").alias("src"), ((F.col("k") * 7 + 3) % 25).alias("dst")).unionAll(n.filter("k % 3 = 0").select(F.col("k").alias("src"), ((F.col("k") * 3 + 1) % 25).alias("dst"))).distinct()
+    return closure(n.select(F.col("k").alias("root")), edges, 4).withColumn("complete", F.col("node") % 6 != 5)
+
+
+@query("""SELECT CASE WHEN o_orderstatus = 'P' THEN 'busy' WHEN o_totalprice < 50000 THEN 'small' WHEN o_orderdate > (SELECT max(o_orderdate) - INTERVAL 180 DAY FROM orders) THEN 'recent' ELSE 'reclaim' END AS decision, count(*) AS n, sum(CAST(floor(o_totalprice) AS BIGINT))::BIGINT AS bytes FROM orders GROUP BY 1""")
+def reclaim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is decided about each volume, by decision."""
+    o = load(spark, sf_dir, "orders")
+    recent = F.col("o_orderdate") > F.lit(o.agg(F.max("o_orderdate")).first()[0]) - F.expr("INTERVAL 180 DAY")
+    decision = F.when(F.col("o_orderstatus") == "P", "busy").when(F.col("o_totalprice") < 50_000, "small").when(recent, "recent").otherwise("reclaim")
+    return o.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"), F.sum(F.floor("o_totalprice")).cast("long").alias("bytes"))
+
+
+@query(f"""WITH {TASKS} SELECT id, CASE WHEN k % 4 = 0 THEN 'present' WHEN k % 3 = 0 THEN 'bundle' WHEN k % 2 = 0 THEN 'fetch' ELSE 'unavailable' END AS source FROM tasks""")
+def baseline_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a baseline comes from: the first of the ranked sources that has it."""
+    named = lambda name, test: F.when(test, F.lit(name))
+    k = F.col("k")
+    return tasks(spark, sf_dir).select("id", F.coalesce(named("present", k % 4 == 0), named("bundle", k % 3 == 0), named("fetch", k % 2 == 0), F.lit("unavailable")).alias("source"))
+
+
+@query("""WITH c AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"k": ' || user_id || ', "extra": 1, "odd": 2}' ELSE 'not json' END AS conf FROM events)
+ SELECT id, CASE WHEN json_valid(conf) THEN array_to_string(list_sort(list_filter(json_keys(conf), lambda x: x <> 'k')), ',') ELSE '' END AS unknown, CASE WHEN json_valid(conf) THEN CAST(json_extract_string(conf, '$.k') AS BIGINT) ELSE 10 END AS k FROM c""")
+def config_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a configuration has and nobody knows; what can't be parsed gives the defaults."""
+    n = F.col("event_id") % 3
+    conf = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit('{"k": '), F.col("user_id"), F.lit(', "extra": 1, "odd": 2}'))).otherwise("not json")
+    keys = F.json_object_keys(conf)
+    unknown = F.array_join(F.array_sort(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(F.lit("k")))), ",")
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), unknown.alias("unknown"), F.coalesce(F.get_json_object(conf, "$.k").cast("long"), F.lit(10)).alias("k"))
+
+
+@query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) AS fields FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def parse_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines by a schema that tolerates what it doesn't know."""
+    parsed = F.from_json("props", "k BIGINT", {"mode": "PERMISSIVE"})
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), parsed["k"].alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("fields")).filter("k is not null")
+
+
+@query()
+def json_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Path dependencies of each package of a metadata document, with paths that a patch section replaces."""
+    document = '{"workspace_root": "/w", "packages": [{"name": "a", "dependencies": [{"name": "b", "path": "/w/b"}, {"name": "serde", "path": null}]}, {"name": "b", "dependencies": [{"name": "c", "path": "/x/c"}]}], "patch": {"crates-io": {"c": "/y/c"}}}'
+    schema = "workspace_root STRING, packages ARRAY<STRUCT<name: STRING, dependencies: ARRAY<STRUCT<name: STRING, path: STRING>>>>, patch MAP<STRING, MAP<STRING, STRING>>"
+    doc = spark.createDataFrame([(document,)], "doc string").select(F.from_json("doc", schema, {"mode": "FAILFAST"}).alias("d"))
+    packages = doc.select("d.patch", F.explode("d.packages").alias("p")).select("patch", F.col("p.name").alias("package"), F.explode("p.dependencies").alias("dep"))
+    patched = F.element_at(F.element_at("patch", "crates-io"), F.col("dep.name"))
+    return packages.select("package", F.col("dep.name").alias("dependency"), F.coalesce(patched, F.col("dep.path")).alias("path")).filter("path is not null")
+
+
+@query()
+def os_metric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load and free disk out of what the system prints."""
+    texts = spark.createDataFrame([("w1", "0.52 0.40 0.33 1/123 4567", "Filesystem 1024-blocks Used Available Capacity Mounted on\n/dev/sda1 100000 40000 60000 40% /", 4), ("w2", "9.0 8.0 7.0 1/1 1", "/dev/x y 1 2 3145728 4% /data", 2), ("w3", "", "", 1)], "worker string, loadavg string, df string, cores int")
+    row = F.split(F.element_at(F.split("df", "\n"), -1), r"\s+")
+    free = F.when(F.size(row) >= 6, F.try_element_at(row, F.lit(-3)).try_cast("long")) / (1 << 20)
+    load1 = F.coalesce(F.get(F.split("loadavg", " "), F.lit(0)).try_cast("double"), F.lit(0.0)) / F.col("cores")
+    return texts.select("worker", F.least(F.greatest(load1, F.lit(0.0)), F.lit(1.0)).alias("load"), F.coalesce(F.floor(free).cast("long"), F.lit(0)).alias("free_gb"))
+
+
+@query(f"""WITH {TASKS} SELECT id, CASE WHEN result_kind = 'success' THEN 'none' WHEN result_kind = 'compile_error' THEN 'code' WHEN result_kind = 'env_error' THEN 'project_config' ELSE 'infra' END AS attribution, result_kind IN ('success', 'compile_error') AS cacheable, result_kind = 'infra_error' AS retryable FROM tasks""")
+def verdict_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whom a result is put down to, whether it may be cached, and whether to try again."""
+    who = F.when(F.col("result_kind") == "success", "none").when(F.col("result_kind") == "compile_error", "code").when(F.col("result_kind") == "env_error", "project_config").otherwise("infra")
+    return tasks(spark, sf_dir).select("id", who.alias("attribution"), F.col("result_kind").isin("success", "compile_error").alias("cacheable"), (F.col("result_kind") == "infra_error").alias("retryable"))
+
+
+@query("""WITH n AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'amd64' WHEN 1 THEN 'ARM64' WHEN 2 THEN 'x86_64-unknown-linux-gnu' WHEN 3 THEN 'aarch64' WHEN 4 THEN '' ELSE 'riscv' END AS raw, p_name FROM part)
+ SELECT p_partkey, CASE WHEN lower(split_part(raw, '-', 1)) IN ('amd64', 'x86_64', 'x64') THEN 'x86_64' WHEN lower(split_part(raw, '-', 1)) IN ('arm64', 'aarch64') THEN 'aarch64' ELSE '' END AS arch FROM n""")
+def arch_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Architectures by one name each, from aliases and target triples; unknown ones are empty."""
+    raw = F.element_at(F.array(*map(F.lit, ("amd64", "ARM64", "x86_64-unknown-linux-gnu", "aarch64", "", "riscv"))), F.col("p_size") % 6 + 1)
+    name = F.lower(F.split_part(raw, F.lit("-"), F.lit(1)))
+    return load(spark, sf_dir, "part").select("p_partkey", F.when(name.isin("amd64", "x86_64", "x64"), "x86_64").when(name.isin("arm64", "aarch64"), "aarch64").otherwise("").alias("arch"))
+
+
+@query("""WITH n AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'lib' || split_part(p_name, ' ', 2) ELSE split_part(p_name, ' ', 2) END AS name FROM part) SELECT p_partkey, name, CASE WHEN starts_with(name, 'lib') THEN name || '-dev' ELSE 'lib' || name || '-dev' END AS package FROM n""")
+def package_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The package that convention suggests for a library."""
+    word = F.split_part("p_name", F.lit(" "), F.lit(2))
+    name = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("lib"), word)).otherwise(word)
+    return load(spark, sf_dir, "part").select("p_partkey", name.alias("name")).withColumn("package", F.when(F.col("name").startswith("lib"), F.concat("name", F.lit("-dev"))).otherwise(F.concat(F.lit("lib"), "name", F.lit("-dev"))))

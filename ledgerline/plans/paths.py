@@ -1 +1,157 @@
-"""Queries of this area."""
+"""Paths, hosts and addresses: safety, exclusion, allow lists, algebra and layouts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.globs import to_regex
+from ..sources.telemetry import load, paths
+from .base import PATHS, query
+
+
+@query(f"""WITH {PATHS}, c AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN path WHEN 1 THEN '/' || path WHEN 2 THEN '../' || path WHEN 3 THEN path || '//x' WHEN 4 THEN 'C:/' || path ELSE replace(path, '/', chr(92)) END AS p FROM paths)
+ SELECT page_id, p <> '' AND NOT starts_with(p, '/') AND NOT contains(p, chr(92)) AND NOT regexp_matches(p, '^[A-Za-z]:') AND NOT list_has_any(string_split(p, '/'), ['', '.', '..']) AS safe FROM c""")
+def path_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a path stays under its root: relative, no empty, . or .. segment, no backslash, no drive."""
+    n = F.col("page_id") % 6
+    p = F.when(n == 0, F.col("path")).when(n == 1, F.concat(F.lit("/"), "path")).when(n == 2, F.concat(F.lit("../"), "path")).when(n == 3, F.concat("path", F.lit("//x"))).when(n == 4, F.concat(F.lit("C:/"), "path")).otherwise(F.replace("path", F.lit("/"), F.lit("\\")))
+    return paths(spark, sf_dir).select("page_id", is_safe(p).alias("safe"))
+
+
+def is_safe(p: Column) -> Column:
+    bad = F.arrays_overlap(F.split(p, "/"), F.array(F.lit(""), F.lit("."), F.lit("..")))
+    return (p != "") & ~p.startswith("/") & ~p.contains("\\") & ~p.rlike("^[A-Za-z]:") & ~bad
+
+
+@query(f"WITH {PATHS} SELECT page_id, split_part(host, '.', 1) = '' OR host = 'm' OR path = 'en' OR starts_with(path, 'en/') AS under FROM paths")
+def under_mount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a path lies under a mount, by whole segments."""
+    return paths(spark, sf_dir).select("page_id", ((F.split_part("host", F.lit("."), F.lit(1)) == "") | (F.col("host") == "m") | (F.col("path") == "en") | F.col("path").startswith("en/")).alias("under"))
+
+
+@query(f"""WITH {PATHS}, l AS (SELECT host || '/' || path AS p FROM paths WHERE page_id % 2 = 0 UNION SELECT host || '/' || path FROM paths WHERE page_id % 3 = 0 UNION SELECT host || '/' || path FROM paths WHERE page_id % 5 = 0 AND NOT starts_with(path, 'de'))
+ SELECT p FROM l WHERE NOT starts_with(p, 'm.') AND NOT list_has_any(string_split(p, '/'), ['fr'])""")
+def enumerate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracked, untracked and included paths, each once; structural exclusion always wins over inclusion."""
+    p = paths(spark, sf_dir).withColumn("p", F.concat("host", F.lit("/"), "path"))
+    listed = p.filter("page_id % 2 = 0").select("p").unionAll(p.filter("page_id % 3 = 0").select("p")).unionAll(p.filter("page_id % 5 = 0 AND NOT startswith(path, 'de')").select("p"))
+    return listed.distinct().filter(~F.col("p").startswith("m.") & ~F.array_contains(F.split("p", "/"), "fr"))
+
+
+@query()
+def ignore_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which paths a list of ignore patterns excludes; a pattern that excludes a directory excludes what is in it."""
+    rules = ["*.tmp", "/en/", "fr/*", "!fr/8*", "de/**/x"]
+    p = paths(spark, sf_dir)
+    parts = F.split("path", "/")
+    ups = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("path"), (n < F.size(parts)).alias("is_dir")))
+    # the last rule that matches a prefix decides for it; the first excluded prefix decides for the path
+    def verdict(x: Column) -> Column:
+        out = F.lit(False)
+        for rule in rules:
+            regex, negated, only_dir = to_regex(rule)
+            hit = x["path"].rlike(regex) & (x["is_dir"] if only_dir else F.lit(True))
+            out = F.when(hit, F.lit(not negated)).otherwise(out)
+        return out
+
+    return p.select("page_id", "path", F.exists(ups, verdict).alias("ignored"))
+
+
+@query(f"""WITH {PATHS}, c AS (SELECT page_id, trim(CASE page_id % 7 WHEN 0 THEN '  ' || upper(host) || '  ' WHEN 1 THEN '*.' || host WHEN 2 THEN 'https://' || host WHEN 3 THEN host || ':443' WHEN 4 THEN split_part(host, '.', 1) WHEN 5 THEN 'a.*.' || host ELSE '10.0.0.1' END) AS raw FROM paths)
+ SELECT page_id, CASE WHEN contains(raw, '://') OR contains(raw, '/') THEN 'url' WHEN contains(raw, ':') THEN 'port' WHEN regexp_matches(regexp_replace(raw, '^[*][.]', ''), '[*]') THEN 'wildcard' WHEN NOT contains(regexp_replace(raw, '^[*][.]', ''), '.') THEN 'single_label' WHEN regexp_matches(raw, '[.][0-9]+$') THEN 'numeric_tld' ELSE '' END AS error,
+ CASE WHEN regexp_matches(raw, '[:/]') OR regexp_matches(regexp_replace(raw, '^[*][.]', ''), '[*]') OR NOT contains(regexp_replace(raw, '^[*][.]', ''), '.') OR regexp_matches(raw, '[.][0-9]+$') THEN '' ELSE lower(raw) END AS host FROM c""")
+def egress_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host patterns trimmed and in lower case, or the first reason to reject one."""
+    n = F.col("page_id") % 7
+    raw = F.trim(F.when(n == 0, F.concat(F.lit("  "), F.upper("host"), F.lit("  "))).when(n == 1, F.concat(F.lit("*."), "host")).when(n == 2, F.concat(F.lit("https://"), "host")).when(n == 3, F.concat("host", F.lit(":443"))).when(n == 4, F.split_part("host", F.lit("."), F.lit(1))).when(n == 5, F.concat(F.lit("a.*."), "host")).otherwise(F.lit("10.0.0.1")))
+    return paths(spark, sf_dir).select("page_id", raw.alias("raw")).select("page_id", egress_error(F.col("raw")).alias("error"), "raw").select("page_id", "error", F.when(F.col("error") == "", F.lower("raw")).otherwise("").alias("host"))
+
+
+def egress_error(raw: Column) -> Column:
+    """Why a host pattern isn't taken, or an empty text."""
+    bare = F.regexp_replace(raw, r"^\*\.", "")
+    return F.when(raw.contains("/"), "url").when(raw.contains(":"), "port").when(bare.contains("*"), "wildcard").when(~bare.contains("."), "single_label").when(raw.rlike(r"\.[0-9]+$"), "numeric_tld").otherwise("")
+
+
+@query(f"""WITH {PATHS} SELECT page_id, host = 'ththre.example.com' OR host = 'example.org' OR ends_with(host, '.example.org') OR host = 'm.thwhen.example.net' AS allowed,
+ CASE page_id % 4 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN contains(path, 'en') ELSE false END AS verb_ok FROM paths""")
+def host_allow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a host is on the list: by name, or under a leading *. with its apex; and whether the verb may be used."""
+    allow = F.array(*map(F.lit, ("ththre.example.com", "*.example.org", "m.thwhen.example.net")))
+    host = F.regexp_replace(F.lower("host"), ":[0-9]+$", "")
+    ok = F.exists(allow, lambda p: F.when(p.startswith("*."), (host == F.substring_index(p, "*.", -1)) | F.endswith(host, F.substr(p, F.lit(2)))).otherwise(host == p))
+    n = F.col("page_id") % 4
+    return paths(spark, sf_dir).select("page_id", ok.alias("allowed"), F.when(n < 2, True).when(n == 2, F.col("path").contains("en")).otherwise(False).alias("verb_ok"))
+
+
+@query("SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS verb, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN user_id % 2 = 0 ELSE false END AS allowed FROM events")
+def verb_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GET and HEAD may pass, POST only to where packs are fetched."""
+    e = load(spark, sf_dir, "events")
+    verb = F.when(F.col("event_id") % 3 == 0, "GET").when(F.col("event_id") % 3 == 1, "POST").otherwise("PUT")
+    path = F.when(F.col("user_id") % 2 == 0, "/repo/git-upload-pack").otherwise("/repo/info")
+    return e.select(F.col("event_id").alias("id"), verb.alias("verb"), (verb.isin("GET", "HEAD") | ((verb == "POST") & F.endswith(path, F.lit("/git-upload-pack")))).alias("allowed"))
+
+
+@query("""WITH a AS (SELECT event_id AS id, [10, 127, 172, 192, 169, 100, 8, 0, 203][1 + event_id % 9] AS o1, (event_id * 7) % 256 AS o2, event_id % 3 AS o3 FROM events)
+ SELECT id, o1 IN (0, 10, 127) OR (o1 = 172 AND o2 BETWEEN 16 AND 31) OR (o1 = 192 AND o2 = 168) OR (o1 = 169 AND o2 = 254) OR (o1 = 100 AND o2 BETWEEN 64 AND 127) AS internal FROM a""")
+def internal_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an IPv4 address is loopback, private, link-local, shared or unspecified, by its leading bits."""
+    first = F.get(F.array(*map(F.lit, (10, 127, 172, 192, 169, 100, 8, 0, 203))), (F.col("event_id") % 9).cast("int"))
+    address = first.cast("long") * (1 << 24) + (F.col("event_id") * 7 % 256) * (1 << 16) + (F.col("event_id") % 3) * 256
+    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), is_internal(address).alias("internal"))
+
+
+def is_internal(address: Column) -> Column:
+    """For an IPv4 address as a number: whether it lies in a block that isn't public."""
+    blocks = [(0, 8), (10 << 24, 8), (127 << 24, 8), ((172 << 24) + (16 << 16), 12), ((192 << 24) + (168 << 16), 16), ((169 << 24) + (254 << 16), 16), ((100 << 24) + (64 << 16), 10)]
+    out = F.lit(False)
+    for start, bits in blocks:
+        out = out | (F.shiftright(address.cast("long"), 32 - bits) == start >> (32 - bits))
+    return out
+
+
+@query(f"""WITH {PATHS}, c AS (SELECT page_id, lower(regexp_replace(regexp_replace(rtrim(url, '/'), '[?#].*$', ''), '^[a-z]+://', '')) AS u FROM paths) SELECT page_id, regexp_replace(regexp_replace(u, '/+$', ''), '[.]git$', '') AS canonical FROM c""")
+def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository addresses in one form: no scheme, query, closing slash or .git, lower case."""
+    bare = F.regexp_replace(F.regexp_replace("url", "/+$", ""), "[?#].*$", "")
+    bare = F.lower(F.regexp_replace(bare, "^[a-z]+://", ""))
+    return paths(spark, sf_dir).select("page_id", F.regexp_replace(F.regexp_replace(bare, "/+$", ""), "[.]git$", "").alias("canonical"))
+
+
+@query(f"WITH {PATHS} SELECT DISTINCT host || '/' || path AS path, len(string_split(host || '/' || path, '/')) AS depth FROM paths WHERE path <> '' ORDER BY path DESC LIMIT 100")
+def deepest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last paths in descending order, in which what is inside a directory comes before it."""
+    p = paths(spark, sf_dir).filter("path <> ''").select(F.concat("host", F.lit("/"), "path").alias("path")).distinct()
+    return p.withColumn("depth", F.size(F.split("path", "/")).cast("long")).orderBy(F.desc("path")).limit(100)
+
+
+@query(f"""WITH {PATHS}, r AS (SELECT page_id, rtrim(path, '/') AS p FROM paths) SELECT page_id, CASE WHEN p = '' THEN '.' ELSE p END AS resolved, CASE WHEN p = '' THEN 0 ELSE len(string_split(p, '/')) END AS depth, CASE WHEN contains(p, '/') THEN regexp_replace(p, '/[^/]*$', '') ELSE '' END AS parent FROM r""")
+def path_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with . and .. taken out by folding over their segments, their depth and their parent."""
+    messy = F.concat(F.lit("./x/../"), "path")
+    empty = F.array().cast("array<string>")
+    folded = F.aggregate(F.split(messy, "/"), empty, lambda acc, s: F.when((s == "") | (s == "."), acc).when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, s)))
+    p = paths(spark, sf_dir).withColumn("parts", folded)
+    joined = F.array_join("parts", "/")
+    return p.select("page_id", F.when(joined == "", ".").otherwise(joined).alias("resolved"), F.size("parts").cast("long").alias("depth"), F.array_join(F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0))), "/").alias("parent"))
+
+
+@query(f"""WITH {PATHS}, r AS (SELECT DISTINCT split_part(host, '.', 1) AS project, host || '/' || split_part(path, '/', 1) AS root FROM paths WHERE path <> ''), m AS (SELECT project, min(root) AS lo, max(root) AS hi, count(*) AS roots FROM r GROUP BY 1)
+ SELECT project, roots, CASE WHEN roots = 1 THEN lo WHEN split_part(lo, '/', 1) = split_part(hi, '/', 1) THEN split_part(lo, '/', 1) ELSE '' END AS anchor FROM m WHERE roots <= 8""")
+def root_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deepest directory common to a project's roots. Of sorted paths, the first and last share what all share."""
+    p = paths(spark, sf_dir).filter("path <> ''").select(F.split_part("host", F.lit("."), F.lit(1)).alias("project"), F.concat_ws("/", "host", F.split_part("path", F.lit("/"), F.lit(1))).alias("root")).distinct()
+    m = p.groupBy("project").agg(F.count("*").alias("roots"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("roots <= 8")
+    a, b = F.split("lo", "/"), F.split("hi", "/")
+    same = F.filter(F.sequence(F.lit(1), F.size(a)), lambda n: F.slice(a, 1, n) == F.slice(b, 1, n))
+    return m.select("project", "roots", F.array_join(F.slice(a, F.lit(1), F.size(same)), "/").alias("anchor"))
+
+
+@query(f"""WITH {PATHS} SELECT page_id, (regexp_matches(path, '^en/[^/]*$') AND NOT regexp_matches(path, '^en/[^/]*9$')) OR path = 'fr/825' AS member FROM paths""")
+def member_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members by glob, without those excluded by another; members named in full aren't excluded."""
+    globs, outs, named = ["en/*"], ["en/*9"], ["fr/825"]
+    hit = lambda gs: F.col("path").rlike("|".join(to_regex("/" + g)[0] for g in gs))
+    return paths(spark, sf_dir).select("page_id", ((hit(globs) & ~hit(outs)) | F.col("path").isin(named)).alias("member"))

@@ -1 +1,120 @@
-"""Queries of this area."""
+"""Placement of tasks on workers: hard filters in order, scores, the best worker, reasons, first fit and a greedy drain."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators.drain import drain
+from ..sources.telemetry import load, tasks
+from .base import TASKS, query
+
+#: Weights of disk, processor, cache and image, and the least free disk in GB.
+W_DISK, W_CPU, W_CACHE, W_IMAGE, MIN_DISK = 1.0, 1.0, 2.0, 0.8, 20
+
+_FLEET = """w AS (SELECT s_suppkey AS worker, r_name AS arch, s_suppkey % 10 <> 9 AS online, (s_acctbal + 1000) / 11000.0 AS load, s_suppkey % 7 * 20 AS disk, s_suppkey % 4 AS slots, s_nationkey AS nation, s_suppkey % 6 AS image
+ FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ d AS (SELECT c_custkey AS task, c_nationkey AS project, r_name AS arch, 10 + c_custkey % 5 * 10 AS est, c_custkey % 6 AS image, c_custkey % 100 AS tried FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 = 0)"""
+_SCORED = f"""{_FLEET}, p AS (SELECT task, worker, CASE WHEN NOT online THEN 'NotOnline' WHEN worker = tried THEN 'AlreadyTried' WHEN slots = 0 THEN 'NoFreeSlot' WHEN disk < greatest({MIN_DISK}, ceil(1.5 * est)) THEN 'InsufficientDisk' ELSE '' END AS reason,
+ {W_DISK} * least(disk / (3.0 * greatest(est, 1)), 1.0) + {W_CPU} * (1.0 - least(greatest(load, 0.0), 1.0)) + {W_CACHE} * CASE WHEN nation = project THEN 1.0 WHEN nation % 5 = project % 5 THEN 0.6 ELSE 0.0 END + {W_IMAGE} * CASE WHEN w.image = d.image THEN 1.0 ELSE 0.0 END AS score FROM d JOIN w ON d.arch = w.arch)"""
+
+
+def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workers: architecture, state, load, free disk in GB, free slots, where they are and their image."""
+    places = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("arch"))
+    return load(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("s_suppkey").alias("worker"), "arch", (F.col("s_suppkey") % 10 != 9).alias("online"), ((F.col("s_acctbal") + 1000) / 11000.0).alias("load"),
+        (F.col("s_suppkey") % 7 * 20).alias("disk"), (F.col("s_suppkey") % 4).alias("slots"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 6).alias("w_image"),
+    )
+
+
+def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks to place: project, architecture, disk estimate in GB, image and a worker already tried."""
+    places = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("arch"))
+    return load(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_custkey").alias("task"), F.col("c_nationkey").alias("project"), "arch", (10 + F.col("c_custkey") % 5 * 10).alias("est"), (F.col("c_custkey") % 6).alias("image"), (F.col("c_custkey") % 100).alias("tried"),
+    )
+
+
+def scored(demand: DataFrame, fleet: DataFrame) -> DataFrame:
+    """task, worker, reason (the first hard filter that rejects, or empty) and score; architectures meet by equality."""
+    both = demand.join(fleet, "arch")
+    reason = (
+        F.when(~F.col("online"), "NotOnline").when(F.col("worker") == F.col("tried"), "AlreadyTried").when(F.col("slots") == 0, "NoFreeSlot")
+        .when(F.col("disk") < F.greatest(F.lit(MIN_DISK), F.ceil(F.col("est") * 1.5)), "InsufficientDisk").otherwise("")
+    )
+    disk = F.least(F.col("disk") / (3.0 * F.greatest("est", F.lit(1))), F.lit(1.0))
+    cache = F.when(F.col("nation") == F.col("project"), 1.0).when(F.col("nation") % 5 == F.col("project") % 5, 0.6).otherwise(0.0)
+    score = W_DISK * disk + W_CPU * (1.0 - F.least(F.greatest("load", F.lit(0.0)), F.lit(1.0))) + W_CACHE * cache + W_IMAGE * F.when(F.col("w_image") == F.col("image"), 1.0).otherwise(0.0)
+    return both.select("task", "worker", reason.alias("reason"), score.alias("score"))
+
+
+@query(f"WITH {_SCORED} SELECT task, worker, round(score, 6) AS score FROM p WHERE reason = ''")
+def placement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every worker that may take a task."""
+    return scored(demand(spark, sf_dir), fleet(spark, sf_dir)).filter("reason = ''").select("task", "worker", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(score, 6) DESC, worker) AS rn FROM p WHERE reason = '') SELECT task, worker FROM r WHERE rn = 1")
+def placement_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best worker of each task; of equals, the one of the lowest id."""
+    ok = scored(demand(spark, sf_dir), fleet(spark, sf_dir)).filter("reason = ''")
+    return ok.groupBy("task").agg(F.max_by("worker", F.struct(F.round("score", 6), -F.col("worker"))).alias("worker"))
+
+
+@query(f"WITH {_SCORED} SELECT task, reason, count(*) AS workers FROM p WHERE reason <> '' GROUP BY 1, 2")
+def placement_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why workers of a task's architecture can't take it, by reason."""
+    return scored(demand(spark, sf_dir), fleet(spark, sf_dir)).filter("reason <> ''").groupBy("task", "reason").agg(F.count("*").alias("workers"))
+
+
+@query()
+def placement_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue of each architecture served first come, first served, while free slots last."""
+    return drain(demand(spark, sf_dir), fleet(spark, sf_dir).filter("online"))
+
+
+@query("""WITH o AS (SELECT s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 10 <> 9 AND s_suppkey % 4 > 0),
+ i AS (SELECT p_partkey, (SELECT r_name FROM region WHERE r_regionkey = p_size % 5) AS arch FROM part) SELECT p_partkey AS image, min(s_suppkey) AS builder FROM i LEFT JOIN o ON r_name = arch GROUP BY 1""")
+def builder_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first worker, by id, that is online, free and of the image's architecture."""
+    first = fleet(spark, sf_dir).filter("online AND slots > 0").groupBy("arch").agg(F.min("worker").alias("builder"))
+    region = load(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("arch"))
+    images = load(spark, sf_dir, "part").join(region, F.col("p_size") % 5 == F.col("r_regionkey"), "left")
+    return images.join(first, "arch", "left").select(F.col("p_partkey").alias("image"), "builder")
+
+
+@query(f"""WITH {TASKS}, r AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT project AS p, worktree AS w, event_type AS e, min(id) AS first_ok FROM tasks WHERE status = 'done' AND result_kind IN ('success', 'compile_error') GROUP BY 1, 2, 3)
+ SELECT id, CASE WHEN k < 3 THEN 'invalid' WHEN k % 17 = 0 THEN 'unapproved' WHEN n IS NULL THEN 'needs_blobs' WHEN first_ok < id AND k % 2 = 0 THEN 'cache_hit' WHEN status = 'running' THEN 'subscribed' ELSE 'queued' END AS admission
+ FROM tasks LEFT JOIN r ON l_orderkey = id LEFT JOIN c ON project = p AND worktree = w AND event_type = e""")
+def admission_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of a submitted task, by the first rung that holds: validity, approval, blobs, cache, a running twin, the queue."""
+    t = tasks(spark, sf_dir)
+    key = ["project", "worktree", "event_type"]
+    done = t.filter("status = 'done' AND result_kind IN ('success', 'compile_error')").groupBy(*key).agg(F.min("id").alias("first_ok"))
+    refs = load(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
+    rung = (
+        F.when(F.col("k") < 3, "invalid").when(F.col("k") % 17 == 0, "unapproved").when(F.col("n").isNull(), "needs_blobs")
+        .when((F.col("first_ok") < F.col("id")) & (F.col("k") % 2 == 0), "cache_hit").when(F.col("status") == "running", "subscribed").otherwise("queued")
+    )
+    return t.join(refs, "id", "left").join(done, key, "left").select("id", rung.alias("admission"))
+
+
+@query(f"""WITH {TASKS}, a AS (SELECT *, row_number() OVER (PARTITION BY project, worktree ORDER BY at_us, id) AS attempt FROM tasks WHERE status = 'failed') SELECT id, attempt, attempt < 3 AND result_kind = 'infra_error' AS retry FROM a""")
+def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures for the fleet's fault are tried again, elsewhere, until the third attempt."""
+    attempt = F.row_number().over(Window.partitionBy("project", "worktree").orderBy("at_us", "id"))
+    return tasks(spark, sf_dir).filter("status = 'failed'").withColumn("attempt", attempt).select("id", "attempt", ((F.col("attempt") < 3) & (F.col("result_kind") == "infra_error")).alias("retry"))
+
+
+@query(f"""WITH {TASKS}, f AS (SELECT project, row_number() OVER (ORDER BY project) AS n FROM (SELECT DISTINCT project FROM tasks WHERE event_type = 'signup')) SELECT f.project, n <= 64 AS admitted,
+ coalesce((SELECT arg_max(CASE WHEN k % 2 = 0 THEN 'approved' ELSE 'rejected' END, (at_us, id)) FROM tasks t WHERE t.project = f.project AND t.event_type = 'purchase'), 'pending') AS decision FROM f""")
+def approval_queue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with their latest decision, which asking again never changes; new ones are taken up to a cap."""
+    t = tasks(spark, sf_dir)
+    asked = t.filter("event_type = 'signup'").select("project").distinct()
+    decided = t.filter("event_type = 'purchase'").groupBy("project").agg(F.max_by(F.when(F.col("k") % 2 == 0, "approved").otherwise("rejected"), F.struct("at_us", "id")).alias("decision"))
+    # the cap's last member is one number, so the requests needn't be ranked in one place
+    last = asked.orderBy("project").limit(64).agg(F.max("project")).first()[0]
+    return asked.join(decided, "project", "left").select("project", (F.col("project") <= F.lit(last)).alias("admitted"), F.coalesce("decision", F.lit("pending")).alias("decision"))
