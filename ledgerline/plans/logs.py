@@ -1 +1,155 @@
-"""Queries of this area."""
+"""Log analysis: classification, markup, progress, tests, scrapers and missing dependencies."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.classify import environmental, missing_dependencies, rule
+from ..functions.columns import plain_text
+from ..sources.telemetry import lines, load
+from .base import LINES, query
+
+#: Small logs to run the parsers on.
+LOGS = {
+    1: "Compiling foo v0.1.0\n   Checking bar v1.2.3\nFresh baz v1.0.0\nerror: could not compile `bar`\nsrc/main.rs:7:5: error: mismatched types\nlib.c:3: warning: unused variable",
+    2: "running 12 tests\ntest result: FAILED. 10 passed; 0 failed; 1 ignored; 0 measured\n     Running tests/it.rs (target/debug/deps/it-1234)\nfailures:\n    it::one\n    it::two\n\ntest result: FAILED. 3 passed; 2 failed; 0 ignored",
+    3: "Package libssh2 was not found in the pkg-config search path\n/usr/bin/ld: cannot find -lz\nopenssl/ssl.h: No such file or directory\nbash: cmake: command not found\n{\"message\": \"No package 'json' found\"}",
+    4: "The pkg-config command could not be found\nNo package 'dbus-1' found\nCould not find librrd",
+    5: "thread main panicked (signal: 9, SIGKILL: kill)",
+    6: "write: No space left on device",
+    7: "error: linker `cc` not found",
+    8: "Could not find librrd\nfailed to run custom build command for `rrd-sys v0.1`",
+}
+
+
+def _logs(spark: SparkSession) -> DataFrame:
+    rows = [(k, n, line) for k, text in LOGS.items() for n, line in enumerate(text.split("\n"), 1)]
+    return spark.createDataFrame(rows, "log_id long, line_no int, line string")
+
+
+@query("""SELECT doc_id AS log_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 13 <> 0 THEN 'success' WHEN doc_id % 13 = 0 THEN 'timeout' WHEN contains(lower(text), 'licensed under') THEN 'compile_error' WHEN doc_id % 5 = 0 THEN 'oom_killed'
+ WHEN contains(lower(text), 'token = ') THEN 'disk_full' WHEN contains(lower(text), ' | ') THEN 'env_markers_raw' ELSE 'unknown' END AS rule FROM documents""")
+def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that holds for each log, with markers chosen from words that the logs have."""
+    low, n = F.lower("text"), F.col("doc_id")
+    out = F.when((n % 7 == 0) & (n % 13 != 0), "success").when(n % 13 == 0, "timeout").when(low.contains("licensed under"), "compile_error").when(n % 5 == 0, "oom_killed").when(low.contains("token = "), "disk_full").when(low.contains(" | "), "env_markers_raw").otherwise("unknown")
+    return load(spark, sf_dir, "documents").select(n.alias("log_id"), out.alias("rule"))
+
+
+@query()
+def classify_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule of each small log: facts are aggregated per log, the tail is its last 200 lines."""
+    logs = _logs(spark)
+    last = logs.withColumn("back", F.expr("row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC)")).filter("back <= 200")
+    facts = last.groupBy("log_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("tail"), F.count_if(F.col("line").rlike(r"^\S+:[0-9]+(:[0-9]+)?: error: ")).alias("errors"))
+    failed = F.coalesce(F.regexp_extract("tail", r"; ([1-9][0-9]*) failed", 1).try_cast("int"), F.lit(0))
+    return facts.select("log_id", rule(F.lit(101), F.lit(False), F.col("errors"), F.lit(0), failed, F.lit(False), F.col("tail")).alias("rule"), environmental(F.col("tail")).alias("environmental"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(html, '<[^<>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g') AS text FROM pages")
+def markup_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text without markup, white space runs as one space."""
+    return load(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", "<[^<>]*>", " "), "[ \\t\\n\\r]+", " ").alias("text"))
+
+
+@query()
+def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines without colours, links and cut-off escape sequences."""
+    rows = [(1, "\x1b[31merror\x1b[0m: x"), (2, "\x1b]8;;http://a\x1b\\link\x1b]8;;\x1b\\"), (3, "abc\x1b"), (4, "abc\x1b[31"), (5, "\x1b]0;title\x07plain")]
+    return spark.createDataFrame(rows, "id int, line string").select("id", plain_text(F.col("line")).alias("line"))
+
+
+@query()
+def missing_dep_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each small log says is missing, with the package that would bring it."""
+    return missing_dependencies(_logs(spark))
+
+
+@query()
+def unit_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units seen and the current one: lines that compile or check count, fresh ones don't."""
+    unit = F.regexp_extract("line", r"^\s*(?:Compiling|Checking) (\S+) v", 1)
+    return _logs(spark).withColumn("unit", unit).filter("unit <> ''").groupBy("log_id").agg(F.count("*").alias("units"), F.max_by("unit", "line_no").alias("current"))
+
+
+@query()
+def test_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passed, failed and ignored tests over all binaries, and the names of failures with their binaries, twenty at most."""
+    logs = _logs(spark)
+    number = lambda what: F.coalesce(F.regexp_extract("line", rf"([0-9]+) {what}", 1).try_cast("long"), F.lit(0))
+    sums = logs.filter(F.col("line").startswith("test result:")).groupBy("log_id").agg(F.sum(number("passed")).alias("passed"), F.sum(number("failed")).alias("failed"), F.sum(number("ignored")).alias("ignored"), F.count("*").alias("binaries"))
+    upto = "OVER (PARTITION BY log_id ORDER BY line_no)"
+    binary = F.nullif(F.regexp_extract("line", r"^\s*Running (\S+)", 1), F.lit(""))
+    marked = logs.withColumn("_b", binary).withColumn("binary", F.expr(f"last(_b, true) {upto}"))
+    # a block of names begins after `failures:` and ends at a line that isn't indented
+    marked = marked.withColumn("_m", F.when(F.col("line") == "failures:", 1).when(~F.col("line").rlike(r"^    \S"), 0)).withColumn("inside", F.expr(f"last(_m, true) {upto}"))
+    names = marked.filter("_m IS NULL AND inside = 1").select("log_id", "line_no", F.concat_ws("::", F.regexp_extract("binary", r"([^/]+?)(?:\.rs)?$", 1), F.trim("line")).alias("name"))
+    listed = names.withColumn("n", F.expr(f"row_number() {upto}")).groupBy("log_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= 20, F.struct("n", "name")))), lambda x: x["name"]), ",").alias("names"), (F.max("n") > 20).alias("truncated"))
+    return sums.join(listed, "log_id", "left").na.fill({"names": "", "truncated": False})
+
+
+@query()
+def generic_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics of the form file:line[:column]: level: message."""
+    pattern = r"^([^\s:]+):([0-9]+)(?::([0-9]+))?: (error|warning): (.*)$"
+    part = lambda k: F.regexp_extract("line", pattern, k)
+    return _logs(spark).filter(F.col("line").rlike(pattern)).select("log_id", part(1).alias("file"), part(2).cast("int").alias("line"), F.coalesce(part(3).try_cast("int"), F.lit(0)).alias("column"), part(4).alias("level"), part(5).alias("message"))
+
+
+@query()
+def env_diag_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a diagnostic is the environment's fault: never for Rust sources, else by its message and notes."""
+    rows = [(1, "src/a.rs", "cannot find -lz", ""), (2, "build.c", "openssl/ssl.h: No such file or directory", ""), (3, "", "could not run", "= note: linker `cc` not found"), (4, "x.c", "unused", "")]
+    text = F.concat_ws("\n", "message", "notes")
+    header = F.col("message").rlike(r"\.h(pp)?: No such file")
+    return spark.createDataFrame(rows, "id int, file string, message string, notes string").select("id", (~F.col("file").endswith(".rs") & (environmental(text) | header)).alias("environmental"))
+
+
+@query()
+def system_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System packages that manifests hint at, each once."""
+    manifests = spark.createDataFrame([(1, 'openssl-sys = "0.9"\nlibz-sys = "1"'), (2, 'pq-sys = "0.4"\nopenssl = { version = "0.10" }'), (3, "serde = 1")], "id int, text string")
+    needles = {"openssl": "libssl-dev", "libz-sys": "zlib1g-dev", "pq-sys": "libpq-dev", "rdkafka": "librdkafka-dev"}
+    hits = F.array_distinct(F.filter(F.array(*[F.when(F.contains("text", F.lit(n)), F.lit(p)) for n, p in needles.items()]), lambda x: x.isNotNull()))
+    return manifests.select("id", F.explode(hits).alias("package"))
+
+
+@query(f"""WITH {LINES}, h AS (SELECT log_id, min(line_no) FILTER (WHERE contains(lower(line), 'the')) AS first_hit, max(line_no) AS n FROM lines GROUP BY 1) SELECT log_id, coalesce(first_hit, 0) AS line_no, n AS lines FROM h""")
+def line_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of the first line that holds a needle, 0 if none does."""
+    hit = F.min(F.when(F.contains(F.lower("line"), F.lit("the")), F.col("line_no")))
+    return lines(spark, sf_dir).groupBy("log_id").agg(F.coalesce(hit, F.lit(0)).alias("line_no"), F.max("line_no").alias("lines"))
+
+
+@F.pandas_udf("string")
+def cut_bytes(text: pd.Series, most: pd.Series) -> pd.Series:
+    """A text's longest prefix of at most so many UTF-8 bytes."""
+    return pd.Series([None if t is None else t.encode()[:n].decode(errors="ignore") for t, n in zip(text, most, strict=True)])
+
+
+@F.pandas_udf("string")
+def elide(line: pd.Series, most: pd.Series) -> pd.Series:
+    """A line over a byte budget as its head and tail, five to two, with the bytes left out between them."""
+    out = []
+    for s, n in zip(line, most, strict=True):
+        b = None if s is None else s.encode()
+        if b is None or len(b) <= n:
+            out.append(s)
+            continue
+        room = max(n - len(f" …[{len(b)} bytes]… ".encode()), 0)
+        head = b[: room * 5 // 7].decode(errors="ignore")
+        tail = b[len(b) - room * 2 // 7 :].decode(errors="ignore") if room * 2 // 7 else ""
+        out.append(f"{head} …[{len(b) - len(head.encode()) - len(tail.encode())} bytes]… {tail}")
+    return pd.Series(out)
+
+
+@query()
+def budget_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each log's slots packed into 8192 bytes: the first slot in full, then others as far as the budget goes, cut at whole characters."""
+    slots = lines(spark, sf_dir).filter("line_no <= 5").select("log_id", F.col("line_no").alias("slot"), elide(F.col("line"), F.lit(400)).alias("text"))
+    used = F.expr("sum(octet_length(text) + 1) OVER (PARTITION BY log_id ORDER BY slot)")
+    room = F.greatest(F.lit(8192) - (F.col("used") - F.octet_length("text") - 1), F.lit(0)).cast("int")
+    packed = slots.withColumn("used", used).withColumn("room", room).withColumn("text", cut_bytes(F.col("text"), F.col("room")))
+    return packed.groupBy("log_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.length("text") > 0).alias("slots"))

@@ -1 +1,29 @@
-"""Queries of this area."""
+"""Streaming queries, run over what is there now."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..sources.stores import shared_path
+from ..streaming.rollups import drained, event_stream, minute_rollup, worker_states
+from .base import query
+
+
+@query()
+def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The minute rollup as a stream in append mode; the minutes that the watermark hasn't passed are withheld."""
+    return drained(minute_rollup(event_stream(spark, sf_dir)), "stream-rollup")
+
+
+@query()
+def stream_latest_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest state of each worker, kept by a stateful operator and appended batch by batch."""
+    out, state = shared_path(spark, "stream-workers"), shared_path(spark, "stream-workers-state")
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+
+    worker_states(event_stream(spark, sf_dir)).writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema("worker long, event_id long, status string, batch long").parquet(out)
+    return rows.groupBy("worker").agg(F.max_by(F.struct("event_id", "status"), "batch").alias("s")).select("worker", "s.event_id", "s.status")
