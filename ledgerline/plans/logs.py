@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.classify import environmental, missing_dependencies, rule
 from ..functions.columns import plain_text
@@ -123,13 +124,13 @@ def line_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).groupBy("log_id").agg(F.coalesce(hit, F.lit(0)).alias("line_no"), F.max("line_no").alias("lines"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def cut_bytes(text: pd.Series, most: pd.Series) -> pd.Series:
     """A text's longest prefix of at most so many UTF-8 bytes."""
     return pd.Series([None if t is None else t.encode()[:n].decode(errors="ignore") for t, n in zip(text, most, strict=True)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def elide(line: pd.Series, most: pd.Series) -> pd.Series:
     """A line over a byte budget as its head and tail, five to two, with the bytes left out between them."""
     out = []
