@@ -20,15 +20,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     languages = language.fit(docs)
     keep = [F.col(f"`{c}`") for c in docs.columns]
-    # text is carried along under its own name and read under another
-    found = language.identify(docs, languages, keep, "text")
-    return found.filter(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    guess = free_name(docs, "lang_pred")
+    found = language.identify(docs, languages, keep, "text", (guess, free_name(docs, "score")))
+    return found.filter(F.col(guess) != language.UNKNOWN).withColumn("lang", F.col(guess)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that spread over many sources go; documents left without a word go too. n_chars is that of the new text."""
     cleaned = lines.dedup(docs).filter(F.col("text").rlike(WORD))
-    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[c for c in docs.columns if c in cleaned.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

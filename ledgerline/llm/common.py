@@ -83,7 +83,7 @@ def seed_of(*parts: object) -> int:
     return zlib.crc32("|".join(map(str, parts)).encode())
 
 
-Scorer = Callable[[list[str | None]], dict[str, np.ndarray | list]]
+Scorer = Callable[[list[str | None]], dict[str, np.ndarray | list | pa.Array]]
 
 
 def map_texts(docs: DataFrame, keep: list[Column], text: Column, make: Callable[[], Scorer], fields: str) -> DataFrame:
@@ -99,6 +99,6 @@ def map_texts(docs: DataFrame, keep: list[Column], text: Column, make: Callable[
         for batch in batches:
             made = score(batch.column(batch.num_columns - 1).to_pylist())
             names = [*batch.schema.names[:-1], *made]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(v) for v in made.values())], names=names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(v if isinstance(v, pa.Array) else pa.array(v) for v in made.values())], names=names)
 
     return picked.mapInArrow(run, f"{kept}, {fields}")

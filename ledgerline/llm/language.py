@@ -13,6 +13,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,8 +196,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return build(samples)
 
 
-def identify(docs: DataFrame, languages: Languages, keep: list | None = None, text_col: str = "text") -> DataFrame:
-    """The columns `keep`, then lang_pred and score, for every row; the whole text is parsed.
+def identify(docs: DataFrame, languages: Languages, keep: list | None = None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns `keep`, then lang_pred and score (or the given names), for every row; the whole text is parsed.
 
     Null texts, and those without any letter, are `und` with score 0. Ties go to the language that sorts first. Letters that
     no reference holds cost a phrase each, in every language. Repeated rows get equal answers. An empty table gives no rows.
@@ -206,13 +207,13 @@ def identify(docs: DataFrame, languages: Languages, keep: list | None = None, te
     def make():
         languages = shared.value
 
-        def run(texts: list[str | None]) -> dict[str, np.ndarray | list]:
-            names, scores = languages.predict(texts)
-            return {"lang_pred": names, "score": scores}
+        def run(texts: list[str | None]) -> dict:
+            found, scores = languages.predict(texts)
+            return {names[0]: pa.array(found, type=pa.string()), names[1]: scores}
 
         return run
 
-    return map_texts(docs, keep if keep is not None else [F.col("doc_id")], F.col(text_col), make, "lang_pred string, score double")
+    return map_texts(docs, keep if keep is not None else [F.col("doc_id")], F.col(text_col), make, f"`{names[0]}` string, `{names[1]}` double")
 
 
 def language(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

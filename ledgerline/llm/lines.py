@@ -9,19 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, Settled
+from .common import SPACE, WORD, Settled, free_name
 
 #: A line on so many sites, or more, is boilerplate.
 MIN_SITES = 8
 #: Estimates within this share of the threshold are counted exactly; the sketches' standard error at LG_K is 1.6 %.
 NEAR, LG_K = 0.3, 12
 
-_SPACES = F.lit(SPACE)
-
 
 def _hashes(line: Column) -> list[Column]:
     """128 bits of a line without the white space around it."""
-    bare = F.trim(line, _SPACES)
+    bare = F.trim(line, F.lit(SPACE))
     return [F.xxhash64(bare).alias("h1"), F.xxhash64(F.lit("line"), bare).alias("h2")]
 
 
@@ -53,18 +51,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     """
     lines = Settled(exploded(docs, id_col, text_col, site_col), "lines").df
     found = Settled(spread(lines, min_sites), "spread-lines").df
-    marks = lines.join(found, ["h1", "h2"]).groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("_gone"))
-    marks = marks.select(F.col("id").alias("_id"), F.col("t1").alias("_t1"), F.col("t2").alias("_t2"), "_gone")
-    text = docs[text_col].cast("string")
+    own = {n: free_name(docs, f"_{n}") for n in ("id", "t1", "t2", "gone", "k1", "k2")}
+    marks = lines.join(found, ["h1", "h2"]).groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
+    marks = marks.select(*[F.col(n).alias(own[n]) for n in ("id", "t1", "t2", "gone")])
+    text, gone = F.col(text_col).cast("string"), F.col(own["gone"])
     kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    joined = docs.select(*[docs[c] for c in kept], F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit("text"), text).alias("_k2"))
-    joined = joined.join(marks, joined[id_col].eqNullSafe(F.col("_id")) & (F.col("_k1") == F.col("_t1")) & (F.col("_k2") == F.col("_t2")), "left")
-    parts = F.split(joined[text_col].cast("string"), "\n")
-    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("_gone"), i)), "\n")
-    clean = F.when(F.col("_gone").isNull(), joined[text_col].cast("string")).otherwise(rest)
-    n_lines = F.when(joined[text_col].isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: x.rlike(WORD))))
-    out = [clean.alias(c) if c == text_col else joined[c] for c in kept]
-    return joined.select(*out, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(text).alias(own["k1"]), F.xxhash64(F.lit("text"), text).alias(own["k2"]))
+    joined = keyed.join(marks, F.col(id_col).eqNullSafe(F.col(own["id"])) & (F.col(own["k1"]) == F.col(own["t1"])) & (F.col(own["k2"]) == F.col(own["t2"])), "left")
+    parts = F.split(text, "\n")
+    rest = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    clean = F.when(gone.isNull(), text).otherwise(rest)
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: x.rlike(WORD))))
+    out = [clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
+    return joined.select(*out, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def digest(cleaned: DataFrame) -> DataFrame:
