@@ -91,7 +91,7 @@ def map_texts(docs: DataFrame, keep: list[Column], text: Column, make: Callable[
 
     make() runs once a task and gives that function; `fields` are the names and types of what it makes.
     """
-    picked = docs.select(*keep, text.cast("string").alias("_text"))
+    picked = docs.select(*keep, text.cast("string").alias(free_name(docs.select(*keep), "_text")))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

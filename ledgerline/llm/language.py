@@ -23,7 +23,7 @@ from .common import held_out, map_texts, seed_of
 DOCS_PER_LANGUAGE, REFERENCE_CHARS = 200, 20_000
 #: Letters that the automata know, the most frequent ones; others end a phrase wherever they stand.
 LETTERS = 62
-#: Texts are parsed in runs of this many characters, each from the root, so that long texts step side by side too.
+#: Texts are parsed in runs of this many characters, so that long texts step side by side too; each run begins a phrase.
 RUN = 2048
 BATCH_CHARS = 4_000_000
 UNKNOWN = "und"
@@ -75,7 +75,7 @@ class Languages:
 
     names: list[str]
     table: np.ndarray
-    roots: np.ndarray
+    starts: np.ndarray
     bits: np.ndarray
     code_of: np.ndarray
     width: int
@@ -107,15 +107,15 @@ class Languages:
         for k, i in enumerate(order):
             grid[: len(parts[i]), k] = parts[i]
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
-        for lang, root in enumerate(self.roots):
-            state = np.full(len(parts), root, dtype=np.int32)
+        for lang, start in enumerate(self.starts):
+            state = np.full(len(parts), start, dtype=np.int32)
             count = np.zeros(len(parts), dtype=np.int32)
             for step, n in enumerate(active):
                 to = self.table[state[:n] * np.int32(self.width) + grid[step, :n]]
                 new = to >= _BREAK
                 count[:n] += new
                 state[:n] = to & (_BREAK - 1)
-            out[:, lang] = np.bincount(owner_of, count + 1, len(texts)).astype(np.int64)
+            out[:, lang] = np.bincount(owner_of, count, len(texts)).astype(np.int64)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -155,21 +155,23 @@ def build(samples: dict[str, list[str]]) -> Languages:
     for k, c in enumerate(sorted(known)):
         code_of[ord(c)] = k + 2
     width = len(known) + 2
-    tables, roots, bits, base = [], [], [], 0
+    tables, starts, bits, base = [], [], [], 0
     for n in names:
         nxt = suffix_automaton([int(code_of[ord(c)]) for c in spaced[n]])
-        grid = np.zeros((len(nxt), width), dtype=np.int32)
-        first = np.array([nxt[0].get(c, 0) if c else 0 for c in range(width)], dtype=np.int32)
+        # one more state, in which a run starts and to which characters lead that the reference lacks: whatever follows begins a phrase
+        void = len(nxt)
+        grid = np.zeros((void + 1, width), dtype=np.int32)
+        first = np.array([nxt[0].get(c, void) if c else void for c in range(width)], dtype=np.int32)
         grid[:] = (first + base) | _BREAK  # where no transition leads on, the next phrase begins with this very character
         for s, to in enumerate(nxt):
             for c, t in to.items():
                 if c:  # letters outside LETTERS never match
                     grid[s, c] = t + base
         tables.append(grid.ravel())
-        roots.append(base)
+        starts.append(base + void)
         bits.append(np.log2(max(len(spaced[n]), 2)))
-        base += len(nxt)
-    return Languages(names, np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32), np.array(roots, dtype=np.int32), np.array(bits), code_of, width)
+        base += void + 1
+    return Languages(names, np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32), np.array(starts, dtype=np.int32), np.array(bits), code_of, width)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
