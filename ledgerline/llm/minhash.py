@@ -30,6 +30,8 @@ ROWS, BANDS = 6, 26
 K = ROWS * BANDS
 #: Darts expected in all; one document in fifty leaves a coordinate empty and throws twice as many.
 DARTS = K * (np.log(K) + 4)
+#: Texts of a band that one block takes, in expectation.
+BLOCK = 512
 #: Candidate classes up to which their ids are broadcast to the documents; beyond that, the two are joined by a shuffle.
 BROADCAST_CLASSES = 500_000
 _EMPTY = np.zeros(0, dtype=np.uint64)
@@ -135,7 +137,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the words and bands for every row, without a shuffle; a text without words has no bands."""
+    """id, digest of the words, bands and sketch (a byte of each coordinate) for every row, without a shuffle; without words, no bands."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,11 +145,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
                 made = [shingles(text) for text in part.column(1).to_pylist()]
-                hashes = [bands(signature(items, counts)).astype(np.int64) if len(items) else None for _, items, counts in made]
-                columns = [part.column(0), pa.array([m[0] for m in made], type=pa.binary()), pa.array(hashes, type=pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "bands"])
+                signatures = [signature(items, counts) if len(items) else None for _, items, counts in made]
+                hashes = pa.array([None if g is None else bands(g).astype(np.int64) for g in signatures], type=pa.list_(pa.int64()))
+                sketches = pa.array([None if g is None else (g >> np.uint64(40)).astype(np.uint8).tobytes() for g in signatures], type=pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], type=pa.binary()), hashes, sketches], names=["id", "digest", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, digest binary, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, digest binary, bands array<long>, sketch binary")
 
 
 def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -192,12 +195,106 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
+def _links(rows: pa.Table, agree: int, least: float) -> tuple[list[bytes], list[bytes]]:
+    """Links between different roots, within runs of equal (band, one, two): enough of them to span all that are similar.
+
+    Pairs are taken up in the first band that they share, if their sketches agree in `agree` places, and compared by text
+    unless links found here join them already.
+    """
+    n = rows.num_rows
+    keys = np.column_stack([np.asarray(rows[c]) for c in ("band", "one", "two")])
+    starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
+    end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
+    digest, block, number = rows["digest"].to_pylist(), np.asarray(rows["block"]), np.asarray(rows["no"])
+    root = np.unique(np.array(rows["root"].to_pylist(), dtype="V16").view("S16"), return_inverse=True)[1]
+    sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(n, K)
+    across = keys[:, 1] != keys[:, 2]  # of two blocks, only pairs between them
+    at, step = np.arange(n), 1
+    found = []
+    while len(at := at[at + step < end[at]]):
+        some = at[(root[at] != root[at + step]) & (~across[at] | (block[at] != block[at + step]))]
+        for low in range(0, len(some), 20_000):
+            i = some[low : low + 20_000]
+            same = sketch[i] == sketch[i + step]
+            near = same.sum(1) >= agree
+            i, same = i[near], same[near]
+            first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == number[i]
+            found.append(np.column_stack([i[first], i[first] + step, same[first].sum(1)]))
+        step += 1
+    pairs = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+    up = list(range(int(root.max(initial=-1)) + 1))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    held: dict[bytes, tuple] = {}
+
+    def of(k: int) -> tuple:
+        if digest[k] not in held:
+            if len(held) >= 4096:
+                held.clear()
+            held[digest[k]] = shingles(rows["text"][k].as_py())[1:]
+        return held[digest[k]]
+
+    a, b = [], []
+    for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
+        x, y = top(int(root[i])), top(int(root[j]))
+        if x != y and similarity(of(i), of(j)) >= least:
+            up[x] = y
+            a.append(digest[i])
+            b.append(digest[j])
+    return a, b
+
+
+def linked_in_blocks(left: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the roots of `left` (band, no, m, digest, root, sketch, text) wherever a band holds similar texts.
+
+    Bands are cut into blocks by hash, and pairs of blocks are compared within a task, so neither pairs nor whole bands come
+    together. Of a pair of similarity `least`, too few coordinates agree only with a chance of 3e-7.
+    """
+    agree = int(K * least - 5 * (K * least * (1 - least)) ** 0.5)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "no", "digest", "root", "sketch", "text")
+    dealt = cut.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            a, b = _links(pa.Table.from_batches(parts), agree, least)
+            return pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.column_stack([np.asarray(batch.column(k)) for k in range(3)])
+            changes = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            if held and tuple(keys[0]) != tuple(held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(3)):
+                yield links(held)
+                held = []
+            if len(changes):  # all runs but the last are whole
+                yield links([*held, batch.slice(0, int(changes[-1]))])
+                held = []
+                batch = batch.slice(int(changes[-1]))
+            held.append(batch)
+        if held:
+            yield links(held)
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
     """id, class_id (the smallest id of the class) and kept (id is class_id) for every row.
 
     A class is a component of links between texts whose shingle multisets have a weighted Jaccard similarity of `least` or more.
-    First, every text is compared with three members of each of its bands (those of the smallest digest by three orders). Then
-    all pairs that share a band but not yet a component are compared; so no candidate pair between components is left out.
+    First, every text is compared with three members of each of its bands (those first in three orders). Then
+    all pairs that share a band but not yet a component are compared by signature, and those near enough by text, inside
+    tasks that give on only the links found; so no candidate pair between components is left out.
 
     Null texts and texts without words belong to no class but that of their own id. Rows that repeat an id are in one class
     only if their texts are; each gets the smallest id of its class, and `kept` holds for all rows with that id. A null id
@@ -205,8 +302,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = Settled(signed(docs, id_col, text_col), "minhash-rows").df
     # of a class of equal texts, one row goes on
-    classes = Settled(rows.filter("bands is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands")), "minhash-classes").df
-    banded = classes.select("digest", F.explode("bands").alias("band"))
+    classes = Settled(rows.filter("bands is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-classes").df
+    banded = classes.select("digest", F.posexplode("bands").alias("no", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("digest").alias("l0"), F.min_by("digest", F.xxhash64("digest")).alias("l1"), F.max("digest").alias("l2")).filter("m > 1")
     members = Settled(banded.join(shared, "band"), "minhash-members").df
     leaders = members.select("digest", F.explode(F.array("l0", "l1", "l2")).alias("leader")).filter("digest <> leader")
@@ -215,15 +312,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = Settled(texts_of(docs, needed, id_col, text_col), "minhash-texts").df
     first = Settled(verified(pairs, texts, least), "minhash-verified").df
     roots = Settled(components(first.filter("linked")), "minhash-roots").df
-    # bands whose members are still in several components: those outside a band's largest component meet all the others
-    placed = members.select("band", "digest").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("band", "digest", F.coalesce("root", "digest").alias("root"))
-    main = placed.groupBy("band", "root").agg(F.count("*").alias("m")).groupBy("band").agg(F.max_by("root", F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).filter("parts > 1").select("band", "main")
-    left = Settled(placed.join(main, "band"), "minhash-apart").df
-    one, two = left.filter("root <> main").select("band", F.col("digest").alias("x"), F.col("root").alias("rx")), left.select("band", F.col("digest").alias("y"), F.col("root").alias("ry"))
-    met = one.join(two, "band").filter("rx <> ry").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = met.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = Settled(verified(rest, texts, least), "minhash-verified").df
-    links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(second.filter("linked").select("a", "b"))
+    # bands whose members are still in several components
+    placed = members.select("band", "no", "digest", "m").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("band", "no", "digest", "m", F.coalesce("root", "digest").alias("root"))
+    apart = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
+    left = placed.join(apart, "band").join(classes.select("digest", "sketch"), "digest").join(texts, "digest")
+    second = Settled(linked_in_blocks(left, least), "minhash-links").df
+    links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(second)
     final = components(links)
     named = classes.select("digest", "id").join(final.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))
     top = named.groupBy("root").agg(F.min("id").alias("class_id"))
