@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import bucket, nearest_rank, ratio
+from ..functions.columns import bucket, ratio
+from ..operators.ranks import nearest_ranks
 from ..operators.rollup import fold, minute_points
 from ..sources.telemetry import as_of, load, tasks
 from .base import TASKS, query
@@ -41,18 +42,11 @@ _PCT = "list_sort(list({0}) FILTER (WHERE {0} > 0))[CAST(round((count(*) FILTER
     + " FROM tasks GROUP BY result_kind"
 )
 def phase_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank percentiles of the phases, of positive values only, by kind of result.
-
-    Values are counted before they are ranked, so what comes together is a histogram, never a group's rows.
-    """
+    """Nearest-rank percentiles of the phases, of positive values only, by kind of result."""
     t = tasks(spark, sf_dir)
     phases = ("queue_ms", "sync_ms", "build_ms")
     long = t.select("result_kind", F.explode(F.array(*[F.struct(F.lit(c).alias("phase"), F.col(c).alias("v")) for c in phases])).alias("x")).select("result_kind", "x.phase", "x.v")
-    counted = long.filter("v > 0").groupBy("result_kind", "phase", "v").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("result_kind", "phase").orderBy("v")
-    ranked = counted.withColumn("upto", F.sum("n").over(upto)).withColumn("total", F.sum("n").over(Window.partitionBy("result_kind", "phase")))
-    at = lambda p: F.min(F.when(F.col("upto") > F.round((F.col("total") - 1) * F.lit(p)), F.col("v")))
-    per = ranked.groupBy("result_kind", "phase").agg(at(0.5).alias("p50"), at(0.95).alias("p95"))
+    per = nearest_ranks(long, ["result_kind", "phase"], "v", {"p50": 0.5, "p95": 0.95})
     wide = [F.coalesce(F.max(F.when(F.col("phase") == c, F.col(p))), F.lit(0)).alias(f"{c[:-3]}_{p}") for c in phases for p in ("p50", "p95")]
     return t.select("result_kind").distinct().join(per, "result_kind", "left").groupBy("result_kind").agg(*wide)
 
@@ -178,7 +172,6 @@ def overview_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suggested_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How long to wait before asking again: from the project's middle build time, from 15 to 120 seconds, 60 without history."""
     t = tasks(spark, sf_dir)
-    values = F.sort_array(F.collect_list(F.when(F.col("build_ms") > 0, F.col("build_ms"))))
-    p = t.groupBy("project").agg(nearest_rank(values, 0.5).alias("p50"))
-    wait = F.when(F.col("status").isin("done", "failed", "canceled"), 0).when(F.col("p50") == 0, 60)
-    return t.join(p, "project").select("id", wait.otherwise(F.least(F.greatest(F.round(F.col("p50") * 1.2 / 1000), F.lit(15)), F.lit(120))).cast("long").alias("wait_s"))
+    p = nearest_ranks(t, ["project"], "build_ms", {"p50": 0.5})
+    wait = F.when(F.col("status").isin("done", "failed", "canceled"), 0).when(F.col("p50").isNull(), 60)
+    return t.join(p, "project", "left").select("id", wait.otherwise(F.least(F.greatest(F.round(F.col("p50") * 1.2 / 1000), F.lit(15)), F.lit(120))).cast("long").alias("wait_s"))

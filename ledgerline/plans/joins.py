@@ -130,10 +130,12 @@ def root_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT p_partkey AS image, coalesce(max(users), 0) AS users, coalesce(string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_suppkey) FILTER (WHERE rn <= 5), '') AS first_users FROM part LEFT JOIN r ON p_partkey = l_partkey GROUP BY 1""")
 def image_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many use each image, and the first five of them."""
-    used = load(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("u"))
+    pairs = load(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    first = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_suppkey"))).filter("rn <= 5")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list("l_suppkey")), lambda x: x.cast("string")), ",")
+    used = pairs.groupBy("l_partkey").agg(F.count("*").alias("users")).join(first.groupBy("l_partkey").agg(names.alias("first_users")), "l_partkey")
     out = load(spark, sf_dir, "part").join(used, F.col("p_partkey") == F.col("l_partkey"), "left")
-    first = F.array_join(F.transform(F.slice("u", 1, 5), lambda x: x.cast("string")), ",")
-    return out.select(F.col("p_partkey").alias("image"), F.coalesce(F.size("u"), F.lit(0)).cast("long").alias("users"), F.coalesce(first, F.lit("")).alias("first_users"))
+    return out.select(F.col("p_partkey").alias("image"), F.coalesce("users", F.lit(0)).alias("users"), F.coalesce("first_users", F.lit("")).alias("first_users"))
 
 
 @query("""WITH q AS (SELECT p_partkey AS qid, CASE p_partkey % 4 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN p_name || ' ' || p_brand ELSE left(p_name, 8) END AS q FROM part WHERE p_partkey % 10 < 4),

@@ -50,13 +50,15 @@ def rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("doc_id", action.alias("action"))
 
 
-@query("""SELECT source, count(*) AS files, sha256(string_agg(doc_id || ' ' || n_chars || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS root FROM documents GROUP BY 1""")
+@query("""WITH c AS (SELECT source, doc_id // 1024 AS chunk, count(*) AS n, sha256(string_agg(doc_id || ' ' || n_chars || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2)
+ SELECT source, sum(n)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY chunk)) AS root FROM c GROUP BY 1""")
 def manifest_root_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash of each source's entries that doesn't depend on their order. Only ids and hashes come together, never texts."""
-    entry = F.struct("doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("line"))
-    docs = load(spark, sf_dir, "documents").select("source", entry.alias("e"))
-    lines = F.transform(F.array_sort(F.collect_list("e")), lambda e: e["line"])
-    return docs.groupBy("source").agg(F.count("*").alias("files"), F.sha2(F.array_join(lines, "\n"), 256).alias("root"))
+    """One hash of each source's entries that doesn't depend on their order: a hash over those of chunks of 1024 ids."""
+    line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
+    docs = load(spark, sf_dir, "documents").select("source", F.expr("doc_id div 1024").alias("chunk"), F.struct("doc_id", line.alias("x")).alias("e"))
+    hashed = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda e: e["x"]), "\n"), 256)
+    chunks = docs.groupBy("source", "chunk").agg(F.count("*").alias("n"), hashed("e").alias("x"))
+    return chunks.select("source", "n", F.struct("chunk", "x").alias("e")).groupBy("source").agg(F.sum("n").alias("files"), hashed("e").alias("root"))
 
 
 @query("SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(CASE WHEN doc_id % 3 <> 0 THEN strlen(text) ELSE 0 END)::BIGINT AS dirty_bytes FROM documents")
