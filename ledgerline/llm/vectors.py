@@ -20,7 +20,7 @@ from .common import Settled
 from .components import components
 
 COSINE = 0.98
-TABLES, PROBES, SCALE = 10, 2, 2.4
+TABLES, PROBES, SCALE = 10, 2, 3.2
 DIM = 8
 SEED = 20240229
 #: Vectors of a lattice point that one block takes, in expectation.
