@@ -28,6 +28,11 @@ def environmental(text: Column) -> Column:
     return any_of(low, ENVIRONMENT) | (any_of(low, ENVIRONMENT_WEAK) & any_of(low, ABSENCE))
 
 
+def environment_at_fault(file: Column, text: Column) -> Column:
+    """Whether a diagnostic's message and notes tell of the environment; a diagnostic of a Rust source never does."""
+    return ~file.endswith(".rs") & (environmental(text) | text.rlike(r"\.h(pp)?: No such file"))
+
+
 def rule(exit_code: Column, timed_out: Column, errors: Column, env_errors: Column, tests_failed: Column, oom: Column, tail: Column) -> Column:
     """The first rule that holds, of a run's facts and the text of its last 200 lines."""
     crash = F.contains(tail, F.lit("error: could not compile")) & (F.contains(tail, F.lit("(signal: 11, SIGSEGV")) | F.contains(tail, F.lit("(signal: 6, SIGABRT")))

@@ -31,6 +31,20 @@ TASKS = """tasks AS (SELECT event_id AS id, epoch_us(ts) AS at_us, epoch_us(ts)
 now AS (SELECT max(at_us) AS us, max(at_s) AS s FROM tasks)"""
 #: Log lines out of documents.
 LINES = """lines AS (SELECT doc_id AS log_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)"""
+#: Build output out of log lines; see sources.telemetry.build_logs.
+BUILD_LOGS = (
+    LINES
+    + """,
+worded AS (SELECT log_id, line_no, length(line) AS n, regexp_extract(line, '[A-Za-z]+') AS w FROM lines),
+logs AS (SELECT log_id, line_no, CASE n % 13
+ WHEN 0 THEN concat('   Compiling ', w, ' v0.', n % 7, '.0') WHEN 1 THEN concat('   Checking ', w, ' v1.', n % 7, '.0')
+ WHEN 2 THEN concat('src/', w, '.rs:', n, ':5: error: ', w, ' is unknown') WHEN 3 THEN concat(w, '.c:', n, ': warning: unused ', w)
+ WHEN 4 THEN concat('test result: FAILED. ', n % 17, ' passed; ', n % 3, ' failed; ', n % 2, ' ignored')
+ WHEN 5 THEN concat(chr(27), '[31m', w, chr(27), '[0m') WHEN 6 THEN concat('bash: ', lower(w), ': command not found')
+ WHEN 7 THEN concat('/usr/bin/ld: cannot find -l', lower(w)) WHEN 8 THEN concat('No package ''', lower(w), ''' found')
+ WHEN 9 THEN concat(chr(27), ']8;;http://', w, chr(7), w) WHEN 10 THEN 'failures:' WHEN 11 THEN concat('    ', w)
+ ELSE concat('     Running tests/', w, '.rs') END AS line FROM worded WHERE w <> '')"""
+)
 #: Diagnostics out of log lines: level, code and key by their lengths.
 DIAGS = (
     LINES

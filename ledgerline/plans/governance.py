@@ -78,10 +78,13 @@ def json_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packages.select("package", F.col("dep.name").alias("dependency"), F.coalesce(patched, F.col("dep.path")).alias("path")).filter("path is not null")
 
 
-@query()
+@query("""SELECT s_suppkey AS worker, CASE WHEN s_suppkey % 11 = 0 THEN 0.0 ELSE least((s_suppkey % 9 + s_suppkey % 100 / 100.0) / (1 + s_suppkey % 8), 1.0) END AS load, CASE WHEN s_suppkey % 11 = 0 THEN 0 ELSE s_suppkey * 7919 % 400000000 // 1048576 END AS free_gb FROM supplier""")
 def os_metric_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Load and free disk out of what the system prints."""
-    texts = spark.createDataFrame([("w1", "0.52 0.40 0.33 1/123 4567", "Filesystem 1024-blocks Used Available Capacity Mounted on\n/dev/sda1 100000 40000 60000 40% /", 4), ("w2", "9.0 8.0 7.0 1/1 1", "/dev/x y 1 2 3145728 4% /data", 2), ("w3", "", "", 1)], "worker string, loadavg string, df string, cores int")
+    """Load per core, from 0 to 1, and free disk out of what each worker's system prints; a worker that prints nothing has neither."""
+    k, silent = F.col("s_suppkey"), F.col("s_suppkey") % 11 == 0
+    loadavg = F.concat((k % 9).cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"), F.lit(" 0.40 0.33 1/123 4567"))
+    df = F.concat(F.lit("Filesystem 1024-blocks Used Available Capacity Mounted on\n/dev/sda1 400000000 40000 "), (k * 7919 % 400_000_000).cast("string"), F.lit(" 40% /"))
+    texts = load(spark, sf_dir, "supplier").select(k.alias("worker"), F.when(silent, "").otherwise(loadavg).alias("loadavg"), F.when(silent, "").otherwise(df).alias("df"), (1 + k % 8).alias("cores"))
     row = F.split(F.element_at(F.split("df", "\n"), -1), r"\s+")
     free = F.when(F.size(row) >= 6, F.try_element_at(row, F.lit(-3)).try_cast("long")) / (1 << 20)
     load1 = F.coalesce(F.get(F.split("loadavg", " "), F.lit(0)).try_cast("double"), F.lit(0.0)) / F.col("cores")

@@ -7,27 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.classify import environmental, missing_dependencies, rule
+from ..functions.classify import ABSENCE, ENVIRONMENT, ENVIRONMENT_WEAK, PACKAGES, PROGRAMS, environment_at_fault, missing_dependencies
 from ..functions.columns import plain_text
-from ..sources.telemetry import lines, load
-from .base import LINES, query
+from ..operators.logs import DIAGNOSTIC, LISTED, TAIL, classified, progress, scraped, tests_summed
+from ..sources.telemetry import build_logs, lines, load
+from .base import BUILD_LOGS, LINES, query
 
-#: Small logs to run the parsers on.
-LOGS = {
-    1: "Compiling foo v0.1.0\n   Checking bar v1.2.3\nFresh baz v1.0.0\nerror: could not compile `bar`\nsrc/main.rs:7:5: error: mismatched types\nlib.c:3: warning: unused variable",
-    2: "running 12 tests\ntest result: FAILED. 10 passed; 0 failed; 1 ignored; 0 measured\n     Running tests/it.rs (target/debug/deps/it-1234)\nfailures:\n    it::one\n    it::two\n\ntest result: FAILED. 3 passed; 2 failed; 0 ignored",
-    3: "Package libssh2 was not found in the pkg-config search path\n/usr/bin/ld: cannot find -lz\nopenssl/ssl.h: No such file or directory\nbash: cmake: command not found\n{\"message\": \"No package 'json' found\"}",
-    4: "The pkg-config command could not be found\nNo package 'dbus-1' found\nCould not find librrd",
-    5: "thread main panicked (signal: 9, SIGKILL: kill)",
-    6: "write: No space left on device",
-    7: "error: linker `cc` not found",
-    8: "Could not find librrd\nfailed to run custom build command for `rrd-sys v0.1`",
-}
 
+def _values(pairs: dict[str, str]) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in kv) + ")" for kv in pairs.items())
 
-def _logs(spark: SparkSession) -> DataFrame:
-    rows = [(k, n, line) for k, text in LOGS.items() for n, line in enumerate(text.split("\n"), 1)]
-    return spark.createDataFrame(rows, "log_id long, line_no int, line string")
+
+def _any(text: str, needles: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{n}')" for n in needles) + ")"
+
+
+def _environmental(low: str) -> str:
+    return f"({_any(low, ENVIRONMENT)} OR {_any(low, ENVIRONMENT_WEAK)} AND {_any(low, ABSENCE)})"
 
 
 @query("""SELECT doc_id AS log_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 13 <> 0 THEN 'success' WHEN doc_id % 13 = 0 THEN 'timeout' WHEN contains(lower(text), 'licensed under') THEN 'compile_error' WHEN doc_id % 5 = 0 THEN 'oom_killed'
@@ -39,14 +35,15 @@ def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select(n.alias("log_id"), out.alias("rule"))
 
 
-@query()
+@query(
+    f"""WITH {BUILD_LOGS}, t AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) AS back FROM logs),
+ f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY line_no) AS tail, count(*) FILTER (WHERE regexp_matches(line, '^\\S+:[0-9]+(:[0-9]+)?: error: ')) AS errors FROM t WHERE back <= {TAIL} GROUP BY 1),
+ g AS (SELECT *, {_environmental("lower(tail)")} AS environmental FROM f)
+ SELECT log_id, CASE WHEN errors > 0 THEN 'compile_error' WHEN regexp_matches(tail, '; [1-9][0-9]* failed') THEN 'test_failed' WHEN environmental THEN 'env_markers_raw' ELSE 'unknown' END AS rule, environmental FROM g"""
+)
 def classify_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule of each small log: facts are aggregated per log, the tail is its last 200 lines."""
-    logs = _logs(spark)
-    last = logs.withColumn("back", F.expr("row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC)")).filter("back <= 200")
-    facts = last.groupBy("log_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("tail"), F.count_if(F.col("line").rlike(r"^\S+:[0-9]+(:[0-9]+)?: error: ")).alias("errors"))
-    failed = F.coalesce(F.regexp_extract("tail", r"; ([1-9][0-9]*) failed", 1).try_cast("int"), F.lit(0))
-    return facts.select("log_id", rule(F.lit(101), F.lit(False), F.col("errors"), F.lit(0), failed, F.lit(False), F.col("tail")).alias("rule"), environmental(F.col("tail")).alias("environmental"))
+    """The rule that each log of a failed build meets first."""
+    return classified(build_logs(spark, sf_dir))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(html, '<[^<>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g') AS text FROM pages")
@@ -55,57 +52,63 @@ def markup_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace("html", "<[^<>]*>", " "), "[ \\t\\n\\r]+", " ").alias("text"))
 
 
-@query()
+@query(f"""WITH {BUILD_LOGS} SELECT log_id, line_no, regexp_replace(regexp_replace(line, chr(27) || '\\][^' || chr(7) || ']*' || chr(7), '', 'g'), chr(27) || '\\[[0-9;]*m', '', 'g') AS line FROM logs""")
 def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines without colours, links and cut-off escape sequences."""
-    rows = [(1, "\x1b[31merror\x1b[0m: x"), (2, "\x1b]8;;http://a\x1b\\link\x1b]8;;\x1b\\"), (3, "abc\x1b"), (4, "abc\x1b[31"), (5, "\x1b]0;title\x07plain")]
-    return spark.createDataFrame(rows, "id int, line string").select("id", plain_text(F.col("line")).alias("line"))
-
-
-@query()
+    return build_logs(spark, sf_dir).withColumn("line", plain_text(F.col("line")))
+
+
+@query(
+    f"""WITH {BUILD_LOGS}, programs(low, package) AS (VALUES {_values(PROGRAMS)}), packages(low, package) AS (VALUES {_values(PACKAGES)}),
+ h AS (SELECT log_id, line_no, CASE WHEN starts_with(line, 'bash: ') THEN regexp_extract(line, '^bash: (.*): command not found$', 1) WHEN starts_with(line, '/usr/bin/ld') THEN regexp_extract(line, '-l(.*)$', 1) ELSE regexp_extract(line, chr(39) || '(.*)' || chr(39), 1) END AS name,
+  CASE WHEN starts_with(line, 'bash: ') THEN 'program' WHEN starts_with(line, '/usr/bin/ld') THEN 'library' ELSE 'pkg-config' END AS kind FROM logs WHERE starts_with(line, 'bash: ') OR starts_with(line, '/usr/bin/ld') OR starts_with(line, 'No package ')),
+ t AS (SELECT log_id, name, kind = 'program' AS tool, arg_min(kind, line_no) AS kind, min(line_no) AS first FROM h WHERE length(name) <= 64 GROUP BY 1, 2, 3),
+ r AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY first, name) AS place FROM t)
+ SELECT log_id, name, kind, CASE WHEN tool THEN o.package WHEN a.package IS NOT NULL THEN a.package WHEN starts_with(name, 'lib') THEN name || '-dev' ELSE 'lib' || name || '-dev' END AS package,
+  CASE WHEN tool THEN o.package IS NOT NULL ELSE a.package IS NOT NULL END AS certain, place FROM r LEFT JOIN programs o ON o.low = name LEFT JOIN packages a ON a.low = name WHERE place <= 12"""
+)
 def missing_dep_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each small log says is missing, with the package that would bring it."""
-    return missing_dependencies(_logs(spark))
+    """What each log says is missing, with the package that would bring it."""
+    return missing_dependencies(build_logs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {BUILD_LOGS}, u AS (SELECT log_id, line_no, regexp_extract(line, '^\\s*(?:Compiling|Checking) (\\S+) v', 1) AS unit FROM logs) SELECT log_id, count(*) AS units, arg_max(unit, line_no) AS current FROM u WHERE unit <> '' GROUP BY 1""")
 def unit_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Units seen and the current one: lines that compile or check count, fresh ones don't."""
-    unit = F.regexp_extract("line", r"^\s*(?:Compiling|Checking) (\S+) v", 1)
-    return _logs(spark).withColumn("unit", unit).filter("unit <> ''").groupBy("log_id").agg(F.count("*").alias("units"), F.max_by("unit", "line_no").alias("current"))
+    """Units that each log has seen, and the current one."""
+    return progress(build_logs(spark, sf_dir))
+
+
+@query(
+    f"""WITH {BUILD_LOGS}, m AS (SELECT *, CASE WHEN line = 'failures:' THEN 1 WHEN NOT regexp_matches(line, '^    \\S') THEN 0 END AS mark, nullif(regexp_extract(line, '^\\s*Running (\\S+)', 1), '') AS b FROM logs),
+ k AS (SELECT *, last_value(mark IGNORE NULLS) OVER w AS inside, last_value(b IGNORE NULLS) OVER w AS bin FROM m WINDOW w AS (PARTITION BY log_id ORDER BY line_no)),
+ n AS (SELECT log_id, concat_ws('::', regexp_extract(bin, '([^/]+?)(?:\\.rs)?$', 1), trim(line)) AS name, row_number() OVER (PARTITION BY log_id ORDER BY line_no) AS n FROM k WHERE mark IS NULL AND inside = 1),
+ l AS (SELECT log_id, string_agg(name, ',' ORDER BY n) FILTER (WHERE n <= {LISTED}) AS names, max(n) > {LISTED} AS truncated FROM n GROUP BY 1),
+ s AS (SELECT log_id, sum(CAST(regexp_extract(line, '([0-9]+) passed', 1) AS BIGINT))::BIGINT AS passed, sum(CAST(regexp_extract(line, '([0-9]+) failed', 1) AS BIGINT))::BIGINT AS failed,
+  sum(CAST(regexp_extract(line, '([0-9]+) ignored', 1) AS BIGINT))::BIGINT AS ignored, count(*) AS binaries FROM logs WHERE starts_with(line, 'test result:') GROUP BY 1)
+ SELECT s.*, coalesce(names, '') AS names, coalesce(truncated, false) AS truncated FROM s LEFT JOIN l ON s.log_id = l.log_id"""
+)
+def test_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passed, failed and ignored tests of each log, and the names of failures with their binaries, twenty at most."""
+    return tests_summed(build_logs(spark, sf_dir))
 
 
-@query()
-def test_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passed, failed and ignored tests over all binaries, and the names of failures with their binaries, twenty at most."""
-    logs = _logs(spark)
-    number = lambda what: F.coalesce(F.regexp_extract("line", rf"([0-9]+) {what}", 1).try_cast("long"), F.lit(0))
-    sums = logs.filter(F.col("line").startswith("test result:")).groupBy("log_id").agg(F.sum(number("passed")).alias("passed"), F.sum(number("failed")).alias("failed"), F.sum(number("ignored")).alias("ignored"), F.count("*").alias("binaries"))
-    upto = "OVER (PARTITION BY log_id ORDER BY line_no)"
-    binary = F.nullif(F.regexp_extract("line", r"^\s*Running (\S+)", 1), F.lit(""))
-    marked = logs.withColumn("_b", binary).withColumn("binary", F.expr(f"last(_b, true) {upto}"))
-    # a block of names begins after `failures:` and ends at a line that isn't indented
-    marked = marked.withColumn("_m", F.when(F.col("line") == "failures:", 1).when(~F.col("line").rlike(r"^    \S"), 0)).withColumn("inside", F.expr(f"last(_m, true) {upto}"))
-    names = marked.filter("_m IS NULL AND inside = 1").select("log_id", "line_no", F.concat_ws("::", F.regexp_extract("binary", r"([^/]+?)(?:\.rs)?$", 1), F.trim("line")).alias("name"))
-    listed = names.withColumn("n", F.expr(f"row_number() {upto}")).groupBy("log_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("n") <= 20, F.struct("n", "name")))), lambda x: x["name"]), ",").alias("names"), (F.max("n") > 20).alias("truncated"))
-    return sums.join(listed, "log_id", "left").na.fill({"names": "", "truncated": False})
+_PART = "regexp_extract(line, '" + DIAGNOSTIC + "', {})"
 
 
-@query()
+@query(
+    f"""WITH {BUILD_LOGS} SELECT log_id, line_no, {_PART.format(1)} AS file, CAST({_PART.format(2)} AS INTEGER) AS line, coalesce(TRY_CAST({_PART.format(3)} AS INTEGER), 0) AS "column", {_PART.format(4)} AS level, {_PART.format(5)} AS message
+ FROM logs WHERE regexp_matches(line, '{DIAGNOSTIC}')"""
+)
 def generic_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnostics of the form file:line[:column]: level: message."""
-    pattern = r"^([^\s:]+):([0-9]+)(?::([0-9]+))?: (error|warning): (.*)$"
-    part = lambda k: F.regexp_extract("line", pattern, k)
-    return _logs(spark).filter(F.col("line").rlike(pattern)).select("log_id", part(1).alias("file"), part(2).cast("int").alias("line"), F.coalesce(part(3).try_cast("int"), F.lit(0)).alias("column"), part(4).alias("level"), part(5).alias("message"))
+    return scraped(build_logs(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {BUILD_LOGS} SELECT log_id, line_no, NOT ends_with(regexp_extract(line, '^([^\\s:]+):[0-9]+', 1), '.rs') AND {_environmental("lower(line)")} AS environmental FROM logs""")
 def env_diag_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a diagnostic is the environment's fault: never for Rust sources, else by its message and notes."""
-    rows = [(1, "src/a.rs", "cannot find -lz", ""), (2, "build.c", "openssl/ssl.h: No such file or directory", ""), (3, "", "could not run", "= note: linker `cc` not found"), (4, "x.c", "unused", "")]
-    text = F.concat_ws("\n", "message", "notes")
-    header = F.col("message").rlike(r"\.h(pp)?: No such file")
-    return spark.createDataFrame(rows, "id int, file string, message string, notes string").select("id", (~F.col("file").endswith(".rs") & (environmental(text) | header)).alias("environmental"))
+    """Whether a line is the environment's fault: never for Rust sources, else by its wording."""
+    file = F.regexp_extract("line", r"^([^\s:]+):[0-9]+", 1)
+    return build_logs(spark, sf_dir).select("log_id", "line_no", environment_at_fault(file, F.col("line")).alias("environmental"))
 
 
 @query()

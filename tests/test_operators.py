@@ -7,11 +7,13 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline.functions.classify import environment_at_fault, missing_dependencies
 from ledgerline.functions.columns import bucket, length_prefixed, nearest_rank, normalized_span, plain_text
 from ledgerline.functions.globs import to_regex
 from ledgerline.operators.closure import closure
 from ledgerline.operators.drain import drain
 from ledgerline.operators.folds import edges, health_fold
+from ledgerline.operators.logs import classified, progress, scraped, tests_summed
 from ledgerline.operators.matching import bag_delta, longest_prefix
 from ledgerline.operators.paging import budget_prefix, page, where_given
 from ledgerline.operators.rollup import fold
@@ -20,6 +22,23 @@ from ledgerline.plans.registry import QUERIES
 from ledgerline.sources.stores import insert_absent, shared_path
 
 
+#: Small logs to run the parsers on.
+LOGS = {
+    1: "Compiling foo v0.1.0\n   Checking bar v1.2.3\nFresh baz v1.0.0\nerror: could not compile `bar`\nsrc/main.rs:7:5: error: mismatched types\nlib.c:3: warning: unused variable",
+    2: "running 12 tests\ntest result: FAILED. 10 passed; 0 failed; 1 ignored; 0 measured\n     Running tests/it.rs (target/debug/deps/it-1234)\nfailures:\n    it::one\n    it::two\n\ntest result: FAILED. 3 passed; 2 failed; 0 ignored",
+    3: "Package libssh2 was not found in the pkg-config search path\n/usr/bin/ld: cannot find -lz\nopenssl/ssl.h: No such file or directory\nbash: cmake: command not found\n{\"message\": \"No package 'json' found\"}",
+    4: "The pkg-config command could not be found\nNo package 'dbus-1' found\nCould not find librrd",
+    5: "thread main panicked (signal: 9, SIGKILL: kill)",
+    6: "write: No space left on device",
+    7: "error: linker `cc` not found",
+    8: "Could not find librrd\nfailed to run custom build command for `rrd-sys v0.1`",
+}
+
+
+def small_logs(spark):
+    return spark.createDataFrame([(k, n, line) for k, text in LOGS.items() for n, line in enumerate(text.split("\n"), 1)], "log_id long, line_no int, line string")
+
+
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(values.values())], list(values)) if values else spark.range(1)
     return row.select(column).first()[0]
@@ -119,7 +138,7 @@ def test_globs(spark, rule, path, want):
 
 
 def test_missing_dependencies(spark):
-    rows = {(r["log_id"], r["name"]): r for r in QUERIES["missing_dep_scan"](spark, "").collect()}
+    rows = {(r["log_id"], r["name"]): r for r in missing_dependencies(small_logs(spark)).collect()}
     assert rows[3, "libssh2"]["package"] == "libssh2-1-dev" and rows[3, "libssh2"]["certain"]
     assert rows[3, "z"]["package"] == "zlib1g-dev" and rows[3, "openssl/ssl.h"]["package"] == "libssl-dev" and rows[3, "cmake"]["kind"] == "program"
     assert (3, "json") not in rows
@@ -128,17 +147,27 @@ def test_missing_dependencies(spark):
 
 
 def test_classifier(spark):
-    rules = {r["log_id"]: r["rule"] for r in QUERIES["classify_logs"](spark, "").collect()}
+    rules = {r["log_id"]: r["rule"] for r in classified(small_logs(spark)).collect()}
     assert {k: rules[k] for k in (1, 2, 5, 6, 7)} == {1: "compile_error", 2: "test_failed", 5: "sigkill_suspected_oom", 6: "disk_full", 7: "env_markers_raw"}
 
 
 def test_test_summary_and_progress(spark):
-    s = QUERIES["test_summary"](spark, "").first()
+    s = tests_summed(small_logs(spark)).first()
     assert (s["passed"], s["failed"], s["ignored"], s["binaries"], s["names"]) == (13, 2, 1, 2, "it::it::one,it::it::two")
-    u = QUERIES["unit_progress"](spark, "").first()
+    u = progress(small_logs(spark)).first()
     assert (u["units"], u["current"]) == (2, "bar")
 
 
+def test_diagnostics_are_scraped(spark):
+    got = [tuple(r) for r in scraped(small_logs(spark)).orderBy("line_no").collect()]
+    assert got == [(1, 5, "src/main.rs", 7, 5, "error", "mismatched types"), (1, 6, "lib.c", 3, 0, "warning", "unused variable")]
+
+
+@pytest.mark.parametrize(("file", "text", "want"), [("src/a.rs", "cannot find -lz", False), ("build.c", "openssl/ssl.h: No such file or directory", True), ("", "could not run\n= note: linker `cc` not found", True), ("x.c", "unused", False)])
+def test_whose_fault(spark, file, text, want):
+    assert one(spark, environment_at_fault(F.lit(file), F.lit(text))) is want
+
+
 def test_byte_budgets(spark):
     df = spark.createDataFrame([("é" * 10,), (None,), ("x" * 1000,)], "t string")
     got = [r[0] for r in df.select(cut_bytes("t", F.lit(5))).collect()]
