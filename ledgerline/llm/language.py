@@ -1,10 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 For each language, the suffix automaton of labelled text recognises every substring of that text. A document is parsed greedily
-into the longest phrases that a language's text holds; the more phrases it takes, the less the two are alike. With c phrases over
-a reference of N characters, c * log2(N) is the cost in bits; the language of least cost wins.
+into the longest phrases that a language's text holds; the more phrases it takes, the less the two are alike. A phrase costs log2(N)
+bits, where N is the length of the longest reference, in every language; a character that a reference lacks is a phrase and costs
+log2 of the alphabet besides. So a short or empty reference is never cheaper than a full one. The language of least cost wins.
 
-The automata are compiled into one table of transitions, and many texts step through it side by side.
+The automata are compiled into tables of transitions, and many texts step through them side by side.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ RUN = 2048
 BATCH_CHARS = 4_000_000
 UNKNOWN = "und"
 
-_BREAK = np.int32(1 << 30)
+#: What an entry of a table holds above the state: one for a phrase that begins, and _LITERAL for a character that the reference lacks.
+#: A state takes _STATE bits (an automaton has at most two for each character of its reference), and a run's sum of these stays in 32 bits.
+_STATE, _LITERAL = 17, 1 << 12
 _ALPHA: list[np.ndarray] = []
 
 
@@ -71,12 +74,15 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 @dataclass
 class Languages:
-    """names in order; table[s * width + code] is the state that follows s, plus _BREAK where a new phrase begins."""
+    """names in order, and a table of each: table[s * width + code] is the state that follows s, with what it counts from bit _STATE on.
+
+    A run starts in a table's last state. A phrase costs `bits`, a literal `literal_bits` besides.
+    """
 
     names: list[str]
-    table: np.ndarray
-    starts: np.ndarray
-    bits: np.ndarray
+    tables: list[np.ndarray]
+    bits: float
+    literal_bits: float
     code_of: np.ndarray
     width: int
 
@@ -91,15 +97,19 @@ class Languages:
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases that each text takes in each language."""
+        return self.counts(texts)[0]
+
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that each text takes in each language, and how many of them are characters that the reference lacks."""
         coded = [self.codes(t) for t in texts]
         owner, parts = [], []
         for i, c in enumerate(coded):
             for at in range(0, len(c), RUN):
                 owner.append(i)
                 parts.append(c[at : at + RUN])
-        out = np.zeros((len(texts), len(self.names)), dtype=np.int64)
+        phrases, literals = np.zeros((2, len(texts), len(self.names)), dtype=np.int64)
         if not parts:
-            return out
+            return phrases, literals
         size = np.array([len(p) for p in parts])
         order = np.argsort(-size, kind="stable")
         size, owner_of = size[order], np.array(owner)[order]
@@ -107,16 +117,16 @@ class Languages:
         for k, i in enumerate(order):
             grid[: len(parts[i]), k] = parts[i]
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
-        for lang, start in enumerate(self.starts):
-            state = np.full(len(parts), start, dtype=np.int32)
+        for lang, table in enumerate(self.tables):
+            state = np.full(len(parts), len(table) // self.width - 1, dtype=np.int32)
             count = np.zeros(len(parts), dtype=np.int32)
             for step, n in enumerate(active):
-                to = self.table[state[:n] * np.int32(self.width) + grid[step, :n]]
-                new = to >= _BREAK
-                count[:n] += new
-                state[:n] = to & (_BREAK - 1)
-            out[:, lang] = np.bincount(owner_of, count, len(texts)).astype(np.int64)
-        return out
+                to = table[state[:n] * np.int32(self.width) + grid[step, :n]]
+                count[:n] += to >> _STATE
+                state[:n] = to & ((1 << _STATE) - 1)
+            phrases[:, lang] = np.bincount(owner_of, count % _LITERAL, len(texts)).astype(np.int64)
+            literals[:, lang] = np.bincount(owner_of, count // _LITERAL, len(texts)).astype(np.int64)
+        return phrases, literals
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """A language and a score (0 to 1, how much cheaper it is than the next) for each text."""
@@ -130,7 +140,8 @@ class Languages:
                 some.append(at[upto])
                 chars += len(texts[at[upto]])
                 upto += 1
-            cost = self.phrases([texts[i] for i in some]) * self.bits
+            phrases, literals = self.counts([texts[i] for i in some])
+            cost = phrases * self.bits + literals * self.literal_bits
             best = cost.argmin(1)
             ranked = np.sort(cost, 1)
             second = ranked[:, 1] if cost.shape[1] > 1 else np.full(len(some), np.inf)
@@ -155,23 +166,21 @@ def build(samples: dict[str, list[str]]) -> Languages:
     for k, c in enumerate(sorted(known)):
         code_of[ord(c)] = k + 2
     width = len(known) + 2
-    tables, starts, bits, base = [], [], [], 0
+    tables = []
     for n in names:
         nxt = suffix_automaton([int(code_of[ord(c)]) for c in spaced[n]])
         # one more state, in which a run starts and to which characters lead that the reference lacks: whatever follows begins a phrase
         void = len(nxt)
         grid = np.zeros((void + 1, width), dtype=np.int32)
-        first = np.array([nxt[0].get(c, void) if c else void for c in range(width)], dtype=np.int32)
-        grid[:] = (first + base) | _BREAK  # where no transition leads on, the next phrase begins with this very character
+        first = [nxt[0][c] | 1 << _STATE if c and c in nxt[0] else void | (1 + _LITERAL) << _STATE for c in range(width)]
+        grid[:] = np.array(first, dtype=np.int32)  # where no transition leads on, the next phrase begins with this very character
         for s, to in enumerate(nxt):
             for c, t in to.items():
                 if c:  # letters outside LETTERS never match
-                    grid[s, c] = t + base
+                    grid[s, c] = t
         tables.append(grid.ravel())
-        starts.append(base + void)
-        bits.append(np.log2(max(len(spaced[n]), 2)))
-        base += void + 1
-    return Languages(names, np.concatenate(tables) if tables else np.zeros(0, dtype=np.int32), np.array(starts, dtype=np.int32), np.array(bits), code_of, width)
+    longest = max(map(len, spaced.values()), default=0)
+    return Languages(names, tables, float(np.log2(max(longest, 2))), float(np.log2(len(often) + 2)), code_of, width)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
@@ -179,7 +188,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     Every language gives about DOCS_PER_LANGUAGE documents, those whose hashed id falls under a share of its own count, so
     the sample doesn't depend on order or partitioning. Fewer documents give a shorter reference. A language that occurs but
-    has no word in its sample still takes part, with an empty reference.
+    has no word in its sample still takes part, with an empty reference, which no text with a letter of another one falls to.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col(id_col), 4, 2)

@@ -432,6 +432,18 @@ def test_language_on_held_out_rows(spark):
     assert language.language(df.withColumn("lang", F.lit(None).cast("string"))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_wordless_languages_win_nothing(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(-k, text, lang) for k in range(1, 30) for text, lang in (("123", "aa"), ("", "xx"))]
+    more = df.select("doc_id", "text", "lang").union(table(spark, rows, "doc_id long, text string, lang string"))
+    langs = language.fit(more)
+    assert langs.names == ["aa", "de", "en", "es", "fr", "xx"]
+    texts = [r["text"] for r in df.filter("text is not null").orderBy("doc_id").collect()]
+    assert langs.predict(texts)[0] == language.fit(df).predict(texts)[0]
+    # a single letter is a phrase in every language, but only in the one without words is it a literal
+    assert language.build({"aa": [], "en": ["the cat"]}).predict(["c", "cat", "1", "я"])[0] == ["en", "en", "und", "aa"]
+
+
 # pipeline
 
 
