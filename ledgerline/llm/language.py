@@ -11,6 +11,7 @@ The automata are compiled into tables of transitions, and many texts step throug
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ from .common import held_out, map_texts, seed_of
 
 #: Bounds of the fit: labelled documents drawn per language (in expectation), and characters of a language's reference.
 DOCS_PER_LANGUAGE, REFERENCE_CHARS = 200, 20_000
-#: Letters that the automata know, the most frequent ones; others end a phrase wherever they stand.
+#: Letters of a language whose transitions stand in a dense table, its most frequent ones; those of its other letters stand in a sorted list.
 LETTERS = 62
 #: Texts are parsed in runs of this many characters, so that long texts step side by side too; each run begins a phrase.
 RUN = 2048
@@ -73,21 +74,48 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 @dataclass
-class Languages:
-    """names in order, and a table of each: table[s * width + code] is the state that follows s, with what it counts from bit _STATE on.
+class Table:
+    """The automaton of one language.
 
-    A run starts in a table's last state. A phrase costs `bits`, a literal `literal_bits` besides.
+    of gives the language's own code of each code of a text: 0 for what its reference lacks, below width for the dense letters.
+    dense[s * width + code] is the state that follows s, with what it counts from bit _STATE on; a run starts in the last state.
+    Of rarer letters, keys holds s * len(of) + code in order, and to the states that follow; where there is none, the next phrase
+    begins in fresh[code].
     """
 
+    of: np.ndarray
+    width: int
+    dense: np.ndarray
+    keys: np.ndarray
+    to: np.ndarray
+    fresh: np.ndarray
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        code = self.of[code]
+        if not len(self.keys):
+            return self.dense[state * np.int32(self.width) + code]
+        rare = np.flatnonzero(code >= self.width)
+        letter = code[rare]
+        code[rare] = 0
+        out = self.dense[state * np.int32(self.width) + code]
+        key = state[rare].astype(np.int64) * len(self.of) + letter
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        out[rare] = np.where(self.keys[at] == key, self.to[at], self.fresh[letter])
+        return out
+
+
+@dataclass
+class Languages:
+    """names in order, and a table of each. A phrase costs `bits`, a literal `literal_bits` besides; code_of numbers all letters of any reference."""
+
     names: list[str]
-    tables: list[np.ndarray]
+    tables: list[Table]
     bits: float
     literal_bits: float
     code_of: np.ndarray
-    width: int
 
     def codes(self, text: str) -> np.ndarray:
-        """A text's letters in lower case, other runs as one space (code 1), unknown letters as 0."""
+        """A text's letters in lower case, other runs as one space (code 1), letters that no reference holds as 0."""
         chars = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
         code = self.code_of[chars]
         space = code == 1
@@ -118,10 +146,10 @@ class Languages:
             grid[: len(parts[i]), k] = parts[i]
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
         for lang, table in enumerate(self.tables):
-            state = np.full(len(parts), len(table) // self.width - 1, dtype=np.int32)
+            state = np.full(len(parts), len(table.dense) // table.width - 1, dtype=np.int32)
             count = np.zeros(len(parts), dtype=np.int32)
             for step, n in enumerate(active):
-                to = table[state[:n] * np.int32(self.width) + grid[step, :n]]
+                to = table.step(state[:n], grid[step, :n])
                 count[:n] += to >> _STATE
                 state[:n] = to & ((1 << _STATE) - 1)
             phrases[:, lang] = np.bincount(owner_of, count % _LITERAL, len(texts)).astype(np.int64)
@@ -156,31 +184,39 @@ def build(samples: dict[str, list[str]]) -> Languages:
     names = sorted(samples)
     letter = is_letter()
     spaced = {n: " ".join("".join(c if letter[ord(c)] else " " for c in " ".join(samples[n])[: 2 * REFERENCE_CHARS].lower()).split())[:REFERENCE_CHARS] for n in names}
-    often: dict[str, int] = {}
-    for t in spaced.values():
-        for c in set(t) - {" "}:
-            often[c] = often.get(c, 0) + t.count(c)
-    known = sorted(often, key=lambda c: (-often[c], c))[:LETTERS]
+    known = sorted(set("".join(spaced.values())) - {" "})
     code_of = np.ones(0x110000, dtype=np.int32)
     code_of[letter] = 0
-    for k, c in enumerate(sorted(known)):
+    for k, c in enumerate(known):
         code_of[ord(c)] = k + 2
-    width = len(known) + 2
-    tables = []
-    for n in names:
-        nxt = suffix_automaton([int(code_of[ord(c)]) for c in spaced[n]])
-        # one more state, in which a run starts and to which characters lead that the reference lacks: whatever follows begins a phrase
-        void = len(nxt)
-        grid = np.zeros((void + 1, width), dtype=np.int32)
-        first = [nxt[0][c] | 1 << _STATE if c and c in nxt[0] else void | (1 + _LITERAL) << _STATE for c in range(width)]
-        grid[:] = np.array(first, dtype=np.int32)  # where no transition leads on, the next phrase begins with this very character
-        for s, to in enumerate(nxt):
-            for c, t in to.items():
-                if c:  # letters outside LETTERS never match
-                    grid[s, c] = t
-        tables.append(grid.ravel())
     longest = max(map(len, spaced.values()), default=0)
-    return Languages(names, tables, float(np.log2(max(longest, 2))), float(np.log2(len(often) + 2)), code_of, width)
+    tables = [compiled([int(code_of[ord(c)]) for c in spaced[n]], len(known) + 2) for n in names]
+    return Languages(names, tables, float(np.log2(max(longest, 2))), float(np.log2(len(known) + 2)), code_of)
+
+
+def compiled(codes: list[int], n_codes: int) -> Table:
+    """The table of a reference, with all of its letters, from its codes below n_codes."""
+    often = Counter(c for c in codes if c != 1)
+    own = {1: 1} | {c: k for k, c in enumerate(sorted(often, key=lambda c: (-often[c], c)), 2)}
+    of = np.array([own.get(c, 0) for c in range(n_codes)], dtype=np.int32)
+    nxt = suffix_automaton([own[c] for c in codes])
+    width = min(len(often), LETTERS) + 2
+    # one more state, in which a run starts and to which characters lead that the reference lacks: whatever follows begins a phrase
+    void = len(nxt)
+    fresh = np.full(len(often) + 2, void | (1 + _LITERAL) << _STATE, dtype=np.int32)
+    for c, t in nxt[0].items():
+        fresh[c] = t | 1 << _STATE
+    dense = np.empty((void + 1, width), dtype=np.int32)
+    dense[:] = fresh[:width]  # where no transition leads on, the next phrase begins with this very character
+    rare = {}
+    for s, to in enumerate(nxt):
+        for c, t in to.items():
+            if c < width:
+                dense[s, c] = t
+            else:
+                rare[s * n_codes + c] = t
+    keys = np.array(sorted(rare), dtype=np.int64)
+    return Table(of, width, dense.ravel(), keys, np.array([rare[int(k)] for k in keys], dtype=np.int32), fresh)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:

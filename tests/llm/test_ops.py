@@ -444,6 +444,23 @@ def test_wordless_languages_win_nothing(spark):
     assert language.build({"aa": [], "en": ["the cat"]}).predict(["c", "cat", "1", "я"])[0] == ["en", "en", "und", "aa"]
 
 
+def test_all_letters_of_all_scripts_are_known():
+    rng = random.Random(1)
+    ref = {}
+    for name, first, n in (("el", 0x3B1, 17), ("la", 0x61, 26), ("ru", 0x430, 32), ("zh", 0x4E00, 900)):
+        words = ["".join(chr(first + rng.randrange(n)) for _ in range(rng.randrange(1, 6))) for _ in range(400)]
+        ref[name] = " ".join(words[: 40 if name in ("el", "zh") else 400])
+    langs = language.build({k: [v] for k, v in ref.items()})
+    for own, said in ref.items():
+        words = said.split()
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 30))) for _ in range(10)] + [said[7:90], rng.choice(said.replace(" ", ""))]
+        assert langs.predict(texts)[0] == [own] * len(texts)
+        mixed = [t + rng.choice(texts) + rng.choice(list(ref.values()))[:40] for t in texts]
+        phrases, literals = langs.counts(mixed)
+        assert phrases.tolist() == [[longest_phrases(t, ref[k]) for k in langs.names] for t in mixed]
+        assert literals.tolist() == [[sum(c not in ref[k] for c in t) for k in langs.names] for t in mixed]
+
+
 # pipeline
 
 
