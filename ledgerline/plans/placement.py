@@ -32,11 +32,16 @@ def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks to place: project, architecture, disk estimate in GB, image and a worker already tried."""
     places = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("arch"))
-    return load(spark, sf_dir, "customer").filter("c_custkey % 5 = 0").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return load(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_custkey").alias("task"), F.col("c_nationkey").alias("project"), "arch", (10 + F.col("c_custkey") % 5 * 10).alias("est"), (F.col("c_custkey") % 6).alias("image"), (F.col("c_custkey") % 100).alias("tried"),
     )
 
 
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifth of the tasks that the SQL of placement_scores, placement_pick and placement_explain asks for."""
+    return demand(spark, sf_dir).filter("task % 5 = 0")
+
+
 def scored(demand: DataFrame, fleet: DataFrame) -> DataFrame:
     """task, worker, reason (the first hard filter that rejects, or empty) and score; architectures meet by equality."""
     both = demand.join(fleet, "arch")
@@ -53,20 +58,20 @@ def scored(demand: DataFrame, fleet: DataFrame) -> DataFrame:
 @query(f"WITH {_SCORED} SELECT task, worker, round(score, 6) AS score FROM p WHERE reason = ''")
 def placement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every worker that may take a task."""
-    return scored(demand(spark, sf_dir), fleet(spark, sf_dir)).filter("reason = ''").select("task", "worker", F.round("score", 6).alias("score"))
+    return scored(sampled(spark, sf_dir), fleet(spark, sf_dir)).filter("reason = ''").select("task", "worker", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(score, 6) DESC, worker) AS rn FROM p WHERE reason = '') SELECT task, worker FROM r WHERE rn = 1")
 def placement_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best worker of each task; of equals, the one of the lowest id."""
-    ok = scored(demand(spark, sf_dir), fleet(spark, sf_dir)).filter("reason = ''")
+    ok = scored(sampled(spark, sf_dir), fleet(spark, sf_dir)).filter("reason = ''")
     return ok.groupBy("task").agg(F.max_by("worker", F.struct(F.round("score", 6), -F.col("worker"))).alias("worker"))
 
 
 @query(f"WITH {_SCORED} SELECT task, reason, count(*) AS workers FROM p WHERE reason <> '' GROUP BY 1, 2")
 def placement_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why workers of a task's architecture can't take it, by reason."""
-    return scored(demand(spark, sf_dir), fleet(spark, sf_dir)).filter("reason <> ''").groupBy("task", "reason").agg(F.count("*").alias("workers"))
+    return scored(sampled(spark, sf_dir), fleet(spark, sf_dir)).filter("reason <> ''").groupBy("task", "reason").agg(F.count("*").alias("workers"))
 
 
 @query()

@@ -18,6 +18,7 @@ from ledgerline.operators.matching import bag_delta, longest_prefix
 from ledgerline.operators.paging import budget_prefix, page, where_given
 from ledgerline.operators.rollup import fold
 from ledgerline.plans.logs import cut_bytes, elide
+from ledgerline.plans.placement import demand
 from ledgerline.plans.registry import QUERIES
 from ledgerline.sources.stores import insert_absent, shared_path
 
@@ -125,6 +126,14 @@ def test_drain_respects_slots(spark):
     assert sorted((r["task"], r["worker"]) for r in drain(tasks, workers).collect()) == [(0, 1), (1, 2), (2, 2)]
 
 
+def test_the_drain_is_asked_for_every_task(spark):
+    sf = "/root/testdata/sf0.001"
+    asked = demand(spark, sf)
+    assert asked.count() == spark.read.parquet(f"{sf}/customer.parquet").count()
+    assert {r["est"] for r in asked.select("est").distinct().collect()} == {10, 20, 30, 40, 50}
+    assert QUERIES["placement_drain"](spark, sf).filter("task % 5 <> 0").count() > 0
+
+
 def test_pages_and_filters(spark):
     df = spark.range(1000).withColumn("s", F.lit("a"))
     assert page(where_given(df, s="a", id=None), ["id"], 5000).count() == 500
