@@ -5,37 +5,53 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def drain(tasks: DataFrame, workers: DataFrame) -> DataFrame:
-    """task, arch and worker: tasks of an architecture, by id, each take the free worker of least load.
+    """task, arch and worker: tasks of an architecture, by id, each take the free worker of least load."""
+    options = workers.select("arch", F.lit(0).alias("kind"), "worker", "slots", (-F.col("load")).alias("score"))
+    return drain_scored(tasks.select("arch", F.lit(0).alias("kind"), "task", F.lit(None).cast("long").alias("tried")), options)
 
-    Slots make the result depend on order, but only within an architecture, so each is a group of its own. What comes
-    together is bounded by slots: of a queue, only as many tasks as its architecture has slots can be served, and only
-    those are gathered.
+
+def drain_scored(queue: DataFrame, options: DataFrame) -> DataFrame:
+    """task, arch and worker: tasks (arch, kind, task, tried) by id, each take their kind's best free worker other than the one they tried.
+
+    options (arch, kind, worker, slots, score) are the workers that a kind of task may take; of equal scores, the lower id is better.
+    Slots make the result depend on order, but only within an architecture, so each is a group of its own. Of tasks of a kind that
+    tried the same worker, no more can be served than their kind has slots, so only as many are gathered; a worker that isn't an
+    option counts as none tried.
     """
-    slots = workers.groupBy("arch").agg(F.sum("slots").alias("room"))
+    options = options.filter("slots > 0")
+    room = options.groupBy("arch", "kind").agg(F.sum("slots").alias("room"))
+    mine = options.select("arch", "kind", F.col("worker").alias("tried"), F.lit(True).alias("_open"))
+    asked = queue.join(room, ["arch", "kind"]).join(mine, ["arch", "kind", "tried"], "left").withColumn("tried", F.when(F.col("_open"), F.col("tried")))
     # how many tasks come before each: counted in two steps, so that no queue is sorted in one place
-    part = tasks.withColumn("chunk", F.expr("task div 1000"))
-    sizes = part.groupBy("arch", "chunk").agg(F.count("*").alias("n"))
-    before = sizes.select("arch", "chunk", F.expr("coalesce(sum(n) OVER (PARTITION BY arch ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before"))
-    ranked = part.join(before, ["arch", "chunk"]).withColumn("place", F.col("before") + F.expr("row_number() OVER (PARTITION BY arch, chunk ORDER BY task)"))
-    served = ranked.join(slots, "arch").filter("place <= room").select("arch", "task")
-
-    def assign(queue: pd.DataFrame, fleet: pd.DataFrame) -> pd.DataFrame:
-        fleet = fleet.sort_values("worker")
-        free = {w: s for w, s in zip(fleet["worker"], fleet["slots"], strict=True) if s > 0}
-        load = dict(zip(fleet["worker"], fleet["load"], strict=True))
+    group = ["arch", "kind", "tried"]
+    part = asked.withColumn("tried", F.coalesce("tried", F.lit(-1))).withColumn("chunk", F.expr("task div 1000"))
+    sizes = part.groupBy(*group, "chunk").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*group).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*group, "chunk", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy(*group, "chunk").orderBy("task"))
+    served = part.join(before, [*group, "chunk"]).withColumn("place", place).filter("place <= room").select("arch", "kind", "task", "tried")
+
+    def assign(queue: pd.DataFrame, options: pd.DataFrame) -> pd.DataFrame:
+        options = options.sort_values(["kind", "score", "worker"], ascending=[True, False, True])
+        free = dict(zip(options["worker"], options["slots"], strict=True))
+        ranked = {k: g.tolist() for k, g in options.groupby("kind")["worker"]}
+        first = dict.fromkeys(ranked, 0)
+        queue = queue.sort_values("task")
         out = []
-        for task in sorted(queue["task"]):
-            if not free:
-                break
-            worker = min(free, key=lambda w: (load[w], w))
-            free[worker] -= 1
-            load[worker] += 0.1
-            if not free[worker]:
-                del free[worker]
-            out.append((task, queue["arch"].iloc[0], worker))
+        for task, kind, tried in zip(queue["task"], queue["kind"], queue["tried"], strict=True):
+            workers, at = ranked[kind], first[kind]
+            while at < len(workers) and not free[workers[at]]:
+                at += 1
+            first[kind] = at  # those before it stay full
+            while at < len(workers) and (workers[at] == tried or not free[workers[at]]):
+                at += 1
+            if at < len(workers):
+                free[workers[at]] -= 1
+                out.append((task, queue["arch"].iloc[0], workers[at]))
         return pd.DataFrame(out, columns=["task", "arch", "worker"])
 
-    return served.groupBy("arch").cogroup(workers.select("arch", "worker", "slots", "load").groupBy("arch")).applyInPandas(assign, "task long, arch string, worker long")
+    return served.groupBy("arch").cogroup(options.groupBy("arch")).applyInPandas(assign, "task long, arch string, worker long")

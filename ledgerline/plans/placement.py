@@ -1,4 +1,4 @@
-"""Placement of tasks on workers: hard filters in order, scores, the best worker, reasons, first fit and a greedy drain."""
+"""Placement of tasks on workers: hard filters in order (all but worktree and capabilities), scores, the best worker, reasons, first fit and a greedy drain."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.drain import drain
+from ..operators.drain import drain_scored
 from ..sources.telemetry import load, tasks
 from .base import TASKS, query
 
@@ -76,8 +76,16 @@ def placement_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def placement_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue of each architecture served first come, first served, while free slots last."""
-    return drain(demand(spark, sf_dir), fleet(spark, sf_dir).filter("online"))
+    """The queue of each architecture served first come, first served: each task takes the best worker of those that may take it, while slots last."""
+    return drained(demand(spark, sf_dir), fleet(spark, sf_dir))
+
+
+def drained(queue: DataFrame, fleet: DataFrame) -> DataFrame:
+    """Tasks of one project, estimate and image are of a kind, which is scored once against the fleet; what a task tried is set aside later."""
+    kind = F.concat_ws("|", "project", "est", "image")
+    kinds = queue.select(F.struct("arch", kind.alias("kind")).alias("task"), "arch", "project", "est", "image", F.lit(None).cast("long").alias("tried")).distinct()
+    options = scored(kinds, fleet).filter("reason = ''").select("task.*", "worker", F.round("score", 6).alias("score"))
+    return drain_scored(queue.select("arch", kind.alias("kind"), "task", "tried"), options.join(fleet.select("worker", "slots"), "worker"))
 
 
 @query("""WITH o AS (SELECT s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 10 <> 9 AND s_suppkey % 4 > 0),

@@ -18,7 +18,7 @@ from ledgerline.operators.matching import bag_delta, longest_prefix
 from ledgerline.operators.paging import budget_prefix, page, where_given
 from ledgerline.operators.rollup import fold
 from ledgerline.plans.logs import cut_bytes, elide
-from ledgerline.plans.placement import demand
+from ledgerline.plans.placement import demand, drained
 from ledgerline.plans.registry import QUERIES
 from ledgerline.sources.stores import insert_absent, shared_path
 
@@ -134,6 +134,25 @@ def test_the_drain_is_asked_for_every_task(spark):
     assert QUERIES["placement_drain"](spark, sf).filter("task % 5 <> 0").count() > 0
 
 
+def test_drain_equals_one_task_at_a_time(spark):
+    rng = random.Random(2)
+    fleet = [(w, rng.choice("xy"), rng.random() < 0.8, rng.random(), rng.choice([0, 20, 40, 60, 100]), rng.randrange(4), rng.randrange(6), rng.randrange(3)) for w in range(1, 25)]
+    queue = [(t, p := rng.randrange(6), "xy"[p % 2], rng.choice([10, 30]), rng.randrange(3), rng.randrange(1, 30)) for t in range(2500) if rng.random() < 0.1]
+    free, want = {w[0]: w[5] for w in fleet}, []
+    for task, project, arch, est, image, tried in queue:
+        able = []
+        for w, a, online, load, disk, _, nation, had in fleet:
+            if online and a == arch and w != tried and free[w] and disk >= max(20, -(-est * 3 // 2)):
+                near = 1.0 if nation == project else 0.6 if nation % 5 == project % 5 else 0.0
+                able.append((-round(min(disk / (3.0 * est), 1.0) + 1 - load + 2 * near + 0.8 * (had == image), 6), w))
+        if able:
+            free[min(able)[1]] -= 1
+            want.append((task, arch, min(able)[1]))
+    tasks = spark.createDataFrame(queue, "task long, project long, arch string, est int, image long, tried long")
+    workers = spark.createDataFrame(fleet, "worker long, arch string, online boolean, load double, disk long, slots long, nation long, w_image long")
+    assert sorted(tuple(r) for r in drained(tasks, workers).collect()) == want
+
+
 def test_pages_and_filters(spark):
     df = spark.range(1000).withColumn("s", F.lit("a"))
     assert page(where_given(df, s="a", id=None), ["id"], 5000).count() == 500
