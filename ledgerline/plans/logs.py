@@ -149,11 +149,27 @@ def elide(line: pd.Series, most: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+#: Bytes of a packed log, and of a line before it is elided.
+BUDGET, LINE_BUDGET = 8192, 400
+
+
+def packed(logs: DataFrame) -> DataFrame:
+    """log_id, slot, line_no and text of what a log's budget holds, of all lines of `logs` (log_id, line_no, line).
+
+    Slots in order of their claim: 0 headline (the first line), 1 critical (errors E7), 2 diagnostics (other errors), 3 notices
+    (warnings), 4 the rest; level and code come from a line's length as in `diagnostics`. A line takes its bytes and one for its end.
+    So headline and critical are reserved before others get room, and the line that exceeds the budget is cut at a whole character.
+    """
+    n = F.length("line")
+    error, e7 = n % 3 == 0, (n % 5 != 0) & (n % 11 == 7)
+    slot = F.when(F.col("line_no") == 1, 0).when(F.trim("line") == "", 4).when(error & e7, 1).when(error, 2).when(n % 3 == 1, 3).otherwise(4)
+    slots = logs.select("log_id", "line_no", slot.alias("slot"), elide(F.col("line"), F.lit(LINE_BUDGET)).alias("text"))
+    used = F.expr("sum(octet_length(text) + 1) OVER (PARTITION BY log_id ORDER BY slot, line_no ROWS UNBOUNDED PRECEDING)")
+    room = F.lit(BUDGET) - (used - F.octet_length("text") - 1)
+    return slots.withColumn("room", room.cast("int")).filter("room > 0").select("log_id", "slot", "line_no", cut_bytes(F.col("text"), F.col("room")).alias("text"))
+
+
 @query()
 def budget_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each log's slots packed into 8192 bytes: the first slot in full, then others as far as the budget goes, cut at whole characters."""
-    slots = lines(spark, sf_dir).filter("line_no <= 5").select("log_id", F.col("line_no").alias("slot"), elide(F.col("line"), F.lit(400)).alias("text"))
-    used = F.expr("sum(octet_length(text) + 1) OVER (PARTITION BY log_id ORDER BY slot)")
-    room = F.greatest(F.lit(8192) - (F.col("used") - F.octet_length("text") - 1), F.lit(0)).cast("int")
-    packed = slots.withColumn("used", used).withColumn("room", room).withColumn("text", cut_bytes(F.col("text"), F.col("room")))
-    return packed.groupBy("log_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if(F.length("text") > 0).alias("slots"))
+    """Bytes of text and slots in use of each log when all of its lines are packed into its budget."""
+    return packed(lines(spark, sf_dir)).groupBy("log_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_distinct(F.when(F.length("text") > 0, F.col("slot"))).alias("slots"))

@@ -17,7 +17,7 @@ from ledgerline.operators.logs import classified, progress, scraped, tests_summe
 from ledgerline.operators.matching import bag_delta, longest_prefix
 from ledgerline.operators.paging import budget_prefix, page, where_given
 from ledgerline.operators.rollup import fold
-from ledgerline.plans.logs import cut_bytes, elide
+from ledgerline.plans.logs import cut_bytes, elide, packed
 from ledgerline.plans.placement import demand, drained
 from ledgerline.plans.registry import QUERIES
 from ledgerline.sources.stores import insert_absent, shared_path
@@ -203,6 +203,28 @@ def test_byte_budgets(spark):
     assert all(r[0] is None or len(r[0].encode()) <= 100 for r in df.select(elide("t", F.lit(100))).collect())
 
 
+def test_long_logs_are_packed_by_slots(spark):
+    rng = random.Random(3)
+    logs = {k: [rng.choice(["", " ", "é" * rng.randrange(90), "x" * rng.randrange(390)]) for _ in range(rows)] for k, rows in enumerate((1, 5, 60, 700, 3000))}
+    logs[9] = ["top"] + ["x" * 18] * 600  # more critical lines than the budget holds
+    want = set()
+    for k, texts in logs.items():
+        order = []
+        for at, t in enumerate(texts, 1):
+            n = len(t)
+            error, e7 = n % 3 == 0, n % 5 != 0 and n % 11 == 7
+            order.append((0 if at == 1 else 4 if not t.strip() else 1 if error and e7 else 2 if error else 3 if n % 3 == 1 else 4, at, t))
+        left = 8192
+        for slot, at, t in sorted(order):
+            if left > 0:
+                want.add((k, slot, at, t.encode()[:left].decode(errors="ignore")))
+            left -= len(t.encode()) + 1
+    df = spark.createDataFrame([(k, at, t) for k, texts in logs.items() for at, t in enumerate(texts, 1)], "log_id int, line_no int, line string")
+    got = [tuple(r) for r in packed(df).select("log_id", "slot", "line_no", "text").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {r[1] for r in got if r[0] == 4} >= {0, 1, 2} and 8000 < sum(len(r[3].encode()) + 1 for r in got if r[0] == 4) <= 8193
+
+
 def test_insert_absent(spark):
     path = shared_path(spark, "t")
     spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(path)
