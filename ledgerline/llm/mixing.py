@@ -32,6 +32,9 @@ def targets(sizes: DataFrame) -> DataFrame:
     Weights repeat along the sources in code point order, a null source last. Shares that exceed MOST times a source's size stop
     there and the excess goes to the others by weight: with sources ordered by MOST * size / weight, the level that all
     uncapped sources reach per unit of weight is the largest that lies under the ratio of the source it starts from.
+
+    Three windows without keys pass all sources, one row each, through one task. So this is meant for up to about BROADCAST_SOURCES
+    sources; with more the results stay right, but that task's time grows with them.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
