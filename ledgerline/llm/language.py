@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import held_out, map_texts, seed_of
 
-#: Bounds of the fit: labelled documents drawn per language (in expectation), and characters of a language's reference.
-DOCS_PER_LANGUAGE, REFERENCE_CHARS = 200, 20_000
+#: Bounds of the fit: characters of a language's reference, and of a passage. References are made of passages from all over the labelled
+#: texts, drawn by hash, DRAWN times as many in expectation as a reference takes.
+REFERENCE_CHARS, PASSAGE_CHARS, DRAWN = 20_000, 500, 3
 #: Letters of a language whose transitions stand in a dense table, its most frequent ones; those of its other letters stand in a sorted list.
 LETTERS = 62
-#: Texts are parsed in runs of this many characters, so that long texts step side by side too; each run begins a phrase.
+#: Texts are parsed in runs of this many characters, so that long texts step side by side too; then runs that began amid a phrase are put right.
 RUN = 2048
 BATCH_CHARS = 4_000_000
 UNKNOWN = "und"
@@ -33,6 +34,7 @@ UNKNOWN = "und"
 #: What an entry of a table holds above the state: one for a phrase that begins, and _LITERAL for a character that the reference lacks.
 #: A state takes _STATE bits (an automaton has at most two for each character of its reference), and a run's sum of these stays in 32 bits.
 _STATE, _LITERAL = 17, 1 << 12
+_STATES = (1 << _STATE) - 1
 _ALPHA: list[np.ndarray] = []
 
 
@@ -90,6 +92,10 @@ class Table:
     to: np.ndarray
     fresh: np.ndarray
 
+    @property
+    def void(self) -> int:
+        return len(self.dense) // self.width - 1
+
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         code = self.of[code]
         if not len(self.keys):
@@ -141,17 +147,26 @@ class Languages:
         size = np.array([len(p) for p in parts])
         order = np.argsort(-size, kind="stable")
         size, owner_of = size[order], np.array(owner)[order]
-        grid = np.zeros((int(size[0]), len(parts)), dtype=np.int32)
-        for k, i in enumerate(order):
-            grid[: len(parts[i]), k] = parts[i]
+        # character `step` of run k stands at base[step] + k, so that the runs which are that long lie side by side
         active = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
+        base = np.cumsum(active) - active
+        grid = np.empty(int(size.sum()), dtype=np.int32)
+        for k, i in enumerate(order):
+            grid[base[: len(parts[i])] + k] = parts[i]
+        place = np.empty(len(parts), dtype=np.int64)
+        place[order] = np.arange(len(parts))
+        follows = np.full(len(parts), -1)
+        goes_on = np.flatnonzero(np.diff(owner) == 0)
+        follows[place[goes_on]] = place[goes_on + 1]
         for lang, table in enumerate(self.tables):
-            state = np.full(len(parts), len(table.dense) // table.width - 1, dtype=np.int32)
+            trace = np.empty_like(grid)
+            state = np.full(len(parts), table.void, dtype=np.int32)
             count = np.zeros(len(parts), dtype=np.int32)
-            for step, n in enumerate(active):
-                to = table.step(state[:n], grid[step, :n])
+            for at, n in zip(base, active, strict=True):
+                to = trace[at : at + n] = table.step(state[:n], grid[at : at + n])
                 count[:n] += to >> _STATE
-                state[:n] = to & ((1 << _STATE) - 1)
+                state[:n] = to & _STATES
+            _mend(table, trace, grid, base, size, state, follows, count)
             phrases[:, lang] = np.bincount(owner_of, count % _LITERAL, len(texts)).astype(np.int64)
             literals[:, lang] = np.bincount(owner_of, count // _LITERAL, len(texts)).astype(np.int64)
         return phrases, literals
@@ -179,11 +194,37 @@ class Languages:
         return names, scores
 
 
+def _mend(table: Table, trace: np.ndarray, grid: np.ndarray, base: np.ndarray, size: np.ndarray, state: np.ndarray, follows: np.ndarray, count: np.ndarray) -> None:
+    """Carry the state at the end of each run into the run that follows (-1: none), and put trace and count right, until every run goes on from the one before.
+
+    A run is parsed again only as far as it differs, as a rule until the phrase it began in has ended. A run that differs to its
+    end changes the one after it, so the worst case is that of parsing each text in one piece.
+    """
+    at = np.flatnonzero(follows >= 0)
+    todo, now = follows[at], state[at]
+    while len(todo):
+        run, step, changed, ended = todo, 0, [], []
+        while len(run):
+            cell = base[step] + run
+            to, had = table.step(now, grid[cell]), trace[cell]
+            trace[cell] = to
+            count[run] += (to >> _STATE) - (had >> _STATE)
+            now = to & _STATES
+            step += 1
+            differs = now != (had & _STATES)
+            over = differs & (size[run] == step) & (follows[run] >= 0)
+            changed.append(follows[run[over]])
+            ended.append(now[over])
+            on = differs & (size[run] > step)
+            run, now = run[on], now[on]
+        todo, now = np.concatenate(changed), np.concatenate(ended)
+
+
 def build(samples: dict[str, list[str]]) -> Languages:
     """Compile the automata of each language's texts, up to REFERENCE_CHARS characters of them."""
     names = sorted(samples)
     letter = is_letter()
-    spaced = {n: " ".join("".join(c if letter[ord(c)] else " " for c in " ".join(samples[n])[: 2 * REFERENCE_CHARS].lower()).split())[:REFERENCE_CHARS] for n in names}
+    spaced = {n: " ".join("".join(c if letter[ord(c)] else " " for c in " ".join(samples[n]).lower()).split())[:REFERENCE_CHARS] for n in names}
     known = sorted(set("".join(spaced.values())) - {" "})
     code_of = np.ones(0x110000, dtype=np.int32)
     code_of[letter] = 0
@@ -222,21 +263,26 @@ def compiled(codes: list[int], n_codes: int) -> Table:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Build the automata from documents that have a language and aren't held out.
 
-    Every language gives about DOCS_PER_LANGUAGE documents, those whose hashed id falls under a share of its own count, so
-    the sample doesn't depend on order or partitioning. Fewer documents give a shorter reference. A language that occurs but
+    Labelled texts are cut into passages of PASSAGE_CHARS characters, whole texts without exception. Of each language, the passages
+    are drawn whose hash (of id and number) falls under a share of its own count, so that the sample is a bounded one of all labelled
+    text and doesn't depend on order or partitioning. Fewer passages give a shorter reference. A language that occurs but
     has no word in its sample still takes part, with an empty reference, which no text with a letter of another one falls to.
     """
+    n = F.ceil(F.length("text") / PASSAGE_CHARS).cast("int")
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col(id_col), 4, 2)
-    )
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    ).withColumn("n", n)
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return build({})
     # one row per language: as many as the corpus has, whatever its size
-    share = docs.sparkSession.createDataFrame([(k, min(1.0, DOCS_PER_LANGUAGE / n)) for k, n in counts.items()], "lang string, share double")
-    place = F.pmod(F.xxhash64(F.lit("language"), F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(1 << 20)) / float(1 << 20)
-    some = known.join(F.broadcast(share), "lang").filter(place < F.col("share"))
-    got = some.select("lang", F.substring("text", 1, 4 * REFERENCE_CHARS // DOCS_PER_LANGUAGE * 5).alias("text")).collect()
+    wanted = DRAWN * REFERENCE_CHARS / PASSAGE_CHARS
+    share = docs.sparkSession.createDataFrame([(k, min(1.0, wanted / max(n, 1))) for k, n in counts.items()], "lang string, share double")
+    place = lambda k: F.pmod(F.xxhash64(F.lit("language"), F.coalesce(F.col("id").cast("string"), F.lit("")), k), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: place(k) < F.col("share"))
+    passages = F.transform(drawn, lambda k: F.substring("text", k * PASSAGE_CHARS + 1, F.lit(PASSAGE_CHARS)))
+    some = known.filter("n > 0").join(F.broadcast(share), "lang")
+    got = some.select("lang", F.explode(passages).alias("text")).collect()
     samples: dict[str, list[str]] = {k: [] for k in counts}
     for r in sorted(got, key=lambda r: (r["lang"], seed_of("language", r["text"]), r["text"])):
         samples[r["lang"]].append(r["text"])
