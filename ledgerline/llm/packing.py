@@ -9,7 +9,9 @@ less than one sequence of padding.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,14 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Cost of a piece of n tokens: LINEAR * n + QUADRATIC * n * n; the two are equal at 2048 tokens.
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
-CACHE_WORDS = 300_000
+#: Parts that a generation of the cache holds, and the longest part that is kept.
+CACHE_PARTS, CACHE_CHARS = 300_000, 64
+
+# Of the Latin-1 characters in lower case, those that are letters, numbers and white space.
+_LETTERS, _NUMBERS, _SPACE = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+_PARTS = re.compile(f"[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACE}]+")
+# All white space characters.
+_WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def default_tokenizer() -> str:
@@ -33,11 +42,12 @@ def default_tokenizer() -> str:
 
 
 class WordTokenizer:
-    """Token ids of whole texts as little-endian unsigned 32-bit numbers, by way of a bounded cache of words.
+    """Token ids of whole texts as little-endian unsigned 32-bit numbers, by way of a bounded cache of parts.
 
-    The tokenizer drops white space and no token or rule reaches across it, so a text's ids are those of its words in a row.
-    Words of Latin letters, with closing punctuation or not, go straight to the merge model; all others go through the
-    whole tokenizer. A text with a special token's opening goes through the whole tokenizer in one piece.
+    The tokenizer drops white space and parts the rest into runs of letters, single digits, endings with an apostrophe and runs of
+    anything else; no token reaches across. Texts of Latin-1 characters are parted here, by the same rule, and each part goes to the
+    merge model once. Other texts are parted at white space and each word goes through the whole tokenizer. A text with a special
+    token's opening goes through the whole tokenizer in one piece.
     """
 
     def __init__(self, path: str):
@@ -46,40 +56,47 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
+        # two generations: what the older one lacks or hasn't been asked for again is forgotten
         self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         one = ByteLevel(add_prefix_space=False, use_regex=False)
-        # how the tokenizer writes the UTF-8 bytes of characters below U+0250
-        self.written = {c: one.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x250) if chr(c).isalpha() or chr(c) in ".,!?"}
+        #: How the tokenizer writes the UTF-8 bytes of Latin-1 characters.
+        self.written = {c: one.pre_tokenize_str(chr(c))[0][0] for c in range(0x100)}
 
     def _slow(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, part: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(part if part.isascii() and part.isalnum() else part.translate(self.written))]).tobytes()
 
-    def _new(self, word: str) -> bytes:
-        head = word.rstrip(".,!?")
-        if head.isalpha() and max(word) < "ɐ" and word == word.lower():
-            parts = [head, word[len(head) :]] if len(head) < len(word) else [head]
-            return np.array([t.id for p in parts for t in self.model.tokenize(p.translate(self.written))], dtype="<u4").tobytes()
-        return self._slow(word)
+    def _ids(self, parts: list[str], new: Callable[[str], bytes]) -> bytes:
+        ids = self.ids
+        try:
+            return b"".join([ids[p] for p in parts])
+        except KeyError:
+            pass
+        if len(ids) > CACHE_PARTS:
+            self.older, self.ids = ids, {}
+            ids = self.ids
+        out = []
+        for p in parts:
+            x = ids.get(p)
+            if x is None:
+                x = self.older.get(p) or new(p)
+                if len(p) <= CACHE_CHARS:
+                    ids[p] = x
+            out.append(x)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         if "<|" in text:
             return self._slow(text)
         try:
             text.encode("latin-1")
-            text = text.lower()  # of Latin-1 letters, each by itself, as the tokenizer does it
         except UnicodeEncodeError:
-            pass
-        words = text.split()
-        ids = self.ids
-        try:
-            return b"".join([ids[w] for w in words])
-        except KeyError:
-            pass
-        if len(ids) > CACHE_WORDS:
-            ids.clear()
-        for w in set(words).difference(ids):
-            ids[w] = self._new(w)
-        return b"".join([ids[w] for w in words])
+            # a word keeps its white space, so that words and parts don't meet in the cache
+            return self._ids([f"{w} " for w in _WORDS.findall(text)], self._slow)
+        return self._ids(_PARTS.findall(text.lower()), self._part)
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
