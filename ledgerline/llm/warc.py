@@ -13,17 +13,20 @@ import json
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, WriterCommitMessage
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan,
+    LessThanOrEqual, Not, StringContains, StringEndsWith, StringStartsWith, WriterCommitMessage,
+)
 from pyspark.sql.types import StructType
 
-from .common import new_path
+from .common import Settled, new_path
 
 #: Bytes of an archive file after which a task begins the next, and of files that one read task takes on.
 FILE_BYTES = TASK_BYTES = 64 << 20
@@ -32,7 +35,10 @@ REVISIT_BYTES = 1000
 BATCH_BYTES, BATCH_ROWS = 16 << 20, 2_000
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, refers_to string, headers map<string,string>, payload_bytes long, payload_digest string, payload binary"
 WRITTEN = "record_id string, record_type string, target_uri string, warc_date string, refers_to string, payload_bytes long, payload_digest string, payload binary"
-MANIFEST = "_manifest.json"
+#: What the manifest of a write is called, with a name of its own between the two.
+MANIFEST = ("_manifest-", ".json")
+#: Revisits up to which what they refer to is broadcast, at under 100 bytes each; beyond that, pages are shuffled by id.
+BROADCAST_REVISITS = 500_000
 #: Columns whose predicates the reader takes on, and the header of each.
 PUSHED = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "refers_to": "warc-refers-to", "warc_date": "warc-date"}
 
@@ -190,36 +196,65 @@ class FilesPartition(InputPartition):
     files: list[tuple[str, int]]
 
 
+#: What a pushed predicate asks of a header, which is None where the record lacks it.
+_ASKS: dict[type, Callable[[str, object], bool]] = {
+    EqualTo: lambda x, v: x == v, In: lambda x, v: x in v, GreaterThan: lambda x, v: x > v, GreaterThanOrEqual: lambda x, v: x >= v, LessThan: lambda x, v: x < v,
+    LessThanOrEqual: lambda x, v: x <= v, StringStartsWith: lambda x, v: x.startswith(v), StringEndsWith: lambda x, v: x.endswith(v), StringContains: lambda x, v: v in x,
+}
+
+
+def asked(f: Filter) -> tuple[str, type, object, bool] | None:
+    """The header that a predicate asks about, how, against what, and whether the answer is negated; None if headers can't tell."""
+    if isinstance(f, Not):
+        inner = asked(f.child)
+        return None if inner is None or inner[1] is IsNull else (*inner[:3], not inner[3])
+    name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+    if name not in PUSHED:
+        return None
+    if isinstance(f, (IsNull, IsNotNull)):
+        return PUSHED[name], IsNull, None, isinstance(f, IsNotNull)
+    value = getattr(f, "value", None)
+    values = value if isinstance(f, In) else (value,)
+    return (PUSHED[name], type(f), value, False) if type(f) in _ASKS and all(isinstance(v, str) for v in values) else None
+
+
 class WarcReader(DataSourceReader):
-    def __init__(self, path: str, content: str):
-        self.path, self.content, self.tests = path, content, []
+    """tests: what record headers must meet, of predicates on the columns PUSHED and of options header.<name>."""
+
+    def __init__(self, path: str, content: str, headers: dict[str, str] | None = None):
+        self.path, self.content = path, content
+        self.tests: list[tuple[str, type, object, bool]] = [(name, EqualTo, value, False) for name, value in (headers or {}).items()]
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Take on equality with constants of the columns PUSHED, which headers alone decide."""
+        """Take on comparisons of the columns PUSHED with constants, and tests for null, which headers alone decide."""
         for f in filters:
-            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if name in PUSHED and isinstance(f, EqualTo):
-                self.tests.append((PUSHED[name], {f.value}))
-            elif name in PUSHED and isinstance(f, In):
-                self.tests.append((PUSHED[name], set(f.value)))
-            elif name in PUSHED and isinstance(f, IsNotNull):
-                self.tests.append((PUSHED[name], None))
-            else:
+            test = asked(f)
+            if test is None:
                 yield f
+            else:
+                self.tests.append(test)
 
     def wanted(self, headers: dict[str, str]) -> bool:
-        return all(name in headers and (values is None or headers[name] in values) for name, values in self.tests)
+        """As in SQL, no comparison holds of a header that the record lacks, negated or not."""
+        for name, how, value, negated in self.tests:
+            x = headers.get(name)
+            if how is IsNull:
+                if (x is None) == negated:
+                    return False
+            elif x is None or _ASKS[how](x, value) == negated:
+                return False
+        return True
 
     def partitions(self) -> list[InputPartition]:
-        """Files in order of size, put together up to TASK_BYTES a task; of a written archive, those that its manifest names."""
+        """Files in order of size, put together up to TASK_BYTES a task; of written archives, those that the manifests name."""
         store, root = fs.FileSystem.from_uri(self.path)
         if store.get_file_info(root).type == fs.FileType.File:
             found = [(root, store.get_file_info(root).size)]
-        elif store.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{root}/{MANIFEST}") as f:
-                found = [(f"{root}/{name}", size) for name, size in json.loads(f.read())]
         else:
-            found = [(i.path, i.size) for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".warc.gz")]
+            named = manifests(store, root)
+            found = [(f"{root}/{name}", size) for m in named for name, size in manifest_files(store, m)]
+            if not named:
+                found = [(i.path, i.size) for i in store.get_file_info(fs.FileSelector(root, recursive=True)) if i.type == fs.FileType.File and i.path.endswith(".warc.gz")]
         tasks: list[FilesPartition] = []
         room = 0
         for path, size in sorted(found, key=lambda x: (-x[1], x[0])):
@@ -246,6 +281,17 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def manifests(store: fs.FileSystem, root: str) -> list[str]:
+    """Paths of the manifests under a folder, one for each write that was committed."""
+    return [i.path for i in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if i.base_name.startswith(MANIFEST[0]) and i.base_name.endswith(MANIFEST[1])]
+
+
+def manifest_files(store: fs.FileSystem, path: str) -> list[tuple[str, int]]:
+    """Names and sizes of the files that a manifest counts."""
+    with store.open_input_stream(path) as f:
+        return [(name, size) for name, size in json.loads(f.read())]
+
+
 def arrow_schema() -> pa.Schema:
     text = pa.string()
     return pa.schema([("record_id", text), ("record_type", text), ("target_uri", text), ("warc_date", text), ("refers_to", text), ("headers", pa.map_(text, text)), ("payload_bytes", pa.int64()), ("payload_digest", text), ("payload", pa.binary())])
@@ -259,10 +305,13 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own; a manifest, written last, names those of the tasks that counted."""
+    """Each task writes files of its own; a manifest of this write, written last, names those of the tasks that counted.
 
-    def __init__(self, path: str):
-        self.path = path
+    An appended write adds its manifest to those that are there. One that overwrites takes the others' place, then removes their files.
+    """
+
+    def __init__(self, path: str, overwrite: bool = False):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -290,8 +339,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
         store.create_dir(root, recursive=True)
-        with store.open_output_stream(f"{root}/{MANIFEST}") as f:
+        old = manifests(store, root) if self.overwrite else []
+        with store.open_output_stream(f"{root}/{MANIFEST[0]}{uuid.uuid4().hex}{MANIFEST[1]}") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
+        names = [f"{root}/{name}" for m in old for name, _ in manifest_files(store, m)]
+        for path in old + names:
+            store.delete_file(path)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, root = fs.FileSystem.from_uri(self.path)
@@ -301,7 +354,11 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcSource(DataSource):
-    """format("warc"). Option content: payload (default), digest or headers; see read_records. Paths: what pyarrow.fs opens."""
+    """format("warc"). Paths: what pyarrow.fs opens.
+
+    Options: content is payload (default), digest or headers, see read_records; header.<name> takes only records whose header of
+    that name has that value, for headers that have no column of their own.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -311,10 +368,11 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema: StructType) -> WarcReader:
-        return WarcReader(self.options["path"], self.options.get("content", "payload"))
+        own = {k.lower().removeprefix("header."): v for k, v in self.options.items() if k.lower().startswith("header.")}
+        return WarcReader(self.options["path"], self.options.get("content", "payload"), own)
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -328,13 +386,23 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null page is an empty payload. Rows that repeat the largest id with the same payload are all responses. A row without
     id revisits a row with one, and responds where there is none; its record id is drawn from its payload and url.
+
+    Payloads are digested first, and only digests, sizes and ids are grouped. What revisits refer to then comes back to the pages
+    by id and digest, so neither a payload nor the many copies of one meet in a task.
     """
     payload = F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("target_uri"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    copies = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null").select(F.col("payload_digest").alias("of"), "top")
-    rows = rows.join(copies, (F.col("payload_digest") == F.col("of")) & (F.col("payload_bytes") >= REVISIT_BYTES), "left")
-    again = F.col("top").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("top")))
+    # rows without id are told apart by their urls, so that they spread too
+    spread = F.coalesce(F.col("id"), F.xxhash64("target_uri"))
+    large = rows.filter(F.col("payload_bytes") >= REVISIT_BYTES).select("id", spread.alias("at"), F.unhex("payload_digest").alias("of"))
+    large = Settled(large, "warc-digests").df
+    tops = large.groupBy("of").agg(F.max("id").alias("top"), F.count("*").alias("n")).filter("n > 1 and top is not null").select("of", "top")
+    marks = Settled(large.join(tops, "of").filter("id is null or id < top").select("at", F.col("id").isNull().alias("nameless"), "of", "top").distinct(), "warc-revisits").df
+    if marks.count() <= BROADCAST_REVISITS:
+        marks = F.broadcast(marks)
+    rows = rows.join(marks, (spread == F.col("at")) & (F.col("id").isNull() == F.col("nameless")) & (F.unhex("payload_digest") == F.col("of")), "left")
+    again = F.col("top").isNotNull()
     urn = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
     nameless = F.concat(F.lit("<urn:page:unnamed:"), F.col("payload_digest"), F.lit(":"), F.sha1(F.coalesce("target_uri", F.lit("")).cast("binary")), F.lit(">"))
     return rows.select(
@@ -344,10 +412,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     )
 
 
-def write(rows: DataFrame, path: str) -> None:
-    """Write rows of WRITTEN as archives under `path`."""
+def write(rows: DataFrame, path: str, mode: str = "append") -> None:
+    """Write rows of WRITTEN as archives under `path`, beside those that are there or (mode overwrite) in their place."""
     register(rows.sparkSession)
-    rows.write.format("warc").mode("append").save(path)
+    rows.write.format("warc").mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, content: str = "payload") -> DataFrame:
@@ -357,7 +425,12 @@ def read(spark: SparkSession, path: str, content: str = "payload") -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """Write pages as archives into the shared folder and read back what their records say of them."""
+    """Write pages as archives into the shared folder and read back what their records say of them.
+
+    A row for each page: page_id, payload_bytes and payload_digest (of the full payload), record_type and refers_to. A null page
+    counts as empty, a null id stays null, repeated rows come as often as they are there, ties are as in `records`. Other columns
+    aren't read. An empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "archive")
     write(records(pages), path)
