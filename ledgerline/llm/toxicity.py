@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier of character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A text's features are the hashed character n-grams that occur in it, however often. Each feature's weight starts from the naive
+A text's features are the hashed character n-grams that occur in it, however often. Each feature is scaled by the naive
 Bayes ratio log(P(n-gram | toxic) / P(n-gram | other)) over the training rows; logistic regression then learns a factor for
-each scaled feature. Both come from a bounded sample of labelled rows; scoring reads every whole text.
+each scaled feature. Both come from a bounded sample of labelled rows. The sample stays on the executors: they count n-grams, and for
+each step of the descent they sum loss and gradient of their rows, so that only vectors as long as the features reach the driver.
+Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,12 +22,13 @@ from .common import Settled, held_out, map_texts
 #: Lengths of the n-grams, in characters, and the number of hash buckets (a power of two).
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 18
-#: Bounds of the fit: labelled rows of each class, features kept (those with the largest chi-square), steps of the descent.
-SAMPLE_ROWS, FEATURES, STEPS = 4_000, 10_000, 300
-#: A bucket is a feature only if its chi-square against the label exceeds this.
+#: Bounds of the fit: labelled rows of each class, features (those with the largest chi-square), steps of the descent.
+SAMPLE_ROWS, FEATURES, STEPS = 4_000, 10_000, 40
+#: A bucket is a feature only if its chi-square against the label exceeds this; one that exceeds it by chance would be noise.
 MIN_CHI = 10.0
 SAMPLE_PARTS = 8
-SMOOTHING, RIDGE, RATE = 1.0, 0.1, 0.05
+#: Count added to each n-gram, weight of the squared factors against the loss, gain in loss below which the descent ends, and steps it remembers.
+SMOOTHING, RIDGE, GAIN, MEMORY = 1.0, 1e-4, 1e-4, 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,57 +62,83 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def choose(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+def choose(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, features: int = FEATURES, min_chi: float = MIN_CHI) -> tuple[np.ndarray, np.ndarray]:
     """The buckets kept as features, ascending, and their naive Bayes ratios, from the toxic and other rows that have each bucket."""
     ratio = np.log((c1 + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((c0 + SMOOTHING) / (n0 + 2 * SMOOTHING))
     seen = c1 + c0
     expected = seen * n1 / max(n1 + n0, 1)
     chi = (c1 - expected) ** 2 / np.maximum(expected * (1 - seen / (n1 + n0 + 1)), 1e-9)
-    kept = np.sort(np.argsort(-chi, kind="stable")[:FEATURES])
-    kept = kept[chi[kept] > MIN_CHI]
+    kept = np.sort(np.argsort(-chi, kind="stable")[:features])
+    kept = kept[chi[kept] > min_chi]
     return kept, ratio[kept]
 
 
-def train(own: list[np.ndarray], y: np.ndarray, kept: np.ndarray, ratio: np.ndarray) -> Model:
-    """Learn from each row's features (positions in `kept`) and its label, 1 for toxic."""
-    weight = np.zeros(BUCKETS, dtype=np.float32)
-    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
-    if not n1 or not n0:
-        return Model(weight, 30.0 if n1 else -30.0)
-    size = np.array([len(c) for c in own])
-    column, row = np.concatenate(own).astype(np.int64), np.repeat(np.arange(len(own)), size)
-    value = ratio[column] / np.sqrt(np.maximum(size, 1))[row]
-    w, bias = np.full(len(kept), 0.1), 0.0
-    # both classes weigh the same, so that 0.5 parts them
-    share = np.where(y == 1, 0.5 / n1, 0.5 / n0)
-    m, v, mb, vb = np.zeros(len(kept)), np.zeros(len(kept)), 0.0, 0.0
-    for step in range(1, STEPS + 1):
-        z = np.bincount(row, value * w[column], len(own)) + bias
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
-        g = np.bincount(column, value * e[row], len(kept)) + RIDGE * w / max(len(kept), 1)
-        gb = float(e.sum())
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        rate = RATE * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
-        w -= rate * m / (np.sqrt(v) + 1e-9)
-        bias -= rate * mb / (vb**0.5 + 1e-9)
-    weight[kept] = (w * ratio).astype(np.float32)
-    return Model(weight, bias)
-
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Train on labelled rows that aren't held out, at most SAMPLE_ROWS of each class: those of the smallest hashed ids.
-
-    An id with several labels counts as toxic if one says so. Rows without id or label are left out.
+def loss_of(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, x: np.ndarray, share: tuple[float, float]) -> tuple[float, np.ndarray]:
+    """Weighted logistic loss of rows (positions of their features, label) and its gradient, at factors and intercept x.
+
+    A row's features are scaled by `ratio` and divided by the root of their number; `share` is the weight of a row of either label.
+    """
+    loss, slope, w = 0.0, np.zeros(len(x)), ratio * x[:-1]
+    for at, y in rows:
+        root = np.sqrt(max(len(at), 1))
+        z = w[at].sum() / root + x[-1]
+        loss += share[y] * float(np.logaddexp(0.0, -z if y else z))
+        e = share[y] * (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y)
+        slope[at] += e / root
+        slope[-1] += e
+    slope[:-1] *= ratio
+    return loss, slope
+
+
+def descend(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS) -> np.ndarray:
+    """Where a convex function (value and gradient) is least: L-BFGS, from x, until a step gains less than GAIN of the value."""
+    moves: list[tuple[np.ndarray, np.ndarray, float]] = []
+    value, g = f(x)
+    for _ in range(steps):
+        d, shares = -g, []
+        for s, y, c in reversed(moves):
+            shares.append(float(s @ d) / c)
+            d = d - shares[-1] * y
+        if moves:
+            s, y, c = moves[-1]
+            d = d * (c / float(y @ y))
+        for (s, y, c), share in zip(moves, reversed(shares), strict=True):
+            d = d + (share - float(y @ d) / c) * s
+        size = 1.0 if moves else min(1.0, 1 / max(float(np.abs(g).sum()), 1e-12))
+        while True:
+            there = x + size * d
+            new, slope = f(there)
+            if new <= value + 1e-4 * size * float(g @ d) or size < 1e-8:
+                break
+            size /= 2
+        s, y = there - x, slope - g
+        if (c := float(s @ y)) > 1e-15:
+            moves = [*moves[1 - MEMORY :], (s, y, c)]
+        gain, x, value, g = value - new, there, new, slope
+        if gain < GAIN * max(abs(value), 1e-3):
+            break
+    return x
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, min_chi: float = MIN_CHI,
+) -> Model:
+    """Train on labelled rows that aren't held out, at most `sample_rows` of each class: those of the smallest hashed ids.
+
+    Of the n-grams in these rows' whole texts, those with the largest chi-square against the label become features: `features` at
+    most, and only above `min_chi`. An id with several labels counts as toxic if one says so. Rows without id or label are left
+    out. Without rows of both classes, every text gets the score of the one there is (none: not toxic).
     """
     order = F.xxhash64(F.lit("toxic"), F.col("id"))
     known = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"), 5, 0)).groupBy("id").agg(F.max("y").alias("y"))
     )
-    some = known.filter("y = 1").orderBy(order, "id").limit(SAMPLE_ROWS).unionAll(known.filter("y = 0").orderBy(order, "id").limit(SAMPLE_ROWS))
-    # the sample is bounded by 2 * SAMPLE_ROWS rows of an id and a label
+    some = known.filter("y = 1").orderBy(order, "id").limit(sample_rows).unionAll(known.filter("y = 0").orderBy(order, "id").limit(sample_rows))
+    # the sample is bounded by 2 * sample_rows rows of an id and a label
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id")
-    sample = Settled(picked.repartition(SAMPLE_PARTS, "id"), "toxicity")
+    sample = Settled(picked.repartition(SAMPLE_PARTS, "id").sortWithinPartitions("id"), "toxicity")
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,7 +157,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own = sums[sums["bucket"] >= 0]
     c1[own["bucket"]], c0[own["bucket"]] = own["c1"], own["c0"]
     rows = sums[sums["bucket"] < 0]
-    kept, ratio = choose(c1, c0, int(rows["c1"].sum()), int(rows["c0"].sum()))
+    n1, n0 = int(rows["c1"].sum()), int(rows["c0"].sum())
+    weight = np.zeros(BUCKETS, dtype=np.float32)
+    if not n1 or not n0:
+        sample.drop()
+        return Model(weight, 30.0 if n1 else -30.0)
+    kept, ratio = choose(c1, c0, n1, n0, features, min_chi)
     number = np.full(BUCKETS, -1, dtype=np.int32)
     number[kept] = np.arange(len(kept))
     numbers = spark.sparkContext.broadcast(number)
@@ -142,10 +176,31 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         return run
 
-    got = map_texts(sample.df, [F.col("id"), F.col("y")], F.col("text"), make, "at binary").collect()
+    made = Settled(map_texts(sample.df, [F.col("y")], F.col("text"), make, "at binary"), "toxicity-features")
     sample.drop()
-    got.sort(key=lambda r: (r["id"], bytes(r["at"])))
-    return train([np.frombuffer(r["at"], dtype="<i4") for r in got], np.array([r["y"] for r in got], dtype=int), kept, ratio)
+    # both classes weigh the same, so that 0.5 parts them
+    share = 0.5 / n0, 0.5 / n1
+
+    def summed(x: np.ndarray) -> tuple[float, np.ndarray]:
+        here = spark.sparkContext.broadcast((x, ratio))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, ratio = here.value
+            for b in batches:
+                rows = [(np.frombuffer(a, dtype="<i4"), y) for a, y in zip(b.column("at").to_pylist(), b.column("y").to_pylist(), strict=True)]
+                loss, slope = loss_of(rows, ratio, x, share)
+                yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([slope.tobytes()], type=pa.binary())], names=["loss", "slope"])
+
+        parts = made.df.mapInArrow(run, "loss double, slope binary").collect()
+        here.destroy()
+        slope = np.sum([np.frombuffer(p["slope"]) for p in parts], axis=0)
+        w = np.append(x[:-1], 0.0)
+        return sum(p["loss"] for p in parts) + RIDGE / 2 * float(w @ w), slope + RIDGE * w
+
+    x = descend(summed, np.append(np.full(len(kept), 0.1), 0.0))
+    made.drop()
+    weight[kept] = (x[:-1] * ratio).astype(np.float32)
+    return Model(weight, float(x[-1]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
