@@ -1,9 +1,11 @@
 """Personal data in texts: fixed formats, and what bootstrapped contexts reveal beyond them. DataFrame functions only.
 
-Spans of fixed formats (email, ip, card, phone) are the seeds. The words around a seed make lexical patterns. Looser shapes give
-candidates: numbers in groups, addresses with (at), addresses of hexadecimal groups. Patterns and instances (seed or candidate
-values) form a graph that is scored in rounds: a pattern is worth the share of its occurrences that are believed, an instance
-what its patterns make of it together. Candidates that end above a threshold become spans of that kind.
+Spans of fixed formats (email, ip, card, phone) are the seeds. What stands around a seed makes lexical patterns: one or two words on
+either side, or what is glued to its front. Looser shapes give candidates: numbers in groups, addresses with (at), addresses of
+hexadecimal groups. Patterns and instances (seed or candidate values) form a graph that is scored in rounds: a pattern counts once enough
+believed instances stand in it, and is worth the share of its occurrences in the corpus that are believed; an instance is worth what
+its patterns make of it together. Candidates that come to be believed are instances like the seeds in the next round: their other
+contexts become patterns, which reveal further candidates. Candidates believed in the end become spans of their kind.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import WORD, Settled
 
@@ -28,10 +31,19 @@ _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 #: Looser shapes, and which kinds each may be.
 LOOSE = r"(?<![^\s(,;:=\"'<\[])(?:[A-Za-z0-9._%+-]++(?:\(at\)|\[at\]|@)[A-Za-z0-9.-]++|(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}|[(]?[0-9][0-9().\x20-]{5,30}[0-9])(?![0-9A-Za-z])"
 MARK, SPARE = "\x01", "\x02"
-#: A pattern counts if so many different seeds stand in it.
-MIN_SEEDS = 4
-ROUNDS, BELIEVED = 3, 0.9
-CONTEXT = 40
+#: A pattern counts if so many different believed values stand in it, and if it is worth so much at least.
+MIN_SEEDS, MIN_SCORE = 4, 0.1
+#: Rounds at most, the share by which beliefs must grow for another one, and the belief from which a value counts as an identifier.
+ROUNDS, GAIN, BELIEVED = 8, 1e-4, 0.9
+#: Characters beside a span that patterns are made of, and the longest pattern.
+CONTEXT, LONGEST = 40, 60
+#: Patterns up to which they are broadcast to the texts that are searched for them, at some 100 bytes each; beyond that, the two are joined by a shuffle.
+BROADCAST_PATTERNS = 200_000
+#: Matches of a text whose places are added up together.
+CHUNK = 64
+_WS = r"[\x20\x09-\x0D]"
+#: What may be glued to the front of an identifier, and what keeps it apart from words where both are counted.
+GLUED, FRONT = r"[^\x20\x09-\x0D0-9@]{1,20}[:=#]", "\x03"
 
 
 def _pieces(text: Column, pattern: str) -> Column:
@@ -40,10 +52,21 @@ def _pieces(text: Column, pattern: str) -> Column:
 
 
 def _starts(pieces: Column) -> Column:
-    """Where each piece starts, in code points."""
+    """Where each piece starts, in code points.
+
+    Appending to an array copies it, so sums are made within chunks of pieces, then over chunks; a text of many matches costs little more than one of few.
+    """
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
-    return F.aggregate(F.transform(pieces, F.length), zero, step)["starts"]
+    firsts = F.sequence(F.lit(1), F.size(pieces), F.lit(CHUNK))
+    # each chunk: its length, and where its pieces start in it
+    chunks = F.transform(firsts, lambda k: F.aggregate(F.transform(F.slice(pieces, k, CHUNK), F.length), zero, step))
+
+    def shifted(held: Column) -> Column:
+        bases = F.aggregate(F.transform(held, lambda c: c["at"]), zero, step)["starts"]
+        return F.flatten(F.zip_with(held, bases, lambda c, base: F.transform(c["starts"], lambda at: at + base)))
+
+    return F.get(F.transform(F.array(chunks), shifted), F.lit(0))
 
 
 def _found(text: Column, pattern: str) -> Column:
@@ -97,7 +120,7 @@ _SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
 def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row (a key of the row), doc_id, a column of spans per kind, and `loose`, the candidates that overlap no span."""
+    """row (a key of the row), doc_id, a column of spans per kind, and `loose`, what has a looser shape."""
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARK, SPARE)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), text.alias("text"))
     none = F.array().cast(_SPAN)
@@ -107,29 +130,51 @@ def base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         able = F.contains("text", F.lit(_NEEDS[kind])) if _NEEDS[kind] else F.col("text").rlike("[0-9](?:[ -]?[0-9]){12}")
         spans.append(F.when(able, found).otherwise(none).alias(kind))
     rows = rows.select("row", "doc_id", "text", *spans)
-    taken = F.concat(*KINDS)
-    free = lambda c: ~F.exists(F.col("_taken"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    rows = rows.withColumn("_taken", taken)
-    loose = F.when(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"), F.filter(_found(F.col("text"), LOOSE), free)).otherwise(none)
+    loose = F.when(F.col("text").rlike("[0-9@]|[(\\[]at[)\\]]"), _found(F.col("text"), LOOSE)).otherwise(none)
     return rows.select("row", "doc_id", *KINDS, loose.alias("loose"))
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """row, span, value and kind of what has a looser shape and overlaps no span of fixed format; `rows` are those of base()."""
+    loose = rows.filter(F.size("loose") > 0)
+    each = loose.select("row", F.explode("loose").alias("span"), F.lit(False).alias("fixed")).unionAll(loose.select("row", F.explode(F.concat(*KINDS)).alias("span"), F.lit(True).alias("fixed")))
+    each = each.select("row", "span", "fixed", "span.start", "span.end")
+    before = Window.partitionBy("row").orderBy("start", "end", "fixed").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("end"), F.desc("fixed")).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.coalesce(F.max(F.when(F.col("fixed"), F.col("end"))).over(before), F.lit(0))
+    following = F.min(F.when(F.col("fixed"), F.col("start"))).over(after)
+    each = each.withColumn("reach", reach).withColumn("following", following)
+    free = each.filter("NOT fixed AND reach <= start AND (following IS NULL OR following >= end)")
+    return free.select("row", "span", F.lower("span.value").alias("value"), F.explode(_kinds_of(F.col("span.value"))).alias("kind"))
+
+
 def _plain(text: Column) -> Column:
     """Lower case, with digits standing for each other."""
     return F.regexp_replace(F.lower(text), "[0-9]+", "0")
 
 
-def _patterns(span: Column) -> list[Column]:
-    """Lexical patterns of a span: the word before it and the word after it."""
-    left = F.regexp_extract(span["left"], rf"({WORD})[\x20\x09-\x0D]*$", 1)
-    right = F.regexp_extract(span["right"], rf"^[\x20\x09-\x0D]*({WORD})", 1)
-    return [F.concat(F.lit("l "), _plain(left)), F.concat(F.lit("r "), _plain(right))]
+def _patterns(span: Column) -> Column:
+    """Lexical patterns of a span: l1 and l2 (the word, the two words before it), r1 and r2 (after it), g (what is glued to its front)."""
+    # a context that fills its room may begin or end amid a word, so words must have white space beside them
+    left = F.when(F.length(span["left"]) < CONTEXT, F.concat(F.lit(" "), span["left"])).otherwise(span["left"])
+    right = F.when(F.length(span["right"]) < CONTEXT, F.concat(span["right"], F.lit(" "))).otherwise(span["right"])
+    take = lambda text, p: _plain(F.regexp_replace(F.regexp_extract(text, p, 1), rf"{_WS}+", " "))
+    made = {
+        "l1": take(left, rf"{_WS}({WORD}){_WS}+$"), "l2": take(left, rf"{_WS}({WORD}{_WS}+{WORD}){_WS}+$"), "g": take(left, rf"{_WS}({GLUED})$"),
+        "r1": take(right, rf"^{_WS}+({WORD}){_WS}"), "r2": take(right, rf"^{_WS}+({WORD}{_WS}+{WORD}){_WS}"),
+    }
+    return F.filter(F.array(*[F.concat(F.lit(k + " "), v) for k, v in made.items()]), lambda p: ~p.rlike("^[a-z0-9]+ $") & (F.length(p) <= LONGEST))
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """How often each plain word occurs in all texts."""
-    words = F.explode(F.regexp_extract_all(_plain(F.col(text_col).cast("string")), F.lit(WORD), F.lit(0)))
-    return docs.select(words.alias("word")).groupBy("word").agg(F.count("*").alias("total"))
+def _totals(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """said and total: how often each text of `wanted` (said: a word, two words or what begins a word) occurs in all texts."""
+    words = F.regexp_extract_all(_plain(F.col(text_col).cast("string")), F.lit(WORD), F.lit(0))
+    rows = docs.select(words.alias("w"))
+    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+    fronts = F.transform(F.filter("w", lambda x: x.rlike(f"^{GLUED}.")), lambda x: F.concat(F.lit(FRONT), F.regexp_extract(x, f"^({GLUED})", 1)))
+    said = rows.select(F.explode(F.concat("w", pairs, fronts)).alias("said"))
+    few = wanted.count() <= BROADCAST_PATTERNS
+    return said.join(F.broadcast(wanted) if few else wanted, "said", "left_semi").groupBy("said").agg(F.count("*").alias("total"))
 
 
 def _kinds_of(value: Column) -> Column:
@@ -147,38 +192,55 @@ def _kinds_of(value: Column) -> Column:
 
 def _edges(spans: DataFrame) -> DataFrame:
     """kind, pattern, value and times: how often each value stands in each pattern."""
-    each = spans.select("kind", "value", F.explode(F.array(*_patterns(F.col("span")))).alias("pattern"))
-    return each.filter(F.length("pattern") > 2).groupBy("kind", "pattern", "value").agg(F.count("*").alias("times"))
+    return spans.select("kind", "value", F.explode(_patterns(F.col("span"))).alias("pattern")).groupBy("kind", "pattern", "value").agg(F.count("*").alias("times"))
 
 
-def discovered(rows: DataFrame, words: DataFrame, rounds: int = ROUNDS, believed: float = BELIEVED) -> DataFrame:
-    """row, kind, start and end of candidates that their contexts identify; `rows` are those of base(), written.
+def believed(docs: DataFrame, rows: DataFrame, loose: DataFrame, text_col: str = "text", rounds: int = ROUNDS, least: float = BELIEVED) -> DataFrame:
+    """kind, value and belief of the candidates that their contexts identify; `rows` are those of base(), `loose` those of candidates(), both written.
 
-    A pattern's score is the share of its word's occurrences in the corpus that stand beside a seed or, in part, beside
-    a candidate already believed; so a word that stands beside anything scores low. A candidate's belief is
-    1 - product(1 - score) over its patterns. Only patterns with MIN_SEEDS different seeds take part. A candidate of several
-    kinds goes to the one of most belief, ties to the one listed first.
+    Patterns are of a kind, like the values in them. In each round, those take part in which MIN_SEEDS different values stand that are
+    seeds or believed so far. A pattern's score is the share of its occurrences in the corpus that are seeds (each counts 1) or
+    candidates (each counts its belief so far); so a word that stands beside anything scores low, and under MIN_SCORE it doesn't count.
+    A candidate's belief is 1 - product(1 - score) over its patterns. Beliefs only grow; the rounds end when all of them together grow by less than GAIN.
     """
     seeds = reduce(DataFrame.unionAll, [rows.select(F.lit(k).alias("kind"), F.explode(k).alias("span")) for k in KINDS])
-    seeds = seeds.select("kind", F.lower("span.value").alias("value"), "span")
-    loose = rows.select("row", F.explode("loose").alias("span"))
-    loose = Settled(loose.select("row", "span", F.lower("span.value").alias("value"), F.explode(_kinds_of(F.col("span.value"))).alias("kind")), "pii-loose").df
-    strong = _edges(seeds).groupBy("kind", "pattern").agg(F.count("*").alias("seeds"), F.sum("times").alias("times")).filter(F.col("seeds") >= MIN_SEEDS)
-    strong = strong.withColumn("word", F.substr("pattern", F.lit(3)))
-    strong = Settled(strong.join(words, "word", "left").select("kind", "pattern", "times", "total"), "pii-patterns").df
-    candidates = _edges(loose.select("kind", "value", "span")).join(strong.select("kind", "pattern"), ["kind", "pattern"])
-    graph = Settled(candidates.select("kind", "pattern", "value", "times"), "pii-graph").df
-    belief = None
-    for _ in range(rounds):
-        held = graph.withColumn("belief", F.lit(0.0)) if belief is None else graph.join(belief, ["kind", "value"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
-        sums = held.groupBy("kind", "pattern").agg(F.sum(F.col("belief") * F.col("times")).alias("sum"), F.sum("times").alias("also"))
-        joined = strong.join(sums, ["kind", "pattern"])
-        # a word glued to what it stands beside is no word of its own in the counts
-        total = F.greatest(F.coalesce("total", F.lit(0)), F.col("times") + F.col("also"))
-        scored = joined.select("kind", "pattern", ((F.col("times") + F.col("sum")) / total).alias("score"))
-        doubt = graph.join(scored, ["kind", "pattern"]).groupBy("kind", "value").agg(F.sum(F.log1p(-F.least("score", F.lit(0.999)))).alias("doubt"))
-        belief = Settled(doubt.select("kind", "value", (1 - F.exp("doubt")).alias("belief")), "pii-belief").df
-    sure = belief.filter(F.col("belief") >= believed)
+    fixed = _edges(seeds.select("kind", F.lower("span.value").alias("value"), "span")).groupBy("kind", "pattern").agg(F.count("*").alias("seeds"), F.sum("times").alias("seed_times"))
+    edges = Settled(_edges(loose), "pii-edges")
+    also = edges.df.groupBy("kind", "pattern").agg(F.count("*").alias("others"), F.sum("times").alias("other_times"))
+    # a pattern without candidates reveals nothing; one that so few values stand in never counts
+    able = also.join(fixed, ["kind", "pattern"], "left").na.fill(0, ["seeds", "seed_times"]).filter(F.col("seeds") + F.col("others") >= MIN_SEEDS)
+    kind_of, said = F.split_part("pattern", F.lit(" "), F.lit(1)), F.regexp_replace("pattern", "^[a-z0-9]+ ", "")
+    able = Settled(able.withColumn("said", F.when(kind_of == "g", F.concat(F.lit(FRONT), said)).otherwise(said)), "pii-able")
+    belief = Settled(edges.df.select("kind", "value", F.lit(0.0).alias("belief")).limit(0), "pii-belief")
+    if (able.df.agg(F.max("seeds")).first()[0] or 0) >= MIN_SEEDS:
+        totals = _totals(docs, text_col, able.df.select("said").distinct())
+        counted = able.df.join(totals, "said", "left").withColumn("total", F.greatest(F.coalesce("total", F.lit(0)), F.col("seed_times") + F.col("other_times")))
+        # nor does one ever count of whose occurrences too few are candidates or seeds
+        patterns = Settled(counted.filter(F.col("seed_times") + F.col("other_times") >= MIN_SCORE * F.col("total")).select("kind", "pattern", "seeds", "seed_times", "total"), "pii-patterns")
+        graph = Settled(edges.df.join(patterns.df.select("kind", "pattern"), ["kind", "pattern"], "left_semi"), "pii-graph")
+        mass = 0.0
+        for _ in range(rounds if patterns.df.filter(F.col("seeds") >= MIN_SEEDS).count() else 0):
+            held = graph.df.join(belief.df, ["kind", "value"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
+            sums = held.groupBy("kind", "pattern").agg(F.sum(F.col("belief") * F.col("times")).alias("mass"), F.count_if(F.col("belief") >= least).alias("sure"))
+            scored = patterns.df.join(sums, ["kind", "pattern"]).filter(F.col("seeds") + F.col("sure") >= MIN_SEEDS).select("kind", "pattern", ((F.col("seed_times") + F.col("mass")) / F.col("total")).alias("score"))
+            doubt = graph.df.join(scored.filter(F.col("score") >= MIN_SCORE), ["kind", "pattern"]).groupBy("kind", "value").agg(F.sum(F.log1p(-F.least("score", F.lit(0.999)))).alias("doubt"))
+            after = Settled(doubt.select("kind", "value", (1 - F.exp("doubt")).alias("belief")), "pii-belief")
+            belief.drop()
+            belief, before = after, mass
+            mass = after.df.agg(F.coalesce(F.sum("belief"), F.lit(0.0))).first()[0]
+            if mass - before <= GAIN * mass:
+                break
+        graph.drop()
+        patterns.drop()
+    edges.drop()
+    able.drop()
+    return belief.df.filter(F.col("belief") >= least)
+
+
+def discovered(docs: DataFrame, rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """row, kind, start and end of the candidates that are believed. One of several kinds goes to that of most belief, ties to the one listed first."""
+    loose = Settled(candidates(rows), "pii-loose").df
+    sure = believed(docs, rows, loose, text_col)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
     hits = loose.join(sure, ["kind", "value"]).groupBy("row", "span.start", "span.end").agg(F.max_by("kind", F.struct("belief", -order)).alias("kind"))
     return hits.select("row", "kind", "start", "end")
@@ -196,7 +258,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Repeated rows get equal spans. Other columns aren't read. An empty table gives no rows.
     """
     rows = Settled(base(docs, id_col, text_col), "pii-spans").df
-    added = discovered(rows, word_counts(docs, text_col)).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
+    added = discovered(docs, rows, text_col).groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     joined = rows.join(added.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
     kind_of = F.array(*map(F.lit, KINDS))
     fixed = F.concat(*(F.transform(k, _ranked(k)) for k in KINDS))
