@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one, but only if all of Spark runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -45,14 +49,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
 class Settled:
     """A DataFrame written to the shared folder and read back: its lineage ends there, and lost executors cost no recomputation."""
 
+    #: Those written and not dropped yet.
+    live: ClassVar[list[Settled]] = []
+
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = new_path(self.spark, name)
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        Settled.live.append(self)
 
     def drop(self) -> None:
+        """Delete the table; nothing that is still to be computed may read it."""
         drop_path(self.spark, self.path)
+        Settled.live.remove(self)
+
+
+@contextmanager
+def scratch() -> Iterator[list[Settled]]:
+    """Drop, at the end, the tables that were settled within, but for those put into the list that it gives."""
+    before, kept = list(Settled.live), []
+    yield kept
+    for table_ in [t for t in Settled.live if t not in before and t not in kept]:
+        table_.drop()
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
