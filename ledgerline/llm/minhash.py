@@ -13,12 +13,12 @@ multisets. Texts of equal words are one class from the start.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Settled
@@ -32,8 +32,12 @@ K = ROWS * BANDS
 DARTS = K * (np.log(K) + 4)
 #: Texts of a band that one block takes, in expectation.
 BLOCK = 512
-#: Candidate classes up to which their ids are broadcast to the documents; beyond that, the two are joined by a shuffle.
+#: Candidate classes up to which hashes of their ids (8 bytes each) are broadcast to the documents; beyond that, the two are joined by a shuffle.
 BROADCAST_CLASSES = 500_000
+#: A band with more than 1 / HOT of all texts is hot. Each text is in BANDS bands, so there are at most BANDS * HOT of them, few enough to broadcast.
+HOT = 1000
+#: Bytes of shingle sets that a task holds for reuse.
+HELD_BYTES = 64 << 20
 _EMPTY = np.zeros(0, dtype=np.uint64)
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -137,29 +141,37 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, digest of the words, bands and sketch (a byte of each coordinate) for every row, without a shuffle; without words, no bands."""
+    """id, t1 and t2 (128 bits of the text), digest of the words, bands and sketch (a byte of each coordinate) for every row, without a shuffle; without words, no bands."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                made = [shingles(text) for text in part.column(1).to_pylist()]
+                made = [shingles(text) for text in part.column(3).to_pylist()]
                 signatures = [signature(items, counts) if len(items) else None for _, items, counts in made]
                 hashes = pa.array([None if g is None else bands(g).astype(np.int64) for g in signatures], type=pa.list_(pa.int64()))
                 sketches = pa.array([None if g is None else (g >> np.uint64(40)).astype(np.uint8).tobytes() for g in signatures], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([m[0] for m in made], type=pa.binary()), hashes, sketches], names=["id", "digest", "bands", "sketch"])
+                columns = [*part.columns[:3], pa.array([m[0] for m in made], type=pa.binary()), hashes, sketches]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "t1", "t2", "digest", "bands", "sketch"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, digest binary, bands array<long>, sketch binary")
+    picked = docs.select(F.col(id_col).alias("id"), *text_hashes(F.col(text_col)), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"id {kind}, t1 long, t2 long, digest binary, bands array<long>, sketch binary")
+
+
+def text_hashes(text: Column) -> list[Column]:
+    """128 bits that stand for a text, as t1 and t2."""
+    return [F.xxhash64(text.cast("string")).alias("t1"), F.xxhash64(F.lit("text"), text.cast("string")).alias("t2")]
 
 
 def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """digest and text, once each, of the classes in `needed` (digest and the id of a row that has it)."""
-    wanted = needed.select(F.col("id").alias("wanted")).distinct()
+    # hashes are of one size whatever the ids are; what collides is sorted out by the digests
+    wanted = needed.select(F.xxhash64("id").alias("wanted")).distinct()
     if needed.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+    rows = docs.select(F.xxhash64(F.col(id_col)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = rows.join(wanted, F.col("id") == F.col("wanted"), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +182,24 @@ def texts_of(docs: DataFrame, needed: DataFrame, id_col: str, text_col: str) ->
     return digested.join(needed.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
 
 
+class Held:
+    """Shingle multisets by digest, forgotten all at once when they exceed HELD_BYTES."""
+
+    def __init__(self) -> None:
+        self.sets: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+        self.bytes = 0
+
+    def get(self, digest: bytes, text: pa.StringScalar) -> tuple[np.ndarray, np.ndarray]:
+        found = self.sets.get(digest)
+        if found is None:
+            found = shingles(text.as_py())[1:]
+            if self.bytes > HELD_BYTES:
+                self.sets, self.bytes = {}, 0
+            self.sets[digest] = found
+            self.bytes += found[0].nbytes + found[1].nbytes
+        return found
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of classes with the verdict `linked`, from the whole shingle multisets of their texts."""
     one = texts.select(F.col("digest").alias("a"), F.col("text").alias("ta"))
@@ -177,40 +207,31 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, tuple] = {}
-
-        def of(digest: bytes, text: str) -> tuple:
-            if digest not in held:
-                if len(held) >= 256:
-                    held.clear()
-                held[digest] = shingles(text)[1:]
-            return held[digest]
-
+        held = Held()
         for batch in batches:
             linked = []
             for a, b, ta, tb in zip(*(batch.column(k) for k in range(4)), strict=True):
-                linked.append(similarity(of(a.as_py(), ta.as_py()), of(b.as_py(), tb.as_py())) >= least)
+                linked.append(similarity(held.get(a.as_py(), ta), held.get(b.as_py(), tb)) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, type=pa.bool_())], names=["a", "b", "linked"])
 
     return both.mapInArrow(run, "a binary, b binary, linked boolean")
 
 
-def _links(rows: pa.Table, agree: int, least: float) -> tuple[list[bytes], list[bytes]]:
-    """Links between different roots, within runs of equal (band, one, two): enough of them to span all that are similar.
+def _near(rows: pa.Table, agree: int) -> np.ndarray:
+    """Pairs of rows (i, j, agreeing places) of different roots, within runs of equal (band, one, two), whose sketches agree in `agree` places.
 
-    Pairs are taken up in the first band that they share, if their sketches agree in `agree` places, and compared by text
-    unless links found here join them already.
+    A pair is taken up in the first band that the two share.
     """
     n = rows.num_rows
     keys = np.column_stack([np.asarray(rows[c]) for c in ("band", "one", "two")])
     starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(1)))
     end = np.repeat(np.append(starts[1:], n), np.diff(np.append(starts, n)))
-    digest, block, number = rows["digest"].to_pylist(), np.asarray(rows["block"]), np.asarray(rows["no"])
-    root = np.unique(np.array(rows["root"].to_pylist(), dtype="V16").view("S16"), return_inverse=True)[1]
+    block, number = np.asarray(rows["block"]), np.asarray(rows["no"])
+    root = _numbered(rows["root"])
     sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), dtype=np.uint8).reshape(n, K)
     across = keys[:, 1] != keys[:, 2]  # of two blocks, only pairs between them
     at, step = np.arange(n), 1
-    found = []
+    found = [np.zeros((0, 3), dtype=np.int64)]
     while len(at := at[at + step < end[at]]):
         some = at[(root[at] != root[at + step]) & (~across[at] | (block[at] != block[at + step]))]
         for low in range(0, len(some), 20_000):
@@ -221,7 +242,17 @@ def _links(rows: pa.Table, agree: int, least: float) -> tuple[list[bytes], list[
             first = same.reshape(-1, BANDS, ROWS).all(2).argmax(1) == number[i]
             found.append(np.column_stack([i[first], i[first] + step, same[first].sum(1)]))
         step += 1
-    pairs = np.concatenate(found) if found else np.zeros((0, 3), dtype=np.int64)
+    return np.concatenate(found)
+
+
+def _numbered(digests: pa.ChunkedArray) -> np.ndarray:
+    """Digests of 16 bytes as numbers from 0 on."""
+    return np.unique(np.array(digests.to_pylist(), dtype="V16").view("S16"), return_inverse=True)[1]
+
+
+def _links(rows: pa.Table, agree: int, least: float) -> pa.RecordBatch:
+    """Links between different roots, from whole texts: enough of those within runs of equal (band, one, two) to span all that are similar."""
+    pairs, root, digest = _near(rows, agree), _numbered(rows["root"]), rows["digest"].to_pylist()
     up = list(range(int(root.max(initial=-1)) + 1))
 
     def top(x: int) -> int:
@@ -230,62 +261,71 @@ def _links(rows: pa.Table, agree: int, least: float) -> tuple[list[bytes], list[
             x = up[x]
         return x
 
-    held: dict[bytes, tuple] = {}
-
-    def of(k: int) -> tuple:
-        if digest[k] not in held:
-            if len(held) >= 4096:
-                held.clear()
-            held[digest[k]] = shingles(rows["text"][k].as_py())[1:]
-        return held[digest[k]]
-
-    a, b = [], []
+    held, a, b = Held(), [], []
     for i, j, _ in pairs[np.argsort(-pairs[:, 2], kind="stable")].tolist():
         x, y = top(int(root[i])), top(int(root[j]))
-        if x != y and similarity(of(i), of(j)) >= least:
+        if x != y and similarity(held.get(digest[i], rows["text"][i]), held.get(digest[j], rows["text"][j])) >= least:
             up[x] = y
             a.append(digest[i])
             b.append(digest[j])
-    return a, b
-
+    return pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
 
-def linked_in_blocks(left: DataFrame, least: float) -> DataFrame:
-    """Links (a, b) that join the roots of `left` (band, no, m, digest, root, sketch, text) wherever a band holds similar texts.
 
-    Bands are cut into blocks by hash, and pairs of blocks are compared within a task, so neither pairs nor whole bands come
-    together. Of a pair of similarity `least`, too few coordinates agree only with a chance of 3e-7.
-    """
-    agree = int(K * least - 5 * (K * least * (1 - least)) ** 0.5)
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    cut = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cut = cut.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "no", "digest", "root", "sketch", "text")
-    dealt = cut.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
+def _in_runs(dealt: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """What `work` makes of whole runs of equal (band, one, two), which are the first columns and in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            a, b = _links(pa.Table.from_batches(parts), agree, least)
-            return pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.column_stack([np.asarray(batch.column(k)) for k in range(3)])
             changes = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             if held and tuple(keys[0]) != tuple(held[-1].column(k)[held[-1].num_rows - 1].as_py() for k in range(3)):
-                yield links(held)
+                yield work(pa.Table.from_batches(held))
                 held = []
             if len(changes):  # all runs but the last are whole
-                yield links([*held, batch.slice(0, int(changes[-1]))])
+                yield work(pa.Table.from_batches([*held, batch.slice(0, int(changes[-1]))]))
                 held = []
                 batch = batch.slice(int(changes[-1]))
             held.append(batch)
         if held:
-            yield links(held)
+            yield work(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def linked_in_blocks(left: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) that join the roots of `left` (band, no, m, digest, root, sketch) wherever a band holds similar texts (digest, text).
+
+    Bands are cut into blocks by hash, and pairs of blocks are compared within a task, so neither pairs nor whole bands come
+    together. Blocks meet twice: first with sketches alone, which tell the members that resemble another one there; then these
+    members bring their texts. Of a pair of similarity `least`, too few coordinates agree only with a chance of 3e-7.
+    """
+    agree = int(K * least - 5 * (K * least * (1 - least)) ** 0.5)
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cut = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cut = cut.select("band", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "no", "digest", "root", "sketch")
+    runs = lambda df: df.repartition("band", "one", "two").sortWithinPartitions("band", "one", "two")
+
+    def near(rows: pa.Table) -> pa.RecordBatch:
+        some = rows.take(pa.array(np.unique(_near(rows, agree)[:, :2]), type=pa.int64()))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in some.columns], names=some.schema.names)
+
+    alike = _in_runs(runs(cut), near, "band long, one int, two int, block int, no int, digest binary, root binary, sketch binary")
+    full = alike.join(texts, "digest").select("band", "one", "two", "block", "no", "digest", "root", "sketch", "text")
+    return _in_runs(runs(full), lambda rows: _links(rows, agree, least), "a binary, b binary")
 
-    return dealt.mapInArrow(run, "a binary, b binary")
+
+def by_band(rows: DataFrame, bands_: DataFrame, hot: float) -> DataFrame:
+    """`rows` with what `bands_` (band, m and more, one row each; m texts are in it) says of their bands; rows of other bands go.
+
+    Hot bands are broadcast, so that their many rows stay where they are; all others are joined by a shuffle.
+    """
+    few = F.broadcast(bands_.filter(F.col("m") > hot))
+    many = rows.join(few.select("band"), "band", "left_anti").join(bands_.filter(F.col("m") <= hot), "band")
+    return rows.join(few, "band").unionByName(many)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -300,28 +340,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     only if their texts are; each gets the smallest id of its class, and `kept` holds for all rows with that id. A null id
     counts as larger than all others. Other columns aren't read. An empty table gives no rows.
     """
+    out = classed(docs, id_col, text_col, least)
+    return out.select("id", "class_id", F.coalesce(F.col("id").eqNullSafe(F.col("class_id")), F.lit(False)).alias("kept"))
+
+
+def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """id, t1 and t2 (see text_hashes), root (names the class; null for a text without words) and class_id for every row; see near_duplicates."""
     rows = Settled(signed(docs, id_col, text_col), "minhash-rows").df
     # of a class of equal texts, one row goes on
     classes = Settled(rows.filter("bands is not null").groupBy("digest").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "minhash-classes").df
+    hot = max(classes.count() / HOT, BLOCK)
     banded = classes.select("digest", F.posexplode("bands").alias("no", "band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("m"), F.min("digest").alias("l0"), F.min_by("digest", F.xxhash64("digest")).alias("l1"), F.max("digest").alias("l2")).filter("m > 1")
-    members = Settled(banded.join(shared, "band"), "minhash-members").df
-    leaders = members.select("digest", F.explode(F.array("l0", "l1", "l2")).alias("leader")).filter("digest <> leader")
-    pairs = Settled(leaders.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct(), "minhash-pairs").df
-    needed = Settled(classes.select("digest", "id").join(members.select("digest").distinct(), "digest", "left_semi"), "minhash-needed").df
-    texts = Settled(texts_of(docs, needed, id_col, text_col), "minhash-texts").df
-    first = Settled(verified(pairs, texts, least), "minhash-verified").df
-    roots = Settled(components(first.filter("linked")), "minhash-roots").df
+    shared = Settled(banded.groupBy("band").agg(F.count("*").alias("m"), F.min("digest").alias("l0"), F.min_by("digest", F.xxhash64("digest")).alias("l1"), F.max("digest").alias("l2")).filter("m > 1"), "minhash-bands")
+    members = Settled(by_band(banded, shared.df, hot), "minhash-members")
+    shared.drop()
+    leaders = members.df.select("digest", F.explode(F.array("l0", "l1", "l2")).alias("leader")).filter("digest <> leader")
+    pairs = Settled(leaders.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct(), "minhash-pairs")
+    needed = Settled(classes.select("digest", "id").join(members.df.select("digest").distinct(), "digest", "left_semi"), "minhash-needed")
+    texts = Settled(texts_of(docs, needed.df, id_col, text_col), "minhash-texts")
+    first = Settled(verified(pairs.df, texts.df, least), "minhash-verified")
+    roots = Settled(components(first.df.filter("linked")), "minhash-roots")
+    for done in (pairs, needed, first):
+        done.drop()
     # bands whose members are still in several components
-    placed = members.select("band", "no", "digest", "m").join(roots.withColumnRenamed("node", "digest"), "digest", "left").select("band", "no", "digest", "m", F.coalesce("root", "digest").alias("root"))
-    apart = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("band")
-    left = placed.join(apart, "band").join(classes.select("digest", "sketch"), "digest").join(texts, "digest")
-    second = Settled(linked_in_blocks(left, least), "minhash-links").df
-    links = roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(second)
+    placed = members.df.select("band", "no", "digest", "m").join(roots.df.withColumnRenamed("node", "digest"), "digest", "left").select("band", "no", "digest", "m", F.coalesce("root", "digest").alias("root"))
+    placed = Settled(placed, "minhash-placed")
+    apart = placed.df.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.first("m").alias("m")).filter("r0 <> r1").select("band", "m")
+    left = by_band(placed.df.drop("m"), apart, hot).join(classes.select("digest", "sketch"), "digest")
+    second = Settled(linked_in_blocks(left, texts.df, least), "minhash-links")
+    links = roots.df.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(second.df)
     final = components(links)
+    for done in (members, texts, roots, placed, second):
+        done.drop()
     named = classes.select("digest", "id").join(final.withColumnRenamed("node", "digest"), "digest", "left").select("digest", "id", F.coalesce("root", "digest").alias("root"))
     top = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    grouped = named.join(top, "root").select("digest", "class_id")
-    out = rows.select("id", "digest", F.col("bands").isNotNull().alias("worded")).join(grouped, "digest", "left")
-    class_id = F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("id"))
-    return out.select("id", class_id.alias("class_id"), F.coalesce(F.col("id").eqNullSafe(class_id), F.lit(False)).alias("kept"))
+    grouped = named.join(top, "root").select("digest", "root", "class_id")
+    out = rows.select("id", "t1", "t2", "digest", F.col("bands").isNotNull().alias("worded")).join(grouped, "digest", "left")
+    return out.select("id", "t1", "t2", F.when(F.col("worded"), F.col("root")).alias("root"), F.when(F.col("worded"), F.col("class_id")).otherwise(F.col("id")).alias("class_id"))

@@ -384,7 +384,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
     assert kept == len(set(want.values()))
     assert minhash.near_duplicates(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None)], "doc_id long, text string")
-    assert sorted(map(str, minhash.near_duplicates(twice).collect())) == sorted(map(str, [(1, 1, True), (1, 1, True), (None, 1, False), (2, 2, True)])) or minhash.near_duplicates(twice).count() == 4
+    assert sorted(map(str, map(tuple, minhash.near_duplicates(twice).collect()))) == sorted(map(str, [(1, 1, True), (1, 1, True), (None, 1, False), (2, 2, True)]))
 
 
 def test_darts_estimate_weighted_jaccard():
