@@ -22,32 +22,48 @@ WEIGHTS = (5, 2, 1)
 #: Words the whole mix takes over words there are, and the most a source may be repeated.
 TOTAL, MOST = 1.5, 2.0
 BLOCK_ROWS = 4096
-#: The table of sources is broadcast up to so many rows; beyond that, it is joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+#: Sources up to which their table is broadcast, with names of NAME_BYTES on average at most; beyond that, it is joined by a shuffle.
+BROADCAST_SOURCES, NAME_BYTES = 20_000, 200
+
+
+def numbered(per: DataFrame) -> DataFrame:
+    """`per` (one row for each source) with `rank`, the place of each source in code point order from 0 on, a null one last.
+
+    Sources are sorted across partitions; what reaches the driver is the number of sources in each partition.
+    """
+    order = F.col("source").asc_nulls_last()
+    parted = Settled(per.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "mix-ranges").df
+    before, sizes = 0, {r["part"]: r["n"] for r in parted.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    starts = []
+    for part in sorted(sizes):
+        starts += [F.lit(part), F.lit(before)]
+        before += sizes[part]
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    return parted.withColumn("rank", place + (F.create_map(*starts)[F.col("part")] if starts else F.lit(0))).drop("part")
 
 
 def targets(sizes: DataFrame) -> DataFrame:
     """source, n_docs, source_size and target for each source of a frame with `source` and `size`.
 
     Weights repeat along the sources in code point order, a null source last. Shares that exceed MOST times a source's size stop
-    there and the excess goes to the others by weight: with sources ordered by MOST * size / weight, the level that all
-    uncapped sources reach per unit of weight is the largest that lies under the ratio of the source it starts from.
-
-    Three windows without keys pass all sources, one row each, through one task. So this is meant for up to about BROADCAST_SOURCES
-    sources; with more the results stay right, but that task's time grows with them.
+    there and the excess goes to the others by weight. The level that uncapped sources reach per unit of weight is found by
+    aggregation: from the level without caps on, those that it would take beyond their caps are set aside and the level rises, until it
+    takes none. Sums are of whole numbers, so reruns agree to the last bit.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod(rank - 1, F.lit(len(WEIGHTS))) + 1)
-    per = per.withColumn("weight", weight.cast("double")).withColumn("most", F.col("source_size") * F.lit(MOST))
-    per = per.withColumn("ratio", F.col("most") / F.col("weight"))
-    everything = Window.partitionBy()
-    before = Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.sum("source_size").over(everything) * F.lit(TOTAL) - F.coalesce(F.sum("most").over(before), F.lit(0.0))
-    per = per.withColumn("level", left / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
-    target = F.least(F.coalesce(F.col("weight") * level, F.col("most")), F.col("most"))
-    return per.select("source", "n_docs", "source_size", target.alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), F.pmod("rank", F.lit(len(WEIGHTS))).cast("int") + 1)
+    per = Settled(numbered(per).withColumn("weight", weight), "mix-weights").df
+    total = per.agg(F.sum("source_size")).first()[0] or 0
+    most, level = F.col("source_size") * F.lit(MOST), 0.0
+    while True:
+        over = most < F.col("weight") * F.lit(level)
+        capped, open_ = per.agg(F.sum(F.when(over, F.col("source_size"))), F.sum(F.when(~over, F.col("weight")))).first()
+        if not open_:
+            break
+        before, level = level, (TOTAL * total - MOST * (capped or 0)) / open_
+        if level <= before:
+            break
+    return per.select("source", "n_docs", "source_size", F.least(F.col("weight") * F.lit(level), most).alias("target"))
 
 
 def fly(p: list[float], size: list[float], rng: np.random.Generator) -> list[int]:
@@ -119,7 +135,7 @@ def land(p: list[float], size: list[float], units: list[int], free: list[int], w
 
 def _fly_block(block: pa.Table) -> pa.Table:
     """One block of one source; of a source in one block, the last units land."""
-    order = sorted(range(block.num_rows), key=lambda i, s=block["size"].to_pylist(), k=block["key"].to_pylist(): (-s[i], k[i]))
+    order = sorted(range(block.num_rows), key=lambda i, s=block["size"].to_pylist(), k=block["key"].to_pylist(), n=block["copy"].to_pylist(): (-s[i], k[i], n[i]))
     block = block.take(pa.array(order, type=pa.int64()))
     rng = np.random.default_rng(seed_of("mix", block["source"][0].as_py(), block["block"][0].as_py(), block["round"][0].as_py()))
     p, size = block["p"].to_pylist(), [float(x) for x in block["size"].to_pylist()]
@@ -133,28 +149,31 @@ def _fly_block(block: pa.Table) -> pa.Table:
 def _blocks(df: DataFrame, n: Column, step: int) -> DataFrame:
     """Add block, n_blocks and round, n being the rows of a source."""
     n_blocks = F.greatest(F.ceil(n / BLOCK_ROWS), F.lit(1)).cast("long")
-    return df.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(step), "key"), "n_blocks")).withColumn("round", F.lit(step))
+    return df.withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(step), "key", "copy"), "n_blocks")).withColumn("round", F.lit(step))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None) -> DataFrame:
     """id, key, source, size, source_size, target, copies (0, 1 or 2) and taken for every document.
 
-    `key` orders documents within blocks (by default the id as text); documents that share key and size are interchangeable.
-    A null text has size 0; a null source is a source of its own, the last one. Documents of size 0 may be taken but add no
-    words. Reruns give equal results, whatever the partitioning. An empty table gives no rows.
+    `key` orders documents within blocks (by default the id as text, of rows without id a hash of the text); documents that share
+    id, key, source and size are interchangeable. A null text has size 0; a null source is a source of its own, the last one.
+    Documents of size 0 may be taken but add no words. Repeated rows are counted and numbered first, so that they spread over blocks
+    however many there are. Reruns give equal results, whatever the partitioning. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.coalesce(key if key is not None else F.col(id_col).cast("string"), F.lit("")).alias("key"))
-    sized = Settled(rows, "mix-sizes").df
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.xxhash64(F.col(text_col).cast("string"))))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.coalesce(key if key is not None else own, F.lit("")).alias("key"))
+    alike = rows.groupBy("id", "source", "size", "key").agg(F.count("*").alias("_rows"))
+    sized = Settled(alike.select("id", "source", "size", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("copy")), "mix-sizes").df
     per = Settled(targets(sized), "mix-targets").df
-    n_sources = per.count()
-    most = (per.agg(F.max("n_docs")).first()[0] or 0) if n_sources else 0
-    joined = sized.join(F.broadcast(per) if n_sources <= BROADCAST_SOURCES else per, sized["source"].eqNullSafe(per["source"])).drop(per["source"])
+    about = per.agg(F.count("*").alias("n"), F.max("n_docs").alias("most"), F.sum(F.octet_length(F.coalesce("source", F.lit("")))).alias("bytes")).first()
+    most, few = about["most"] or 0, about["n"] <= BROADCAST_SOURCES and (about["bytes"] or 0) <= BROADCAST_SOURCES * NAME_BYTES
+    joined = sized.join(F.broadcast(per) if few else per, sized["source"].eqNullSafe(per["source"])).drop(per["source"])
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(times + 1e-12)
     start = joined.withColumn("whole", whole.cast("long")).withColumn("p", F.greatest(times - whole, F.lit(0.0)))
     kind = rows.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, source string, size long, key string, n_docs long, source_size long, target double, whole long, p double, n_blocks long, block long, round int"
+    schema = f"id {kind}, source string, size long, key string, copy long, n_docs long, source_size long, target double, whole long, p double, n_blocks long, block long, round int"
     todo, done, step = _blocks(start, F.col("n_docs"), 0), [], 0
     while True:
         flown = Settled(todo.groupBy("source", "block").applyInArrow(_fly_block, schema), f"mix-{step}").df
