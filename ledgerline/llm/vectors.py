@@ -24,7 +24,7 @@ TABLES, PROBES, SCALE = 10, 2, 3.2
 DIM = 8
 SEED = 20240229
 #: Vectors of a lattice point that one block takes, in expectation.
-BLOCK = 512
+BLOCK = 256
 _HALF = np.array([[0.0] * 8, [0.5] * 8])
 #: The 240 shortest vectors of E8: two entries of 1 or -1, or eight of 1/2 or -1/2 with an even number of minus signs.
 _SHORT = np.array(
