@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import language, lines, minhash, mixing, packing
-from ledgerline.llm.common import WORD, free_name, settle, table
+from ledgerline.llm.common import WORD, Settled, free_name, scratch, settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -26,21 +26,36 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that spread over many sources go; documents left without a word go too. n_chars is that of the new text."""
+    """Lines that spread over many sources go; documents left without a word go too. n_chars is that of the new text.
+
+    So null and empty texts go. Repeated rows are treated alike; a null source counts as a source of its own.
+    """
     cleaned = lines.dedup(docs).filter(F.col("text").rlike(WORD))
     return cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[c for c in docs.columns if c in cleaned.columns])
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: that of the smallest id; of rows that repeat it, one."""
-    kept = settle(minhash.near_duplicates(docs).filter("kept").groupBy(F.col("id").alias("_kept")).agg(F.count("*").alias("_rows")), "pipeline-kept")
-    found = docs.join(kept.select("_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    # ids are unique as a rule; only where they aren't are whole texts compared
-    return found if kept.filter("_rows > 1").isEmpty() else found.dropDuplicates(["doc_id", "text"])
+    """One document of each class of near duplicates stays: of the smallest id and, where that has several texts, of the smallest hash.
+
+    Of equal rows one stays. Texts without words are alike only if they and their ids are. A null id comes after all others.
+    """
+    found = minhash.classed(docs)
+    at = F.struct(F.col("id").isNull().alias("last"), "id", "t1", "t2")
+    kept = found.groupBy("root", F.when(F.col("root").isNull(), F.struct("id", "t1", "t2")).alias("alone")).agg(F.min(at).alias("at"), F.count("*").alias("_rows"))
+    names = [free_name(docs, n) for n in ("_id", "_t1", "_t2")]
+    kept = settle(kept.select(*[F.col(f"at.{c}").alias(n) for c, n in zip(("id", "t1", "t2"), names, strict=True)], "_rows"), "pipeline-kept")
+    key = [F.col("doc_id"), *minhash.text_hashes(F.col("text"))]
+    same = [a.eqNullSafe(F.col(n)) for a, n in zip(key, names, strict=True)]
+    own = docs.join(kept.drop("_rows"), same[0] & same[1] & same[2], "left_semi")
+    # a class of one row needs no more; only where there are classes of several are whole rows compared
+    return own if kept.filter("_rows > 1").isEmpty() else own.dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them: not at all, once or twice."""
+    """Documents come as often as the mix takes them: not at all, once or twice.
+
+    Null texts have no words and add none; repeated rows share what the mix takes of them; ties are settled by a hash of id and text.
+    """
     key = F.concat_ws(":", F.col("doc_id").cast("string"), "source", F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
     mixed = mixing.mix(docs, key=key).filter("copies > 0").select("key", "copies")
     # rows that share the key are equal in size and source, and so interchangeable: they share what the mix takes of them
@@ -52,7 +67,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of balanced cost."""
+    """Pack what is left into sequences of balanced cost: a row for each piece, with the checksum of its ids.
+
+    Null and empty texts are their closing id alone. A null id stays null; repeated rows are packed as often as they come. Ties in
+    cost go to the sequence opened first. An empty table gives no rows.
+    """
     return packing.digest(packing.pack(docs))
 
 
@@ -70,9 +89,15 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, made = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle(docs, f"pipeline-{k}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        before = made
+        with scratch() as kept:
+            made = Settled(stage(spark, docs, sf_dir), f"pipeline-{k}")
+            kept.append(made)
+        docs = made.df
+        if before:
+            before.drop()
     return docs
