@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def closure(roots: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     """root, node and depth (the fewest steps) of everything within `steps` of each root; edges have src and dst.
 
-    Each round goes on from nodes that it reached for the first time only, so cycles end.
+    Each level is made of the one before by one join, and depths are settled once at the end; so the plan grows with the steps, not
+    with their square, and cycles end with the steps.
+    """
+    levels = [roots.select("root", F.col("root").alias("node")).distinct()]
+    for _ in range(steps):
+        levels.append(levels[-1].join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct())
+    found = [level.withColumn("depth", F.lit(depth)) for depth, level in enumerate(levels)]
+    return reduce(DataFrame.unionByName, found).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+
+
+def settled_closure(roots: DataFrame, edges: DataFrame, steps: int, failed: Column) -> DataFrame:
+    """root, node, depth and complete: what each root reaches, or one row without a node where that can't be told in full.
+
+    It can't where a node that is reached has `failed` (a test on `node`), or where the steps don't lead to an end.
     """
-    reached = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    front = reached
-    for depth in range(1, steps + 1):
-        onward = front.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        front = onward.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        reached = reached.unionByName(front)
-    return reached
+    reached = closure(roots, edges, steps + 1)
+    bad = failed | (F.col("depth") > steps)
+    whole = reached.groupBy("root").agg(F.max(bad).alias("bad"))
+    rows = reached.join(whole.filter("NOT bad").select("root"), "root", "left_semi").select("root", "node", "depth", F.lit(True).alias("complete"))
+    types = {f.name: f.dataType for f in reached.schema.fields}
+    none = whole.filter("bad").select("root", F.lit(None).cast(types["node"]).alias("node"), F.lit(None).cast(types["depth"]).alias("depth"), F.lit(False).alias("complete"))
+    return rows.unionByName(none)

@@ -18,7 +18,8 @@ def drain_scored(queue: DataFrame, options: DataFrame) -> DataFrame:
     """task, arch and worker: tasks (arch, kind, task, tried) by id, each take their kind's best free worker other than the one they tried.
 
     options (arch, kind, worker, slots, score) are the workers that a kind of task may take; of equal scores, the lower id is better.
-    Slots make the result depend on order, but only within an architecture, so each is a group of its own. Of tasks of a kind that
+    Slots make the result depend on order, but only within an architecture, so each is a group of its own. A task there holds one row
+    for each option of a kind and, of the queue, no more than slots times kinds times workers tried, whatever the queue's length. Of tasks of a kind that
     tried the same worker, no more can be served than their kind has slots, so only as many are gathered; a worker that isn't an
     option counts as none tried.
     """

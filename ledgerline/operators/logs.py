@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.classify import environmental, rule
+from ..functions.classify import VERDICTS, environment_at_fault, environmental, rule
 
 #: Lines from a log's end that the classifier looks at.
 TAIL = 200
@@ -15,13 +16,29 @@ _IN_ORDER = "OVER (PARTITION BY log_id ORDER BY line_no)"
 DIAGNOSTIC = r"^([^\s:]+):([0-9]+)(?::([0-9]+))?: (error|warning): (.*)$"
 
 
-def classified(logs: DataFrame) -> DataFrame:
-    """log_id, the rule that a failed run's log meets first, and whether its last TAIL lines tell of a broken environment."""
-    last = logs.withColumn("back", F.expr("row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC)")).filter(F.col("back") <= TAIL)
+def classified(logs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """log_id, the rule that each run meets first, kind and attribution, its errors and warnings, and whether its last TAIL lines tell of a broken environment.
+
+    `runs` (log_id, exit_code, timed_out, oom, tests: whether its test results may be read) says how each ended; without it, all failed
+    with code 101. A log's end is found by its greatest line number, without sorting it; runs without a log count as those with an empty one.
+    """
+    whole = Window.partitionBy("log_id")
+    located = F.col("line").rlike(r"^\S+:[0-9]+(:[0-9]+)?: error: ")
+    file = F.regexp_extract("line", r"^(\S+?):[0-9]+", 1)
+    last = logs.withColumn("_n", F.max("line_no").over(whole)).filter(F.col("line_no") > F.col("_n") - TAIL)
     tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    facts = last.groupBy("log_id").agg(tail.alias("tail"), F.count_if(F.col("line").rlike(r"^\S+:[0-9]+(:[0-9]+)?: error: ")).alias("errors"))
-    failed = F.coalesce(F.regexp_extract("tail", r"; ([1-9][0-9]*) failed", 1).try_cast("int"), F.lit(0))
-    return facts.select("log_id", rule(F.lit(101), F.lit(False), F.col("errors"), F.lit(0), failed, F.lit(False), F.col("tail")).alias("rule"), environmental(F.col("tail")).alias("environmental"))
+    failed = F.coalesce(F.regexp_extract("line", r"; ([1-9][0-9]*) failed", 1).try_cast("int"), F.lit(0))
+    facts = last.groupBy("log_id").agg(
+        tail.alias("tail"), F.count_if(located).alias("errors"), F.count_if(located & environment_at_fault(file, F.col("line"))).alias("env_errors"),
+        F.count_if(F.col("line").rlike(r"^\S+:[0-9]+(:[0-9]+)?: warning: ")).alias("warnings"), F.max(failed).alias("failed"),
+    )
+    if runs is None:
+        facts = facts.withColumns({"exit_code": F.lit(101), "timed_out": F.lit(False), "oom": F.lit(False), "tests": F.lit(True)})
+    else:
+        facts = runs.join(facts, "log_id", "left").na.fill(0, ["errors", "env_errors", "warnings", "failed"]).na.fill("", ["tail"])
+    first = rule(F.col("exit_code"), F.col("timed_out"), F.col("errors"), F.col("env_errors"), F.when(F.col("tests"), F.col("failed")).otherwise(0), F.col("oom"), F.col("tail"))
+    verdict = lambda k: F.element_at(F.create_map(*[F.lit(x) for name, v in VERDICTS.items() for x in (name, v[k])]), F.col("rule"))
+    return facts.withColumn("rule", first).select("log_id", "rule", verdict(0).alias("kind"), verdict(1).alias("attribution"), "errors", "warnings", environmental(F.col("tail")).alias("environmental"))
 
 
 def progress(logs: DataFrame) -> DataFrame:
@@ -30,7 +47,7 @@ def progress(logs: DataFrame) -> DataFrame:
     return logs.withColumn("unit", unit).filter("unit <> ''").groupBy("log_id").agg(F.count("*").alias("units"), F.max_by("unit", "line_no").alias("current"))
 
 
-def tests_summed(logs: DataFrame) -> DataFrame:
+def summed_tests(logs: DataFrame) -> DataFrame:
     """log_id, passed, failed and ignored tests over all binaries, and the first LISTED names of failures with their binaries.
 
     A binary's name holds for the lines after it. A block of names begins after `failures:` and ends at a line that isn't indented by four.

@@ -7,16 +7,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """Rows with their place among those of equal keys, as `nth`."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def numbered(rows: DataFrame, keys: list[str], order: list[Column | str], chunk: Column) -> DataFrame:
+    """Rows with their place among those of equal keys, as `nth`.
+
+    `chunk` must never fall along `order`: rows are sorted within chunks of a key only, and counts of the chunks before them are added, so
+    that a key which most rows share is not sorted in one place.
+    """
+    parted = rows.withColumn("_chunk", chunk)
+    within = [*keys, "_chunk"]
+    earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = parted.groupBy(*within).agg(F.count("*").alias("_n")).select(*within, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
+    return parted.withColumn("_place", place).join(before, within).withColumn("nth", F.col("_before") + F.col("_place")).drop("_chunk", "_place", "_before")
 
 
-def bag_delta(current: DataFrame, baseline: DataFrame, keys: list[str], order: list[Column | str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(new, preexisting, fixed) rows of two bags; of equal keys, the earliest rows match first. All columns are kept."""
-    now, before = numbered(current, keys, order), numbered(baseline, keys, order)
-    on = [*keys, "nth"]
-    return now.join(before.select(*on), on, "left_anti"), now.join(before.select(*on), on, "left_semi"), before.join(now.select(*on), on, "left_anti")
+def bag_sides(rows: DataFrame, now: Column, keys: list[str], order: list[Column | str], chunk: Column) -> DataFrame:
+    """The difference of two bags that `now` tells apart, as rows with a `side`: new, preexisting (the current row) or fixed.
+
+    Of equal keys, the earliest rows match first. Rows are numbered once and meet by key and number, so no key's rows are ever together.
+    """
+    placed = numbered(rows.withColumn("_now", now), [*keys, "_now"], order, chunk)
+    row = F.struct(*rows.columns)
+    met = placed.groupBy(*keys, "nth").agg(F.max(F.when(F.col("_now"), row)).alias("current"), F.max(F.when(~F.col("_now"), row)).alias("baseline"))
+    side = F.when(F.col("baseline").isNull(), "new").when(F.col("current").isNull(), "fixed").otherwise("preexisting")
+    return met.select(F.coalesce("current", "baseline").alias("row"), side.alias("side")).select("row.*", "side")
 
 
 def latest_before(rows: DataFrame, keys: list[str], order: list[Column | str], candidate: Column, value: Column) -> Column:

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import bucket
 from ..sources.telemetry import as_of
 
 
-def minute_points(tasks: DataFrame) -> DataFrame:
-    """metric, bucket, sum and count of every minute before the one in progress."""
-    now = as_of(tasks, "at_s")
+def minute_points(tasks: DataFrame, now: Column | None = None) -> DataFrame:
+    """metric, bucket, sum and count of every minute before the one in progress: that of `now`, or else of the latest task."""
+    now = as_of(tasks, "at_s") if now is None else now
     points = tasks.withColumn("bucket", bucket(F.col("at_s"), 60)).filter(F.col("bucket") < now - now % 60)
     return points.groupBy(F.col("event_type").alias("metric"), "bucket").agg(F.sum("k").cast("double").alias("sum"), F.count("*").alias("count"))
 

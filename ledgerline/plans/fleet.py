@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from ..functions.columns import bucket, ratio
 from ..operators.ranks import nearest_ranks
 from ..operators.rollup import fold, minute_points
+from ..sources.stores import Table, shared_path
 from ..sources.telemetry import as_of, load, tasks
-from .base import TASKS, query
+from .base import ORACLES, TASKS, query
 
 DAY_US = 86_400_000_000
 
@@ -69,6 +70,21 @@ def rollup_1min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minute_points(tasks(spark, sf_dir))
 
 
+@query(f"WITH {TASKS}, {_MINUTE} SELECT * FROM points UNION ALL SELECT 'all', min(bucket), sum(sum), sum(count)::BIGINT FROM points")
+def rollup_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of minute rollups after two flushes that add up, of tasks of even and odd number, an appended row, and that row put anew."""
+    t = tasks(spark, sf_dir)
+    table = Table(spark, shared_path(spark, "rollups"), "metric string, bucket long, sum double, count long")
+    whole = minute_points(t)
+    for side in (0, 1):
+        part = minute_points(t.filter(F.col("id") % 2 == side), as_of(t, "at_s"))
+        table.add_up(part, ["metric", "bucket"], ["sum", "count"])
+    summed = whole.agg(F.lit("all").alias("metric"), F.min("bucket").alias("bucket"), F.sum("sum").alias("sum"), F.sum("count").alias("count"))
+    table.append(summed.withColumn("count", F.lit(-1).cast("long")))
+    table.upsert(summed, ["metric", "bucket"])
+    return table.read()
+
+
 @query(f"WITH {TASKS}, {_MINUTE} SELECT metric, bucket // 3600 * 3600 AS bucket, sum(sum) AS sum, sum(count)::BIGINT AS count FROM points GROUP BY 1, 2")
 def rollup_1hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minutes' points folded into hours."""
@@ -161,10 +177,16 @@ def prom_exposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("metric", F.expr("concat('# HELP ', metric, ' total\\n# TYPE ', metric, ' counter\\n', metric, ' ', v)").alias("text"))
 
 
-@query()
+@query(f"WITH o AS ({ORACLES['overview_counters']}) SELECT unnest(['running', 'queued', 'total', 'success', 'compile_error', 'env_error', 'infra_error', 'cache_hits', 'bytes_synced', 'success_rate']) AS field, unnest([running, queued, total, success, compile_error, env_error, infra_error, cache_hits, bytes_synced, success_rate]::DOUBLE[]) AS value FROM o")
 def overview_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The overview card as one JSON document."""
-    return overview_counters(spark, sf_dir).select(F.to_json(F.struct("*")).alias("document"))
+    """The overview card as a JSON document, read back field by field."""
+    document = overview_document(overview_counters(spark, sf_dir)).withColumn("field", F.explode(F.json_object_keys("document")))
+    return document.select("field", F.element_at(F.from_json("document", "MAP<STRING, DOUBLE>"), F.col("field")).alias("value"))
+
+
+def overview_document(counters: DataFrame) -> DataFrame:
+    """One row, `document`: the counters as one JSON document."""
+    return counters.select(F.to_json(F.struct("*")).alias("document"))
 
 
 @query(f"""WITH {TASKS}, p AS (SELECT project, coalesce({_PCT.format("build_ms", 0.5)}, 0) AS p50 FROM tasks GROUP BY 1)

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import tomllib
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from ..operators.closure import closure
+from ..operators.closure import settled_closure
 from ..sources.telemetry import as_of, load, tasks
 from .base import TASKS, query
 
@@ -22,14 +28,22 @@ def profile_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layers.groupBy("project").agg(first("name").alias("name"), first("n").alias("n"), F.max(F.when(F.col("layer") == 0, F.col("n"))).alias("disclosed"))
 
 
-@query("""WITH RECURSIVE edges AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation WHERE n_nationkey % 4 <> 0 UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation WHERE n_nationkey % 3 = 0),
- c(root, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT root, dst, depth + 1 FROM c JOIN edges ON src = node WHERE depth < 4)
- SELECT root, node, min(depth) AS depth, node % 6 <> 5 AS complete FROM c GROUP BY 1, 2""")
+_EDGES = """edges AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation WHERE n_nationkey % 4 = 1 UNION SELECT n_nationkey, (n_nationkey * 3 + 1) % 25 FROM nation WHERE n_nationkey % 3 = 0
+ UNION SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey BETWEEN 13 AND 22)"""
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, c(root, node, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION SELECT root, dst, depth + 1 FROM c JOIN edges ON src = node WHERE depth < 5),
+ r AS (SELECT root, node, min(depth) AS depth FROM c GROUP BY 1, 2), w AS (SELECT root, bool_or(node % 11 = 8 OR depth > 4) AS bad FROM r GROUP BY 1)
+ SELECT r.root, node, depth, true AS complete FROM r JOIN w ON r.root = w.root WHERE NOT bad UNION ALL SELECT root, NULL, NULL, false FROM w WHERE bad""")
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that each root reaches in four steps, with the fewest steps; entries that failed to load make it incomplete."""
+    """Everything that each root reaches in four steps, with the fewest steps.
+
+    A root from which a node is reached that failed to load, or from which more than four steps lead, is incomplete and has no nodes at all.
+    """
     n = load(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
-    edges = n.filter("k % 4 <> 0").select(F.col("k").alias("src"), ((F.col("k") * 7 + 3) % 25).alias("dst")).unionAll(n.filter("k % 3 = 0").select(F.col("k").alias("src"), ((F.col("k") * 3 + 1) % 25).alias("dst"))).distinct()
-    return closure(n.select(F.col("k").alias("root")), edges, 4).withColumn("complete", F.col("node") % 6 != 5)
+    ways = [("k % 4 = 1", (F.col("k") * 7 + 3) % 25), ("k % 3 = 0", (F.col("k") * 3 + 1) % 25), ("k BETWEEN 13 AND 22", F.col("k") + 1)]
+    edges = reduce(DataFrame.unionAll, [n.filter(where).select(F.col("k").alias("src"), to.alias("dst")) for where, to in ways]).distinct()
+    return settled_closure(n.select(F.col("k").alias("root")), edges, 4, F.col("node") % 11 == 8)
 
 
 @query("""SELECT CASE WHEN o_orderstatus = 'P' THEN 'busy' WHEN o_totalprice < 50000 THEN 'small' WHEN o_orderdate > (SELECT max(o_orderdate) - INTERVAL 180 DAY FROM orders) THEN 'recent' ELSE 'reclaim' END AS decision, count(*) AS n, sum(CAST(floor(o_totalprice) AS BIGINT))::BIGINT AS bytes FROM orders GROUP BY 1""")
@@ -41,23 +55,61 @@ def reclaim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"), F.sum(F.floor("o_totalprice")).cast("long").alias("bytes"))
 
 
-@query(f"""WITH {TASKS} SELECT id, CASE WHEN k % 4 = 0 THEN 'present' WHEN k % 3 = 0 THEN 'bundle' WHEN k % 2 = 0 THEN 'fetch' ELSE 'unavailable' END AS source FROM tasks""")
+@query("""WITH bundles AS (SELECT DISTINCT l_orderkey AS base FROM lineitem), mirrors AS (SELECT p_partkey AS repo, p_size > 10 AS public FROM part)
+ SELECT event_id AS id, CASE WHEN o_orderstatus = 'F' THEN 'present' WHEN b.base IS NOT NULL THEN 'bundle' WHEN public THEN 'fetch' ELSE 'unavailable' END AS source
+ FROM events LEFT JOIN orders ON o_orderkey = event_id LEFT JOIN bundles b ON b.base = event_id + 1 LEFT JOIN mirrors ON repo = user_id""")
 def baseline_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where a baseline comes from: the first of the ranked sources that has it."""
-    named = lambda name, test: F.when(test, F.lit(name))
-    k = F.col("k")
-    return tasks(spark, sf_dir).select("id", F.coalesce(named("present", k % 4 == 0), named("bundle", k % 3 == 0), named("fetch", k % 2 == 0), F.lit("unavailable")).alias("source"))
+    """Where each task's baseline comes from: the mirror that has it, a bundle, a fetch from a public repository, or nowhere.
+
+    What is at hand stands in other tables: commits in a mirror are orders that are done, bundles are orders with line items, repositories are parts.
+    """
+    asked = load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_id").alias("commit"), (F.col("event_id") + 1).alias("base"), F.col("user_id").alias("repo"))
+    present = load(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("commit"), F.lit("present").alias("present"))
+    bundles = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("base")).distinct().withColumn("bundle", F.lit("bundle"))
+    public = load(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("repo"), F.lit("fetch").alias("fetch"))
+    found = asked.join(present, "commit", "left").join(bundles, "base", "left").join(public, "repo", "left")
+    return found.select("id", F.coalesce("present", "bundle", "fetch", F.lit("unavailable")).alias("source"))
+
+
+#: Settings that are known, with their values where a configuration says nothing of them or nothing that can be used.
+KNOBS = {"offline_hours": 24, "max_parallel": 10, "min_disk_gb": 20}
+
+
+@F.pandas_udf(StringType())
+def toml_to_json(text: pd.Series) -> pd.Series:
+    """A TOML document as JSON, null if it is null or can't be parsed; dates become texts."""
 
+    def one(t: str | None) -> str | None:
+        try:
+            return None if t is None else json.dumps(tomllib.loads(t), default=str)
+        except tomllib.TOMLDecodeError:
+            return None
 
-@query("""WITH c AS (SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN props WHEN 1 THEN '{"k": ' || user_id || ', "extra": 1, "odd": 2}' ELSE 'not json' END AS conf FROM events)
- SELECT id, CASE WHEN json_valid(conf) THEN array_to_string(list_sort(list_filter(json_keys(conf), lambda x: x <> 'k')), ',') ELSE '' END AS unknown, CASE WHEN json_valid(conf) THEN CAST(json_extract_string(conf, '$.k') AS BIGINT) ELSE 10 END AS k FROM c""")
+    return text.map(one)
+
+
+def settings(configs: DataFrame) -> DataFrame:
+    """id, unknown (keys that nobody knows, sorted, joined by commas) and a column for each of KNOBS out of each configuration (id, conf: TOML).
+
+    A setting of another type than a whole number from 0 up counts as not given, and so does everything in a document that can't be parsed.
+    """
+    parsed = configs.select("id", toml_to_json("conf").alias("doc"))
+    keys = F.coalesce(F.json_object_keys("doc"), F.array().cast("array<string>"))
+    value = lambda k, d: F.coalesce(F.when(F.get_json_object("doc", f"$.{k}").rlike("^[0-9]+$"), F.get_json_object("doc", f"$.{k}").try_cast("long")), F.lit(d))
+    return parsed.select("id", F.array_join(F.array_sort(F.array_except(keys, F.array(*map(F.lit, KNOBS)))), ",").alias("unknown"), *[value(k, d).alias(k) for k, d in KNOBS.items()])
+
+
+@query("""WITH c AS (SELECT event_id AS id, event_id % 5 AS way, user_id AS u FROM events)
+ SELECT id, CASE way WHEN 1 THEN 'extra,old' WHEN 3 THEN 'mirror' ELSE '' END AS unknown, CASE WHEN way IN (0, 1) THEN u ELSE 24 END AS offline_hours, CASE WHEN way IN (1, 3) THEN u + 1 ELSE 10 END AS max_parallel, 20 AS min_disk_gb FROM c""")
 def config_unknown_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keys that a configuration has and nobody knows; what can't be parsed gives the defaults."""
-    n = F.col("event_id") % 3
-    conf = F.when(n == 0, F.col("props")).when(n == 1, F.concat(F.lit('{"k": '), F.col("user_id"), F.lit(', "extra": 1, "odd": 2}'))).otherwise("not json")
-    keys = F.json_object_keys(conf)
-    unknown = F.array_join(F.array_sort(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(F.lit("k")))), ",")
-    return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), unknown.alias("unknown"), F.coalesce(F.get_json_object(conf, "$.k").cast("long"), F.lit(10)).alias("k"))
+    """Settings out of configurations in TOML, and the keys in them that nobody knows."""
+    n, u = F.col("event_id") % 5, F.col("user_id").cast("string")
+    conf = (
+        F.when(n == 0, F.concat(F.lit("# own\noffline_hours = "), u, F.lit("\nmax_parallel = 'many'\n")))
+        .when(n == 1, F.concat(F.lit("offline_hours = "), u, F.lit("\nextra = [1, 2]\nmax_parallel = "), (F.col("user_id") + 1).cast("string"), F.lit("\n[old]\nmin_disk_gb = 5\n")))
+        .when(n == 2, "offline_hours = = 3").when(n == 3, F.concat(F.lit("max_parallel = "), (F.col("user_id") + 1).cast("string"), F.lit("\nmin_disk_gb = -4\n[mirror]\nurl = 'x'\nat = 2024-01-01\n")))
+    )
+    return settings(load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), conf.alias("conf")))
 
 
 @query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, len(json_keys(props)) AS fields FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
@@ -67,15 +119,42 @@ def parse_json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select(F.col("event_id").alias("id"), parsed["k"].alias("k"), F.size(F.json_object_keys("props")).cast("long").alias("fields")).filter("k is not null")
 
 
-@query()
+#: What of a workspace's metadata is read.
+METADATA = "workspace_root STRING, packages ARRAY<STRUCT<name: STRING, dependencies: ARRAY<STRUCT<name: STRING, path: STRING>>>>, patch MAP<STRING, MAP<STRING, STRING>>, replace MAP<STRING, STRING>"
+
+
+def path_dependencies(documents: DataFrame) -> DataFrame:
+    """id, package, dependency and path for the path dependencies of each metadata document (id, doc), and for what its patches and replacements point to.
+
+    A patch or replacement of a dependency takes the place of its path, a patch before a replacement; those of other names are
+    dependencies of the workspace itself, as package ''. A document that can't be parsed raises an error. Fields that nobody knows are left out.
+    """
+    doc = documents.select("id", F.from_json("doc", METADATA, {"mode": "FAILFAST"}).alias("d")).select("id", "d.*")
+    empty = F.create_map().cast("map<string,string>")
+    over = F.aggregate(F.map_values(F.coalesce("patch", F.create_map().cast("map<string,map<string,string>>"))), F.coalesce("replace", empty), lambda acc, m: F.map_concat(F.map_filter(acc, lambda k, _: ~F.map_contains_key(m, k)), m))
+    doc = doc.withColumn("over", over)
+    each = doc.select("id", "over", F.explode("packages").alias("p")).select("id", "over", F.col("p.name").alias("package"), F.explode("p.dependencies").alias("dep"))
+    own = each.select("id", "package", F.col("dep.name").alias("dependency"), F.coalesce(F.try_element_at("over", F.col("dep.name")), F.col("dep.path")).alias("path")).filter("path IS NOT NULL")
+    used = F.flatten(F.transform("packages", lambda p: F.transform(p["dependencies"], lambda d: d["name"])))
+    rest = doc.select("id", F.explode(F.map_filter("over", lambda k, _: ~F.array_contains(used, k))).alias("dependency", "path"))
+    return own.unionByName(rest.select("id", F.lit("").alias("package"), "dependency", "path"))
+
+
+@query("""WITH d AS (SELECT p_partkey AS id, p_size AS n, 'p' || p_size AS name FROM part), deps AS (
+ SELECT id, name AS package, 'util' AS dependency, CASE WHEN n % 4 = 0 THEN '/patched/util' ELSE '/w/' || id || '/util' END AS path FROM d
+ UNION ALL SELECT id, name, 'serde', CASE n % 4 WHEN 1 THEN '/patched/serde' WHEN 2 THEN '/replaced/serde' END FROM d
+ UNION ALL SELECT id, 'util', 'core', '/x/core' FROM d UNION ALL SELECT id, '', 'extra', '/patched/extra' FROM d WHERE n % 4 = 3)
+ SELECT * FROM deps WHERE path IS NOT NULL""")
 def json_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Path dependencies of each package of a metadata document, with paths that a patch section replaces."""
-    document = '{"workspace_root": "/w", "packages": [{"name": "a", "dependencies": [{"name": "b", "path": "/w/b"}, {"name": "serde", "path": null}]}, {"name": "b", "dependencies": [{"name": "c", "path": "/x/c"}]}], "patch": {"crates-io": {"c": "/y/c"}}}'
-    schema = "workspace_root STRING, packages ARRAY<STRUCT<name: STRING, dependencies: ARRAY<STRUCT<name: STRING, path: STRING>>>>, patch MAP<STRING, MAP<STRING, STRING>>"
-    doc = spark.createDataFrame([(document,)], "doc string").select(F.from_json("doc", schema, {"mode": "FAILFAST"}).alias("d"))
-    packages = doc.select("d.patch", F.explode("d.packages").alias("p")).select("patch", F.col("p.name").alias("package"), F.explode("p.dependencies").alias("dep"))
-    patched = F.element_at(F.element_at("patch", "crates-io"), F.col("dep.name"))
-    return packages.select("package", F.col("dep.name").alias("dependency"), F.coalesce(patched, F.col("dep.path")).alias("path")).filter("path is not null")
+    """Path dependencies of each package of each metadata document, with what patches and replacements change; the documents are made of parts."""
+    n = F.col("p_size") % 4
+    doc = F.concat(
+        F.lit('{"workspace_root": "/w", "unknown": 1, "packages": [{"name": "p'), F.col("p_size"), F.lit('", "dependencies": [{"name": "util", "path": "/w/'), F.col("p_partkey"),
+        F.lit('/util"}, {"name": "serde", "path": null}]}, {"name": "util", "dependencies": [{"name": "core", "path": "/x/core", "kind": "dev"}]}]'),
+        F.when(n == 0, ', "patch": {"crates-io": {"util": "/patched/util"}}').when(n == 1, ', "patch": {"crates-io": {"serde": "/patched/serde"}}').when(n == 2, ', "replace": {"serde": "/replaced/serde"}')
+        .otherwise(', "patch": {"https://git": {"extra": "/patched/extra"}}'), F.lit("}"),
+    )
+    return path_dependencies(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), doc.alias("doc")))
 
 
 @query("""SELECT s_suppkey AS worker, CASE WHEN s_suppkey % 11 = 0 THEN 0.0 ELSE least((s_suppkey % 9 + s_suppkey % 100 / 100.0) / (1 + s_suppkey % 8), 1.0) END AS load, CASE WHEN s_suppkey % 11 = 0 THEN 0 ELSE s_suppkey * 7919 % 400000000 // 1048576 END AS free_gb FROM supplier""")
@@ -98,13 +177,54 @@ def verdict_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).select("id", who.alias("attribution"), F.col("result_kind").isin("success", "compile_error").alias("cacheable"), (F.col("result_kind") == "infra_error").alias("retryable"))
 
 
-@query("""WITH n AS (SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'amd64' WHEN 1 THEN 'ARM64' WHEN 2 THEN 'x86_64-unknown-linux-gnu' WHEN 3 THEN 'aarch64' WHEN 4 THEN '' ELSE 'riscv' END AS raw, p_name FROM part)
- SELECT p_partkey, CASE WHEN lower(split_part(raw, '-', 1)) IN ('amd64', 'x86_64', 'x64') THEN 'x86_64' WHEN lower(split_part(raw, '-', 1)) IN ('arm64', 'aarch64') THEN 'aarch64' ELSE '' END AS arch FROM n""")
+_RAW = "['amd64', ' ARM64 ', 'x86_64-unknown-linux-gnu', 'aarch64', '', 'riscv64', 'armv7l', 'bad arch!', 'sparc_v9'][1 + p_size % 9]"
+_ARCH = "CASE WHEN a IN ('amd64', 'x86_64', 'x64') THEN 'x86_64' WHEN a IN ('arm64', 'aarch64') THEN 'aarch64' WHEN a IN ('arm', 'armv7', 'armv7l') THEN 'arm' WHEN regexp_full_match(a, '[a-z0-9_]+') THEN a END"
+_RAWS = ("amd64", " ARM64 ", "x86_64-unknown-linux-gnu", "aarch64", "", "riscv64", "armv7l", "bad arch!", "sparc_v9")
+
+
+@query(f"WITH n AS (SELECT p_partkey, lower(trim(split_part(trim({_RAW}), '-', 1))) AS a FROM part) SELECT p_partkey, {_ARCH} AS arch FROM n")
 def arch_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Architectures by one name each, from aliases and target triples; unknown ones are empty."""
-    raw = F.element_at(F.array(*map(F.lit, ("amd64", "ARM64", "x86_64-unknown-linux-gnu", "aarch64", "", "riscv"))), F.col("p_size") % 6 + 1)
-    name = F.lower(F.split_part(raw, F.lit("-"), F.lit(1)))
-    return load(spark, sf_dir, "part").select("p_partkey", F.when(name.isin("amd64", "x86_64", "x64"), "x86_64").when(name.isin("arm64", "aarch64"), "aarch64").otherwise("").alias("arch"))
+    """Architectures by one name each, from aliases and target triples; plausible ones that nobody knows keep their name, others are null."""
+    raw = F.element_at(F.array(*map(F.lit, _RAWS)), F.col("p_size") % 9 + 1)
+    return load(spark, sf_dir, "part").select("p_partkey", arch_of_target(raw).alias("arch"))
+
+
+def arch_name(raw: Column) -> Column:
+    """The one name of an architecture, null for what can't be one."""
+    a = F.lower(F.trim(raw))
+    return F.when(a.isin("amd64", "x86_64", "x64"), "x86_64").when(a.isin("arm64", "aarch64"), "aarch64").when(a.isin("arm", "armv7", "armv7l"), "arm").when(a.rlike("^[a-z0-9_]+$"), a)
+
+
+def arch_of_target(triple: Column) -> Column:
+    return arch_name(F.split_part(F.trim(triple), F.lit("-"), F.lit(1)))
+
+
+def arch_list(field: Column) -> Column:
+    """The architectures of a field with several, parted by commas, semicolons or white space, sorted, each once."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(field, "[,;\\s]+"), arch_name), lambda a: a.isNotNull())))
+
+
+def arch_matches(worker: Column, image: Column) -> Column:
+    """Whether a worker may run an image: any worker where the image names no architecture, else one of a named one."""
+    return (F.size(arch_list(image)) == 0) | F.coalesce(F.array_contains(arch_list(image), arch_name(worker)), F.lit(False))
+
+
+def arch_demand(image: Column, target: Column) -> Column:
+    """What a task asks for: the image's architecture if it has just one, else that of its target, else nothing."""
+    own = arch_list(image)
+    return F.coalesce(F.when(F.size(own) == 1, F.get(own, F.lit(0))), arch_of_target(target), F.lit(""))
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {_RAW} AS worker, ['', 'amd64', 'x86_64, aarch64', 'arm64;riscv64 ', 'x64 amd64', 'bad!'][1 + p_partkey % 6] AS image, ['', 'aarch64-apple-darwin', 'riscv64gc-unknown-none', '??'][1 + p_partkey % 4] AS target FROM part),
+ x AS (SELECT p_partkey, worker, target, unnest(regexp_split_to_array(image, '[,;\s]+')) AS a FROM n), y AS (SELECT p_partkey, list_sort(list(DISTINCT {_ARCH.replace("a IN", "lower(a) IN").replace("(a,", "(lower(a),")}) FILTER (WHERE {_ARCH} IS NOT NULL)) AS arches FROM x GROUP BY 1),
+ z AS (SELECT n.p_partkey, coalesce(arches, []) AS arches, (SELECT {_ARCH} FROM (SELECT lower(trim(worker)) AS a)) AS worker, (SELECT {_ARCH} FROM (SELECT lower(split_part(trim(target), '-', 1)) AS a)) AS target FROM n JOIN y USING (p_partkey))
+ SELECT p_partkey, len(arches) = 0 OR coalesce(list_contains(arches, worker), false) AS matches, CASE WHEN len(arches) = 1 THEN arches[1] ELSE coalesce(target, '') END AS demand FROM z""")
+def arch_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a worker may run an image, and what a task of that image and target asks for."""
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
+    image = pick(("", "amd64", "x86_64, aarch64", "arm64;riscv64 ", "x64 amd64", "bad!"), F.col("p_partkey") % 6)
+    target = pick(("", "aarch64-apple-darwin", "riscv64gc-unknown-none", "??"), F.col("p_partkey") % 4)
+    return load(spark, sf_dir, "part").select("p_partkey", arch_matches(pick(_RAWS, F.col("p_size") % 9), image).alias("matches"), arch_demand(image, target).alias("demand"))
 
 
 @query("""WITH n AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'lib' || split_part(p_name, ' ', 2) ELSE split_part(p_name, ' ', 2) END AS name FROM part) SELECT p_partkey, name, CASE WHEN starts_with(name, 'lib') THEN name || '-dev' ELSE 'lib' || name || '-dev' END AS package FROM n""")

@@ -138,7 +138,7 @@ def image_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("p_partkey").alias("image"), F.coalesce("users", F.lit(0)).alias("users"), F.coalesce("first_users", F.lit("")).alias("first_users"))
 
 
-@query("""WITH q AS (SELECT p_partkey AS qid, CASE p_partkey % 4 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN p_name || ' ' || p_brand ELSE left(p_name, 8) END AS q FROM part WHERE p_partkey % 10 < 4),
+@query("""WITH q AS (SELECT p_partkey AS qid, CASE p_partkey % 4 WHEN 0 THEN p_partkey::VARCHAR WHEN 1 THEN p_name || ' ' || p_brand ELSE left(p_name, 8) END AS q FROM part),
  m AS (SELECT qid, p_partkey, 1 AS tier FROM q JOIN part ON q = p_partkey::VARCHAR UNION ALL SELECT qid, p_partkey, 2 FROM q JOIN part ON q = p_name || ' ' || p_brand UNION ALL SELECT qid, p_partkey, 3 FROM q JOIN part ON length(q) >= 8 AND left(p_name, 8) = q),
  t AS (SELECT qid, min(tier) AS tier FROM m GROUP BY 1), c AS (SELECT m.qid, count(*) AS n, min(p_partkey) AS one FROM m JOIN t ON m.qid = t.qid AND m.tier = t.tier GROUP BY 1)
  SELECT q.qid, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'one' ELSE 'ambiguous' END AS outcome, CASE WHEN n = 1 THEN one END AS image FROM q LEFT JOIN c ON q.qid = c.qid""")
@@ -146,7 +146,7 @@ def ref_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References resolved by id, else by full name, else by a prefix of eight characters; ambiguous ones stay open."""
     part = load(spark, sf_dir, "part")
     full = F.concat_ws(" ", "p_name", "p_brand")
-    asked = part.filter("p_partkey % 10 < 4").select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_partkey").cast("string")).when(F.col("p_partkey") % 4 == 1, full).otherwise(F.left("p_name", F.lit(8))).alias("q"))
+    asked = part.select(F.col("p_partkey").alias("qid"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_partkey").cast("string")).when(F.col("p_partkey") % 4 == 1, full).otherwise(F.left("p_name", F.lit(8))).alias("q"))
     ways = [(F.col("p_partkey").cast("string"), 1), (full, 2), (F.when(F.length("p_name") >= 8, F.left("p_name", F.lit(8))), 3)]
     # counted by key before they meet the questions, as a name may stand for many images
     names = None

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.classify import ABSENCE, ENVIRONMENT, ENVIRONMENT_WEAK, PACKAGES, PROGRAMS, environment_at_fault, missing_dependencies
+from ..functions.classify import ABSENCE, ENVIRONMENT, ENVIRONMENT_WEAK, PACKAGES, PROGRAMS, REMEDIES, environment_at_fault, missing_dependencies, parses_tests, remedy
 from ..functions.columns import plain_text
-from ..operators.logs import DIAGNOSTIC, LISTED, TAIL, classified, progress, scraped, tests_summed
-from ..sources.telemetry import build_logs, lines, load
-from .base import BUILD_LOGS, LINES, query
+from ..operators.logs import DIAGNOSTIC, LISTED, TAIL, classified, progress, scraped, summed_tests
+from ..sources.telemetry import build_logs, lines, load, run_logs, runs
+from .base import BUILD_LOGS, LINES, RUN_LOGS, query
 
 
 def _values(pairs: dict[str, str]) -> str:
@@ -26,20 +26,41 @@ def _environmental(low: str) -> str:
     return f"({_any(low, ENVIRONMENT)} OR {_any(low, ENVIRONMENT_WEAK)} AND {_any(low, ABSENCE)})"
 
 
-@query("""SELECT doc_id AS log_id, CASE WHEN doc_id % 7 = 0 AND doc_id % 13 <> 0 THEN 'success' WHEN doc_id % 13 = 0 THEN 'timeout' WHEN contains(lower(text), 'licensed under') THEN 'compile_error' WHEN doc_id % 5 = 0 THEN 'oom_killed'
- WHEN contains(lower(text), 'token = ') THEN 'disk_full' WHEN contains(lower(text), ' | ') THEN 'env_markers_raw' ELSE 'unknown' END AS rule FROM documents""")
+_FACTS = f"""s AS (SELECT log_id, max(line_no) AS n FROM logs GROUP BY 1), t AS (SELECT logs.* FROM logs JOIN s USING (log_id) WHERE line_no > n - {TAIL}),
+ l AS (SELECT *, regexp_matches(line, '^\\S+:[0-9]+(:[0-9]+)?: error: ') AS located, regexp_matches(line, '^\\S+:[0-9]+(:[0-9]+)?: warning: ') AS warned FROM t),
+ f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY line_no) AS tail, count(*) FILTER (WHERE located) AS errors, count(*) FILTER (WHERE warned) AS warnings,
+  count(*) FILTER (WHERE located AND NOT regexp_matches(line, '^\\S+?\\.rs:[0-9]+') AND ({_environmental("lower(line)")} OR regexp_matches(line, '[.]h(pp)?: No such file'))) AS env_errors,
+  max(coalesce(TRY_CAST(regexp_extract(line, '; ([1-9][0-9]*) failed', 1) AS INTEGER), 0)) AS failed FROM l GROUP BY 1)"""
+_RULE = f"""CASE WHEN exit_code = 0 AND NOT timed_out THEN 'success' WHEN timed_out THEN 'timeout' WHEN errors > 0 AND env_errors = errors THEN 'env_diagnostics' WHEN errors > 0 THEN 'compile_error'
+ WHEN tests AND failed > 0 THEN 'test_failed' WHEN oom THEN 'oom_killed' WHEN contains(tail, '(signal: 9, SIGKILL: kill)') THEN 'sigkill_suspected_oom'
+ WHEN contains(tail, 'error: could not compile') AND (contains(tail, '(signal: 11, SIGSEGV') OR contains(tail, '(signal: 6, SIGABRT')) THEN 'rustc_crash'
+ WHEN contains(lower(tail), 'no space left on device') THEN 'disk_full' WHEN {_environmental("lower(tail)")} THEN 'env_markers_raw' ELSE 'unknown' END"""
+_KIND = "CASE WHEN rule = 'success' THEN 'success' WHEN rule = 'timeout' THEN 'timeout' WHEN rule IN ('compile_error', 'test_failed') THEN 'compile_error' WHEN rule IN ('rustc_crash', 'disk_full') THEN 'infra_error' ELSE 'env_error' END"
+_WHOSE = """CASE WHEN rule = 'success' THEN 'none' WHEN rule IN ('timeout', 'rustc_crash', 'disk_full') THEN 'infra' WHEN rule IN ('env_diagnostics', 'env_markers_raw') THEN 'project_config'
+ WHEN rule IN ('compile_error', 'test_failed') THEN 'code' WHEN rule IN ('oom_killed', 'sigkill_suspected_oom') THEN 'resource' ELSE 'unknown' END"""
+_CLASSIFIED = f"""{RUN_LOGS}, {_FACTS}, g AS (SELECT r.log_id, exit_code, timed_out, oom, tests, few_jobs, coalesce(tail, '') AS tail, coalesce(errors, 0) AS errors, coalesce(env_errors, 0) AS env_errors, coalesce(warnings, 0) AS warnings, coalesce(failed, 0) AS failed
+ FROM runs r LEFT JOIN f ON r.log_id = f.log_id), c AS (SELECT *, {_RULE} AS rule FROM g)"""
+
+
+@query(f"""WITH {_CLASSIFIED} SELECT log_id, rule, {_KIND} AS kind, {_WHOSE} AS attribution, errors, warnings, {_environmental("lower(tail)")} AS environmental FROM c""")
 def classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that holds for each log, with markers chosen from words that the logs have."""
-    low, n = F.lower("text"), F.col("doc_id")
-    out = F.when((n % 7 == 0) & (n % 13 != 0), "success").when(n % 13 == 0, "timeout").when(low.contains("licensed under"), "compile_error").when(n % 5 == 0, "oom_killed").when(low.contains("token = "), "disk_full").when(low.contains(" | "), "env_markers_raw").otherwise("unknown")
-    return load(spark, sf_dir, "documents").select(n.alias("log_id"), out.alias("rule"))
+    """The first of eleven rules that each run meets, by how it ended and by its log, with the kind of result and whom it is put down to."""
+    ended = runs(spark, sf_dir).withColumn("tests", parses_tests(F.col("task"), F.col("override"), F.col("profile_command")))
+    return classified(run_logs(spark, sf_dir), ended.select("log_id", "exit_code", "timed_out", "oom", "tests"))
+
+
+@query(f"""WITH {_CLASSIFIED} SELECT log_id, rule, '2' AS jobs FROM c WHERE rule IN ('oom_killed', 'sigkill_suspected_oom') AND NOT few_jobs""")
+def remediation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that are tried once more with a changed environment: those that ran out of memory, unless they had that environment already."""
+    ended = runs(spark, sf_dir).withColumn("tests", parses_tests(F.col("task"), F.col("override"), F.col("profile_command")))
+    verdicts = classified(run_logs(spark, sf_dir), ended.select("log_id", "exit_code", "timed_out", "oom", "tests"))
+    again = verdicts.filter(F.col("rule").isin(*REMEDIES)).join(ended.select("log_id", "env"), "log_id").withColumn("env", remedy(F.col("rule"), F.col("env")))
+    return again.filter("env IS NOT NULL").select("log_id", "rule", F.element_at("env", "CARGO_BUILD_JOBS").alias("jobs"))
 
 
 @query(
-    f"""WITH {BUILD_LOGS}, t AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) AS back FROM logs),
- f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY line_no) AS tail, count(*) FILTER (WHERE regexp_matches(line, '^\\S+:[0-9]+(:[0-9]+)?: error: ')) AS errors FROM t WHERE back <= {TAIL} GROUP BY 1),
- g AS (SELECT *, {_environmental("lower(tail)")} AS environmental FROM f)
- SELECT log_id, CASE WHEN errors > 0 THEN 'compile_error' WHEN regexp_matches(tail, '; [1-9][0-9]* failed') THEN 'test_failed' WHEN environmental THEN 'env_markers_raw' ELSE 'unknown' END AS rule, environmental FROM g"""
+    f"""WITH {BUILD_LOGS}, {_FACTS}, c AS (SELECT *, 101 AS exit_code, false AS timed_out, true AS tests, false AS oom FROM f), d AS (SELECT *, {_RULE} AS rule FROM c)
+ SELECT log_id, rule, {_KIND} AS kind, {_WHOSE} AS attribution, errors, warnings, {_environmental("lower(tail)")} AS environmental FROM d"""
 )
 def classify_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule that each log of a failed build meets first."""
@@ -63,9 +84,9 @@ def ansi_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
  h AS (SELECT log_id, line_no, CASE WHEN starts_with(line, 'bash: ') THEN regexp_extract(line, '^bash: (.*): command not found$', 1) WHEN starts_with(line, '/usr/bin/ld') THEN regexp_extract(line, '-l(.*)$', 1) ELSE regexp_extract(line, chr(39) || '(.*)' || chr(39), 1) END AS name,
   CASE WHEN starts_with(line, 'bash: ') THEN 'program' WHEN starts_with(line, '/usr/bin/ld') THEN 'library' ELSE 'pkg-config' END AS kind FROM logs WHERE starts_with(line, 'bash: ') OR starts_with(line, '/usr/bin/ld') OR starts_with(line, 'No package ')),
  t AS (SELECT log_id, name, kind = 'program' AS tool, arg_min(kind, line_no) AS kind, min(line_no) AS first FROM h WHERE length(name) <= 64 GROUP BY 1, 2, 3),
- r AS (SELECT *, row_number() OVER (PARTITION BY log_id ORDER BY first, name) AS place FROM t)
- SELECT log_id, name, kind, CASE WHEN tool THEN o.package WHEN a.package IS NOT NULL THEN a.package WHEN starts_with(name, 'lib') THEN name || '-dev' ELSE 'lib' || name || '-dev' END AS package,
-  CASE WHEN tool THEN o.package IS NOT NULL ELSE a.package IS NOT NULL END AS certain, place FROM r LEFT JOIN programs o ON o.low = name LEFT JOIN packages a ON a.low = name WHERE place <= 12"""
+ r AS (SELECT *, regexp_replace(name, '^lib', '') AS bare, row_number() OVER (PARTITION BY log_id ORDER BY first, name) AS place FROM t)
+ SELECT log_id, name, kind, CASE WHEN tool THEN o.package ELSE coalesce(a.package, b.package, CASE WHEN bare <> '' THEN 'lib' || bare || '-dev' END) END AS package,
+  CASE WHEN tool THEN o.package IS NOT NULL ELSE coalesce(a.package, b.package) IS NOT NULL END AS certain, place FROM r LEFT JOIN programs o ON o.low = name LEFT JOIN packages a ON a.low = name LEFT JOIN packages b ON b.low = bare WHERE place <= 12"""
 )
 def missing_dep_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each log says is missing, with the package that would bring it."""
@@ -89,7 +110,7 @@ def unit_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def test_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passed, failed and ignored tests of each log, and the names of failures with their binaries, twenty at most."""
-    return tests_summed(build_logs(spark, sf_dir))
+    return summed_tests(build_logs(spark, sf_dir))
 
 
 _PART = "regexp_extract(line, '" + DIAGNOSTIC + "', {})"
@@ -111,13 +132,30 @@ def env_diag_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build_logs(spark, sf_dir).select("log_id", "line_no", environment_at_fault(file, F.col("line")).alias("environmental"))
 
 
-@query()
+# What a manifest or build script may name, and the packages that it then needs.
+HINTS = {
+    "protobuf_src": "protobuf-compiler", "prost-build": "protobuf-compiler", "tonic-build": "protobuf-compiler", "protoc": "protobuf-compiler", "pkg-config": "pkg-config",
+    "openssl-sys": "libssl-dev pkg-config", "libsqlite3-sys": "libsqlite3-dev", "libgit2-sys": "libgit2-dev", "cmake": "cmake", "bindgen": "libclang-dev", "cc::Build": "build-essential",
+}
+
+
+def hinted(manifests: DataFrame, hints: dict[str, str]) -> DataFrame:
+    """id and package, each once, for what the text of each manifest (id, text) names; a null text names nothing."""
+    found = F.array_distinct(F.filter(F.array(*[F.when(F.contains("text", F.lit(n)), F.lit(p)) for n, p in hints.items()]), lambda x: x.isNotNull()))
+    return manifests.select("id", F.explode(found).alias("package"))
+
+
+@query(
+    """WITH m AS (SELECT p_partkey AS id, 'name = "' || p_name || '"' || chr(10) || '[dependencies]' || chr(10) || ['prost-build', 'openssl-sys', 'serde', 'libgit2-sys', 'protoc-rust', 'bindgen'][1 + p_size % 6] || ' = "1"' || chr(10) || CASE WHEN p_size % 5 = 0 THEN 'tonic-build = "2"' ELSE 'build = cc::Build' END AS text FROM part),
+ h(needle, package) AS (VALUES """
+    + _values(HINTS)
+    + """) SELECT DISTINCT id, package FROM m JOIN h ON contains(text, needle)"""
+)
 def system_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """System packages that manifests hint at, each once."""
-    manifests = spark.createDataFrame([(1, 'openssl-sys = "0.9"\nlibz-sys = "1"'), (2, 'pq-sys = "0.4"\nopenssl = { version = "0.10" }'), (3, "serde = 1")], "id int, text string")
-    needles = {"openssl": "libssl-dev", "libz-sys": "zlib1g-dev", "pq-sys": "libpq-dev", "rdkafka": "librdkafka-dev"}
-    hits = F.array_distinct(F.filter(F.array(*[F.when(F.contains("text", F.lit(n)), F.lit(p)) for n, p in needles.items()]), lambda x: x.isNotNull()))
-    return manifests.select("id", F.explode(hits).alias("package"))
+    """System packages that each manifest hints at, each once; manifests are made of parts."""
+    crates = F.array(*map(F.lit, ("prost-build", "openssl-sys", "serde", "libgit2-sys", "protoc-rust", "bindgen")))
+    text = F.concat(F.lit('name = "'), "p_name", F.lit('"\n[dependencies]\n'), F.element_at(crates, 1 + F.col("p_size") % 6), F.lit(' = "1"\n'), F.when(F.col("p_size") % 5 == 0, 'tonic-build = "2"').otherwise("build = cc::Build"))
+    return hinted(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.alias("text")), HINTS)
 
 
 @query(f"""WITH {LINES}, h AS (SELECT log_id, min(line_no) FILTER (WHERE contains(lower(line), 'the')) AS first_hit, max(line_no) AS n FROM lines GROUP BY 1) SELECT log_id, coalesce(first_hit, 0) AS line_no, n AS lines FROM h""")

@@ -1,8 +1,12 @@
-"""Placement of tasks on workers: hard filters in order (all but worktree and capabilities), scores, the best worker, reasons, first fit and a greedy drain."""
+"""Placement of tasks on workers: hard filters in order, scores, the best worker, reasons, first fit and a greedy drain.
+
+Tasks of equal project, worktree, architecture, estimate, image and needs are of a kind. Kinds are scored against the fleet, not tasks, so the
+work grows with kinds times workers; what sets a task apart from its kind, the worker it has tried, is put right by joins of equality.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,66 +16,131 @@ from .base import TASKS, query
 
 #: Weights of disk, processor, cache and image, and the least free disk in GB.
 W_DISK, W_CPU, W_CACHE, W_IMAGE, MIN_DISK = 1.0, 1.0, 2.0, 0.8, 20
+KIND = ["project", "worktree", "arch", "est", "image", "need"]
+
+_FLEET = """w AS (SELECT s_suppkey AS worker, r_name AS arch, s_suppkey % 10 <> 9 AS online, (s_acctbal + 1000) / 11000.0 AS load, s_suppkey % 7 * 20 AS disk, s_suppkey % 4 AS slots, s_nationkey AS nation, s_suppkey % 6 AS image,
+  s_suppkey % 2 AS cached, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey // 3 % 2 END AS busy, s_suppkey % 5 <> 2 AS multi_root FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ d AS (SELECT c_custkey AS task, c_nationkey AS project, c_custkey % 2 AS worktree, r_name AS arch, 10 + c_custkey % 5 * 10 AS est, c_custkey % 6 AS image, CASE WHEN c_custkey % 4 = 0 THEN 'multi_root' ELSE '' END AS need, c_custkey % 100 AS tried
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+_REASON = f"""CASE WHEN NOT online THEN 'NotOnline' WHEN d.arch <> w.arch THEN 'ArchMismatch' WHEN worker = tried THEN 'AlreadyTried' WHEN need = 'multi_root' AND NOT multi_root THEN 'MissingCapability'
+  WHEN slots = 0 THEN 'NoFreeSlot' WHEN nation = project AND busy = worktree THEN 'WorktreeBusy' WHEN disk < greatest({MIN_DISK}, ceil(1.5 * est)) THEN 'InsufficientDisk' ELSE '' END"""
+_SCORE = f"""{W_DISK} * least(disk / (3.0 * greatest(est, 1)), 1.0) + {W_CPU} * (1.0 - least(greatest(load, 0.0), 1.0)) + {W_CACHE} * CASE WHEN nation = project AND cached = worktree THEN 1.0 WHEN nation = project THEN 0.6 ELSE 0.0 END
+  + {W_IMAGE} * CASE WHEN w.image = d.image THEN 1.0 ELSE 0.0 END"""
+_PAIRS = f"{_FLEET}, p AS (SELECT task, worker, {_REASON} AS reason, {_SCORE} AS score FROM d, w)"
 
-_FLEET = """w AS (SELECT s_suppkey AS worker, r_name AS arch, s_suppkey % 10 <> 9 AS online, (s_acctbal + 1000) / 11000.0 AS load, s_suppkey % 7 * 20 AS disk, s_suppkey % 4 AS slots, s_nationkey AS nation, s_suppkey % 6 AS image
- FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
- d AS (SELECT c_custkey AS task, c_nationkey AS project, r_name AS arch, 10 + c_custkey % 5 * 10 AS est, c_custkey % 6 AS image, c_custkey % 100 AS tried FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 5 = 0)"""
-_SCORED = f"""{_FLEET}, p AS (SELECT task, worker, CASE WHEN NOT online THEN 'NotOnline' WHEN worker = tried THEN 'AlreadyTried' WHEN slots = 0 THEN 'NoFreeSlot' WHEN disk < greatest({MIN_DISK}, ceil(1.5 * est)) THEN 'InsufficientDisk' ELSE '' END AS reason,
- {W_DISK} * least(disk / (3.0 * greatest(est, 1)), 1.0) + {W_CPU} * (1.0 - least(greatest(load, 0.0), 1.0)) + {W_CACHE} * CASE WHEN nation = project THEN 1.0 WHEN nation % 5 = project % 5 THEN 0.6 ELSE 0.0 END + {W_IMAGE} * CASE WHEN w.image = d.image THEN 1.0 ELSE 0.0 END AS score FROM d JOIN w ON d.arch = w.arch)"""
+
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("arch"))
 
 
 def fleet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workers: architecture, state, load, free disk in GB, free slots, where they are and their image."""
-    places = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("arch"))
-    return load(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        F.col("s_suppkey").alias("worker"), "arch", (F.col("s_suppkey") % 10 != 9).alias("online"), ((F.col("s_acctbal") + 1000) / 11000.0).alias("load"),
-        (F.col("s_suppkey") % 7 * 20).alias("disk"), (F.col("s_suppkey") % 4).alias("slots"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 6).alias("w_image"),
+    """Workers: architecture, state, load, free disk in GB, free slots, where they are, their image, and worktrees (of the project that is
+    where they are) that they have cached and are busy with, and what they are capable of."""
+    n = F.col("s_suppkey")
+    return load(spark, sf_dir, "supplier").join(_places(spark, sf_dir), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        n.alias("worker"), "arch", (n % 10 != 9).alias("online"), ((F.col("s_acctbal") + 1000) / 11000.0).alias("load"), (n % 7 * 20).alias("disk"), (n % 4).alias("slots"),
+        F.col("s_nationkey").alias("nation"), (n % 6).alias("w_image"), (n % 2).alias("cached"), F.when(n % 3 == 0, F.expr("s_suppkey div 3 % 2")).alias("busy"),
+        F.when(n % 5 != 2, F.array(F.lit("multi_root"), F.lit("relink"))).otherwise(F.array(F.lit("relink"))).alias("capable"),
     )
 
 
 def demand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tasks to place: project, architecture, disk estimate in GB, image and a worker already tried."""
-    places = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("r_name").alias("arch"))
-    return load(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        F.col("c_custkey").alias("task"), F.col("c_nationkey").alias("project"), "arch", (10 + F.col("c_custkey") % 5 * 10).alias("est"), (F.col("c_custkey") % 6).alias("image"), (F.col("c_custkey") % 100).alias("tried"),
+    """Tasks to place: project, worktree, architecture, disk estimate in GB, image, needs (capabilities, joined by commas) and a worker already tried."""
+    n = F.col("c_custkey")
+    return load(spark, sf_dir, "customer").join(_places(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")).select(
+        n.alias("task"), F.col("c_nationkey").alias("project"), (n % 2).alias("worktree"), "arch", (10 + n % 5 * 10).alias("est"), (n % 6).alias("image"),
+        F.when(n % 4 == 0, "multi_root").otherwise("").alias("need"), (n % 100).alias("tried"),
     )
 
 
-def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fifth of the tasks that the SQL of placement_scores, placement_pick and placement_explain asks for."""
-    return demand(spark, sf_dir).filter("task % 5 = 0")
+def known(arch: Column) -> Column:
+    return F.coalesce(arch, F.lit("")) != ""
+
 
+def scored(kinds: DataFrame, fleet: DataFrame) -> DataFrame:
+    """The columns KIND, worker, reason (the first hard filter that rejects, or empty) and score, for workers that are online and whose architecture may be that of the kind.
 
-def scored(demand: DataFrame, fleet: DataFrame) -> DataFrame:
-    """task, worker, reason (the first hard filter that rejects, or empty) and score; architectures meet by equality."""
-    both = demand.join(fleet, "arch")
+    A known architecture meets its own and, under a key of theirs, those that aren't known; one that isn't known meets all.
+    """
+    any_, unknown = F.lit("?any"), F.lit("?unknown")
+    sides = F.when(known(F.col("arch")), F.array(F.concat(F.lit("="), "arch"), unknown)).otherwise(F.array(any_))
+    asked = kinds.withColumn("_key", F.explode(sides))
+    own = F.when(known(F.col("w_arch")), F.array(F.concat(F.lit("="), "w_arch"), any_)).otherwise(F.array(unknown, any_))
+    both = asked.join(fleet.filter("online").withColumnRenamed("arch", "w_arch").withColumn("_key", F.explode(own)), "_key")
+    lacks = F.size(F.array_except(F.filter(F.split("need", ","), lambda x: x != ""), "capable")) > 0
     reason = (
-        F.when(~F.col("online"), "NotOnline").when(F.col("worker") == F.col("tried"), "AlreadyTried").when(F.col("slots") == 0, "NoFreeSlot")
+        F.when(lacks, "MissingCapability").when(F.col("slots") == 0, "NoFreeSlot").when((F.col("nation") == F.col("project")) & F.col("busy").eqNullSafe(F.col("worktree")), "WorktreeBusy")
         .when(F.col("disk") < F.greatest(F.lit(MIN_DISK), F.ceil(F.col("est") * 1.5)), "InsufficientDisk").otherwise("")
     )
     disk = F.least(F.col("disk") / (3.0 * F.greatest("est", F.lit(1))), F.lit(1.0))
-    cache = F.when(F.col("nation") == F.col("project"), 1.0).when(F.col("nation") % 5 == F.col("project") % 5, 0.6).otherwise(0.0)
+    cache = F.when((F.col("nation") == F.col("project")) & F.col("cached").eqNullSafe(F.col("worktree")), 1.0).when(F.col("nation") == F.col("project"), 0.6).otherwise(0.0)
     score = W_DISK * disk + W_CPU * (1.0 - F.least(F.greatest("load", F.lit(0.0)), F.lit(1.0))) + W_CACHE * cache + W_IMAGE * F.when(F.col("w_image") == F.col("image"), 1.0).otherwise(0.0)
-    return both.select("task", "worker", reason.alias("reason"), score.alias("score"))
+    return both.select(*KIND, "worker", reason.alias("reason"), score.alias("score"))
+
+
+def options(queue: DataFrame, fleet: DataFrame) -> DataFrame:
+    """KIND, worker and score (to six places) of the workers that may take a kind of task."""
+    return scored(queue.select(*KIND).distinct(), fleet).filter("reason = ''").select(*KIND, "worker", F.round("score", 6).alias("score"))
+
+
+def picked(queue: DataFrame, fleet: DataFrame) -> DataFrame:
+    """task and its best worker, of equals that of the lowest id: the best of its kind, or the second best where it has tried that one."""
+    rank = F.row_number().over(Window.partitionBy(*KIND).orderBy(F.desc("score"), "worker"))
+    best = options(queue, fleet).withColumn("rank", rank).filter("rank <= 2").groupBy(*KIND).agg(F.max(F.when(F.col("rank") == 1, F.col("worker"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("worker"))).alias("second"))
+    # an image, a worktree or an architecture that isn't known is a value like others here
+    return with_kind(queue, best).select("task", F.when(F.col("first").eqNullSafe(F.col("tried")), F.col("second")).otherwise(F.col("first")).alias("worker")).filter("worker IS NOT NULL")
+
+
+def with_kind(queue: DataFrame, of: DataFrame) -> DataFrame:
+    """Tasks joined to what `of` says of their kind."""
+    on = F.lit(True)
+    named = of.select(*[F.col(c).alias(f"_{c}") for c in KIND], *[c for c in of.columns if c not in KIND])
+    for c in KIND:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return queue.join(named, on).drop(*[f"_{c}" for c in KIND])
+
+
+def explained(queue: DataFrame, fleet: DataFrame) -> DataFrame:
+    """task, reason and workers: how many workers each hard filter keeps from a task, the first that rejects counting; '*' where there is no worker at all.
+
+    Workers that aren't online or are of another architecture are counted by architecture, all others by kind of task. The worker
+    that a task has tried already then goes over from the reason that its kind gives to AlreadyTried.
+    """
+    ready = F.col("online") & known(F.col("arch"))
+    total = lambda c: fleet.agg(c.cast("long").alias("n")).scalar()
+    by_arch = fleet.filter(ready).groupBy(F.col("arch").alias("_arch")).agg(F.count("*").alias("own"))
+    apart = F.when(known(F.col("arch")), total(F.count_if(ready)) - F.coalesce("own", F.lit(0))).otherwise(0)
+    counts = F.array(F.struct(F.lit("NotOnline").alias("reason"), total(F.count_if(~F.col("online"))).alias("n")), F.struct(F.lit("ArchMismatch").alias("reason"), apart.alias("n")))
+    of_arch = queue.join(by_arch, F.col("arch") == F.col("_arch"), "left").select("task", F.explode(counts).alias("x")).select("task", "x.reason", "x.n")
+    pairs = scored(queue.select(*KIND).distinct(), fleet)
+    rejected = pairs.filter("reason <> ''").groupBy(*KIND, "reason").agg(F.count("*").alias("n"))
+    of_kind = with_kind(queue, rejected).select("task", "reason", "n")
+    tried = with_kind(queue, pairs.select(*KIND, F.col("worker").alias("_worker"), "reason")).filter("_worker = tried")
+    moved = tried.select("task", F.explode(F.array(F.struct(F.lit("AlreadyTried").alias("reason"), F.lit(1).alias("n")), F.struct(F.col("reason"), F.lit(-1).alias("n")))).alias("x")).select("task", "x.reason", F.col("x.n").cast("long").alias("n"))
+    nobody = queue.filter(total(F.count("*")) == 0).select("task", F.lit("*").alias("reason"), F.lit(0).cast("long").alias("workers"))
+    told = of_arch.unionAll(of_kind).unionAll(moved).filter("reason <> ''").groupBy("task", "reason").agg(F.sum("n").alias("workers")).filter("workers > 0")
+    return told.unionAll(nobody)
+
+
+_KINDS = ", ".join(f"d.{c}" for c in KIND)
 
 
-@query(f"WITH {_SCORED} SELECT task, worker, round(score, 6) AS score FROM p WHERE reason = ''")
+@query(f"WITH {_FLEET} SELECT DISTINCT {_KINDS}, worker, round({_SCORE}, 6) AS score FROM (SELECT DISTINCT {', '.join(KIND)}, -1 AS tried FROM d) d, w WHERE {_REASON} = ''")
 def placement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score of every worker that may take a task."""
-    return scored(sampled(spark, sf_dir), fleet(spark, sf_dir)).filter("reason = ''").select("task", "worker", F.round("score", 6).alias("score"))
+    """The score of every worker that may take a kind of task."""
+    return options(demand(spark, sf_dir), fleet(spark, sf_dir))
 
 
-@query(f"WITH {_SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(score, 6) DESC, worker) AS rn FROM p WHERE reason = '') SELECT task, worker FROM r WHERE rn = 1")
+@query(f"WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY round(score, 6) DESC, worker) AS rn FROM p WHERE reason = '') SELECT task, worker FROM r WHERE rn = 1")
 def placement_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best worker of each task; of equals, the one of the lowest id."""
-    ok = scored(sampled(spark, sf_dir), fleet(spark, sf_dir)).filter("reason = ''")
-    return ok.groupBy("task").agg(F.max_by("worker", F.struct(F.round("score", 6), -F.col("worker"))).alias("worker"))
+    return picked(demand(spark, sf_dir), fleet(spark, sf_dir))
 
 
-@query(f"WITH {_SCORED} SELECT task, reason, count(*) AS workers FROM p WHERE reason <> '' GROUP BY 1, 2")
+@query(f"WITH {_PAIRS} SELECT task, reason, count(*) AS workers FROM p WHERE reason <> '' GROUP BY 1, 2")
 def placement_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why workers of a task's architecture can't take it, by reason."""
-    return scored(sampled(spark, sf_dir), fleet(spark, sf_dir)).filter("reason <> ''").groupBy("task", "reason").agg(F.count("*").alias("workers"))
+    """Why workers can't take a task, by reason."""
+    return explained(demand(spark, sf_dir), fleet(spark, sf_dir))
 
 
 @query()
@@ -81,11 +150,10 @@ def placement_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drained(queue: DataFrame, fleet: DataFrame) -> DataFrame:
-    """Tasks of one project, estimate and image are of a kind, which is scored once against the fleet; what a task tried is set aside later."""
-    kind = F.concat_ws("|", "project", "est", "image")
-    kinds = queue.select(F.struct("arch", kind.alias("kind")).alias("task"), "arch", "project", "est", "image", F.lit(None).cast("long").alias("tried")).distinct()
-    options = scored(kinds, fleet).filter("reason = ''").select("task.*", "worker", F.round("score", 6).alias("score"))
-    return drain_scored(queue.select("arch", kind.alias("kind"), "task", "tried"), options.join(fleet.select("worker", "slots"), "worker"))
+    """task, arch and worker. Kinds are scored once against the fleet; what a task tried is set aside later. Only workers and tasks of known architecture take part."""
+    able = options(queue, fleet).join(fleet.filter("arch <> ''").select("worker", "slots"), "worker")
+    kind = F.to_json(F.struct(*KIND))
+    return drain_scored(queue.filter("arch <> ''").select("arch", kind.alias("kind"), "task", "tried"), able.select(F.col("arch").alias("arch"), kind.alias("kind"), "worker", "slots", "score"))
 
 
 @query("""WITH o AS (SELECT s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_suppkey % 10 <> 9 AND s_suppkey % 4 > 0),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import human_bytes, length_prefixed, normalized_span
-from ..operators.matching import bag_delta
+from ..operators.matching import bag_sides
+from ..sources.stores import Table, blob_path, shared_path
 from ..sources.telemetry import diagnostics, load, paths, tasks
 from .base import DIAGS, PATHS, TASKS, query
 
@@ -37,10 +40,48 @@ def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.when(F.col("h0").isNull(), "appeared").when(F.col("h1").isNull(), "vanished").otherwise("changed").alias("change"))
 
 
-@query(f"WITH {_SNAP} SELECT count(*) FILTER (WHERE a.hash IS DISTINCT FROM b.hash) = 0 AS stable, count(*) AS files FROM before a FULL OUTER JOIN after b USING (doc_id)")
+#: Times that a scan is taken again while files change under it.
+RETRIES = 3
+
+
+def stable_scan(scan: Callable[[int], DataFrame], retries: int = RETRIES) -> tuple[int, bool, DataFrame]:
+    """Scan (path, hash) until two scans in a row are equal, `retries` times at most after the first; give the scans taken, whether they settled, and the last one."""
+    last = scan(0)
+    for n in range(1, retries + 1):
+        now = scan(n)
+        changed = last.withColumnRenamed("hash", "_h").join(now, "path", "full_outer").filter(~F.col("hash").eqNullSafe(F.col("_h")))
+        if changed.isEmpty():
+            return n + 1, True, now
+        last = now
+    return retries + 1, False, last
+
+
+@query("SELECT 4 AS scans, true AS stable, count(*) AS files, sum(CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END)::BIGINT AS revisions FROM documents")
 def snapshot_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether nothing changed between two scans, so that the first one may be trusted."""
-    return _compared(spark, sf_dir).agg((F.count_if(~F.col("h0").eqNullSafe(F.col("h1"))) == 0).alias("stable"), F.count("*").alias("files"))
+    """Scans of files that a writer still changes, every seventh twice, until a scan equals the one before."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"))
+    revision = lambda n: F.when(F.col("path") % 7 == 0, min(n, 2)).otherwise(0)
+    scans, stable, last = stable_scan(lambda n: docs.select("path", revision(n).alias("hash")))
+    return last.agg(F.lit(scans).alias("scans"), F.lit(stable).alias("stable"), F.count("*").alias("files"), F.sum("hash").alias("revisions"))
+
+
+@query("SELECT doc_id, left(h, 2) || '/' || substr(h, 3, 2) || '/' || h AS path, o_orderkey IS NOT NULL AS stored FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) LEFT JOIN orders ON o_orderkey = doc_id")
+def blob_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each blob lies in the store, and whether the store's listing has it; the documents whose number is an order's are listed."""
+    blobs = load(spark, sf_dir, "documents").select("doc_id", blob_path(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("path"))
+    stored = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(True).alias("stored"))
+    return blobs.join(stored, "doc_id", "left").na.fill(False, ["stored"])
+
+
+@query("SELECT hash, bytes, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, '')) AS bytes FROM documents) GROUP BY 1, 2")
+def blob_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of blobs after two uploads, of odd documents and then of all: each content is there once, under the document that brought it first."""
+    docs = load(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "doc_id")
+    first = lambda rows: rows.groupBy("hash", "bytes").agg(F.min("doc_id").alias("doc_id"))
+    store = Table(spark, shared_path(spark, "blobs"), "hash string, bytes long, doc_id long")
+    store.insert_absent(first(docs).filter("doc_id % 2 = 1"), ["hash"])
+    store.insert_absent(first(docs), ["hash"])
+    return store.read()
 
 
 @query(f"WITH {_SNAP} SELECT doc_id, CASE WHEN b.hash IS NULL THEN 'delete' WHEN a.hash IS NULL THEN 'fetch' WHEN a.hash <> b.hash THEN 'fetch' WHEN doc_id % 13 = 0 THEN 'relink' ELSE 'keep' END AS action FROM before a FULL OUTER JOIN after b USING (doc_id)")
@@ -50,15 +91,21 @@ def rebuild_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _compared(spark, sf_dir).select("doc_id", action.alias("action"))
 
 
-@query("""WITH c AS (SELECT source, doc_id // 1024 AS chunk, count(*) AS n, sha256(string_agg(doc_id || ' ' || n_chars || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2)
- SELECT source, sum(n)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY chunk)) AS root FROM c GROUP BY 1""")
+@query("""WITH c AS (SELECT source, doc_id // 1024 AS chunk, count(*) AS n, sha256(string_agg(doc_id || ' ' || n_chars || ' ' || sha256(coalesce(text, '')), chr(10) ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
+ d AS (SELECT source, chunk // 1024 AS chunk, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY chunk)) AS h FROM c GROUP BY 1, 2),
+ e AS (SELECT source, chunk // 1024 AS chunk, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY chunk)) AS h FROM d GROUP BY 1, 2)
+ SELECT source, sum(n)::BIGINT AS files, sha256(string_agg(h, chr(10) ORDER BY chunk)) AS root FROM e GROUP BY 1""")
 def manifest_root_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash of each source's entries that doesn't depend on their order: a hash over those of chunks of 1024 ids."""
+    """One hash of each source's entries that doesn't depend on their order: a tree of hashes, each over 1024 of the level below.
+
+    So no task gathers more than 1024 hashes for one node, for ids up to 2 ** 40.
+    """
     line = F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("n_chars").cast("string"), F.sha2(F.coalesce("text", F.lit("")), 256))
-    docs = load(spark, sf_dir, "documents").select("source", F.expr("doc_id div 1024").alias("chunk"), F.struct("doc_id", line.alias("x")).alias("e"))
-    hashed = lambda c: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda e: e["x"]), "\n"), 256)
-    chunks = docs.groupBy("source", "chunk").agg(F.count("*").alias("n"), hashed("e").alias("x"))
-    return chunks.select("source", "n", F.struct("chunk", "x").alias("e")).groupBy("source").agg(F.sum("n").alias("files"), hashed("e").alias("root"))
+    level = load(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("at"), F.lit(1).cast("long").alias("n"), line.alias("x"))
+    gathered = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]), "\n"), 256)
+    for _ in range(3):
+        level = level.groupBy("source", F.expr("at div 1024").alias("up")).agg(F.sum("n").alias("n"), gathered.alias("x")).withColumnRenamed("up", "at")
+    return level.groupBy("source").agg(F.sum("n").alias("files"), gathered.alias("root"))
 
 
 @query("SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes, sum(CASE WHEN doc_id % 3 <> 0 THEN strlen(text) ELSE 0 END)::BIGINT AS dirty_bytes FROM documents")
@@ -86,11 +133,10 @@ _DELTA = f"""{DIAGS}, k AS (SELECT *, sha256(level || chr(0) || code || chr(0) |
 
 
 def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.sha2(F.concat_ws("\0", "level", "code", normalized_span(F.col("message"))), 256)
-    d = diagnostics(spark, sf_dir).withColumn("key", key)
-    parts = bag_delta(d.filter("log_id % 2 = 0"), d.filter("log_id % 2 = 1"), ["key"], ["log_id", "pos"])
-    out = [p.select("log_id", "pos", "level", "code", F.lit(side).alias("side")) for p, side in zip(parts, ("new", "preexisting", "fixed"), strict=True)]
-    return out[0].unionAll(out[1]).unionAll(out[2])
+    """The diagnostics of even logs stand for the current ones, those of odd logs for the baseline."""
+    key = F.unhex(F.sha2(F.concat_ws("\0", "level", "code", normalized_span(F.col("message"))), 256))
+    d = diagnostics(spark, sf_dir).select("log_id", "pos", "level", "code", key.alias("key"))
+    return bag_sides(d, F.col("log_id") % 2 == 0, ["key"], ["log_id", "pos"], F.expr("log_id div 64")).drop("key")
 
 
 @query(f"WITH {_DELTA} SELECT * FROM delta")
@@ -194,13 +240,20 @@ def scope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).select("id", label.alias("label"), F.when(one, "--workspace").when(two, F.concat(F.lit("-p "), "worktree")).otherwise(F.concat(F.lit("-p "), "worktree", F.lit(" -p "), p)).alias("flags"))
 
 
-@query()
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS hash, true AS equal FROM documents")
 def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs come back equal from compressed storage in the shared folder."""
-    from ..sources.stores import shared_path
+    """Logs come back from compressed storage in the shared folder as they were, bytes that are no UTF-8 as replacement characters.
 
-    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    Each log is stored with three bytes more that no text has; they come back as one replacement character each.
+    """
     path = shared_path(spark, "logs")
-    docs.write.option("compression", "zstd").parquet(path)
-    back = spark.read.parquet(path).withColumnRenamed("text", "back")
-    return docs.join(back, "doc_id").agg(F.count("*").alias("logs"), F.count_if(F.col("text").eqNullSafe(F.col("back"))).alias("equal"))
+    broken = F.concat(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), F.unhex(F.lit("FFFEFD")))
+    load(spark, sf_dir, "documents").select("doc_id", broken.alias("log")).write.option("compression", "zstd").parquet(path)
+    back = spark.read.parquet(path).withColumn("read", lossy_text(F.col("log")))
+    text = F.expr("substr(read, 1, length(read) - 3)")
+    return back.select("doc_id", F.sha2(text, 256).alias("hash"), (F.expr("right(read, 3)") == "\ufffd" * 3).alias("equal"))
+
+
+def lossy_text(data: Column) -> Column:
+    """Bytes as text, with a replacement character for each byte that isn't part of UTF-8."""
+    return F.make_valid_utf8(data.cast("string"))

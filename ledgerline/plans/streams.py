@@ -7,22 +7,28 @@ from pyspark.sql import functions as F
 
 from ..sources.stores import shared_path
 from ..streaming.rollups import drained, event_stream, minute_rollup, worker_states
-from .base import query
+from .base import TASKS, query
 
 
-@query()
+@query(f"""WITH {TASKS}, lag AS (SELECT max(at_us) - 60000000 AS mark FROM tasks), p AS (SELECT event_type AS metric, at_s // 60 * 60 AS bucket, sum(k)::DOUBLE AS sum, count(*) AS count FROM tasks GROUP BY 1, 2)
+ SELECT p.* FROM p, lag WHERE (bucket + 60) * 1000000 <= mark // 1000 * 1000""")
 def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The minute rollup as a stream in append mode; the minutes that the watermark hasn't passed are withheld."""
     return drained(minute_rollup(event_stream(spark, sf_dir)), "stream-rollup")
 
 
-@query()
+@query(f"""WITH {TASKS}, e AS (SELECT project AS worker, id, event_type, max(CASE WHEN event_type = 'error' THEN id END) OVER w AS pin, max(CASE WHEN event_type = 'purchase' THEN id END) OVER w AS free FROM tasks
+  WINDOW w AS (PARTITION BY project ORDER BY id)), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY worker ORDER BY id DESC) = 1)
+ SELECT worker, id AS event_id, CASE WHEN pin IS NOT NULL AND (free IS NULL OR pin > free) THEN 'draining' ELSE event_type END AS status FROM l""")
 def stream_latest_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest state of each worker, kept by a stateful operator and appended batch by batch."""
+    """The latest state of each worker, kept by a stateful operator and written batch by batch.
+
+    Each batch has a folder of its own, which a batch that is run again overwrites; so none counts twice.
+    """
     out, state = shared_path(spark, "stream-workers"), shared_path(spark, "stream-workers-state")
 
     def keep(batch: DataFrame, n: int) -> None:
-        batch.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
 
     worker_states(event_stream(spark, sf_dir)).writeStream.outputMode("update").option("checkpointLocation", state).foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema("worker long, event_id long, status string, batch long").parquet(out)

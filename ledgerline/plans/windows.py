@@ -45,21 +45,80 @@ _HEALTH = f"""{TASKS}, e AS (SELECT *, k % 20 AS digest, result_kind = 'env_erro
 @query(f"WITH {_HEALTH} SELECT digest, count(*) AS total, count(*) FILTER (WHERE result_kind = 'success') AS successes, arg_max(streak, (at_us, id))::BIGINT AS streak, arg_max(streak, (at_us, id)) >= 3 AS failing FROM s GROUP BY 1")
 def image_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each image's last state: failures from changing projects since its last success, three of which make it failing."""
-    e = tasks(spark, sf_dir).filter(F.col("result_kind").isin("success", "env_error")).withColumn("digest", F.col("k") % 20)
-    counted = (F.col("result_kind") == "env_error") & (F.col("build_ms") % 5 != 0)
-    s = health_fold(e, "digest", ["at_us", "id"], F.col("result_kind") == "success", counted, F.col("project"))
+    s = image_streaks(tasks(spark, sf_dir))
     last = F.max_by(F.struct("streak", "failing"), F.struct("at_us", "id"))
     return s.groupBy("digest").agg(F.count("*").alias("total"), F.count_if(F.col("result_kind") == "success").alias("successes"), last["streak"].alias("streak"), last["failing"].alias("failing"))
 
 
-@query(f"""WITH {TASKS}, h AS (SELECT at_s // 3600 * 3600 AS tick, event_type AS rule, count(*) AS n, count(*) FILTER (WHERE status = 'failed') AS bad FROM tasks GROUP BY 1, 2),
- f AS (SELECT *, CASE WHEN n >= 3 THEN bad / n > 0.2 END AS firing FROM h), g AS (SELECT *, coalesce(lag(firing) OVER (PARTITION BY rule ORDER BY tick), false) AS before FROM f WHERE firing IS NOT NULL)
- SELECT rule, tick, CASE WHEN firing THEN 'raise' ELSE 'resolve' END AS edge FROM g WHERE firing <> before""")
+def image_streaks(t: DataFrame) -> DataFrame:
+    """Tasks that tell of an image's health, with the streak of failures and whether the image is failing after each."""
+    e = t.filter(F.col("result_kind").isin("success", "env_error")).withColumn("digest", F.col("k") % 20)
+    counted = (F.col("result_kind") == "env_error") & (F.col("build_ms") % 5 != 0)
+    return health_fold(e, "digest", ["at_us", "id"], F.col("result_kind") == "success", counted, F.col("project"))
+
+
+#: Alerts: tasks waiting above which the queue is too long, share of results above which a rate is too high, results without which a rate
+#: decides nothing, ticks that a rate looks back over, ticks of silence after which a worker is offline, and ticks after which the queue starts anew.
+BACKLOG, RATE, SAMPLES, LOOK_BACK, SILENCE, PERIOD = 50, 0.2, 20, 15, 24, 96
+
+_TICKS = f"""{TASKS}, t AS (SELECT *, at_s // 3600 AS tick FROM tasks), span AS (SELECT min(tick) AS lo, max(tick) AS hi FROM t), grid AS (SELECT unnest(range(lo, hi + 1)) AS tick FROM span),
+ c AS (SELECT g.tick, count(id) AS n, count(id) FILTER (WHERE status IN ('done', 'failed')) AS fin, count(id) FILTER (WHERE status IN ('done', 'failed') AND result_kind = 'infra_error') AS infra, count(id) FILTER (WHERE status IN ('done', 'failed') AND result_kind = 'timeout') AS late,
+  count(id) FILTER (WHERE result_kind IN ('env_error', 'compile_error')) AS came FROM grid g LEFT JOIN t ON t.tick = g.tick GROUP BY 1),
+ w AS (SELECT tick, n, sum(fin) OVER v AS fin, sum(infra) OVER v AS infra, sum(late) OVER v AS late, sum(came) OVER (PARTITION BY tick // {PERIOD} ORDER BY tick) AS waiting FROM c WINDOW v AS (ORDER BY tick ROWS BETWEEN {LOOK_BACK - 1} PRECEDING AND CURRENT ROW)),
+ f AS (SELECT 'queue_backlog' AS rule, tick, waiting > {BACKLOG} AS firing FROM w UNION ALL SELECT 'infra_error_rate', tick, CASE WHEN fin >= {SAMPLES} THEN infra / fin > {RATE} END FROM w
+  UNION ALL SELECT 'timeout_rate', tick, CASE WHEN fin >= {SAMPLES} THEN late / fin > {RATE} END FROM w UNION ALL SELECT 'no_workers', tick, n = 0 FROM w),
+ e AS (SELECT *, coalesce(lag(firing) OVER (PARTITION BY rule ORDER BY tick), false) AS before FROM f WHERE firing IS NOT NULL)"""
+
+
+@query(f"""WITH {_TICKS}, {_HEALTH.removeprefix(TASKS + ", ").replace("e AS (", "he AS (").replace("FROM e)", "FROM he)")},
+ s2 AS (SELECT worker, tick, lead(tick) OVER (PARTITION BY worker ORDER BY tick) AS again FROM (SELECT DISTINCT 'w' || project AS worker, tick FROM t))
+ SELECT rule, tick, CASE WHEN firing THEN 'raise' ELSE 'resolve' END AS edge FROM e WHERE firing <> before
+ UNION ALL SELECT 'image_failing:' || digest, min(at_s) // 3600, 'raise' FROM s WHERE streak >= 3 GROUP BY 1
+ UNION ALL SELECT 'worker_offline:' || worker, tick + {SILENCE + 1}, 'raise' FROM s2, span WHERE coalesce(again, hi + 1) > tick + {SILENCE + 1} OR again = tick + {SILENCE + 1}
+ UNION ALL SELECT 'worker_offline:' || worker, again, 'resolve' FROM s2 WHERE again > tick + {SILENCE + 1} OR again = tick + {SILENCE + 1}""".replace(f" OR again = tick + {SILENCE + 1}", ""))
 def alert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When the failure rate of a type crosses a fifth; hours with fewer than three tasks decide nothing."""
-    hour = F.col("at_s") - F.col("at_s") % 3600
-    h = tasks(spark, sf_dir).groupBy(hour.alias("tick"), F.col("event_type").alias("rule")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("bad"))
-    return edges(h, "rule", "tick", F.when(F.col("n") >= 3, ratio(F.col("bad"), F.col("n")) > 0.2)).select("rule", "tick", "edge")
+    """When each alert is raised and resolved; an hour of the events stands for a minute of a fleet, projects for workers and images by payload."""
+    t = tasks(spark, sf_dir).withColumn("tick", F.expr("at_s div 3600"))
+    ended = F.col("status").isin("done", "failed")
+    counts = t.groupBy("tick").agg(
+        F.count("*").alias("n"), F.count_if(ended).alias("fin"), F.count_if(ended & (F.col("result_kind") == "infra_error")).alias("infra"), F.count_if(ended & (F.col("result_kind") == "timeout")).alias("late"),
+        F.count_if(F.col("result_kind").isin("env_error", "compile_error")).alias("came"),
+    )
+    failing = image_streaks(t).filter("failing").select(F.concat(F.lit("image_failing:"), "digest").alias("rule"), "tick")
+    seen = t.select(F.concat(F.lit("w"), "project").alias("worker"), "tick").distinct()
+    return fleet_alerts(counts).unionByName(raised_once(failing)).unionByName(silences(seen))
+
+
+def fleet_alerts(counts: DataFrame) -> DataFrame:
+    """rule, tick and edge of the rules that counts per tick decide: backlog, rates of infrastructure errors and time outs, and no workers.
+
+    counts: tick, n (reports of any worker), fin, infra and late (results, by kind), came (tasks that began to wait; the queue starts anew
+    every PERIOD ticks). Ticks without a row count as zeros. Rates look back over LOOK_BACK ticks; below SAMPLES results they decide nothing.
+    """
+    grid = counts.agg(F.min("tick").alias("lo"), F.max("tick").alias("hi")).filter("lo IS NOT NULL").select("hi", F.explode(F.sequence("lo", "hi")).alias("tick"))
+    full = grid.join(counts, "tick", "left").na.fill(0)
+    ahead = full.select(F.explode(F.sequence(F.col("tick"), F.least(F.col("tick") + (LOOK_BACK - 1), F.col("hi")))).alias("tick"), "fin", "infra", "late")
+    rates = ahead.groupBy("tick").agg(*[F.sum(c).alias(c) for c in ("fin", "infra", "late")])
+    waiting = F.sum("came").over(Window.partitionBy(F.expr(f"tick div {PERIOD}")).orderBy("tick"))
+    now = full.select("tick", "n", waiting.alias("waiting")).join(rates, "tick")
+    rate = lambda c: F.when(F.col("fin") >= SAMPLES, ratio(F.col(c), F.col("fin")) > RATE)
+    rules = {"queue_backlog": F.col("waiting") > BACKLOG, "infra_error_rate": rate("infra"), "timeout_rate": rate("late"), "no_workers": F.col("n") == 0}
+    each = now.select("tick", F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("firing")) for k, v in rules.items()])).alias("x")).select("x.rule", "tick", "x.firing")
+    return edges(each, "rule", "tick", F.col("firing")).select("rule", "tick", "edge")
+
+
+def raised_once(firing: DataFrame) -> DataFrame:
+    """rule, tick and edge of rules that nothing resolves: each is raised the first time it fires (`firing`: rule, tick), and never again."""
+    return firing.groupBy("rule").agg(F.min("tick").alias("tick")).withColumn("edge", F.lit("raise"))
+
+
+def silences(seen: DataFrame) -> DataFrame:
+    """rule, tick and edge of workers that fall silent (`seen`: worker, tick, once each): offline after SILENCE ticks, resolved when they report again."""
+    last = seen.agg(F.max("tick")).scalar()
+    again = F.lead("tick").over(Window.partitionBy("worker").orderBy("tick"))
+    quiet = seen.withColumn("again", again).withColumn("off", F.col("tick") + (SILENCE + 1)).filter(F.coalesce("again", last + 1) > F.col("off"))
+    both = F.array(F.struct(F.col("off").alias("tick"), F.lit("raise").alias("edge")), F.struct(F.col("again").alias("tick"), F.lit("resolve").alias("edge")))
+    return quiet.select(F.concat(F.lit("worker_offline:"), "worker").alias("rule"), F.explode(both).alias("x")).select("rule", "x.tick", "x.edge").filter("tick IS NOT NULL")
 
 
 _NOTICES = f"""{TASKS}, n AS (SELECT id, project, row_number() OVER (PARTITION BY project ORDER BY at_us, id) AS seq, k, event_type FROM tasks),

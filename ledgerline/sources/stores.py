@@ -1,33 +1,79 @@
-"""Places to write: the shared folder, and sinks that append, add up or keep the first."""
+"""Places to write: the shared folder, tables in versions with sinks that append, add up or keep the first, and a store of blobs by hash."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; a local one where none is set (tests)."""
+    """A new path in the folder that driver and executors share; a local one where none is set, but only if all of Spark runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """Add rows to a table."""
-    rows.write.mode("append").parquet(path)
+class Table:
+    """A table of one writer, kept in versions: each change writes a folder of its own, and readers take the last one that is whole.
 
+    So a change that fails midway, or whose tasks run again, leaves the version before as it was.
+    """
 
-def insert_absent(rows: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Add the rows whose keys the table lacks, and return them; of rows with equal keys, any one goes in."""
-    had = rows.sparkSession.read.parquet(path).select(*keys)
-    new = rows.dropDuplicates(keys).join(had, keys, "left_anti")
-    out = shared_path(rows.sparkSession, "inserted")
-    new.write.parquet(out)
-    written = rows.sparkSession.read.parquet(out)
-    append(written, path)
-    return written
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema, self.version = spark, path, schema, 0
+        self._write(spark.createDataFrame([], schema))
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={self.version}")
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/version={self.version + 1}")
+        self.version += 1
+
+    def append(self, rows: DataFrame) -> None:
+        """Add rows, whatever is there."""
+        self._write(self.read().unionByName(rows))
+
+    def insert_absent(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Add the rows whose keys the table lacks and give them back; of rows with equal keys, any one goes in. Null keys equal each other."""
+        new = shared_path(self.spark, "inserted")
+        rows.dropDuplicates(keys).join(self.read().select(*[F.col(k).alias(f"_{k}") for k in keys]), _same(keys), "left_anti").write.parquet(new)
+        created = self.spark.read.schema(rows.schema).parquet(new)
+        self.append(created)
+        return created
+
+    def add_up(self, rows: DataFrame, keys: list[str], sums: list[str]) -> None:
+        """Add to the sums of rows with equal keys, and rows where there are none; equal keys among the rows add up too."""
+        both = self.read().select(*keys, *sums).unionByName(rows.select(*keys, *sums))
+        self._write(both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]))
+
+    def upsert(self, rows: DataFrame, keys: list[str]) -> None:
+        """Put rows in the place of those with equal keys; the keys of `rows` are to be unique."""
+        kept = self.read().join(rows.select(*[F.col(k).alias(f"_{k}") for k in keys]), _same(keys), "left_anti")
+        self._write(kept.unionByName(rows))
+
+
+def _same(keys: list[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return out
+
+
+def blob_path(digest: Column) -> Column:
+    """Where a blob lies in a store: two folders by the first bytes of its hash, then the whole hash."""
+    return F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), digest)
+
+
+def folder_usage(spark: SparkSession, path: str) -> DataFrame:
+    """files and bytes of all files under a folder, at any depth, as its file system counts them; Spark's readers would pass over empty ones."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(root)
+    return spark.createDataFrame([(found.getFileCount(), found.getLength())], "files long, bytes long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Result kinds that stand for event types.
@@ -29,9 +29,9 @@ def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def as_of(frame: DataFrame, column: str = "at_us") -> int:
-    """The latest time in a table, which stands for now; one number."""
-    return frame.agg(F.max(column)).first()[0] or 0
+def as_of(frame: DataFrame, column: str = "at_us") -> Column:
+    """The latest time in a table, which stands for now: one number, found when the query runs."""
+    return frame.agg(F.coalesce(F.max(column), F.lit(0)).alias("now")).scalar()
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,37 @@ def build_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).filter(w != "").select("log_id", "line_no", out.alias("line"))
 
 
+def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of runs that each failed in one way or two: every fourth line with a word tells of it, by the log's number, the others are notes."""
+    n, w = F.length("line"), F.regexp_extract("line", "[A-Za-z]+", 0)
+    low, text = F.lower(w), n.cast("string")
+    code = ("src/", w, ".rs:", text, ":5: error: ", w, " is unknown")
+    header = (low, ".c:", text, ": error: openssl/", low, ".h: No such file or directory")
+    ways = [
+        ("   Compiling ", w, " v0.1.0"), code, header, ("test result: FAILED. ", text, " passed; 2 failed; 0 ignored"),
+        ("process didn't exit successfully: `rustc` (signal: 9, SIGKILL: kill)",), ("error: could not compile `", low, "` (signal: 11, SIGSEGV: invalid memory reference)"),
+        ("error: could not compile `", low, "` (signal: 6, SIGABRT: process abort signal)"), ("write: No space left on device",), ("bash: ", low, ": command not found"),
+        (low, ".c:", text, ": warning: unused ", w), ("rustc exited (signal: 11, SIGSEGV: invalid memory reference)",),
+    ]
+    join = lambda parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    out = join(("note: ", low))
+    for k, parts in enumerate(ways):
+        out = F.when((n % 4 == 0) & (F.col("log_id") % 12 == k), join(parts)).otherwise(out)
+    # the twelfth way: code and environment are both at fault
+    out = F.when(F.col("log_id") % 12 == 11, F.when(n % 8 == 0, join(code)).when(n % 8 == 4, join(header)).otherwise(join(("note: ", low)))).otherwise(out)
+    return lines(spark, sf_dir).filter(w != "").select("log_id", "line_no", out.alias("line"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each log's run ended (exit code, time out, memory), its task, and what commands and environment it had."""
+    n = F.col("doc_id")
+    return load(spark, sf_dir, "documents").select(
+        n.alias("log_id"), F.when(n % 5 == 0, 0).otherwise(101).alias("exit_code"), (n % 13 == 1).alias("timed_out"), (n % 7 == 3).alias("oom"),
+        F.element_at(F.array(*map(F.lit, ("test", "check", "build"))), (n % 3).cast("int") + 1).alias("task"), F.when(n % 8 == 2, "make test").otherwise("").alias("override"),
+        F.when(n % 9 == 6, "nextest").alias("profile_command"), F.when(n % 2 == 0, F.create_map(F.lit("CARGO_BUILD_JOBS"), F.lit("2"))).otherwise(F.create_map().cast("map<string,string>")).alias("env"),
+    )
+
+
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A diagnostic for each line that isn't blank; its level and code come from its length."""
     n = F.length("line")

@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.functions.classify import environment_at_fault, missing_dependencies
+from ledgerline.functions.classify import environment_at_fault, missing_dependencies, parses_tests, remedy
 from ledgerline.functions.columns import bucket, length_prefixed, nearest_rank, normalized_span, plain_text
 from ledgerline.functions.globs import to_regex
-from ledgerline.operators.closure import closure
+from ledgerline.operators.closure import closure, settled_closure
 from ledgerline.operators.drain import drain
 from ledgerline.operators.folds import edges, health_fold
-from ledgerline.operators.logs import classified, progress, scraped, tests_summed
-from ledgerline.operators.matching import bag_delta, longest_prefix
+from ledgerline.operators.logs import classified, progress, scraped, summed_tests
+from ledgerline.operators.matching import bag_sides, longest_prefix
 from ledgerline.operators.paging import budget_prefix, page, where_given
 from ledgerline.operators.rollup import fold
-from ledgerline.plans.logs import cut_bytes, elide, packed
-from ledgerline.plans.placement import demand, drained
+from ledgerline.plans.fleet import overview_document
+from ledgerline.plans.governance import path_dependencies, settings
+from ledgerline.plans.logs import HINTS, cut_bytes, elide, hinted, packed
+from ledgerline.plans.paths import entries, is_internal, laid_out
+from ledgerline.plans.placement import demand, drained, explained, picked
 from ledgerline.plans.registry import QUERIES
-from ledgerline.sources.stores import insert_absent, shared_path
+from ledgerline.plans.sets import lossy_text, stable_scan
+from ledgerline.plans.windows import fleet_alerts, raised_once, silences
+from ledgerline.sources.stores import Table, folder_usage, shared_path
 
 
 #: Small logs to run the parsers on.
@@ -101,11 +108,16 @@ def test_alerts_fire_on_edges(spark):
     assert [(r["t"], r["edge"]) for r in edges(ticks, "rule", "t", F.col("f")).orderBy("t").collect()] == [(0, "raise"), (2, "resolve"), (4, "raise")]
 
 
-def test_bags_match_earliest_first(spark):
-    now = spark.createDataFrame([("A", 20), ("C", 1), ("C", 2)], "key string, line int")
-    before = spark.createDataFrame([("A", 10), ("B", 3), ("C", 9)], "key string, line int")
-    new, pre, fixed = (sorted((r["key"], r["line"]) for r in x.collect()) for x in bag_delta(now, before, ["key"], ["line"]))
-    assert (new, pre, fixed) == ([("C", 2)], [("A", 20), ("C", 1)], [("B", 3)])
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_bags_match_earliest_first(spark, width):
+    rng = random.Random(width)
+    rows = [("A", 20, True), ("C", 1, True), ("C", 2, True), ("A", 10, False), ("B", 3, False), ("C", 9, False)] + [("hot", k, rng.random() < 0.6) for k in range(100, 400)]
+    got = bag_sides(spark.createDataFrame(rows, "key string, line int, now boolean"), F.col("now"), ["key"], ["line"], F.expr(f"line div {width}")).collect()
+    want = set()
+    for key in "A", "B", "C", "hot":
+        now, before = ([r for r in rows if r[0] == key and r[2] is side] for side in (True, False))
+        want |= {(*r, "preexisting" if k < len(before) else "new") for k, r in enumerate(now)} | {(*r, "fixed") for r in before[len(now) :]}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
 def test_longest_prefix_goes_by_segments(spark):
@@ -120,6 +132,12 @@ def test_closure_ends_on_cycles(spark):
     assert {r["node"]: r["depth"] for r in got.collect()} == {1: 0, 2: 1, 3: 2, 4: 3, 5: 4}
 
 
+def test_incomplete_roots_have_no_nodes(spark):
+    edges_ = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (7, 8), (8, 7), (9, 10)], "src long, dst long")
+    got = settled_closure(spark.createDataFrame([(1,), (2,), (7,), (9,)], "root long"), edges_, 4, F.col("node") == 10).collect()
+    assert {tuple(r) for r in got} == {(1, None, None, False), (9, None, None, False), (7, 7, 0, True), (7, 8, 1, True)} | {(2, n, n - 2, True) for n in range(2, 7)}
+
+
 def test_drain_respects_slots(spark):
     tasks = spark.createDataFrame([(n, "x") for n in range(5)] + [(9, "y")], "task long, arch string")
     workers = spark.createDataFrame([(1, "x", 1, 0.0), (2, "x", 2, 0.5)], "worker long, arch string, slots long, load double")
@@ -134,23 +152,61 @@ def test_the_drain_is_asked_for_every_task(spark):
     assert QUERIES["placement_drain"](spark, sf).filter("task % 5 <> 0").count() > 0
 
 
+FLEET = "worker long, arch string, online boolean, load double, disk long, slots long, nation long, w_image long, cached long, busy long, capable array<string>"
+QUEUE = "task long, project long, worktree long, arch string, est int, image long, need string, tried long"
+
+
+def judged(w, t):
+    """The reference: the first filter that keeps a worker from a task, and its score."""
+    worker, arch, online, load, disk, slots, nation, image, cached, busy, capable = w
+    _, project, worktree, asked, est, wanted, need, tried = t
+    apart = arch and asked and arch != asked
+    filters = [(not online, "NotOnline"), (apart, "ArchMismatch"), (worker == tried, "AlreadyTried"), (bool(set(filter(None, need.split(","))) - set(capable)), "MissingCapability"), (slots == 0, "NoFreeSlot"), (nation == project and busy == worktree, "WorktreeBusy"), (disk < max(20, -(-est * 3 // 2)), "InsufficientDisk")]
+    near = 1.0 if nation == project and cached == worktree else 0.6 if nation == project else 0.0
+    return next((name for bad, name in filters if bad), ""), round(min(disk / (3.0 * est), 1.0) + 1 - load + 2 * near + 0.8 * (image == wanted), 6)
+
+
+def random_fleet(rng, archs):
+    fleet = [(w, rng.choice(archs), rng.random() < 0.8, rng.random(), rng.choice([0, 20, 40, 60, 100]), rng.randrange(4), rng.randrange(6), rng.randrange(3), rng.randrange(2), rng.choice([None, 0, 1]), rng.choice([[], ["a"], ["a", "b"]])) for w in range(1, 25)]
+    queue = [(t, rng.randrange(6), rng.randrange(2), rng.choice(archs), rng.choice([10, 30]), rng.randrange(3), rng.choice(["", "", "a", "a,b"]), rng.randrange(1, 30)) for t in range(400)]
+    return fleet, queue
+
+
+@pytest.mark.parametrize("archs", [["x", "y"], ["x", "y", "", None]])
+def test_placement_equals_one_pair_at_a_time(spark, archs):
+    fleet, queue = random_fleet(random.Random(len(archs)), archs)
+    w, q = spark.createDataFrame(fleet, FLEET), spark.createDataFrame(queue, QUEUE)
+    pick, why = {}, {}
+    for t in queue:
+        able = []
+        for worker in fleet:
+            reason, score = judged(worker, t)
+            if reason:
+                why[t[0], reason] = why.get((t[0], reason), 0) + 1
+            else:
+                able.append((-score, worker[0]))
+        if able:
+            pick[t[0]] = min(able)[1]
+    assert {r["task"]: r["worker"] for r in picked(q, w).collect()} == pick
+    assert {(r["task"], r["reason"]): r["workers"] for r in explained(q, w).collect()} == why
+    assert {reason for _, reason in why} == {"NotOnline", "ArchMismatch", "AlreadyTried", "MissingCapability", "NoFreeSlot", "WorktreeBusy", "InsufficientDisk"}
+
+
+def test_an_empty_fleet_is_told(spark):
+    q = spark.createDataFrame([(1, 1, 1, "x", 10, 1, "", 3)], QUEUE)
+    assert [tuple(r) for r in explained(q, spark.createDataFrame([], FLEET)).collect()] == [(1, "*", 0)]
+    assert picked(q, spark.createDataFrame([], FLEET)).count() == 0
+
+
 def test_drain_equals_one_task_at_a_time(spark):
-    rng = random.Random(2)
-    fleet = [(w, rng.choice("xy"), rng.random() < 0.8, rng.random(), rng.choice([0, 20, 40, 60, 100]), rng.randrange(4), rng.randrange(6), rng.randrange(3)) for w in range(1, 25)]
-    queue = [(t, p := rng.randrange(6), "xy"[p % 2], rng.choice([10, 30]), rng.randrange(3), rng.randrange(1, 30)) for t in range(2500) if rng.random() < 0.1]
+    fleet, queue = random_fleet(random.Random(2), ["x", "y"])
     free, want = {w[0]: w[5] for w in fleet}, []
-    for task, project, arch, est, image, tried in queue:
-        able = []
-        for w, a, online, load, disk, _, nation, had in fleet:
-            if online and a == arch and w != tried and free[w] and disk >= max(20, -(-est * 3 // 2)):
-                near = 1.0 if nation == project else 0.6 if nation % 5 == project % 5 else 0.0
-                able.append((-round(min(disk / (3.0 * est), 1.0) + 1 - load + 2 * near + 0.8 * (had == image), 6), w))
+    for t in queue:
+        able = [(-score, w[0]) for w in fleet for reason, score in [judged(w, t)] if not reason and free[w[0]]]
         if able:
             free[min(able)[1]] -= 1
-            want.append((task, arch, min(able)[1]))
-    tasks = spark.createDataFrame(queue, "task long, project long, arch string, est int, image long, tried long")
-    workers = spark.createDataFrame(fleet, "worker long, arch string, online boolean, load double, disk long, slots long, nation long, w_image long")
-    assert sorted(tuple(r) for r in drained(tasks, workers).collect()) == want
+            want.append((t[0], t[3], min(able)[1]))
+    assert sorted(tuple(r) for r in drained(spark.createDataFrame(queue, QUEUE), spark.createDataFrame(fleet, FLEET)).collect()) == want
 
 
 def test_pages_and_filters(spark):
@@ -180,7 +236,7 @@ def test_classifier(spark):
 
 
 def test_test_summary_and_progress(spark):
-    s = tests_summed(small_logs(spark)).first()
+    s = summed_tests(small_logs(spark)).first()
     assert (s["passed"], s["failed"], s["ignored"], s["binaries"], s["names"]) == (13, 2, 1, 2, "it::it::one,it::it::two")
     u = progress(small_logs(spark)).first()
     assert (u["units"], u["current"]) == (2, "bar")
@@ -225,12 +281,33 @@ def test_long_logs_are_packed_by_slots(spark):
     assert {r[1] for r in got if r[0] == 4} >= {0, 1, 2} and 8000 < sum(len(r[3].encode()) + 1 for r in got if r[0] == 4) <= 8193
 
 
-def test_insert_absent(spark):
-    path = shared_path(spark, "t")
-    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(path)
-    new = insert_absent(spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), path, ["k"])
-    assert [tuple(r) for r in new.collect()] == [(2, "c")]
-    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+def test_sinks_write_versions(spark):
+    t = Table(spark, shared_path(spark, "t"), "k int, v string, n long")
+    t.append(spark.createDataFrame([(1, "a", 1)], "k int, v string, n long"))
+    new = t.insert_absent(spark.createDataFrame([(1, "b", 5), (2, "c", 2), (2, "c", 2), (None, "d", 3)], "k int, v string, n long"), ["k"])
+    assert sorted(map(str, map(tuple, new.collect()))) == ["(2, 'c', 2)", "(None, 'd', 3)"]
+    assert t.insert_absent(spark.createDataFrame([(None, "e", 9)], "k int, v string, n long"), ["k"]).count() == 0
+    t.upsert(spark.createDataFrame([(2, "x", 7), (3, "y", 8)], "k int, v string, n long"), ["k"])
+    assert sorted(map(str, map(tuple, t.read().collect()))) == ["(1, 'a', 1)", "(2, 'x', 7)", "(3, 'y', 8)", "(None, 'd', 3)"]
+    sums = Table(spark, shared_path(spark, "s"), "metric string, bucket long, sum double, count long")
+    for rows in ([("tasks", 60, 2.0, 2)], [("tasks", 60, 3.0, 1), ("tasks", 60, 1.0, 1), ("other", 0, 1.0, 1)]):
+        sums.add_up(spark.createDataFrame(rows, "metric string, bucket long, sum double, count long"), ["metric", "bucket"], ["sum", "count"])
+    assert sorted(tuple(r) for r in sums.read().collect()) == [("other", 0, 1.0, 1), ("tasks", 60, 6.0, 4)]
+
+
+def test_usage_counts_files_at_any_depth(spark, tmp_path):
+    (tmp_path / "a" / "bb").mkdir(parents=True)
+    (tmp_path / "a" / "x").write_bytes(b"12345")
+    (tmp_path / "a" / "bb" / "y").write_bytes(b"1234")
+    (tmp_path / "z").write_bytes(b"")
+    assert tuple(folder_usage(spark, f"file://{tmp_path}").first()) == (3, 9)
+
+
+def test_scans_are_taken_again_while_files_change(spark):
+    scan = lambda last: lambda n: spark.createDataFrame([("a", "1"), ("b", str(min(n, last)))], "path string, hash string")
+    assert [stable_scan(scan(last))[:2] for last in (0, 1, 2, 3, 9)] == [(2, True), (3, True), (4, True), (4, False), (4, False)]
+    gone = stable_scan(lambda n: spark.createDataFrame([("a", "1")] + [("b", "1")] * (n == 0), "path string, hash string"))
+    assert gone[:2] == (3, True) and gone[2].count() == 1
 
 
 def test_stream_equals_batch(spark):
@@ -239,5 +316,121 @@ def test_stream_equals_batch(spark):
     from ledgerline.plans.fleet import rollup_1min
 
     batch = {(r["metric"], r["bucket"]): (r["sum"], r["count"]) for r in rollup_1min(spark, sf).collect()}
-    assert stream and all(batch[k] == v for k, v in stream.items() if k in batch)
+    assert stream and all(batch[k] == v for k, v in stream.items())
     assert len(set(batch) - set(stream)) <= 2
+
+
+def test_overview_document_holds_the_counters(spark):
+    got = json.loads(overview_document(spark.createDataFrame([(3, 0.5, None)], "running long, rate double, none string")).first()["document"])
+    assert got == {"running": 3, "rate": 0.5}
+
+
+def test_lossy_text(spark):
+    for data in (b"plain", "é漢𝄞".encode(), b"a\xffb\xfe", b""):
+        df = spark.createDataFrame([(bytearray(data),)], "b binary")
+        assert df.select(lossy_text(F.col("b"))).first()[0] == data.decode("utf-8", "replace")
+
+
+def test_alerts_of_a_fleet(spark):
+    counts = spark.createDataFrame([(0, 1, 10, 9, 0, 0), (1, 1, 10, 0, 0, 51), (20, 1, 30, 0, 30, 0), (96, 1, 0, 0, 0, 1)], "tick long, n long, fin long, infra long, late long, came long")
+    got = {(r["rule"], r["tick"]): r["edge"] for r in fleet_alerts(counts).collect()}
+    assert got == {
+        ("infra_error_rate", 1): "raise", ("infra_error_rate", 20): "resolve", ("timeout_rate", 20): "raise", ("queue_backlog", 1): "raise", ("queue_backlog", 96): "resolve",
+        ("no_workers", 2): "raise", ("no_workers", 20): "resolve", ("no_workers", 21): "raise", ("no_workers", 96): "resolve",
+    }
+    once = raised_once(spark.createDataFrame([("a", 5), ("a", 3), ("b", 9)], "rule string, tick long"))
+    assert {tuple(r) for r in once.collect()} == {("a", 3, "raise"), ("b", 9, "raise")}
+    quiet = silences(spark.createDataFrame([("w", 0), ("w", 25), ("w", 60), ("v", 70), ("u", 44)], "worker string, tick long"))
+    assert {tuple(r) for r in quiet.collect()} == {("worker_offline:w", 50, "raise"), ("worker_offline:w", 60, "resolve"), ("worker_offline:u", 69, "raise")}
+
+
+@pytest.mark.parametrize(("address", "want"), [
+    ("127.0.0.1", True), ("8.8.8.8", False), ("0.1.2.3", True), ("100.64.0.1", True), ("100.128.0.1", False), ("255.255.255.255", True), ("255.255.255.254", False), ("239.1.1.1", True), ("203.0.113.9", True),
+    ("::1", True), ("::", True), ("0:0:0:0:0:0:0:1", True), ("fd00::1", True), ("fe80::1", True), ("FE80::1", True), ("2606:4700::1111", False), ("::ffff:192.168.0.1", True), ("::ffff:9.9.9.9", False), ("::ffff:a00:1", True), ("1::1", False), ("ff02::fb", True), ("name", True),
+])
+def test_internal_addresses(spark, address, want):
+    assert one(spark, is_internal(F.lit(address))) is want
+
+
+def test_roots_are_laid_out(spark):
+    rows = [("p", "/ws/app"), ("p", "/ws/lib"), ("p", "/ws/app/local/foo"), ("p", "/ws/app"), ("q", "/one/two"), ("r", "/opt/lib"), ("r", "/home/u/a/b/c/d/e/f/g"), ("s", "a/bc"), ("s", "a/bcd")]
+    got = {(r["project"], r["root"]): tuple(r)[2:] for r in laid_out(spark.createDataFrame(rows, "project string, root string")).collect()}
+    assert got == {
+        ("p", "/ws/app"): ("/ws", "app", False, False, 1), ("p", "/ws/lib"): ("/ws", "lib", False, False, 2), ("p", "/ws/app/local/foo"): ("/ws", "app/local/foo", True, False, 3),
+        ("q", "/one/two"): ("/one/two", "", False, False, 1), ("r", "/opt/lib"): ("", "opt/lib", False, False, 1), ("r", "/home/u/a/b/c/d/e/f/g"): ("", "home/u/a/b/c/d/e/f/g", False, True, 2),
+        ("s", "a/bc"): ("a", "bc", False, False, 1), ("s", "a/bcd"): ("a", "bcd", False, False, 2),
+    }
+
+
+RULES = {
+    1: ("success", 0, False, False), 2: ("timeout", 0, True, True), 3: ("env_diagnostics", 101, False, True), 4: ("compile_error", 101, False, False), 5: ("test_failed", 101, False, True), 6: ("oom_killed", 137, False, True),
+    7: ("sigkill_suspected_oom", 101, False, False), 8: ("rustc_crash", 101, False, False), 9: ("disk_full", 1, False, False), 10: ("env_markers_raw", 127, False, False), 11: ("unknown", 1, False, False), 12: ("unknown", 1, False, False), 13: ("unknown", 101, False, False),
+}
+RUN_LINES = {
+    1: "src/a.rs:1:2: error: odd", 2: "src/a.rs:1:2: error: odd", 3: "a.c:3:1: error: openssl/ssl.h: No such file or directory", 4: "a.c:3:1: error: cannot find -lz\nsrc/a.rs:1: error: odd\nx.c:1: warning: w",
+    5: "test result: FAILED. 1 passed; 2 failed; 0 ignored", 6: "(signal: 9, SIGKILL: kill)", 7: "(signal: 9, SIGKILL: kill)\nNo space left on device", 8: "error: could not compile `a`\n(signal: 6, SIGABRT: process abort signal)",
+    9: "x: NO SPACE left on device\nprotoc not found", 10: "protoc not found", 11: "(signal: 11, SIGSEGV: x)", 13: "test result: FAILED. 1 passed; 2 failed; 0 ignored",
+}
+
+
+def test_every_rule_of_the_classifier(spark):
+    logs = spark.createDataFrame([(k, n, line) for k, text in RUN_LINES.items() for n, line in enumerate(text.split("\n"), 1)], "log_id long, line_no int, line string")
+    ends = spark.createDataFrame([(k, code, late, oom, k != 13) for k, (_, code, late, oom) in RULES.items()], "log_id long, exit_code int, timed_out boolean, oom boolean, tests boolean")
+    got = {r["log_id"]: r for r in classified(logs, ends).collect()}
+    assert {k: r["rule"] for k, r in got.items()} == {k: v[0] for k, v in RULES.items()}
+    assert (got[4]["errors"], got[4]["warnings"], got[4]["attribution"]) == (2, 1, "code") and got[7]["attribution"] == "resource" and got[12]["errors"] == 0
+
+
+def test_only_the_end_of_a_log_counts(spark):
+    logs = spark.createDataFrame([(1, n, "write: No space left on device" if n == 1 else "note") for n in range(1, 202)] + [(2, n, "write: No space left on device" if n == 2 else "note") for n in range(1, 202)], "log_id long, line_no int, line string")
+    assert {r["log_id"]: r["rule"] for r in classified(logs).collect()} == {1: "unknown", 2: "disk_full"}
+
+
+def test_remedies_must_change_something(spark):
+    rows = [("oom_killed", {}), ("oom_killed", {"CARGO_BUILD_JOBS": "8", "A": "1"}), ("sigkill_suspected_oom", {"CARGO_BUILD_JOBS": "2"}), ("unknown", {})]
+    df = spark.createDataFrame(rows, "rule string, env map<string,string>")
+    assert [r[0] for r in df.select(remedy(F.col("rule"), F.col("env"))).collect()] == [{"CARGO_BUILD_JOBS": "2"}, {"A": "1", "CARGO_BUILD_JOBS": "2"}, None, None]
+
+
+@pytest.mark.parametrize(("task", "override", "own", "want"), [("test", "", None, True), ("test", "make", None, False), ("test", "", "nextest", False), ("build", "", None, False)])
+def test_test_results_are_read_of_default_commands(spark, task, override, own, want):
+    assert one(spark, parses_tests(F.lit(task), F.lit(override), F.lit(own))) is want
+
+
+MESSAGES = {
+    "Package libssh2 was not found in the pkg-config search path.": ("libssh2", "pkg-config", "libssh2-1-dev", True), "The system library `alsa` required by crate `x` was not found.": ("alsa", "pkg-config", "libasound2-dev", True),
+    "/usr/bin/ld: cannot find -lglib-2.0: No such file": ("glib-2.0", "library", "libglib2.0-dev", True), "/usr/bin/ld: cannot find -lfoo-1.5": ("foo-1.5", "library", "libfoo1.5-dev", False),
+    "fatal error: 'Python.h' file not found": ("Python.h", "header", "python3-dev", True), "a.c:1:2: fatal error: openssl/ssl.h: No such file or directory": ("openssl/ssl.h", "header", "libssl-dev", True),
+    "sodium.h: No such file or directory": ("sodium.h", "header", "libsodium-dev", False), "sh: 1: protoc: not found": ("protoc", "program", "protobuf-compiler", True), "zsh: command not found: node": ("node", "program", "nodejs", True),
+    "error: linker `cc` not found": ("cc", "program", "build-essential", True), "bash: frob: command not found": ("frob", "program", None, False), "Is `cmake` installed?": ("cmake", "program", "cmake", True),
+    "failed to run custom build command for `aws-lc-sys v0.1`": ("aws-lc-sys v0.1", "build-script", None, False), "Could not find librrd": ("librrd", "pkg-config", "librrd-dev", False), "Could NOT find Protobuf (missing: X)": ("Protobuf", "pkg-config", "libprotobuf-dev", True),
+    "could not find Cargo.toml": None, "Could not find directory": None, "could not find `lib.rs`": None, "unable to find library -lz": ("z", "library", "zlib1g-dev", True), '{"message": "cannot find -lz"}': None,
+    '"pkg-config" "--libs" "--cflags" "dbus-1" did not exit successfully: exit status: 1': ("dbus-1", "pkg-config", "libdbus-1-dev", True), "could not find native static library `pq`, perhaps an -L flag is missing?": ("pq", "library", "libpq-dev", True),
+}
+
+
+def test_messages_of_tools(spark):
+    rows = [(k, 1, m) for k, m in enumerate(MESSAGES)]
+    got = {r["log_id"]: (r["name"], r["kind"], r["package"], r["certain"]) for r in missing_dependencies(spark.createDataFrame(rows, "log_id long, line_no int, line string")).collect()}
+    assert {m: got.get(k) for k, m in enumerate(MESSAGES)} == MESSAGES
+
+
+def test_hints_and_path_dependencies(spark):
+    assert {tuple(r) for r in hinted(spark.createDataFrame([(1, "openssl-sys and openssl-sys, protoc"), (2, None), (3, "serde")], "id int, text string"), HINTS).collect()} == {(1, "libssl-dev pkg-config"), (1, "protobuf-compiler")}
+    doc = '{"packages": [{"name": "a", "dependencies": [{"name": "b", "path": "/w/b"}, {"name": "serde", "path": null}]}], "patch": {"crates-io": {"b": "/y/b", "z": "/y/z"}}, "replace": {"b": "/r/b"}, "odd": []}'
+    got = path_dependencies(spark.createDataFrame([(1, doc)], "id int, doc string"))
+    assert {tuple(r) for r in got.collect()} == {(1, "a", "b", "/y/b"), (1, "", "z", "/y/z")}
+    with pytest.raises(Exception, match="MALFORMED_RECORD"):
+        path_dependencies(spark.createDataFrame([(1, "{oops")], "id int, doc string")).collect()
+
+
+def test_settings_tolerate_what_they_do_not_know(spark):
+    rows = [(1, "offline_hours = 3\nx = 1\n[y]\nz = 2"), (2, "offline_hours = 'a'"), (3, "= ="), (4, None)]
+    assert [tuple(r) for r in settings(spark.createDataFrame(rows, "id int, conf string")).orderBy("id").collect()] == [(1, "x,y", 3, 10, 20), (2, "", 24, 10, 20), (3, "", 24, 10, 20), (4, "", 24, 10, 20)]
+
+
+def test_manifest_entries(spark):
+    stats = spark.createDataFrame([(1, "file", 0o100755, "", bytearray(b"x")), (2, "symlink", 0o120777, "../é", None), (3, "directory", 0o40755, "", None), (4, "missing", 0, "", None), (5, "file", 0o100644, "", bytearray(b""))], "id long, type string, mode int, target string, content binary")
+    got = {r["id"]: tuple(r)[1:] for r in entries(stats, spark.createDataFrame([(1,), (2,)], "id long")).collect()}
+    h = lambda b: hashlib.sha256(b).hexdigest()
+    assert got == {1: ("file", h(b"x"), 1, True, True, ""), 2: ("symlink", h("../é".encode()), 5, False, False, "../é"), 5: ("file", h(b""), 0, False, False, "")}
