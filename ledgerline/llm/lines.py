@@ -59,8 +59,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(text).alias(own["k1"]), F.xxhash64(F.lit("text"), text).alias(own["k2"]))
     joined = keyed.join(marks, F.col(id_col).eqNullSafe(F.col(own["id"])) & (F.col(own["k1"]) == F.col(own["t1"])) & (F.col(own["k2"]) == F.col(own["t2"])), "left")
     parts = F.split(text, "\n")
-    # array_except hashes, so a text of many lines takes no longer for each
-    rest = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), gone), lambda i: F.get(parts, i)), "\n")
+    # a one-entry array binds the lines, so that the text is split once; array_except hashes, so a text of many lines takes no longer for each
+    stay = lambda p: F.array_except(F.sequence(F.lit(0), F.size(p) - 1), gone)
+    rest = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
     clean = F.when(gone.isNull(), text).otherwise(rest)
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: x.rlike(WORD))))
     out = [clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
