@@ -50,7 +50,7 @@ def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reclaim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is decided about each volume, by decision."""
     o = load(spark, sf_dir, "orders")
-    recent = F.col("o_orderdate") > F.lit(o.agg(F.max("o_orderdate")).first()[0]) - F.expr("INTERVAL 180 DAY")
+    recent = F.col("o_orderdate") > o.agg(F.max("o_orderdate").alias("last")).scalar() - F.expr("INTERVAL 180 DAY")
     decision = F.when(F.col("o_orderstatus") == "P", "busy").when(F.col("o_totalprice") < 50_000, "small").when(recent, "recent").otherwise("reclaim")
     return o.groupBy(decision.alias("decision")).agg(F.count("*").alias("n"), F.sum(F.floor("o_totalprice")).cast("long").alias("bytes"))
 
