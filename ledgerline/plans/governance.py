@@ -216,7 +216,7 @@ def arch_demand(image: Column, target: Column) -> Column:
 
 
 @query(f"""WITH n AS (SELECT p_partkey, {_RAW} AS worker, ['', 'amd64', 'x86_64, aarch64', 'arm64;riscv64 ', 'x64 amd64', 'bad!'][1 + p_partkey % 6] AS image, ['', 'aarch64-apple-darwin', 'riscv64gc-unknown-none', '??'][1 + p_partkey % 4] AS target FROM part),
- x AS (SELECT p_partkey, worker, target, unnest(regexp_split_to_array(image, '[,;\s]+')) AS a FROM n), y AS (SELECT p_partkey, list_sort(list(DISTINCT {_ARCH.replace("a IN", "lower(a) IN").replace("(a,", "(lower(a),")}) FILTER (WHERE {_ARCH} IS NOT NULL)) AS arches FROM x GROUP BY 1),
+ x AS (SELECT p_partkey, worker, target, unnest(regexp_split_to_array(image, '[,;\\s]+')) AS a FROM n), y AS (SELECT p_partkey, list_sort(list(DISTINCT {_ARCH.replace("a IN", "lower(a) IN").replace("(a,", "(lower(a),")}) FILTER (WHERE {_ARCH} IS NOT NULL)) AS arches FROM x GROUP BY 1),
  z AS (SELECT n.p_partkey, coalesce(arches, []) AS arches, (SELECT {_ARCH} FROM (SELECT lower(trim(worker)) AS a)) AS worker, (SELECT {_ARCH} FROM (SELECT lower(split_part(trim(target), '-', 1)) AS a)) AS target FROM n JOIN y USING (p_partkey))
  SELECT p_partkey, len(arches) = 0 OR coalesce(list_contains(arches, worker), false) AS matches, CASE WHEN len(arches) = 1 THEN arches[1] ELSE coalesce(target, '') END AS demand FROM z""")
 def arch_match(spark: SparkSession, sf_dir: str) -> DataFrame:

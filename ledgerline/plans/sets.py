@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import human_bytes, length_prefixed, normalized_span
 from ..operators.matching import bag_sides
-from ..sources.stores import Table, blob_path, shared_path
+from ..sources.stores import Table, blob_path, settled, shared_path
 from ..sources.telemetry import diagnostics, load, paths, tasks
 from .base import DIAGS, PATHS, TASKS, query
 
@@ -135,7 +135,8 @@ _DELTA = f"""{DIAGS}, k AS (SELECT *, sha256(level || chr(0) || code || chr(0) |
 def _delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The diagnostics of even logs stand for the current ones, those of odd logs for the baseline."""
     key = F.unhex(F.sha2(F.concat_ws("\0", "level", "code", normalized_span(F.col("message"))), 256))
-    d = diagnostics(spark, sf_dir).select("log_id", "pos", "level", "code", key.alias("key"))
+    # both passes over the bags read what is written here, instead of hashing all messages twice
+    d = settled(diagnostics(spark, sf_dir).select("log_id", "pos", "level", "code", key.alias("key")), "diagnostics")
     return bag_sides(d, F.col("log_id") % 2 == 0, ["key"], ["log_id", "pos"], F.expr("log_id div 64")).drop("key")
 
 

@@ -20,6 +20,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def settled(rows: DataFrame, name: str) -> DataFrame:
+    """`rows` written to the shared folder and read back, for what reads them more than once."""
+    path = shared_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Table:
     """A table of one writer, kept in versions: each change writes a folder of its own, and readers take the last one that is whole.
 
