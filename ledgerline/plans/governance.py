@@ -177,6 +177,39 @@ def verdict_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).select("id", who.alias("attribution"), F.col("result_kind").isin("success", "compile_error").alias("cacheable"), (F.col("result_kind") == "infra_error").alias("retryable"))
 
 
+#: What of a manifest or configuration, as JSON, is read of patches and replacements.
+OVERRIDES = "patch MAP<STRING, MAP<STRING, STRING>>, replace MAP<STRING, STRING>"
+
+
+def override_paths(files: DataFrame) -> DataFrame:
+    """id, dependency, path and readable of what patches and replacements of each file (id, kind, root, text: TOML) point to by path, each once.
+
+    Manifests may patch and replace, configurations only patch. Relative paths are taken from the file's root. Entries without a path,
+    say of a git branch, point nowhere. A file that can't be parsed gives one row with nothing but readable = false.
+    """
+    parsed = files.withColumn("doc", toml_to_json("text"))
+    d = F.from_json("doc", OVERRIDES)
+    spec = lambda m: F.coalesce(m, F.create_map().cast("map<string,string>"))
+    patches = F.flatten(F.transform(F.map_values(F.coalesce(d["patch"], F.create_map().cast("map<string,map<string,string>>"))), F.map_entries))
+    both = F.concat(patches, F.when(F.col("kind") == "manifest", F.map_entries(spec(d["replace"]))).otherwise(F.array().cast("array<struct<key:string,value:string>>")))
+    each = parsed.filter("doc IS NOT NULL").select("id", "root", F.explode(both).alias("e")).select("id", "root", F.col("e.key").alias("dependency"), F.get_json_object("e.value", "$.path").alias("p"))
+    path = F.when(F.startswith("p", F.lit("/")), F.col("p")).otherwise(F.concat_ws("/", "root", "p"))
+    found = each.filter("p IS NOT NULL").select("id", "dependency", path.alias("path"), F.lit(True).alias("readable")).distinct()
+    none = F.lit(None).cast("string")
+    return found.unionByName(parsed.filter("doc IS NULL AND text IS NOT NULL").select("id", none.alias("dependency"), none.alias("path"), F.lit(False).alias("readable")))
+
+
+@query("""WITH m AS (SELECT p_partkey AS id, p_size % 5 AS way, '/w/' || p_size AS root FROM part)
+ SELECT id, 'util' AS dependency, '/abs/util' AS path, true AS readable FROM m WHERE way IN (0, 3) UNION ALL SELECT id, 'core', root || '/../core', true FROM m WHERE way IN (0, 3)
+ UNION ALL SELECT id, 'old:1.0', root || '/old', true FROM m WHERE way = 0 UNION ALL SELECT id, NULL, NULL, false FROM m WHERE way = 2""")
+def manifest_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local paths that patches and replacements in manifests and configurations point to; the files are made of parts."""
+    n, root = F.col("p_size") % 5, F.concat(F.lit("/w/"), "p_size")
+    patches = '[patch.crates-io]\nutil = { path = "/abs/util" }\nserde = { git = "https://x" }\n[patch."https://git"]\ncore = { path = "../core", version = "1" }\n'
+    text = F.when(n.isin(0, 3), patches + '[replace]\n"old:1.0" = { path = "old" }\n').when(n == 1, '[package]\nname = "a"\n').when(n == 2, "[patch").otherwise("")
+    return override_paths(load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.when(n == 3, "config").otherwise("manifest").alias("kind"), root.alias("root"), text.alias("text")))
+
+
 _RAW = "['amd64', ' ARM64 ', 'x86_64-unknown-linux-gnu', 'aarch64', '', 'riscv64', 'armv7l', 'bad arch!', 'sparc_v9'][1 + p_size % 9]"
 _ARCH = "CASE WHEN a IN ('amd64', 'x86_64', 'x64') THEN 'x86_64' WHEN a IN ('arm64', 'aarch64') THEN 'aarch64' WHEN a IN ('arm', 'armv7', 'armv7l') THEN 'arm' WHEN regexp_full_match(a, '[a-z0-9_]+') THEN a END"
 _RAWS = ("amd64", " ARM64 ", "x86_64-unknown-linux-gnu", "aarch64", "", "riscv64", "armv7l", "bad arch!", "sparc_v9")

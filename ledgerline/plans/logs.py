@@ -58,6 +58,34 @@ def remediation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.filter("env IS NOT NULL").select("log_id", "rule", F.element_at("env", "CARGO_BUILD_JOBS").alias("jobs"))
 
 
+# The environment that tests have unless a run says otherwise.
+TEST_ENV = {"CARGO_PROFILE_TEST_DEBUG": "0", "CARGO_PROFILE_DEV_DEBUG": "0"}
+
+
+def outcomes(logs: DataFrame, ended: DataFrame) -> DataFrame:
+    """log_id, outcome (tests, success or custom), passed, failed and env of each run, by the contract of its task.
+
+    ended: log_id, exit_code, task, tests (whether its log may be read for test results) and env. Only a test whose command is the
+    default one is judged by its summary; all else by its exit code. What the run sets in its environment goes before the task's own.
+    """
+    seen = summed_tests(logs).select("log_id", "passed", "failed")
+    judged = ended.join(seen, "log_id", "left").withColumn("read", F.col("tests") & F.col("passed").isNotNull())
+    own = F.create_map(*[F.lit(x) for kv in TEST_ENV.items() for x in kv])
+    env = F.when(F.col("task") == "test", F.map_concat(F.map_filter(own, lambda k, _: ~F.map_contains_key("env", k)), "env")).otherwise(F.col("env"))
+    text = F.array_join(F.array_sort(F.transform(F.map_entries(env), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",")
+    count = lambda c: F.when(F.col("read"), F.col(c))
+    return judged.select("log_id", F.when(F.col("read"), "tests").when(F.col("exit_code") == 0, "success").otherwise("custom").alias("outcome"), count("passed").alias("passed"), count("failed").alias("failed"), text.alias("env"))
+
+
+@query(f"""WITH {RUN_LOGS}, s AS (SELECT log_id, sum(CAST(regexp_extract(line, '([0-9]+) passed', 1) AS BIGINT))::BIGINT AS passed, sum(CAST(regexp_extract(line, '([0-9]+) failed', 1) AS BIGINT))::BIGINT AS failed FROM logs WHERE starts_with(line, 'test result:') GROUP BY 1)
+ SELECT r.log_id, CASE WHEN tests AND passed IS NOT NULL THEN 'tests' WHEN exit_code = 0 THEN 'success' ELSE 'custom' END AS outcome, CASE WHEN tests THEN passed END AS passed, CASE WHEN tests THEN failed END AS failed,
+ array_to_string(list_sort(list_filter([CASE WHEN few_jobs THEN 'CARGO_BUILD_JOBS=2' END, CASE WHEN r.log_id % 3 = 0 THEN 'CARGO_PROFILE_TEST_DEBUG=0' END, CASE WHEN r.log_id % 3 = 0 THEN 'CARGO_PROFILE_DEV_DEBUG=0' END], lambda x: x IS NOT NULL)), ',') AS env FROM runs r LEFT JOIN s ON s.log_id = r.log_id""")
+def outcome_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the contract of its task makes of each run, and the environment it ran in."""
+    ended = runs(spark, sf_dir).withColumn("tests", parses_tests(F.col("task"), F.col("override"), F.col("profile_command")))
+    return outcomes(run_logs(spark, sf_dir), ended)
+
+
 @query(
     f"""WITH {BUILD_LOGS}, {_FACTS}, c AS (SELECT *, 101 AS exit_code, false AS timed_out, true AS tests, false AS oom FROM f), d AS (SELECT *, {_RULE} AS rule FROM c)
  SELECT log_id, rule, {_KIND} AS kind, {_WHOSE} AS attribution, errors, warnings, {_environmental("lower(tail)")} AS environmental FROM d"""

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import human_bytes, length_prefixed, normalized_span
 from ..operators.matching import bag_sides
-from ..sources.stores import Table, blob_path, settled, shared_path
+from ..sources.stores import Table, blob_path, folder_usage, settled, shared_path
 from ..sources.telemetry import diagnostics, load, paths, tasks
 from .base import DIAGS, PATHS, TASKS, query
 
@@ -73,6 +73,12 @@ def blob_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blobs.join(stored, "doc_id", "left").na.fill(False, ["stored"])
 
 
+@query()
+def store_folder_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and bytes of the data folder itself, at any depth."""
+    return folder_usage(spark, sf_dir)
+
+
 @query("SELECT hash, bytes, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, '')) AS bytes FROM documents) GROUP BY 1, 2")
 def blob_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of blobs after two uploads, of odd documents and then of all: each content is there once, under the document that brought it first."""
