@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, Settled
+from .common import SPACE, WORD, Settled
 
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed formats, written so that no run of characters is tried from each of its places: a match starts where the run does, or where the match before it ended.
@@ -168,11 +168,13 @@ def _patterns(span: Column) -> Column:
 
 def _totals(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """said and total: how often each text of `wanted` (said: a word, two words or what begins a word) occurs in all texts."""
-    words = F.regexp_extract_all(_plain(F.col(text_col).cast("string")), F.lit(WORD), F.lit(0))
-    rows = docs.select(words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    fronts = F.transform(F.filter("w", lambda x: x.rlike(f"^{GLUED}.")), lambda x: F.concat(F.lit(FRONT), F.regexp_extract(x, f"^({GLUED})", 1)))
-    said = rows.select(F.explode(F.concat("w", pairs, fronts)).alias("said"))
+    words = F.split(_plain(F.trim(F.col(text_col).cast("string"), F.lit(SPACE))), f"{_WS}+")
+    rows = docs.select(words.alias("w")).filter("w IS NOT NULL")
+    # each word beside the next one; what is said at a word is made after that, where whole-stage code makes it
+    rows = rows.select("w", F.slice("w", F.lit(2), F.size("w")).alias("x")).select(F.explode(F.arrays_zip("w", "x")).alias("p")).select("p.w", "p.x")
+    glued = F.contains("w", F.lit(":")) | F.contains("w", F.lit("=")) | F.contains("w", F.lit("#"))
+    front = F.when(glued, F.concat(F.lit(FRONT), F.nullif(F.regexp_extract("w", f"^({GLUED}).", 1), F.lit(""))))
+    said = rows.select(F.explode(F.array("w", F.concat("w", F.lit(" "), "x"), front)).alias("said"))
     few = wanted.count() <= BROADCAST_PATTERNS
     return said.join(F.broadcast(wanted) if few else wanted, "said", "left_semi").groupBy("said").agg(F.count("*").alias("total"))
 
