@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import language, lines, minhash, mixing, packing
-from ledgerline.llm.common import WORD, Settled, free_name, scratch, settle, table
+from ledgerline.llm.common import WORD, Settled, dealt, free_name, scratch, settle, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -89,7 +89,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of `sf_dir`, each written and read again before the next."""
-    docs, made = table(spark, sf_dir, "documents"), None
+    docs, made = dealt(table(spark, sf_dir, "documents")), None
     for k, (_, stage) in enumerate(STAGES):
         if k == len(STAGES) - 1:
             return stage(spark, docs, sf_dir)

@@ -7,23 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import language, lines, minhash, mixing, packing, pii, quality, toxicity, vectors, warc
-from .common import table
+from .common import dealt, table
 
 
 def op1_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.quality(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op2_warc_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(dealt(table(spark, sf_dir, "pages")))
 
 
 def op3_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.digest(lines.dedup(table(spark, sf_dir, "documents")))
+    return lines.digest(lines.dedup(dealt(table(spark, sf_dir, "documents"))))
 
 
 def op4_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.personal_data(dealt(table(spark, sf_dir, "documents"))))
 
 
 def op5_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,23 +31,23 @@ def op5_lattice_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.digest(mixing.mix(table(spark, sf_dir, "documents")))
+    return mixing.digest(mixing.mix(dealt(table(spark, sf_dir, "documents"))))
 
 
 def op7_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op8_cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.digest(packing.pack(table(spark, sf_dir, "documents")))
+    return packing.digest(packing.pack(dealt(table(spark, sf_dir, "documents"))))
 
 
 def op9_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    return minhash.near_duplicates(dealt(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.language(table(spark, sf_dir, "documents"))
+    return language.language(dealt(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
