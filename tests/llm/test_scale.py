@@ -53,6 +53,19 @@ def test_nameless_and_repeated_rows_spread_over_blocks(spark, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, got))
 
 
+@pytest.mark.parametrize("rows", [4096, 60])
+def test_the_mix_balances_documents_too(spark, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", rows)
+    rng = random.Random(3)
+    docs = [(i, "w " * rng.choice([1, 3, 30, 200]), "en", rng.choice("abbccccd"), 1) for i in range(1200)]
+    got = mixing.mix(table(spark, docs)).collect()
+    for source in "abcd":
+        mine = [r for r in got if r["source"] == source]
+        times = mine[0]["target"] / mine[0]["source_size"]
+        # probabilities move where neither documents nor words change in sum; only the last unit of a source falls by chance
+        assert abs(sum(r["copies"] for r in mine) - times * len(mine)) <= 1 + 1e-6
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_targets_of_many_sources(spark, seed):
     rng = random.Random(seed)
