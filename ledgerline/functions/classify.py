@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Phrases that tell a broken environment, and those that need a second phrase beside them.
 ENVIRONMENT = [
@@ -192,8 +193,11 @@ def missing_dependencies(lines: DataFrame, most: int = MOST) -> DataFrame:
     text = F.rtrim(F.col("line"))
     # one search tells whether a line may say anything at all, as most don't
     may = text.rlike("found|find|Is .*installed|No such file|required by crate|custom build command|did not exit")
-    hits = [F.struct(F.regexp_extract(text, as_regex(m), 1).alias("name"), F.lit(k).alias("kind"), F.lit(w).alias("weight")) for m, k, w in MESSAGES]
-    found = lines.filter(may & ~F.ltrim("line").startswith("{")).select("log_id", "line_no", F.explode(F.filter(F.array(*hits), lambda h: h["name"] != "")).alias("h")).select("log_id", "line_no", "h.*")
+    absent = F.contains(text, F.lit("pkg-config command could not be found")) | text.rlike(r"(?:^|[:\s])(?:pkg-config|pkgconf): (?:command )?not found")
+    said = F.when(~F.ltrim("line").startswith("{"), text)
+    hits = [F.struct(F.coalesce(F.regexp_extract(said, as_regex(m), 1), F.lit("")).alias("name"), F.lit(k).alias("kind"), F.lit(w).alias("weight")) for m, k, w in MESSAGES]
+    hits.append(F.struct(F.when(absent, "pkg-config").otherwise("").alias("name"), F.lit("absent").alias("kind"), F.lit(3).alias("weight")))
+    found = lines.filter(may).select("log_id", "line_no", F.explode(F.filter(F.array(*hits), lambda h: h["name"] != "")).alias("h")).select("log_id", "line_no", "h.*")
     found = found.withColumn("name", F.regexp_replace(F.trim("name"), "^[`'\",.]+|[`'\",.]+$", ""))
     low = F.lower("name")
     found = found.withColumn("name", F.when((F.col("kind") == "prose") & (low == "pkgconfig"), "pkg-config").otherwise(F.col("name")))
@@ -203,14 +207,14 @@ def missing_dependencies(lines: DataFrame, most: int = MOST) -> DataFrame:
     package, certain = package_of(F.col("kind"), F.col("name"))
     found = found.withColumn("package", package).withColumn("certain", certain).withColumn("class", F.when(F.col("kind").isin("library", "pkg-config", "header"), "library").otherwise(F.col("kind")))
     use = F.col("certain").cast("int") + F.col("package").isNotNull().cast("int")
-    told = found.groupBy("log_id", "class", low.alias("low")).agg(F.max_by(F.struct("name", "kind", "package", "certain", "weight"), F.struct("weight", use, -F.col("line_no"))).alias("t"), F.min("line_no").alias("first")).select("log_id", "low", "first", "t.*")
+    # findings are few beside lines; dealt by log once, they are grouped and ranked where they lie
+    best = F.max_by(F.struct("name", "kind", "package", "certain", "weight"), F.struct("weight", use, -F.col("line_no")))
+    told = found.repartition("log_id").groupBy("log_id", "class", low.alias("low")).agg(best.alias("t"), F.min("line_no").cast("long").alias("first")).select("log_id", "class", "low", "first", "t.*")
+    tool = F.col("class") == "absent"
+    told = told.withColumn("lacks", F.max(tool).over(Window.partitionBy("log_id"))).withColumn("best", F.max(F.when(~tool, F.col("weight"))).over(Window.partitionBy("log_id", "low")))
     # of one name in several classes, only the best evidence stays; equals are facts of their own
-    best = told.groupBy("log_id", "low").agg(F.max("weight").alias("best"))
-    told = told.join(best, ["log_id", "low"]).filter("weight = best")
-    missing = F.contains("line", F.lit("pkg-config command could not be found")) | F.col("line").rlike(r"(?:^|[:\s])(?:pkg-config|pkgconf): (?:command )?not found")
-    absent = lines.filter(missing).select("log_id").distinct().withColumn("absent", F.lit(True))
-    told = told.join(absent, "log_id", "left")
-    tool = absent.select("log_id", F.lit("pkg-config").alias("name"), F.lit("program").alias("kind"), F.lit("pkg-config").alias("package"), F.lit(True).alias("certain"), F.lit(3).alias("weight"), F.lit(0).cast("long").alias("first"))
-    rest = told.filter("absent IS NULL OR NOT (kind = 'pkg-config' OR low = 'pkg-config')").select("log_id", "name", "kind", "package", "certain", "weight", F.col("first").cast("long").alias("first"))
-    ranked = rest.unionAll(tool).withColumn("place", F.expr("row_number() OVER (PARTITION BY log_id ORDER BY weight DESC, first, name)"))
-    return ranked.filter(F.col("place") <= most).select("log_id", "name", "kind", "package", "certain", "place")
+    kept = told.filter(tool | ((F.col("weight") == F.col("best")) & ~(F.col("lacks") & ((F.col("kind") == "pkg-config") | (F.col("low") == "pkg-config")))))
+    pick = lambda c, value: F.when(tool, F.lit(value)).otherwise(F.col(c)).alias(c)
+    kept = kept.select("log_id", "name", pick("kind", "program"), pick("package", "pkg-config"), pick("certain", True), "weight", pick("first", 0))
+    place = F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("weight"), "first", "name"))
+    return kept.withColumn("place", place).filter(F.col("place") <= most).select("log_id", "name", "kind", "package", "certain", "place")

@@ -13,6 +13,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(scan: DataFrame) -> DataFrame:
+    """A table as read, its rows dealt over all cores where it is so small that Spark would cut it into fewer parts than there are.
+
+    Such a table has less than 4 MB a core (spark.sql.files.openCostInBytes), often in one row group, which one task would work
+    through alone. Larger ones stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per task: id, times, project, worktree, kind of result, status, phases in milliseconds and a payload number k."""
     kind = F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv])
@@ -36,7 +46,7 @@ def as_of(frame: DataFrame, column: str = "at_us") -> Column:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log lines, numbered from 1."""
-    docs = load(spark, sf_dir, "documents")
+    docs = dealt(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("log_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
