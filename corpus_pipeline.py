@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import language, lines, minhash, mixing, packing
-from ledgerline.llm.common import WORD, Settled, dealt, free_name, scratch, settle, table
+from ledgerline.llm.common import WORD, Settled, free_name, scratch, settle, table
+from ledgerline.sources.telemetry import dealt
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 

@@ -24,16 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def dealt(scan: DataFrame) -> DataFrame:
-    """A table as read, its rows dealt over all cores where it is so small that Spark would cut it into fewer parts than there are.
-
-    Such a table has less than 4 MB a core (spark.sql.files.openCostInBytes), often in one row group, which one task would work
-    through alone. Larger ones stay as they are.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one, but only if all of Spark runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)

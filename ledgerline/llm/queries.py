@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import language, lines, minhash, mixing, packing, pii, quality, toxicity, vectors, warc
-from .common import dealt, table
+from ..sources.telemetry import dealt
+from .common import table
 
 
 def op1_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
