@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD, Settled, free_name
+from .common import SPACE, WORD, Settled, free_name, scratch
 
 #: A line on so many sites, or more, is boilerplate.
 MIN_SITES = 8
@@ -50,13 +50,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     kept; n_lines and n_removed replace columns of those names. An empty table gives no rows.
     """
     lines = Settled(exploded(docs, id_col, text_col, site_col), "lines").df
-    found = Settled(spread(lines, min_sites), "spread-lines").df
+    with scratch() as kept:
+        kept.append(Settled(spread(lines, min_sites), "spread-lines"))
+    found = kept[0].df
     own = {n: free_name(docs, f"_{n}") for n in ("id", "t1", "t2", "gone", "k1", "k2")}
     marks = lines.join(found, ["h1", "h2"]).groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
     marks = marks.select(*[F.col(n).alias(own[n]) for n in ("id", "t1", "t2", "gone")])
     text, gone = F.col(text_col).cast("string"), F.col(own["gone"])
-    kept = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in kept], F.xxhash64(text).alias(own["k1"]), F.xxhash64(F.lit("text"), text).alias(own["k2"]))
+    own_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    keyed = docs.select(*[F.col(f"`{c}`") for c in own_columns], F.xxhash64(text).alias(own["k1"]), F.xxhash64(F.lit("text"), text).alias(own["k2"]))
     joined = keyed.join(marks, F.col(id_col).eqNullSafe(F.col(own["id"])) & (F.col(own["k1"]) == F.col(own["t1"])) & (F.col(own["k2"]) == F.col(own["t2"])), "left")
     parts = F.split(text, "\n")
     # a one-entry array binds the lines, so that the text is split once; array_except hashes, so a text of many lines takes no longer for each
@@ -64,7 +66,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
     rest = F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(stay(p), lambda i: F.get(p, i)), "\n")), F.lit(0))
     clean = F.when(gone.isNull(), text).otherwise(rest)
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(F.filter(parts, lambda x: x.rlike(WORD))))
-    out = [clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in kept]
+    out = [clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in own_columns]
     return joined.select(*out, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
 
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Settled
+from .common import Settled, scratch
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -359,7 +359,9 @@ def classed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     needed = Settled(classes.select("digest", "id").join(members.df.select("digest").distinct(), "digest", "left_semi"), "minhash-needed")
     texts = Settled(texts_of(docs, needed.df, id_col, text_col), "minhash-texts")
     first = Settled(verified(pairs.df, texts.df, least), "minhash-verified")
-    roots = Settled(components(first.df.filter("linked")), "minhash-roots")
+    with scratch() as kept:
+        roots = Settled(components(first.df.filter("linked")), "minhash-roots")
+        kept.append(roots)
     for done in (pairs, needed, first):
         done.drop()
     # bands whose members are still in several components

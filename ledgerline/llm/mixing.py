@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Settled, n_words, seed_of
+from .common import Settled, n_words, scratch, seed_of
 
 WEIGHTS = (5, 2, 1)
 #: Words the whole mix takes over words there are, and the most a source may be repeated.
@@ -165,7 +165,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.coalesce(key if key is not None else own, F.lit("")).alias("key"))
     alike = rows.groupBy("id", "source", "size", "key").agg(F.count("*").alias("_rows"))
     sized = Settled(alike.select("id", "source", "size", "key", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_rows"))).alias("copy")), "mix-sizes").df
-    per = Settled(targets(sized), "mix-targets").df
+    with scratch() as kept:
+        kept.append(Settled(targets(sized), "mix-targets"))
+    per = kept[0].df
     about = per.agg(F.count("*").alias("n"), F.max("n_docs").alias("most"), F.sum(F.octet_length(F.coalesce("source", F.lit("")))).alias("bytes")).first()
     most, few = about["most"] or 0, about["n"] <= BROADCAST_SOURCES and (about["bytes"] or 0) <= BROADCAST_SOURCES * NAME_BYTES
     joined = sized.join(F.broadcast(per) if few else per, sized["source"].eqNullSafe(per["source"])).drop(per["source"])

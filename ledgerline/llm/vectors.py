@@ -204,12 +204,13 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # only points where at least two vectors meet, one of them at home
     met = filed.groupBy("label", "point").agg(F.count("*").alias("m"), F.count_if(~F.col("probe")).alias("homes")).filter("m > 1 and homes > 0")
     met = met.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-    kept = Settled(filed.join(met.select("label", "point", "blocks"), ["label", "point"]), "lattice-met").df
+    kept = Settled(filed.join(met.select("label", "point", "blocks"), ["label", "point"]), "lattice-met")
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    spread = kept.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = kept.df.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("node", "label", "point", "probe", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     full = spread.join(lattice.select("node", "n", "unit", "home", "near"), "node")
     linked = Settled(full.groupBy("label", "point", "one", "two").applyInArrow(_link_block, "node long, links long, root long"), "vector-links").df
+    kept.drop()
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("root").alias("a"), F.col("node").alias("b")))
     usable_nodes = lattice.select("node", "n")

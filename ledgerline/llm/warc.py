@@ -26,7 +26,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .common import Settled, new_path
+from .common import Settled, new_path, scratch
 
 #: Bytes of an archive file after which a task begins the next, and of files that one read task takes on.
 FILE_BYTES = TASK_BYTES = 64 << 20
@@ -433,7 +433,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     path = new_path(spark, "archive")
-    write(records(pages), path)
+    with scratch():
+        write(records(pages), path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     got = read(spark, path, "digest").filter(F.col("record_type").isin("response", "revisit"))
