@@ -222,7 +222,8 @@ def is_internal(address: Column) -> Column:
     a = F.lower(F.trim(address))
     mapped, hexed = F.regexp_extract(a, r"^[0:]*:ffff:([0-9]+(?:\.[0-9]+){3})$", 1), r"^[0:]*:ffff:([0-9a-f]{1,4}):([0-9a-f]{1,4})$"
     dotted = F.when(a.rlike(r"^[0-9]+(\.[0-9]+){3}$"), a).otherwise(F.nullif(mapped, F.lit("")))
-    part = lambda k: F.get(F.split(dotted, r"\."), F.lit(k)).try_cast("long")
+    octet = lambda k: F.get(F.split(dotted, r"\."), F.lit(k)).try_cast("long")
+    part = lambda k: F.when(octet(k) <= 255, octet(k))
     group = lambda k: F.conv(F.nullif(F.regexp_extract(a, hexed, k), F.lit("")), 16, 10).try_cast("long")
     number = F.coalesce(part(0) * (1 << 24) + part(1) * (1 << 16) + part(2) * (1 << 8) + part(3), group(1) * (1 << 16) + group(2))
     blocks = [("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("172.16.0.0", 12), ("192.168.0.0", 16), ("169.254.0.0", 16), ("100.64.0.0", 10), ("224.0.0.0", 4), ("192.0.2.0", 24), ("198.51.100.0", 24), ("203.0.113.0", 24), ("255.255.255.255", 32)]
@@ -233,7 +234,7 @@ def is_internal(address: Column) -> Column:
     head = F.conv(F.nullif(F.regexp_extract(a, "^([0-9a-f]{1,4}):", 1), F.lit("")), 16, 10).try_cast("int")
     block = lambda bits, start: head.bitwiseAND(F.lit(0xFFFF << (16 - bits) & 0xFFFF)) == start
     six = a.rlike("^[0:]*:0*1$") | a.rlike("^[0:]*$") | F.coalesce(block(8, 0xFF00) | block(7, 0xFC00) | block(10, 0xFE80), F.lit(False))
-    return F.when(number.isNotNull(), four).when(a.contains(":"), six).otherwise(F.lit(True))
+    return F.when(number.isNotNull(), four).when(a.contains(":") & dotted.isNull(), six).otherwise(F.lit(True))
 
 
 @query(f"""WITH {PATHS}, c AS (SELECT page_id, lower(regexp_replace(regexp_replace(rtrim(url, '/'), '[?#].*$', ''), '^[a-z]+://', '')) AS u FROM paths) SELECT page_id, regexp_replace(regexp_replace(u, '/+$', ''), '[.]git$', '') AS canonical FROM c""")

@@ -346,7 +346,7 @@ def test_alerts_of_a_fleet(spark):
 
 @pytest.mark.parametrize(("address", "want"), [
     ("127.0.0.1", True), ("8.8.8.8", False), ("0.1.2.3", True), ("100.64.0.1", True), ("100.128.0.1", False), ("255.255.255.255", True), ("255.255.255.254", False), ("239.1.1.1", True), ("203.0.113.9", True),
-    ("::1", True), ("::", True), ("0:0:0:0:0:0:0:1", True), ("fd00::1", True), ("fe80::1", True), ("FE80::1", True), ("2606:4700::1111", False), ("::ffff:192.168.0.1", True), ("::ffff:9.9.9.9", False), ("::ffff:a00:1", True), ("1::1", False), ("ff02::fb", True), ("name", True),
+    ("::1", True), ("::", True), ("0:0:0:0:0:0:0:1", True), ("fd00::1", True), ("fe80::1", True), ("FE80::1", True), ("2606:4700::1111", False), ("::ffff:192.168.0.1", True), ("::ffff:9.9.9.9", False), ("::ffff:a00:1", True), ("1::1", False), ("ff02::fb", True), ("name", True), ("8.8.8.999", True), ("::ffff:8.8.8.300", True), ("", True),
 ])
 def test_internal_addresses(spark, address, want):
     assert one(spark, is_internal(F.lit(address))) is want
