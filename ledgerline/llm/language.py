@@ -275,7 +275,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     if not counts:
         return build({})
-    # one row per language: as many as the corpus has, whatever its size
+    # one row per language: as many as the corpus has, whatever its size; each language's table takes up to 10 MB in a Python worker
     wanted = DRAWN * REFERENCE_CHARS / PASSAGE_CHARS
     share = docs.sparkSession.createDataFrame([(k, min(1.0, wanted / max(n, 1))) for k, n in counts.items()], "lang string, share double")
     place = lambda k: F.pmod(F.xxhash64(F.lit("language"), F.coalesce(F.col("id").cast("string"), F.lit("")), k), F.lit(1 << 30)) / float(1 << 30)
