@@ -235,7 +235,18 @@ def packed(logs: DataFrame) -> DataFrame:
     return slots.withColumn("room", room.cast("int")).filter("room > 0").select("log_id", "slot", "line_no", cut_bytes(F.col("text"), F.col("room")).alias("text"))
 
 
-@query()
+_FIT = "list_max(list_filter(range(0, least(length({0}), {1}) + 1), lambda i: strlen({2}({0}, i)) <= {1}))"
+
+
+@query(
+    f"""WITH {LINES}, l AS (SELECT log_id, line_no, line, strlen(line) AS b, length(line) AS n, greatest({LINE_BUDGET} - strlen(' …[' || strlen(line) || ' bytes]… '), 0) AS room FROM lines),
+ h AS (SELECT *, CASE WHEN b > {LINE_BUDGET} THEN left(line, {_FIT.format("line", "(room * 5 // 7)", "left")}) END AS head, CASE WHEN b > {LINE_BUDGET} THEN right(line, {_FIT.format("line", "(room * 2 // 7)", "right")}) END AS tail FROM l),
+ t AS (SELECT log_id, line_no, CASE WHEN b <= {LINE_BUDGET} THEN line ELSE head || ' …[' || (b - strlen(head) - strlen(tail)) || ' bytes]… ' || tail END AS text,
+  CASE WHEN line_no = 1 THEN 0 WHEN trim(line) = '' THEN 4 WHEN n % 3 = 0 AND n % 5 <> 0 AND n % 11 = 7 THEN 1 WHEN n % 3 = 0 THEN 2 WHEN n % 3 = 1 THEN 3 ELSE 4 END AS slot FROM h),
+ u AS (SELECT *, {BUDGET} - coalesce(sum(strlen(text) + 1) OVER (PARTITION BY log_id ORDER BY slot, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS left_over FROM t),
+ c AS (SELECT log_id, slot, CASE WHEN strlen(text) <= left_over THEN text ELSE left(text, {_FIT.format("text", "left_over", "left")}) END AS text FROM u WHERE left_over > 0)
+ SELECT log_id, sum(strlen(text))::BIGINT AS bytes, count(DISTINCT CASE WHEN length(text) > 0 THEN slot END) AS slots FROM c GROUP BY 1"""
+)
 def budget_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of text and slots in use of each log when all of its lines are packed into its budget."""
     return packed(lines(spark, sf_dir)).groupBy("log_id").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_distinct(F.when(F.length("text") > 0, F.col("slot"))).alias("slots"))
