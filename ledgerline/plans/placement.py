@@ -143,7 +143,14 @@ def placement_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explained(demand(spark, sf_dir), fleet(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_PAIRS}, best AS (SELECT task, list(worker ORDER BY round(score, 6) DESC, worker) AS ranked FROM p WHERE reason = '' GROUP BY 1), caps AS (SELECT map(list(worker), list(slots)) AS cap FROM w),
+ q AS (SELECT d.arch, task, ranked, row_number() OVER (PARTITION BY d.arch ORDER BY task) AS pos FROM d JOIN best USING (task)),
+ r(arch, pos, task, worker, used) AS (SELECT DISTINCT arch, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM q
+  UNION ALL SELECT arch, pos, task, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (
+   SELECT q.arch, q.pos, q.task, r.used, list_filter(ranked, lambda x: len(list_filter(r.used, lambda y: y = x)) < cap[x])[1] AS pick FROM r JOIN q ON q.arch = r.arch AND q.pos = r.pos + 1 CROSS JOIN caps) s)
+ SELECT task, arch, worker FROM r WHERE worker IS NOT NULL"""
+)
 def placement_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The queue of each architecture served first come, first served: each task takes the best worker of those that may take it, while slots last."""
     return drained(demand(spark, sf_dir), fleet(spark, sf_dir))
