@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lines, minhash, mixing, packing, pii, quality, toxicity, vectors, warc
+from . import language, lines, minhash, mixing, packing, pii, quality, suffixes, toxicity, vectors, warc
 from ..sources.telemetry import dealt
 from .common import table
 
@@ -51,6 +51,10 @@ def op10_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(dealt(table(spark, sf_dir, "documents")))
 
 
+def op11_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_forest": op1_quality_forest,
     "op2_warc_source": op2_warc_source,
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cost_packing": op8_cost_packing,
     "op9_dart_minhash": op9_dart_minhash,
     "op10_cross_parsing": op10_cross_parsing,
+    "op11_interval_expansion": op11_interval_expansion,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_source": warc.ORACLE,
