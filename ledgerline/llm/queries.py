@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, lines, minhash, mixing, packing, pii, quality, suffixes, toxicity, vectors, warc
+from . import divergence, language, lines, minhash, mixing, packing, pii, quality, suffixes, toxicity, vectors, warc, whitening
 from ..sources.telemetry import dealt
 from .common import table
 
@@ -55,6 +55,14 @@ def op11_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
 
 
+def op12_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_forest": op1_quality_forest,
     "op2_warc_source": op2_warc_source,
@@ -67,8 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_dart_minhash": op9_dart_minhash,
     "op10_cross_parsing": op10_cross_parsing,
     "op11_interval_expansion": op11_interval_expansion,
+    "op12_tiled_whitening": op12_tiled_whitening,
+    "op13_source_divergence": op13_source_divergence,
 }
 ORACLES: dict[str, str] = {
     "op2_warc_source": warc.ORACLE,
     "op3_line_spread": lines.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
