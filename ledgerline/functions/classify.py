@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .diagnostics import bare
+from .messages import CUES, findings, names_dependency
+
 # Phrases that tell a broken environment, and those that need a second phrase beside them.
 ENVIRONMENT = [
     "linker `cc` not found", "linker `link.exe` not found", "cannot find -l", "is not installed", "no such subcommand", "command not found",
@@ -25,25 +28,30 @@ def any_of(text: Column, needles: list[str]) -> Column:
     return out
 
 
-def environmental(text: Column) -> Column:
-    """Whether a log's end tells of a broken environment."""
-    low = F.lower(text)
-    return any_of(low, ENVIRONMENT) | (any_of(low, ENVIRONMENT_WEAK) & any_of(low, ABSENCE))
+def environment_at_fault(file: Column, text: Column) -> Column:
+    """Whether a diagnostic is the environment's fault: its evidence names a header or a library that wasn't found. One of a Rust source never is."""
+    return ~file.endswith(".rs") & names_dependency(text)
 
 
-def environment_at_fault(file: Column, text: Column) -> Column:
-    """Whether a diagnostic's message and notes tell of the environment; a diagnostic of a Rust source never does."""
-    return ~file.endswith(".rs") & (environmental(text) | text.rlike(r"\.h(pp)?: No such file"))
+# What the last lines of a log may hold, by what it tells.
+MARKS = {"killed": "(signal: 9, SIGKILL: kill)", "uncompiled": "error: could not compile", "segv": "(signal: 11, SIGSEGV", "abort": "(signal: 6, SIGABRT"}
+FULL = "no space left on device"
+
+
+def marks(line: Column) -> dict[str, Column]:
+    """Whether a line holds each thing that the rules look for at a log's end."""
+    low = F.lower(line)
+    return {k: F.contains(line, F.lit(v)) for k, v in MARKS.items()} | {"full": F.contains(low, F.lit(FULL)), "env": any_of(low, ENVIRONMENT), "weak": any_of(low, ENVIRONMENT_WEAK), "lack": any_of(low, ABSENCE)}
 
 
-def rule(exit_code: Column, timed_out: Column, errors: Column, env_errors: Column, tests_failed: Column, oom: Column, tail: Column) -> Column:
-    """The first rule that holds, of a run's facts and the text of its last 200 lines."""
-    crash = F.contains(tail, F.lit("error: could not compile")) & (F.contains(tail, F.lit("(signal: 11, SIGSEGV")) | F.contains(tail, F.lit("(signal: 6, SIGABRT")))
+def rule(exit_code: Column, timed_out: Column, errors: Column, env_errors: Column, tests_failed: Column, oom: Column, environmental: Column) -> Column:
+    """The first rule that holds, of a run's facts, with the marks of its last lines as columns."""
+    crash = F.col("uncompiled") & (F.col("segv") | F.col("abort"))
     return (
         F.when((exit_code == 0) & ~timed_out, "success").when(timed_out, "timeout")
         .when((errors > 0) & (env_errors == errors), "env_diagnostics").when(errors > 0, "compile_error").when(tests_failed > 0, "test_failed")
-        .when(oom, "oom_killed").when(F.contains(tail, F.lit("(signal: 9, SIGKILL: kill)")), "sigkill_suspected_oom").when(crash, "rustc_crash")
-        .when(F.contains(F.lower(tail), F.lit("no space left on device")), "disk_full").when(environmental(tail), "env_markers_raw").otherwise("unknown")
+        .when(oom, "oom_killed").when(F.col("killed"), "sigkill_suspected_oom").when(crash, "rustc_crash")
+        .when(F.col("full"), "disk_full").when(environmental, "env_markers_raw").otherwise("unknown")
     )
 
 
@@ -70,72 +78,6 @@ def remedy(rule_: Column, env: Column) -> Column:
     return F.when(rule_.isin(*REMEDIES) & ~F.try_element_at(env, key).eqNullSafe(value), changed)
 
 
-#: What a message may name: any name, one that isn't a number, one of three letters or more, a header file, or whatever its quotes hold.
-_SHAPES = {
-    "<name>": "[A-Za-z0-9_.+-]+", "<program>": "[A-Za-z0-9_.+-]*[A-Za-z_+-][A-Za-z0-9_.+-]*", "<word>": "[A-Za-z][A-Za-z0-9_.+-]{2,}",
-    "<header>": "[A-Za-z0-9_./+-]+[.]h(?:pp)?", "<quoted>": "[^`'\"]+",
-}
-_QUOTE = "[`'\"]"
-
-
-def as_regex(message: str) -> str:
-    """A tool's message as a regular expression with one group, for what it names.
-
-    A message may stand anywhere in a line, but for what begins it (^: the line's start, a colon or white space) and ends it ($: the
-    line's end). Quotes may be of any kind; around a name that isn't <quoted> they may be missing. A vertical bar parts wordings of a word.
-    """
-    for shape, name in _SHAPES.items():
-        if shape in message:
-            before, after = message.split(shape)
-            free = shape == "<quoted>"
-            sides = []
-            for side, last in ((before, True), (after, False)):
-                quoted = side[-1:] if last else side[:1]
-                if quoted == "'":
-                    side = side[:-1] if last else side[1:]
-                fixed = re.sub(r"\\\((.*?)\\\)", lambda m: "(?:" + m[1].replace("\\|", "|") + ")", re.escape(side)).replace("\\ ", " ")
-                mark = (_QUOTE if free else _QUOTE + "?") if quoted == "'" else ""
-                sides.append(fixed + mark if last else mark + fixed)
-            start, end = sides
-            start = r"(?:^|[:\s])" + start[2:] if start.startswith(r"\^") else start
-            end = end[:-2] + r"\s*$" if end.endswith(r"\$") else end
-            return f"{start}({name}){end}"
-    raise ValueError(message)
-
-
-#: Messages by which tools say what is missing, the kind of thing it is, and the evidence: 2 names it outright, 1 is prose, 0 only tells the crate.
-MESSAGES = [
-    # pkg-config, and crates that ask it
-    ("(Package|package) '<name>' was not found in the pkg-config", "pkg-config", 2),
-    ("No package '<quoted>' found", "pkg-config", 2),
-    ("(System|system) library '<quoted>' required by crate", "pkg-config", 2),
-    ("could not find system library '<quoted>'", "pkg-config", 2),
-    ("\"pkg-config\" \"--libs\" \"--cflags\" '<quoted>' did not exit successfully", "pkg-config", 2),
-    ("pkg-config --libs --cflags <name>' did not exit successfully", "pkg-config", 2),
-    # linkers and the compiler's search for native libraries
-    ("cannot find -l<name>", "library", 2),
-    ("unable to find library -l<name>", "library", 2),
-    ("could not find native static library '<name>'", "library", 2),
-    # C compilers
-    ("^<header>: No such file", "header", 2),
-    ("'<header>' file not found", "header", 2),
-    # shells, build systems and the compiler driver
-    ("^<program>: command not found$", "program", 2),
-    ("command not found: <name>", "program", 2),
-    ("sh: <program>: not found", "program", 2),
-    ("sh: (1|line 1): <program>: not found", "program", 2),
-    ("Is '<quoted>' installed", "program", 2),
-    ("failed to find tool '<quoted>'", "program", 2),
-    ("linker '<quoted>' not found", "program", 2),
-    # prose of configure scripts and CMake
-    ("(Could|could) not find <word>$", "prose", 1),
-    ("(Could|could) not find '<quoted>'", "prose", 1),
-    ("Could NOT find <name>", "prose", 1),
-    ("(Unable|unable) to find <word>", "prose", 1),
-    # cargo
-    ("failed to run custom build command for '<quoted>'", "build-script", 0),
-]
-
 # Packages that hold a library, by its pkg-config module, its linker name or its header.
 PACKAGES = {
     "openssl": "libssl-dev", "ssl": "libssl-dev", "crypto": "libssl-dev", "z": "zlib1g-dev", "zlib": "zlib1g-dev", "zlib1g": "zlib1g-dev", "alsa": "libasound2-dev",
@@ -183,37 +125,41 @@ def package_of(kind: Column, name: Column) -> tuple[Column, Column]:
     return F.coalesce(known, guess), known.isNotNull()
 
 
-def missing_dependencies(lines: DataFrame, most: int = MOST) -> DataFrame:
-    """log_id, name, kind, package, certain and place of what each log (log_id, line_no, line) says is missing, best evidence first.
+def told(lines: DataFrame) -> DataFrame:
+    """log_id, line_no, name, kind and weight of all that lines (log_id, line_no, line) say is missing; kind `absent` is pkg-config itself.
 
-    Lines of JSON say nothing. Names found in prose count only if a program, a known package or a lib prefix vouches for them. A
-    name is told once per class of kinds, by its best evidence, then by the telling whose package is known, then the first. Where
-    pkg-config itself is missing, what its probes couldn't find is no evidence, and pkg-config comes first.
+    Lines of JSON say nothing. Names found in prose count only if a program, a known package or a lib prefix vouches for them.
     """
-    text = F.rtrim(F.col("line"))
     # one search tells whether a line may say anything at all, as most don't
-    may = text.rlike("found|find|Is .*installed|No such file|required by crate|custom build command|did not exit")
-    absent = F.contains(text, F.lit("pkg-config command could not be found")) | text.rlike(r"(?:^|[:\s])(?:pkg-config|pkgconf): (?:command )?not found")
-    said = F.when(~F.ltrim("line").startswith("{"), text)
-    hits = [F.struct(F.coalesce(F.regexp_extract(said, as_regex(m), 1), F.lit("")).alias("name"), F.lit(k).alias("kind"), F.lit(w).alias("weight")) for m, k, w in MESSAGES]
-    hits.append(F.struct(F.when(absent, "pkg-config").otherwise("").alias("name"), F.lit("absent").alias("kind"), F.lit(3).alias("weight")))
-    found = lines.filter(may).select("log_id", "line_no", F.explode(F.filter(F.array(*hits), lambda h: h["name"] != "")).alias("h")).select("log_id", "line_no", "h.*")
+    may = F.col("line").rlike("|".join(CUES)) & ~F.ltrim("line").startswith("{")
+    said = lines.filter(may).select("log_id", "line_no", F.rtrim(bare(F.col("line"))).alias("line"))
+    found = said.select("log_id", "line_no", F.inline(findings(F.col("line"))))
     found = found.withColumn("name", F.regexp_replace(F.trim("name"), "^[`'\",.]+|[`'\",.]+$", ""))
     low = F.lower("name")
     found = found.withColumn("name", F.when((F.col("kind") == "prose") & (low == "pkgconfig"), "pkg-config").otherwise(F.col("name")))
     file = low.rlike("(?:" + "|".join(re.escape(s) for s in SOURCES) + ")$") | low.isin("library", "libraries", "lib")
     vouched = F.when(F.try_element_at(_table(PROGRAMS), low).isNotNull(), "program").when(~file & (F.try_element_at(_table(PACKAGES), low).isNotNull() | low.startswith("lib")), "pkg-config")
-    found = found.withColumn("kind", F.when(F.col("kind") != "prose", F.col("kind")).otherwise(vouched)).filter(f"kind is not null AND name <> '' AND length(name) <= {LONGEST}")
+    return found.withColumn("kind", F.when(F.col("kind") != "prose", F.col("kind")).otherwise(vouched)).filter(f"kind is not null AND name <> '' AND length(name) <= {LONGEST}")
+
+
+def missing_dependencies(lines: DataFrame, most: int = MOST) -> DataFrame:
+    """log_id, name, kind, package, certain and place of what each log (log_id, line_no, line) says is missing, best evidence first.
+
+    A name is told once per class of kinds, by its best evidence, then by the telling whose package is known, then the first. Where
+    pkg-config itself is missing, what its probes couldn't find is no evidence, and pkg-config comes first. All findings of a log are ranked
+    before the first `most` are told, so a late but better one is never lost to a collector that is full.
+    """
+    found, low = told(lines), F.lower("name")
     package, certain = package_of(F.col("kind"), F.col("name"))
     found = found.withColumn("package", package).withColumn("certain", certain).withColumn("class", F.when(F.col("kind").isin("library", "pkg-config", "header"), "library").otherwise(F.col("kind")))
     use = F.col("certain").cast("int") + F.col("package").isNotNull().cast("int")
     # findings are few beside lines; dealt by log once, they are grouped and ranked where they lie
     best = F.max_by(F.struct("name", "kind", "package", "certain", "weight"), F.struct("weight", use, -F.col("line_no")))
-    told = found.repartition("log_id").groupBy("log_id", "class", low.alias("low")).agg(best.alias("t"), F.min("line_no").cast("long").alias("first")).select("log_id", "class", "low", "first", "t.*")
+    best_of = found.repartition("log_id").groupBy("log_id", "class", low.alias("low")).agg(best.alias("t"), F.min("line_no").cast("long").alias("first")).select("log_id", "class", "low", "first", "t.*")
     tool = F.col("class") == "absent"
-    told = told.withColumn("lacks", F.max(tool).over(Window.partitionBy("log_id"))).withColumn("best", F.max(F.when(~tool, F.col("weight"))).over(Window.partitionBy("log_id", "low")))
+    best_of = best_of.withColumn("lacks", F.max(tool).over(Window.partitionBy("log_id"))).withColumn("best", F.max(F.when(~tool, F.col("weight"))).over(Window.partitionBy("log_id", "low")))
     # of one name in several classes, only the best evidence stays; equals are facts of their own
-    kept = told.filter(tool | ((F.col("weight") == F.col("best")) & ~(F.col("lacks") & ((F.col("kind") == "pkg-config") | (F.col("low") == "pkg-config")))))
+    kept = best_of.filter(tool | ((F.col("weight") == F.col("best")) & ~(F.col("lacks") & ((F.col("kind") == "pkg-config") | (F.col("low") == "pkg-config")))))
     pick = lambda c, value: F.when(tool, F.lit(value)).otherwise(F.col(c)).alias(c)
     kept = kept.select("log_id", "name", pick("kind", "program"), pick("package", "pkg-config"), pick("certain", True), "weight", pick("first", 0))
     place = F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("weight"), "first", "name"))

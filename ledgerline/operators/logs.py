@@ -6,39 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.classify import VERDICTS, environment_at_fault, environmental, rule
+from ..functions import diagnostics
+from ..functions.classify import VERDICTS, environment_at_fault, marks, rule
 
 #: Lines from a log's end that the classifier looks at.
 TAIL = 200
 #: Names of failed tests that a summary lists.
 LISTED = 20
 _IN_ORDER = "OVER (PARTITION BY log_id ORDER BY line_no)"
-DIAGNOSTIC = r"^([^\s:]+):([0-9]+)(?::([0-9]+))?: (error|warning): (.*)$"
 
 
 def classified(logs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """log_id, the rule that each run meets first, kind and attribution, its errors and warnings, and whether its last TAIL lines tell of a broken environment.
 
-    `runs` (log_id, exit_code, timed_out, oom, tests: whether its test results may be read) says how each ended; without it, all failed
-    with code 101. A log's end is found by its greatest line number, without sorting it; runs without a log count as those with an empty one.
+    Diagnostics and test results are of the whole log; only marks in raw text are looked for in its end alone. `runs` (log_id, exit_code, timed_out,
+    oom, tests: whether its test results may be read) says how each ended; without it, all failed with code 101. No line's text is
+    shuffled: counts are added up where the lines lie, and of the ends only marks go on. Runs without a log count as those with an empty one.
     """
-    whole = Window.partitionBy("log_id")
-    located = F.col("line").rlike(r"^\S+:[0-9]+(:[0-9]+)?: error: ")
-    file = F.regexp_extract("line", r"^(\S+?):[0-9]+", 1)
-    last = logs.withColumn("_n", F.max("line_no").over(whole)).filter(F.col("line_no") > F.col("_n") - TAIL)
-    tail = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    failed = F.coalesce(F.regexp_extract("line", r"; ([1-9][0-9]*) failed", 1).try_cast("int"), F.lit(0))
-    facts = last.groupBy("log_id").agg(
-        tail.alias("tail"), F.count_if(located).alias("errors"), F.count_if(located & environment_at_fault(file, F.col("line"))).alias("env_errors"),
-        F.count_if(F.col("line").rlike(r"^\S+:[0-9]+(:[0-9]+)?: warning: ")).alias("warnings"), F.max(failed).alias("failed"),
-    )
+    d = diagnostics.scraped(F.col("line"))
+    failed = F.regexp_extract(diagnostics.bare(F.col("line")), r"^test result:\s*\w+\.\s*[0-9]+ passed; ([0-9]+) failed", 1).try_cast("long")
+    seen = logs.select("log_id", d.alias("d"), F.when(F.col("line").startswith("test result:") | F.contains("line", F.lit("\x1b")), failed).alias("failed")).filter("d IS NOT NULL OR failed > 0")
+    at_fault = environment_at_fault(F.col("d.file"), F.col("d.message"))
+    counts = seen.groupBy("log_id").agg(F.count_if(F.col("d.level") == "error").alias("errors"), F.count_if((F.col("d.level") == "error") & at_fault).alias("env_errors"), F.count_if(F.col("d.level") == "warning").alias("warnings"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"))
+    found = marks(F.col("line"))
+    # the rank is cut to TAIL before the shuffle, and rows without a mark count as lines all the same
+    ends = logs.select("log_id", "line_no", *[c.alias(k) for k, c in found.items()]).withColumn("_n", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("line_no")))).filter(F.col("_n") <= TAIL)
+    tails = ends.groupBy("log_id").agg(*[F.bool_or(k).alias(k) for k in found])
+    facts = tails.join(counts, "log_id", "left")
     if runs is None:
         facts = facts.withColumns({"exit_code": F.lit(101), "timed_out": F.lit(False), "oom": F.lit(False), "tests": F.lit(True)})
     else:
-        facts = runs.join(facts, "log_id", "left").na.fill(0, ["errors", "env_errors", "warnings", "failed"]).na.fill("", ["tail"])
-    first = rule(F.col("exit_code"), F.col("timed_out"), F.col("errors"), F.col("env_errors"), F.when(F.col("tests"), F.col("failed")).otherwise(0), F.col("oom"), F.col("tail"))
+        facts = runs.join(facts, "log_id", "left")
+    facts = facts.na.fill(0, ["errors", "env_errors", "warnings", "failed"]).na.fill(False, list(found))
+    environmental = F.col("env") | (F.col("weak") & F.col("lack"))
+    first = rule(F.col("exit_code"), F.col("timed_out"), F.col("errors"), F.col("env_errors"), F.when(F.col("tests"), F.col("failed")).otherwise(0), F.col("oom"), environmental)
     verdict = lambda k: F.element_at(F.create_map(*[F.lit(x) for name, v in VERDICTS.items() for x in (name, v[k])]), F.col("rule"))
-    return facts.withColumn("rule", first).select("log_id", "rule", verdict(0).alias("kind"), verdict(1).alias("attribution"), "errors", "warnings", environmental(F.col("tail")).alias("environmental"))
+    return facts.withColumn("rule", first).select("log_id", "rule", verdict(0).alias("kind"), verdict(1).alias("attribution"), "errors", "warnings", environmental.alias("environmental"))
 
 
 def progress(logs: DataFrame) -> DataFrame:
@@ -64,6 +67,13 @@ def summed_tests(logs: DataFrame) -> DataFrame:
 
 
 def scraped(logs: DataFrame) -> DataFrame:
-    """log_id, line_no, file, line, column (0: none), level and message of lines of the form file:line[:column]: level: message."""
-    part = lambda k: F.regexp_extract("line", DIAGNOSTIC, k)
-    return logs.filter(F.col("line").rlike(DIAGNOSTIC)).select("log_id", "line_no", part(1).alias("file"), part(2).cast("int").alias("line"), F.coalesce(part(3).try_cast("int"), F.lit(0)).alias("column"), part(4).alias("level"), part(5).alias("message"))
+    """log_id, line_no and what lines of the form file:line[:column]: level: message tell: file, line, column (0: none), level and message."""
+    found = logs.select("log_id", "line_no", diagnostics.scraped(F.col("line")).alias("d")).filter("d IS NOT NULL")
+    return found.select("log_id", "line_no", *[F.col(f"d.{c}") for c in ("file", "line", "column", "level", "message")])
+
+
+def compiler_messages(logs: DataFrame) -> DataFrame:
+    """log_id, line_no, the diagnostic of each JSON message of a compiler, and whether it is the environment's fault."""
+    found = logs.select("log_id", "line_no", diagnostics.compiler_message(F.col("line")).alias("d")).filter("d IS NOT NULL")
+    fault = environment_at_fault(F.col("d.file"), diagnostics.evidence(F.col("d.message"), F.col("d.rendered")))
+    return found.select("log_id", "line_no", "d.*", fault.alias("environmental"))

@@ -46,19 +46,19 @@ logs AS (SELECT log_id, line_no, CASE n % 13
  ELSE concat('     Running tests/', w, '.rs') END AS line FROM worded WHERE w <> '')"""
 )
 #: Logs of runs, and how they ended; see sources.telemetry.run_logs and runs.
-RUN_LOGS = (
-    LINES
-    + """,
+RUN_LOGS = """split AS (SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN string_split(replace(text, ' ', chr(10)), chr(10)) ELSE string_split(text, chr(10)) END AS parts FROM documents),
+lines AS (SELECT doc_id AS log_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS line_no FROM split),
 worded AS (SELECT log_id, line_no, length(line) AS n, regexp_extract(line, '[A-Za-z]+') AS w FROM lines),
-code AS (SELECT *, concat('src/', w, '.rs:', n, ':5: error: ', w, ' is unknown') AS code, concat(lower(w), '.c:', n, ': error: openssl/', lower(w), '.h: No such file or directory') AS header FROM worded WHERE w <> ''),
-logs AS (SELECT log_id, line_no, CASE WHEN n % 4 <> 0 THEN concat('note: ', lower(w)) ELSE CASE log_id % 12 WHEN 0 THEN concat('   Compiling ', w, ' v0.1.0') WHEN 1 THEN code WHEN 2 THEN header
+code AS (SELECT *, concat('src/', w, '.rs:', n, ':5: error: ', w, ' is unknown') AS code,
+ concat(chr(27), '[1m  my dir/', lower(w), '.c:', n, ': fatal error: openssl/', lower(w), '.h: No such file or directory', chr(27), '[0m') AS header FROM worded WHERE w <> ''),
+logs AS (SELECT log_id, line_no, CASE WHEN n % 4 <> 0 THEN concat('note: ', lower(w)) WHEN log_id % 28 = 8 AND line_no <= 20 THEN code ELSE CASE log_id % 14 WHEN 0 THEN concat('   Compiling ', w, ' v0.1.0') WHEN 1 THEN code WHEN 2 THEN header
  WHEN 3 THEN concat('test result: FAILED. ', n, ' passed; 2 failed; 0 ignored') WHEN 4 THEN 'process didn''t exit successfully: `rustc` (signal: 9, SIGKILL: kill)'
  WHEN 5 THEN concat('error: could not compile `', lower(w), '` (signal: 11, SIGSEGV: invalid memory reference)') WHEN 6 THEN concat('error: could not compile `', lower(w), '` (signal: 6, SIGABRT: process abort signal)')
  WHEN 7 THEN 'write: No space left on device' WHEN 8 THEN concat('bash: ', lower(w), ': command not found') WHEN 9 THEN concat(lower(w), '.c:', n, ': warning: unused ', w)
- WHEN 10 THEN 'rustc exited (signal: 11, SIGSEGV: invalid memory reference)' ELSE CASE WHEN n % 8 = 0 THEN code ELSE header END END END AS line FROM code),
+ WHEN 10 THEN 'rustc exited (signal: 11, SIGSEGV: invalid memory reference)' WHEN 11 THEN concat(lower(w), '.c:', n, ':1: error: the toolchain for ', lower(w), ' was not found')
+ WHEN 12 THEN concat(lower(w), '.c:', n, ': error: /usr/bin/ld: cannot find -l', lower(w)) ELSE CASE WHEN n % 8 = 0 THEN code ELSE header END END END AS line FROM code),
 runs AS (SELECT doc_id AS log_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE 101 END AS exit_code, doc_id % 13 = 1 AS timed_out, doc_id % 7 = 3 AS oom,
  doc_id % 3 = 0 AND doc_id % 8 <> 2 AND doc_id % 9 <> 6 AS tests, doc_id % 2 = 0 AS few_jobs FROM documents)"""
-)
 #: Diagnostics out of log lines: level, code and key by their lengths.
 DIAGS = (
     LINES

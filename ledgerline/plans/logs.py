@@ -7,10 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.classify import ABSENCE, ENVIRONMENT, ENVIRONMENT_WEAK, PACKAGES, PROGRAMS, REMEDIES, environment_at_fault, missing_dependencies, parses_tests, remedy
+from ..functions.classify import ABSENCE, ENVIRONMENT, ENVIRONMENT_WEAK, PACKAGES, PROGRAMS, REMEDIES, environment_at_fault, missing_dependencies, parses_tests, remedy, told
 from ..functions.columns import plain_text
-from ..operators.logs import DIAGNOSTIC, LISTED, TAIL, classified, progress, scraped, summed_tests
-from ..sources.telemetry import build_logs, lines, load, run_logs, runs
+from ..functions.diagnostics import DIAGNOSTIC
+from ..operators.logs import LISTED, TAIL, classified, compiler_messages, progress, scraped, summed_tests
+from ..sources.telemetry import build_logs, json_logs, lines, load, run_logs, runs, tool_logs
 from .base import BUILD_LOGS, LINES, RUN_LOGS, query
 
 
@@ -26,11 +27,14 @@ def _environmental(low: str) -> str:
     return f"({_any(low, ENVIRONMENT)} OR {_any(low, ENVIRONMENT_WEAK)} AND {_any(low, ABSENCE)})"
 
 
-_FACTS = f"""s AS (SELECT log_id, max(line_no) AS n FROM logs GROUP BY 1), t AS (SELECT logs.* FROM logs JOIN s USING (log_id) WHERE line_no > n - {TAIL}),
- l AS (SELECT *, regexp_matches(line, '^\\S+:[0-9]+(:[0-9]+)?: error: ') AS located, regexp_matches(line, '^\\S+:[0-9]+(:[0-9]+)?: warning: ') AS warned FROM t),
- f AS (SELECT log_id, string_agg(line, chr(10) ORDER BY line_no) AS tail, count(*) FILTER (WHERE located) AS errors, count(*) FILTER (WHERE warned) AS warnings,
-  count(*) FILTER (WHERE located AND NOT regexp_matches(line, '^\\S+?\\.rs:[0-9]+') AND ({_environmental("lower(line)")} OR regexp_matches(line, '[.]h(pp)?: No such file'))) AS env_errors,
-  max(coalesce(TRY_CAST(regexp_extract(line, '; ([1-9][0-9]*) failed', 1) AS INTEGER), 0)) AS failed FROM l GROUP BY 1)"""
+_DIAGNOSTIC = "regexp_extract(bare, '" + DIAGNOSTIC + "', {})"
+#: Facts of each log, as the rules have them: diagnostics and tests of all lines, and the text of the last ones.
+_FACTS = f"""b AS (SELECT *, regexp_replace(line, chr(27) || '\\[[0-9;]*m', '', 'g') AS bare FROM logs),
+ l AS (SELECT log_id, {_DIAGNOSTIC.format(1)} AS file, {_DIAGNOSTIC.format(4)} AS level, {_DIAGNOSTIC.format(5)} AS message, TRY_CAST(regexp_extract(bare, '^test result:\\s*\\w+\\.\\s*[0-9]+ passed; ([0-9]+) failed', 1) AS BIGINT) AS failed FROM b),
+ e AS (SELECT log_id, count(*) FILTER (WHERE level LIKE '%error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings,
+  count(*) FILTER (WHERE level LIKE '%error' AND NOT ends_with(file, '.rs') AND (regexp_matches(message, '\\.h(pp)?: No such file') OR regexp_matches(message, 'cannot find -l\\w'))) AS env_errors, coalesce(sum(failed), 0)::BIGINT AS failed FROM l GROUP BY 1),
+ s AS (SELECT log_id, line, row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) AS back FROM logs), t AS (SELECT log_id, string_agg(line, chr(10)) AS tail FROM s WHERE back <= {TAIL} GROUP BY 1),
+ f AS (SELECT * FROM e JOIN t USING (log_id))"""
 _RULE = f"""CASE WHEN exit_code = 0 AND NOT timed_out THEN 'success' WHEN timed_out THEN 'timeout' WHEN errors > 0 AND env_errors = errors THEN 'env_diagnostics' WHEN errors > 0 THEN 'compile_error'
  WHEN tests AND failed > 0 THEN 'test_failed' WHEN oom THEN 'oom_killed' WHEN contains(tail, '(signal: 9, SIGKILL: kill)') THEN 'sigkill_suspected_oom'
  WHEN contains(tail, 'error: could not compile') AND (contains(tail, '(signal: 11, SIGSEGV') OR contains(tail, '(signal: 6, SIGABRT')) THEN 'rustc_crash'
@@ -141,23 +145,59 @@ def test_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summed_tests(build_logs(spark, sf_dir))
 
 
-_PART = "regexp_extract(line, '" + DIAGNOSTIC + "', {})"
+@query(
+    f"""WITH {RUN_LOGS}, b AS (SELECT log_id, line_no, regexp_replace(line, chr(27) || '\\[[0-9;]*m', '', 'g') AS bare FROM logs)
+ SELECT log_id, line_no, {_DIAGNOSTIC.format(1)} AS file, CAST({_DIAGNOSTIC.format(2)} AS INTEGER) AS line, coalesce(TRY_CAST({_DIAGNOSTIC.format(3)} AS INTEGER), 0) AS "column", CASE {_DIAGNOSTIC.format(4)} WHEN 'warning' THEN 'warning' ELSE 'error' END AS level, trim({_DIAGNOSTIC.format(5)}) AS message
+ FROM b WHERE regexp_matches(bare, '{DIAGNOSTIC}')"""
+)
+def generic_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnostics of the form file:line[:column]: level: message, of coloured and indented lines too; a fatal error is an error."""
+    return scraped(run_logs(spark, sf_dir))
+
+
+# what each form of a JSON line comes to: null where it is no message, or one that says nothing of its own
+_JSON_FORMS = f"""{LINES}, worded AS (SELECT log_id, line_no, length(line) AS n, regexp_extract(line, '[A-Za-z]+') AS w FROM lines),
+ m AS (SELECT log_id, line_no, n % 12 AS form, n, w, lower(w) AS low FROM worded WHERE w <> '' AND n % 12 IN (0, 1, 8, 9, 10, 11))"""
 
 
 @query(
-    f"""WITH {BUILD_LOGS} SELECT log_id, line_no, {_PART.format(1)} AS file, CAST({_PART.format(2)} AS INTEGER) AS line, coalesce(TRY_CAST({_PART.format(3)} AS INTEGER), 0) AS "column", {_PART.format(4)} AS level, {_PART.format(5)} AS message
- FROM logs WHERE regexp_matches(line, '{DIAGNOSTIC}')"""
+    f"""WITH {_JSON_FORMS} SELECT log_id, line_no, CASE form WHEN 1 THEN 'warning' ELSE 'error' END AS level, CASE form WHEN 0 THEN 'E0308' ELSE '' END AS code, 'about ' || w AS message,
+ CASE WHEN form IN (0, 1, 10) THEN 'src/' || w || '.rs' WHEN form = 9 THEN low || '.c' ELSE '' END AS file, CAST(CASE WHEN form IN (0, 1, 9, 10) THEN n ELSE 0 END AS INTEGER) AS line, CAST(CASE WHEN form IN (0, 1, 9, 10) THEN 5 ELSE 0 END AS INTEGER) AS "column",
+ replace(CASE form WHEN 0 THEN 'error: about ' || w WHEN 1 THEN 'warning' WHEN 8 THEN 'error: linking with `cc` failed|  ¦|  = note: /usr/bin/ld: warning: odd|          /usr/bin/ld: cannot find -l' || low || '||'
+  WHEN 9 THEN 'error: mismatched|  --> a.c:1| 1 ¦ let s = "cannot find -l' || low || '";|  = help: ask ' || w WHEN 10 THEN 'error: x|  = note: cannot find -l' || low ELSE 'error: x|  = note: see|  --> a.c:1|    cannot find -l' || low || '|  = help: none' END, '|', chr(10)).replace('¦', '|') AS rendered,
+ form = 8 AS environmental FROM m"""
 )
-def generic_scrape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Diagnostics of the form file:line[:column]: level: message."""
-    return scraped(build_logs(spark, sf_dir))
+def json_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a compiler's JSON stream reports: the primary place of each message, and whether its evidence puts it down to the environment.
+
+    Notes are followed over their lines; quoted source never counts, nor does anything about a Rust file.
+    """
+    return compiler_messages(json_logs(spark, sf_dir))
 
 
-@query(f"""WITH {BUILD_LOGS} SELECT log_id, line_no, NOT ends_with(regexp_extract(line, '^([^\\s:]+):[0-9]+', 1), '.rs') AND {_environmental("lower(line)")} AS environmental FROM logs""")
+@query(f"""WITH {RUN_LOGS}, b AS (SELECT log_id, line_no, regexp_replace(line, chr(27) || '\\[[0-9;]*m', '', 'g') AS bare FROM logs), d AS (SELECT log_id, line_no, {_DIAGNOSTIC.format(1)} AS file, {_DIAGNOSTIC.format(5)} AS message FROM b WHERE regexp_matches(bare, '{DIAGNOSTIC}'))
+ SELECT log_id, line_no, NOT ends_with(file, '.rs') AND (regexp_matches(message, '\\.h(pp)?: No such file') OR regexp_matches(message, 'cannot find -l\\w')) AS environmental FROM d""")
 def env_diag_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a line is the environment's fault: never for Rust sources, else by its wording."""
-    file = F.regexp_extract("line", r"^([^\s:]+):[0-9]+", 1)
-    return build_logs(spark, sf_dir).select("log_id", "line_no", environment_at_fault(file, F.col("line")).alias("environmental"))
+    """Whether each diagnostic in text is the environment's fault: one that names a header or a library, and isn't of a Rust source."""
+    return scraped(run_logs(spark, sf_dir)).select("log_id", "line_no", environment_at_fault(F.col("file"), F.col("message")).alias("environmental"))
+
+
+# name and kind that each form of a tool's line tells; forms that tell nothing are left out
+_TOLD = """ VALUES (0, 'pkg-config', '', ''), (1, 'pkg-config', '', ''), (2, 'pkg-config', '', ' >= 3'), (3, 'library', '', ''), (4, 'library', '', ''), (5, 'header', '/', '.h'), (6, 'header', '', '.hpp'), (7, 'program', '', ''), (8, 'program', '', ''), (9, 'program', '', ''),
+ (11, 'program', '', ''), (12, 'program', '', ''), (13, 'program', '', ''), (14, 'prose', 'lib', ''), (15, 'prose', 'lib', ''), (16, 'prose', 'lib', ''), (18, 'build-script', '', ' v1'), (20, 'library', '', '')"""
+
+
+@query(
+    f"""WITH {LINES}, worded AS (SELECT log_id, line_no, length(line) % 23 AS form, lower(regexp_extract(line, '[A-Za-z]+')) AS w FROM lines), told(form, kind, before, after) AS ({_TOLD}),
+ f AS (SELECT log_id, CASE kind WHEN 'prose' THEN 'pkg-config' ELSE kind END AS kind, CASE before WHEN '/' THEN w || '/' ELSE before END || w || after AS name, CASE kind WHEN 'prose' THEN 1 WHEN 'build-script' THEN 0 ELSE 2 END AS weight FROM worded JOIN told USING (form) WHERE w <> '')
+ SELECT kind, name, count(*) AS lines, max(weight)::INTEGER AS weight FROM f GROUP BY 1, 2"""
+)
+def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form in which a tool says that something is missing, by what is missing: how many lines say so, and how good their evidence is at best.
+
+    Lines of JSON, errors of files, numbers of lines and prose about nothing that is known say nothing.
+    """
+    return told(tool_logs(spark, sf_dir)).groupBy("kind", "name").agg(F.count("*").alias("lines"), F.max("weight").alias("weight"))
 
 
 # What a manifest or build script may name, and the packages that it then needs.

@@ -68,23 +68,73 @@ def build_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logs of runs that each failed in one way or two: every fourth line with a word tells of it, by the log's number, the others are notes."""
+    """Logs of runs that each failed in one way or two, by the log's number; other lines are notes.
+
+    Every third log has a line for each word of its document, the others one for each of its lines, so that many are longer than a log's end. In a long
+    log some ways are told of at its start only.
+    """
+    docs = dealt(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    pieces = F.when(F.col("doc_id") % 3 == 2, F.split("text", "[\\n ]")).otherwise(F.split("text", "\n"))
+    rows = docs.select(F.col("doc_id").alias("log_id"), F.posexplode(pieces).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
     n, w = F.length("line"), F.regexp_extract("line", "[A-Za-z]+", 0)
     low, text = F.lower(w), n.cast("string")
     code = ("src/", w, ".rs:", text, ":5: error: ", w, " is unknown")
-    header = (low, ".c:", text, ": error: openssl/", low, ".h: No such file or directory")
+    header = ("\x1b[1m  my dir/", low, ".c:", text, ": fatal error: openssl/", low, ".h: No such file or directory\x1b[0m")
     ways = [
         ("   Compiling ", w, " v0.1.0"), code, header, ("test result: FAILED. ", text, " passed; 2 failed; 0 ignored"),
         ("process didn't exit successfully: `rustc` (signal: 9, SIGKILL: kill)",), ("error: could not compile `", low, "` (signal: 11, SIGSEGV: invalid memory reference)"),
         ("error: could not compile `", low, "` (signal: 6, SIGABRT: process abort signal)"), ("write: No space left on device",), ("bash: ", low, ": command not found"),
         (low, ".c:", text, ": warning: unused ", w), ("rustc exited (signal: 11, SIGSEGV: invalid memory reference)",),
+        (low, ".c:", text, ":1: error: the toolchain for ", low, " was not found"), (low, ".c:", text, ": error: /usr/bin/ld: cannot find -l", low),
     ]
     join = lambda parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    way = F.col("log_id") % 14
     out = join(("note: ", low))
     for k, parts in enumerate(ways):
-        out = F.when((n % 4 == 0) & (F.col("log_id") % 12 == k), join(parts)).otherwise(out)
-    # the twelfth way: code and environment are both at fault
-    out = F.when(F.col("log_id") % 12 == 11, F.when(n % 8 == 0, join(code)).when(n % 8 == 4, join(header)).otherwise(join(("note: ", low)))).otherwise(out)
+        out = F.when((n % 4 == 0) & (way == k), join(parts)).otherwise(out)
+    # the last way: code and environment are both at fault; and one that says two things, one of them early
+    out = F.when(way == 13, F.when(n % 8 == 0, join(code)).when(n % 8 == 4, join(header)).otherwise(join(("note: ", low)))).otherwise(out)
+    out = F.when((way == 8) & (F.col("log_id") % 28 == 8) & (F.col("line_no") <= 20) & (n % 4 == 0), join(code)).otherwise(out)
+    return rows.filter(w != "").select("log_id", "line_no", out.alias("line"))
+
+
+def json_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output of a compiler that is asked for JSON: messages of all levels, with and without spans, among artifacts, cut-off lines and text."""
+    n, w = F.length("line"), F.regexp_extract("line", "[A-Za-z]+", 0)
+    low, text = F.lower(w), n.cast("string")
+    span = lambda file, primary, row: ('{"file_name": "', *file, '", "is_primary": ' + primary + ', "line_start": ', *row, ', "column_start": 5, "byte_start": 1}')
+    message = lambda level, code, spans, rendered: ('{"reason": "compiler-message", "target": {"name": "x"}, "message": {', *level, '"code": ' + code + ', "children": [], "message": "about ', w, '", "rendered": "', *rendered, '", "spans": [', *spans, "]}}")
+    rs, c = ("src/", w, ".rs"), (low, ".c")
+    forms = [
+        message(('"level": "error", ',), '{"code": "E0308"}', (*span(("lib.rs",), "false", ("1",)), ", ", *span(rs, "true", (text,))), ("\\u001b[31merror\\u001b[0m: about ", w)),
+        message(('"level": "warning", ',), "null", (*span(rs, "false", (text,)), ", ", *span(("lib.rs",), "false", ("9",))), ("warning",)),
+        message(('"level": "note", ',), "null", (), ("note",)), message(('"level": "failure-note", ',), "null", (), ("note",)), message(('"level": "help", ',), "null", (), ("help",)),
+        ('{"reason": "compiler-artifact", "features": ["pkg-config"], "target": {"name": "', w, '"}}'), ('{"reason": "compiler-message", "message": {"level": "error", "message": "', w), ("error: plain ", w),
+        message(('"level": "error", ',), "null", (), ("error: linking with `cc` failed\\n  |\\n  = note: /usr/bin/ld: warning: odd\\n          /usr/bin/ld: cannot find -l", low, "\\n\\n")),
+        message(('"level": "error", ',), "null", span(c, "true", (text,)), ("error: mismatched\\n  --> a.c:1\\n 1 | let s = \\\"cannot find -l", low, "\\\";\\n  = help: ask ", w)),
+        message((), '{"code": null}', span(rs, "true", (text,)), ("error: x\\n  = note: cannot find -l", low)),
+        message(('"level": "error", ',), "null", (), ("error: x\\n  = note: see\\n  --> a.c:1\\n    cannot find -l", low, "\\n  = help: none")),
+    ]
+    out = F.lit(None).cast("string")
+    for k, parts in enumerate(forms):
+        out = F.when(n % len(forms) == k, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(out)
+    return lines(spark, sf_dir).filter(w != "").select("log_id", "line_no", out.alias("line"))
+
+
+def tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Output of build tools that each miss something: what a line says comes from its length, the name from its first word."""
+    n, w = F.length("line"), F.regexp_extract("line", "[A-Za-z]+", 0)
+    low = F.lower(w)
+    forms = [
+        ("package ", low, " was not found in the pkg-config search path"), ("The System Library `", low, "` required by crate `x` was not found"), ('`"pkg-config" "--libs" "--cflags" "', low, '" "', low, ' >= 3"` did not exit successfully: exit status: 1'),
+        ("ld: unable to find library -l", low), ("error: could not find native static library `", low, "`, perhaps an -L flag is missing?"), ("a.c:1:2: fatal error: ", low, "/", low, ".h: No such file or directory"),
+        ("fatal error: '", low, ".hpp' file not found"), ("bash: line 3: ", low, ": command not found"), ("zsh:1: command not found: ", low), ("/bin/sh: 1: ", low, ": not found"), ("push: ", low, ": not found"),
+        ("Is `", low, "` installed?"), ('failed to find tool "', low, '": No such file'), ("linker `", low, "` not found"), ("could not find lib", low), ("Could NOT find lib", low, " (missing: X)"), ("Unable to find lib", low, ": odd"),
+        ("could not find `", low, ".rs`"), ("failed to run custom build command for `", low, " v1`"), ('{"message": "cannot find -l', low, '"}'), ("\x1b[31mld: cannot find -l", low, "\x1b[0m"), ("could not find ", low, " here"), ("make: 12: command not found",),
+    ]
+    out = F.lit(None).cast("string")
+    for k, parts in enumerate(forms):
+        out = F.when(n % len(forms) == k, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])).otherwise(out)
     return lines(spark, sf_dir).filter(w != "").select("log_id", "line_no", out.alias("line"))
 
 
