@@ -27,7 +27,7 @@ MIN_BYTES = 400
 #: Bytes of an anchor.
 GRAM = 64
 #: Bytes that a block sorts, in expectation, and contexts of one anchor beyond which it is split, by ever fewer offsets.
-BLOCK, HOT, WIDTHS = 1 << 20, 1000, (43, 6, 1)
+BLOCK, HOT, WIDTHS = 1 << 20, 4000, (85, 15, 3, 1)
 #: Bytes of a text that are scanned at once; positions in a slice must fit into 24 bits.
 SLICE = 1 << 22
 _REACH = MIN_BYTES - GRAM
@@ -153,22 +153,31 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(whose)) - np.repeat(np.cumsum(size) - size, size) + low[whose], whose
 
 
+def _within(low: np.ndarray, high: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of runs inside each interval but not at its start, and whose they are."""
+    at, whose = _spread(np.searchsorted(runs, low, "right"), np.searchsorted(runs, high, "left"))
+    return runs[at], whose
+
+
+def _ordered(at: np.ndarray, whose: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in order of interval, entry of `last` and place, and a number for the first two."""
+    key = ((whose * 512 + last[at]) << 32) + at
+    key.sort()
+    return key & 0xFFFFFFFF, key >> 32
+
+
 def _firsts(low: np.ndarray, high: np.ndarray, runs: np.ndarray, last: np.ndarray) -> np.ndarray:
     """For each interval, where each entry of `last` first stands in it; that is at the interval's start or where a run starts."""
-    at, whose = _spread(np.searchsorted(runs, low, "right"), np.searchsorted(runs, high, "left"))
-    at, whose = np.concatenate([low, runs[at]]), np.concatenate([np.arange(len(low)), whose])
-    by = np.lexsort((at, last[at], whose))
-    at, whose = at[by], whose[by]
-    return at[np.append(True, (whose[1:] != whose[:-1]) | (last[at[1:]] != last[at[:-1]]))] if len(at) else at
+    at, whose = _within(low, high, runs)
+    at, of = _ordered(np.concatenate([low, at]), np.concatenate([np.arange(len(low)), whose]), last)
+    return at[np.append(True, of[1:] != of[:-1])] if len(at) else at
 
 
 def _lasts(low: np.ndarray, high: np.ndarray, runs: np.ndarray, last: np.ndarray) -> np.ndarray:
     """For each interval, where each entry of `last` last stands in it; that is at the interval's end or where a run ends."""
-    at, whose = _spread(np.searchsorted(runs, low, "right"), np.searchsorted(runs, high, "left"))
-    at, whose = np.concatenate([high - 1, runs[at] - 1]), np.concatenate([np.arange(len(low)), whose])
-    by = np.lexsort((at, last[at], whose))
-    at, whose = at[by], whose[by]
-    return at[np.append((whose[1:] != whose[:-1]) | (last[at[1:]] != last[at[:-1]]), True)] if len(at) else at
+    at, whose = _within(low, high, runs)
+    at, of = _ordered(np.concatenate([high - 1, at - 1]), np.concatenate([np.arange(len(low)), whose]), last)
+    return at[np.append(of[1:] != of[:-1], True)] if len(at) else at
 
 
 def repeated_starts(pieces: list[bytes], places: list[int]) -> list[np.ndarray]:
@@ -302,43 +311,43 @@ def _blocked(contexts: DataFrame) -> DataFrame:
 def _narrowed(items: DataFrame, width: int) -> DataFrame:
     """The contexts of too common anchors, cut for `width` offsets of the anchor each and grouped by what strings at these offsets share.
 
-    items: h, c1 and c2 of the context, key, o1 and o2 (the offsets), t1, t2, pos, lo, and piece (its bytes from lo).
+    items: h, c1 and c2 of the context, key, o1 and o2 (the offsets), t1, t2, pos, lo, and piece (its bytes from lo). Of the bytes, only
+    hashes go on: key stands for what is shared, k1 and k2 for the part of the context that these offsets reach.
     """
     each = items.withColumn("o1", F.explode(F.sequence(F.col("o1"), F.col("o2"), F.lit(width)))).withColumn("o2", F.least(F.col("o1") + width - 1, "o2"))
-    each = each.withColumn("n_bytes", F.octet_length("piece"))
-    each = each.filter((F.col("pos") - F.col("o1") >= F.col("lo")) & (F.col("pos") - F.col("o2") + MIN_BYTES <= F.col("lo") + F.col("n_bytes")))
+    end = F.col("lo") + F.octet_length("piece")
+    each = each.filter((F.col("pos") - F.col("o1") >= F.col("lo")) & (F.col("pos") - F.col("o2") + MIN_BYTES <= end))
     cut = lambda a, b: F.substring(F.col("piece"), (a - F.col("lo") + 1).cast("int"), (b - a).cast("int"))
     shared = cut(F.col("pos") - F.col("o1"), F.col("pos") - F.col("o2") + MIN_BYTES)
     lo = F.greatest(F.col("lo"), F.col("pos") - F.col("o2"))
-    hi = F.least(F.col("lo") + F.col("n_bytes"), F.col("pos") - F.col("o1") + MIN_BYTES)
-    own = cut(lo, hi)
-    each = each.select("h", "c1", "c2", F.xxhash64("key", "o1", shared).alias("key"), "o1", "o2", "t1", "t2", "pos", lo.alias("lo"), hi.alias("hi"), own.alias("piece"))
-    left = F.col("pos") - F.col("lo")
-    return each.withColumn("k1", F.xxhash64(left, "piece")).withColumn("k2", F.xxhash64(F.lit("context"), left, "piece"))
+    hi = F.least(end, F.col("pos") - F.col("o1") + MIN_BYTES)
+    own, left = cut(lo, hi), F.col("pos") - lo
+    hashes = [F.xxhash64(left, own).alias("k1"), F.xxhash64(F.lit("context"), left, own).alias("k2")]
+    return each.select("h", "c1", "c2", F.xxhash64("key", "o1", shared).alias("key"), "o1", "o2", "t1", "t2", "pos", lo.alias("lo"), hi.alias("hi"), *hashes)
 
 
 def _hot(texts: DataFrame, contexts: DataFrame) -> list[DataFrame]:
-    """Spans of the contexts of anchors that have more than HOT, by ever narrower offsets."""
+    """Spans of the contexts of anchors that have more than HOT, by ever narrower offsets; at single offsets equal parts are equal strings."""
     one = F.element_at("contexts", 1)
     alone = contexts.withColumn("block", F.xxhash64("h", "c1", "c2"))
-    items = _cut(texts, alone).select(one["h"].alias("h"), one["c1"].alias("c1"), one["c2"].alias("c2"), one["h"].alias("key"), F.lit(0).cast("long").alias("o1"), F.lit(_REACH).cast("long").alias("o2"), "t1", "t2", one["pos"].alias("pos"), F.col("start").alias("lo"), "piece")
-    items = items.dropDuplicates(["h", "c1", "c2"])  # a text that comes several times may have been cut as often
+    items = _cut(texts, alone).select(one["h"].alias("h"), one["c1"].alias("c1"), one["c2"].alias("c2"), "t1", "t2", one["pos"].alias("pos"), F.col("start").alias("lo"), "piece")
+    items = Settled(items.dropDuplicates(["h", "c1", "c2"]), "repeat-hot").df  # a text that comes several times may have been cut as often
+    active = items.select("*", F.col("h").alias("key"), F.lit(0).cast("long").alias("o1"), F.lit(_REACH).cast("long").alias("o2"))
     found = []
     for width in WIDTHS:
-        narrow = Settled(_narrowed(items, width), "repeat-narrow").df
-        grouped = _grouped(narrow.select(F.col("key").alias("h"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "t1", "t2", "pos", "lo", "hi"))
-        grouped = Settled(grouped, "repeat-narrow-groups").df
+        narrow = Settled(_narrowed(active, width), "repeat-narrow").df
+        grouped = Settled(_grouped(narrow.select(F.col("key").alias("h"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "t1", "t2", "pos", "lo", "hi")), "repeat-narrow-groups").df
         open_ = grouped.filter((F.col("n_distinct") > 1) & (F.col("n_distinct") <= HOT))
-        blocks = _blocked(open_).select("block", "t1", "t2", "pos", F.col("h").alias("key"), F.col("c1").alias("k1"), F.col("c2").alias("k2"))
-        first = narrow.join(blocks, ["t1", "t2", "pos", "key", "k1", "k2"])
-        context = F.struct(F.col("key").alias("h"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "pos", "lo", "hi")
-        pieces = first.select("block", "t1", "t2", F.col("lo").alias("start"), "piece", F.array(context).alias("contexts"))
+        first = _blocked(open_).join(items.select("t1", "t2", "pos", F.col("lo").alias("low"), "piece"), ["t1", "t2", "pos"])
+        bytes_ = F.substring(F.col("piece"), (F.col("lo") - F.col("low") + 1).cast("int"), (F.col("hi") - F.col("lo")).cast("int"))
+        pieces = first.select("block", "t1", "t2", F.col("lo").alias("start"), bytes_.alias("piece"), F.array(F.struct("h", "c1", "c2", "pos", "lo", "hi")).alias("contexts"))
         spans = _whole(grouped).unionAll(_compared(pieces)).withColumnsRenamed({"h": "key", "c1": "k1", "c2": "k2"})
         found.append(narrow.join(spans, ["key", "k1", "k2"]).select("h", "c1", "c2", "spans"))
         more = grouped.filter(F.col("n_distinct") > HOT).select(F.col("h").alias("key")).distinct()
-        items = narrow.join(more, "key", "left_semi").select("h", "c1", "c2", "key", "o1", "o2", "t1", "t2", "pos", "lo", "piece")
         if width == WIDTHS[-1] or more.isEmpty():
             return found
+        ranges = narrow.join(more, "key", "left_semi").select("h", "c1", "c2", "key", "o1", "o2")
+        active = items.join(ranges, ["h", "c1", "c2"])
     return found
 
 
