@@ -159,20 +159,48 @@ def ignore_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths(spark, sf_dir).select("page_id", "path", is_ignored(F.col("path"), ["*.tmp", "/en/", "fr/*", "!fr/8*", "de/**/x"]).alias("ignored"))
 
 
-@query(f"""WITH {PATHS}, c AS (SELECT page_id, trim(CASE page_id % 7 WHEN 0 THEN '  ' || upper(host) || '  ' WHEN 1 THEN '*.' || host WHEN 2 THEN 'https://' || host WHEN 3 THEN host || ':443' WHEN 4 THEN split_part(host, '.', 1) WHEN 5 THEN 'a.*.' || host ELSE '10.0.0.1' END) AS raw FROM paths)
- SELECT page_id, CASE WHEN contains(raw, '://') OR contains(raw, '/') THEN 'url' WHEN contains(raw, ':') THEN 'port' WHEN regexp_matches(regexp_replace(raw, '^[*][.]', ''), '[*]') THEN 'wildcard' WHEN NOT contains(regexp_replace(raw, '^[*][.]', ''), '.') THEN 'single_label' WHEN regexp_matches(raw, '[.][0-9]+$') THEN 'numeric_tld' ELSE '' END AS error,
- CASE WHEN regexp_matches(raw, '[:/]') OR regexp_matches(regexp_replace(raw, '^[*][.]', ''), '[*]') OR NOT contains(regexp_replace(raw, '^[*][.]', ''), '.') OR regexp_matches(raw, '[.][0-9]+$') THEN '' ELSE lower(raw) END AS host FROM c""")
+# forms of a pattern by the page's number, with what is wrong with each; hosts of pages are whole names in lower case
+_PATTERNS = {
+    0: ("  {HOST}  ", ""), 1: ("*.{host}", ""), 2: ("https://{host}", "url"), 3: ("{host}:443", "port"), 4: ("{first}", "single_label"), 5: ("a.*.{host}", "wildcard"), 6: ("10.0.0.1", "address"), 7: ("127.0.0.0x1", "address"),
+    8: ("a..{host}", "empty_label"), 9: ("{host}?q", "url"), 10: ("me@{host}", "url"), 11: ("bad_host!.{host}", "characters"), 12: ("*.com", "too_broad"), 13: ("   ", "empty"), 14: ("*.a.*.{host}", "wildcard"), 15: ("{host}#x", "url"), 16: ("{host}.", "empty_label"), 17: ("a b.{host}", "url"), 18: ("x.xn--p1ai", ""),
+}
+
+
+def _pattern_sql(text: str) -> str:
+    return "'" + text.replace("{HOST}", "' || upper(host) || '").replace("{host}", "' || host || '").replace("{first}", "' || split_part(host, '.', 1) || '") + "'"
+
+
+@query(f"""WITH {PATHS} SELECT page_id, CASE page_id % {len(_PATTERNS)} {" ".join(f"WHEN {k} THEN '{why}'" for k, (_, why) in _PATTERNS.items())} END AS error,
+ CASE page_id % {len(_PATTERNS)} {" ".join(f"WHEN {k} THEN {_pattern_sql(text.strip().replace('HOST', 'host')) if not why else "''"}" for k, (text, why) in _PATTERNS.items())} END AS host FROM paths""")
 def egress_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host patterns trimmed and in lower case, or the first reason to reject one."""
-    n = F.col("page_id") % 7
-    raw = F.trim(F.when(n == 0, F.concat(F.lit("  "), F.upper("host"), F.lit("  "))).when(n == 1, F.concat(F.lit("*."), "host")).when(n == 2, F.concat(F.lit("https://"), "host")).when(n == 3, F.concat("host", F.lit(":443"))).when(n == 4, F.split_part("host", F.lit("."), F.lit(1))).when(n == 5, F.concat(F.lit("a.*."), "host")).otherwise(F.lit("10.0.0.1")))
-    return paths(spark, sf_dir).select("page_id", raw.alias("raw")).select("page_id", egress_error(F.col("raw")).alias("error"), "raw").select("page_id", "error", F.when(F.col("error") == "", F.lower("raw")).otherwise("").alias("host"))
+    form, raw = F.col("page_id") % len(_PATTERNS), F.lit(None).cast("string")
+    for k, (text, _) in _PATTERNS.items():
+        filled = F.lit(text)
+        for name, value in (("{HOST}", F.upper("host")), ("{host}", F.col("host")), ("{first}", F.split_part("host", F.lit("."), F.lit(1)))):
+            filled = F.replace(filled, F.lit(name), value)
+        raw = F.when(form == k, filled).otherwise(raw)
+    rows = paths(spark, sf_dir).select("page_id", raw.alias("raw"))
+    return rows.select("page_id", egress_error(F.col("raw")).alias("error"), F.lower(F.trim("raw")).alias("host")).withColumn("host", F.when(F.col("error") == "", F.col("host")).otherwise(""))
 
 
 def egress_error(raw: Column) -> Column:
-    """Why a host pattern isn't taken, or an empty text."""
-    bare = F.regexp_replace(raw, r"^\*\.", "")
-    return F.when(raw.contains("/"), "url").when(raw.contains(":"), "port").when(bare.contains("*"), "wildcard").when(~bare.contains("."), "single_label").when(raw.rlike(r"\.[0-9]+$"), "numeric_tld").otherwise("")
+    """Why a host pattern isn't taken, or an empty text. A pattern is a whole host name, or one behind a leading *. that stands for what is below it.
+
+    An address is no name: the last label must begin with a letter, as readers of addresses take hexadecimal parts too.
+    """
+    host = F.lower(F.trim(raw))
+    wild = host.startswith("*.")
+    name = F.when(wild, F.substr(host, F.lit(3))).otherwise(host)
+    labels = F.split(name, "[.]")
+    url = F.lit(False)
+    for mark in ("/", "?", "#", "@", " "):
+        url = url | host.contains(mark)
+    rules = {
+        "empty": host == "", "url": url, "port": host.contains(":"), "wildcard": name.contains("*"), "empty_label": F.exists(labels, lambda x: x == ""), "characters": ~name.rlike("^[a-z0-9.-]*$"),
+        "too_broad": wild & (F.size(labels) < 2), "single_label": F.size(labels) < 2, "address": ~F.element_at(labels, -1).rlike("^[a-z]"),
+    }
+    return F.coalesce(*[F.when(broken, why) for why, broken in rules.items()], F.lit(""))
 
 
 @query(f"""WITH {PATHS} SELECT page_id, host = 'ththre.example.com' OR host = 'example.org' OR ends_with(host, '.example.org') OR host = 'm.thwhen.example.net' AS allowed,
@@ -237,12 +265,30 @@ def is_internal(address: Column) -> Column:
     return F.when(number.isNotNull(), four).when(a.contains(":") & dotted.isNull(), six).otherwise(F.lit(True))
 
 
-@query(f"""WITH {PATHS}, c AS (SELECT page_id, lower(regexp_replace(regexp_replace(rtrim(url, '/'), '[?#].*$', ''), '^[a-z]+://', '')) AS u FROM paths) SELECT page_id, regexp_replace(regexp_replace(u, '/+$', ''), '[.]git$', '') AS canonical FROM c""")
+# forms in which one repository's address may stand
+_ADDRESSES = ["git@{}:{}.git", "ssh://git@{}/{}.git", "git+https://{}/{}", "https://{}/{}/", "http://{}/{}.git/", " git+ssh://git@{}/{} ", "{}/{}", "HTTPS://{}/{}"]
+
+
+def canonical_address(url: Column) -> Column:
+    """A repository's address without what differs between ways to reach it: scheme and user, closing slashes and .git; in lower case.
+
+    Schemes are told in lower case, as the tools write them; another one is part of the name.
+    """
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(url), "/+$", ""), "[.]git$", ""), "^git[+]", "")
+    login = F.when(bare.startswith("git@"), F.regexp_replace(F.substr(bare, F.lit(5)), "^([^:]*):", "$1/"))
+    return F.lower(F.coalesce(login, F.regexp_replace(bare, "^(ssh://git@|https?://)", "")))
+
+
+@query(f"""WITH {PATHS}, c AS (SELECT page_id, lower(host) AS host, lower(coalesce(nullif(rtrim(path, '/'), ''), 'r')) AS path FROM paths)
+ SELECT page_id, CASE page_id % 8 WHEN 7 THEN 'https://' ELSE '' END || host || '/' || path AS canonical FROM c""")
 def url_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repository addresses in one form: no scheme, query, closing slash or .git, lower case."""
-    bare = F.regexp_replace(F.regexp_replace("url", "/+$", ""), "[?#].*$", "")
-    bare = F.lower(F.regexp_replace(bare, "^[a-z]+://", ""))
-    return paths(spark, sf_dir).select("page_id", F.regexp_replace(F.regexp_replace(bare, "/+$", ""), "[.]git$", "").alias("canonical"))
+    """Repository addresses in one form, so that a repository is one project however it is cloned."""
+    path = F.coalesce(F.nullif(F.regexp_replace("path", "/+$", ""), F.lit("")), F.lit("r"))
+    form, url = F.col("page_id") % len(_ADDRESSES), F.lit(None).cast("string")
+    for k, text in enumerate(_ADDRESSES):
+        before, between, after = text.split("{}")
+        url = F.when(form == k, F.concat(F.lit(before), "host", F.lit(between), path, F.lit(after))).otherwise(url)
+    return paths(spark, sf_dir).select("page_id", canonical_address(url).alias("canonical"))
 
 
 @query(f"WITH {PATHS} SELECT DISTINCT host || '/' || path AS path, len(string_split(host || '/' || path, '/')) AS depth FROM paths WHERE path <> '' ORDER BY path DESC")

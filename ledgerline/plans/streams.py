@@ -19,7 +19,7 @@ def stream_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TASKS}, e AS (SELECT project AS worker, id, event_type, max(CASE WHEN event_type = 'error' THEN id END) OVER w AS pin, max(CASE WHEN event_type = 'purchase' THEN id END) OVER w AS free FROM tasks
   WINDOW w AS (PARTITION BY project ORDER BY id)), l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY worker ORDER BY id DESC) = 1)
- SELECT worker, id AS event_id, CASE WHEN pin IS NOT NULL AND (free IS NULL OR pin > free) THEN 'draining' ELSE event_type END AS status FROM l""")
+ SELECT worker, id AS event_id, CASE WHEN event_type = 'click' THEN 'busy' WHEN event_type NOT IN ('view', 'error', 'purchase') THEN 'offline' WHEN pin IS NOT NULL AND (free IS NULL OR pin > free) THEN 'draining' ELSE 'online' END AS status FROM l""")
 def stream_latest_worker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest state of each worker, kept by a stateful operator and written batch by batch.
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import ratio
 from ..operators.folds import edges, first_per, health_fold
+from ..operators.leases import granted
 from ..sources.telemetry import as_of, load, tasks
 from .base import TASKS, query
 
@@ -62,7 +63,7 @@ def image_streaks(t: DataFrame) -> DataFrame:
 BACKLOG, RATE, SAMPLES, LOOK_BACK, SILENCE, PERIOD = 50, 0.2, 20, 15, 24, 96
 
 _TICKS = f"""{TASKS}, t AS (SELECT *, at_s // 3600 AS tick FROM tasks), span AS (SELECT min(tick) AS lo, max(tick) AS hi FROM t), grid AS (SELECT unnest(range(lo, hi + 1)) AS tick FROM span),
- c AS (SELECT g.tick, count(id) AS n, count(id) FILTER (WHERE status IN ('done', 'failed')) AS fin, count(id) FILTER (WHERE status IN ('done', 'failed') AND result_kind = 'infra_error') AS infra, count(id) FILTER (WHERE status IN ('done', 'failed') AND result_kind = 'timeout') AS late,
+ c AS (SELECT g.tick, count(id) AS n, count(id) AS fin, count(id) FILTER (WHERE result_kind = 'infra_error') AS infra, count(id) FILTER (WHERE result_kind = 'timeout') AS late,
   count(id) FILTER (WHERE result_kind IN ('env_error', 'compile_error')) AS came FROM grid g LEFT JOIN t ON t.tick = g.tick GROUP BY 1),
  w AS (SELECT tick, n, sum(fin) OVER v AS fin, sum(infra) OVER v AS infra, sum(late) OVER v AS late, sum(came) OVER (PARTITION BY tick // {PERIOD} ORDER BY tick) AS waiting FROM c WINDOW v AS (ORDER BY tick ROWS BETWEEN {LOOK_BACK - 1} PRECEDING AND CURRENT ROW)),
  f AS (SELECT 'queue_backlog' AS rule, tick, waiting > {BACKLOG} AS firing FROM w UNION ALL SELECT 'infra_error_rate', tick, CASE WHEN fin >= {SAMPLES} THEN infra / fin > {RATE} END FROM w
@@ -79,9 +80,9 @@ _TICKS = f"""{TASKS}, t AS (SELECT *, at_s // 3600 AS tick FROM tasks), span AS
 def alert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each alert is raised and resolved; an hour of the events stands for a minute of a fleet, projects for workers and images by payload."""
     t = tasks(spark, sf_dir).withColumn("tick", F.expr("at_s div 3600"))
-    ended = F.col("status").isin("done", "failed")
+    # rates are of all tasks that were created, whatever became of them
     counts = t.groupBy("tick").agg(
-        F.count("*").alias("n"), F.count_if(ended).alias("fin"), F.count_if(ended & (F.col("result_kind") == "infra_error")).alias("infra"), F.count_if(ended & (F.col("result_kind") == "timeout")).alias("late"),
+        F.count("*").alias("n"), F.count("*").alias("fin"), F.count_if(F.col("result_kind") == "infra_error").alias("infra"), F.count_if(F.col("result_kind") == "timeout").alias("late"),
         F.count_if(F.col("result_kind").isin("env_error", "compile_error")).alias("came"),
     )
     failing = image_streaks(t).filter("failing").select(F.concat(F.lit("image_failing:"), "digest").alias("rule"), "tick")
@@ -92,8 +93,8 @@ def alert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fleet_alerts(counts: DataFrame) -> DataFrame:
     """rule, tick and edge of the rules that counts per tick decide: backlog, rates of infrastructure errors and time outs, and no workers.
 
-    counts: tick, n (reports of any worker), fin, infra and late (results, by kind), came (tasks that began to wait; the queue starts anew
-    every PERIOD ticks). Ticks without a row count as zeros. Rates look back over LOOK_BACK ticks; below SAMPLES results they decide nothing.
+    counts: tick, n (reports of any worker), fin, infra and late (tasks created, and those of two kinds), came (tasks that began to wait; the queue starts anew
+    every PERIOD ticks). Ticks without a row count as zeros. Rates look back over LOOK_BACK ticks; below SAMPLES tasks they decide nothing.
     """
     grid = counts.agg(F.min("tick").alias("lo"), F.max("tick").alias("hi")).filter("lo IS NOT NULL").select("hi", F.explode(F.sequence("lo", "hi")).alias("tick"))
     full = grid.join(counts, "tick", "left").na.fill(0)
@@ -198,11 +199,24 @@ def late_result_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).select("id", phase.alias("phase"), over.isNotNull().alias("dropped"))
 
 
-@query(f"""WITH {TASKS}, l AS (SELECT id, project, at_us, lag(at_us) OVER (PARTITION BY project ORDER BY at_us, id) AS before FROM tasks WHERE status = 'running') SELECT id, before IS NULL OR at_us - before >= 3600000000 AS granted FROM l""")
+#: Microseconds that a lease holds, and the environments that claims are for.
+LEASE, ENVIRONMENTS = 3_600_000_000, 20
+
+
+@query(f"""WITH RECURSIVE {TASKS}, c AS (SELECT id, project % {ENVIRONMENTS} AS env, project % 7 AS worker, at_us AS came FROM tasks WHERE status <> 'failed'),
+ w AS (SELECT project % 7 AS worker, at_us AS off, event_type, coalesce(lead(at_us) OVER (PARTITION BY project % 7 ORDER BY at_us, id), 9223372036854775807) AS until FROM tasks), o AS (SELECT worker, off, until FROM w WHERE event_type = 'error' AND until > off),
+ n AS (SELECT *, row_number() OVER (PARTITION BY env ORDER BY came, id) AS k FROM c),
+ g AS (SELECT env, k, came, worker, k AS held, came AS held_at, worker AS held_by, true AS granted FROM n WHERE k = 1
+  UNION ALL SELECT n.env, n.k, n.came, n.worker, CASE WHEN x.ok THEN n.k ELSE g.held END, CASE WHEN x.ok THEN n.came ELSE g.held_at END, CASE WHEN x.ok THEN n.worker ELSE g.held_by END, x.ok FROM g JOIN n ON n.env = g.env AND n.k = g.k + 1,
+   LATERAL (SELECT n.came - g.held_at >= {LEASE} OR EXISTS (SELECT 1 FROM o WHERE o.worker = g.held_by AND o.off <= n.came AND n.came < o.until) AS ok) x)
+ SELECT n.id, g.granted FROM g JOIN n ON n.env = g.env AND n.k = g.k""")
 def lease_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A claim is granted where no other was made in the hour before it; every claim, granted or not, renews the lease."""
-    before = F.lag("at_us").over(Window.partitionBy("project").orderBy("at_us", "id"))
-    return tasks(spark, sf_dir).filter("status = 'running'").select("id", F.coalesce(F.col("at_us") - before >= 3_600_000_000, F.lit(True)).alias("granted"))
+    """Which claims of an environment are granted: those that find no lease, an old one, or one whose worker is offline; a refused claim renews nothing."""
+    t = tasks(spark, sf_dir)
+    claims = t.filter("status <> 'failed'").select((F.col("project") % ENVIRONMENTS).alias("key"), "id", F.col("at_us").alias("at"), (F.col("project") % 7).alias("worker"))
+    until = F.lead("at_us").over(Window.partitionBy("worker").orderBy("at_us", "id"))
+    reports = t.withColumn("worker", F.col("project") % 7).withColumn("until", F.coalesce(until, F.lit(2**63 - 1)))
+    return granted(claims, reports.filter("event_type = 'error' AND until > at_us").select("worker", F.col("at_us").alias("off"), "until"), LEASE)
 
 
 @query("""SELECT conv_id, turn, role, lag(role) OVER w AS previous_role, count(*) OVER w AS turns_so_far FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")

@@ -35,15 +35,20 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+#: What an event says of its worker: whether it is to drain or may serve again is said while it is online.
+REPORTS = {"view": "online", "error": "online", "purchase": "online", "click": "busy", "signup": "offline"}
+
+
 def latest_worker(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The latest report of a worker; once it says it drains, being online changes nothing until it says it resumes."""
+    """The latest report of a worker. Once it is told to drain it shows as draining whenever it is online, until it is told to resume; any other status shows as it is."""
     at, last, pinned = state.get if state.exists else (-1, "", False)
     for b in batches:
         for when, what in sorted(zip(b["event_id"], b["event_type"], strict=True)):
             if when <= at:
                 continue
             pinned = (pinned or what == "error") and what != "purchase"
-            at, last = int(when), "draining" if pinned else what
+            status = REPORTS.get(what, "offline")
+            at, last = int(when), "draining" if pinned and status == "online" else status
     state.update((at, last, bool(pinned)))
     yield pd.DataFrame({"worker": [key[0]], "event_id": [at], "status": [last]})
 

@@ -15,7 +15,7 @@ from ledgerline.functions.globs import to_regex
 from ledgerline.operators.closure import closure, settled_closure
 from ledgerline.operators.drain import drain
 from ledgerline.operators.folds import edges, health_fold
-from ledgerline.operators.logs import classified, progress, scraped, summed_tests
+from ledgerline.operators.logs import classified, compiler_messages, progress, scraped, summed_tests
 from ledgerline.operators.matching import bag_sides, longest_prefix
 from ledgerline.operators.paging import budget_prefix, page, where_given
 from ledgerline.operators.rollup import fold
@@ -247,7 +247,7 @@ def test_diagnostics_are_scraped(spark):
     assert got == [(1, 5, "src/main.rs", 7, 5, "error", "mismatched types"), (1, 6, "lib.c", 3, 0, "warning", "unused variable")]
 
 
-@pytest.mark.parametrize(("file", "text", "want"), [("src/a.rs", "cannot find -lz", False), ("build.c", "openssl/ssl.h: No such file or directory", True), ("", "could not run\n= note: linker `cc` not found", True), ("x.c", "unused", False)])
+@pytest.mark.parametrize(("file", "text", "want"), [("src/a.rs", "cannot find -lz", False), ("build.c", "openssl/ssl.h: No such file or directory", True), ("", "could not run\n= note: linker `cc` not found", False), ("", "linking failed\n= note: ld: cannot find -lssl", True), ("a.c", "the toolchain was not found", False), ("x.c", "unused", False)])
 def test_whose_fault(spark, file, text, want):
     assert one(spark, environment_at_fault(F.lit(file), F.lit(text))) is want
 
@@ -386,6 +386,29 @@ def test_only_the_end_of_a_log_counts(spark):
     assert {r["log_id"]: r["rule"] for r in classified(logs).collect()} == {1: "unknown", 2: "disk_full"}
 
 
+def test_diagnostics_of_a_whole_log_count(spark):
+    early = [(1, 1, "src/a.rs:1:5: error: bad")] + [(1, n, "note") for n in range(2, 402)] + [(1, 402, "bash: foo: command not found")]
+    loose = [(2, 1, "a.c:1:10: error: the toolchain was not found"), (3, 1, "  my dir/a.c:3:1: fatal error: x/y.h: No such file or directory"), (3, 2, "\x1b[31mb.c:1: error: cannot find -lz\x1b[0m")]
+    tests = [(4, 1, "test result: FAILED. 1 passed; 1 failed; 0 ignored")] + [(4, n, "ok") for n in range(2, 300)]
+    logs = spark.createDataFrame(early + loose + tests, "log_id long, line_no int, line string")
+    got = {r["log_id"]: (r["rule"], r["errors"]) for r in classified(logs).collect()}
+    assert got == {1: ("compile_error", 1), 2: ("compile_error", 1), 3: ("env_diagnostics", 2), 4: ("test_failed", 0)}
+
+
+def test_json_messages(spark):
+    span = '{"file_name": "%s", "line_start": 7, "column_start": 3, "is_primary": %s}'
+    message = '{"reason": "compiler-message", "message": {"level": "%s", "message": "m", "code": {"code": "E1"}, "rendered": "%s", "spans": [%s]}}'
+    rows = [
+        message % ("error", "x", span % ("a.rs", "false") + "," + span % ("b.rs", "true")), message % ("warning", "x", span % ("a.rs", "false")), message % ("note", "x", ""), message % ("error", "x\\n  = note: ld: cannot find -lz\\n", ""),
+        message % ("error", "x\\n  = note: n\\n          cannot find -lz", ""), message % ("error", "x\\n  = note: n\\n  --> a.c\\n   cannot find -lz", ""), message % ("error", "cannot find -lz", span % ("a.c", "true")), message % ("error", "  = help: cannot find -lz", span % ("a.rs", "true")),
+        '{"reason": "build-finished"}', '{"reason": "compiler-message"}', '{"reason": "compiler-message", "message"', "plain", "", None, "  " + message % ("error", "x", "null"),
+    ]
+    got = compiler_messages(spark.createDataFrame(list(enumerate(rows)), "line_no int, line string").withColumn("log_id", F.lit(1))).orderBy("line_no").collect()
+    assert [(r["line_no"], r["level"], r["file"], r["line"], r["environmental"]) for r in got] == [
+        (0, "error", "b.rs", 7, False), (1, "warning", "a.rs", 7, False), (3, "error", "", 0, True), (4, "error", "", 0, True), (5, "error", "", 0, False), (6, "error", "a.c", 7, False), (7, "error", "a.rs", 7, False), (14, "error", "", 0, False),
+    ]
+
+
 def test_remedies_must_change_something(spark):
     rows = [("oom_killed", {}), ("oom_killed", {"CARGO_BUILD_JOBS": "8", "A": "1"}), ("sigkill_suspected_oom", {"CARGO_BUILD_JOBS": "2"}), ("unknown", {})]
     df = spark.createDataFrame(rows, "rule string, env map<string,string>")
@@ -405,6 +428,8 @@ MESSAGES = {
     "error: linker `cc` not found": ("cc", "program", "build-essential", True), "bash: frob: command not found": ("frob", "program", None, False), "Is `cmake` installed?": ("cmake", "program", "cmake", True),
     "failed to run custom build command for `aws-lc-sys v0.1`": ("aws-lc-sys v0.1", "build-script", None, False), "Could not find librrd": ("librrd", "pkg-config", "librrd-dev", False), "Could NOT find Protobuf (missing: X)": ("Protobuf", "pkg-config", "libprotobuf-dev", True),
     "could not find Cargo.toml": None, "Could not find directory": None, "could not find `lib.rs`": None, "unable to find library -lz": ("z", "library", "zlib1g-dev", True), '{"message": "cannot find -lz"}': None,
+    '"pkg-config" "--libs" "--cflags" "gtk+-3.0" "gtk+-3.0 >= 3.22" did not exit successfully': ("gtk+-3.0 >= 3.22", "pkg-config", None, False), "push: origin: not found": None, "make: /bin/sh: line 3: ninja: not found": ("ninja", "program", "ninja-build", True),
+    "Package 'zlib' was not found in the pkg-config path": ("zlib", "pkg-config", "zlib1g-dev", True), "System Library `z` required by crate `q`": ("z", "pkg-config", "zlib1g-dev", True), "\x1b[1mbash: cmake: command not found\x1b[0m": ("cmake", "program", "cmake", True),
     '"pkg-config" "--libs" "--cflags" "dbus-1" did not exit successfully: exit status: 1': ("dbus-1", "pkg-config", "libdbus-1-dev", True), "could not find native static library `pq`, perhaps an -L flag is missing?": ("pq", "library", "libpq-dev", True),
 }
 
