@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import fleet, governance, joins, logs, paths, placement, search, sets, streams, windows
+from . import fleet, governance, joins, logs, paths, placement, reviews, search, sets, streams, windows
 from .base import ORACLES, QUERIES
 
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
-MODULES = (fleet, governance, joins, logs, paths, placement, search, sets, streams, windows)
+MODULES = (fleet, governance, joins, logs, paths, placement, reviews, search, sets, streams, windows)
