@@ -250,7 +250,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Copies of a text stand one after another, and only the first is cut.
     """
     contexts = pa.list_(pa.struct([(k, pa.int64()) for k in ("h", "c1", "c2", "pos", "lo", "hi")]))
-    names, before = ["block", "t1", "t2", "start", "piece", "contexts"], None
+    names, before = ["block", "hot", "t1", "t2", "start", "piece", "contexts"], None
     for batch in batches:
         out: dict[str, list] = {k: [] for k in names}
         for i in range(batch.num_rows):
@@ -259,24 +259,25 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             before, raw = key, batch.column(2)[i].as_buffer().to_pybytes()
             piece: list[dict] = []
-            wanted = sorted(batch.column(3)[i].as_py(), key=lambda c: (c["block"], c["lo"], c["hi"]))
+            wanted = sorted(batch.column(3)[i].as_py(), key=lambda c: (c["hot"], c["block"], c["lo"], c["hi"]))
             for k, c in enumerate(wanted):
                 piece.append(c)
                 after = wanted[k + 1] if k + 1 < len(wanted) else None
-                if after is None or after["block"] != c["block"] or after["lo"] >= c["hi"]:
+                if after is None or c["hot"] or after["block"] != c["block"] or after["lo"] >= c["hi"]:
                     lo, hi = piece[0]["lo"], c["hi"]
-                    for name, value in zip(names, (c["block"], *key, lo, raw[lo:hi], piece), strict=True):
+                    for name, value in zip(names, (c["block"], c["hot"], *key, lo, raw[lo:hi], piece), strict=True):
                         out[name].append(value)
                     piece = []
-        yield pa.RecordBatch.from_arrays([pa.array(out[k], pa.int64()) for k in names[:4]] + [pa.array(out["piece"], pa.binary()), pa.array(out["contexts"], contexts)], names=names)
+        types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), contexts]
+        yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in zip(names, types, strict=True)], names=names)
 
 
-_PIECES = f"block long, t1 long, t2 long, start long, piece binary, contexts array<{_CONTEXT}>"
+_PIECES = f"block long, hot boolean, t1 long, t2 long, start long, piece binary, contexts array<{_CONTEXT}>"
 
 
 def _cut(texts: DataFrame, contexts: DataFrame) -> DataFrame:
-    """The pieces of texts around `contexts` (block, t1, t2, h, c1, c2, pos, lo, hi)."""
-    wanted = contexts.groupBy("t1", "t2").agg(F.collect_list(F.struct("block", "h", "c1", "c2", "pos", "lo", "hi")).alias("wanted"))
+    """The pieces of texts around `contexts` (block, hot, t1, t2, h, c1, c2, pos, lo, hi); a hot one is a piece of its own."""
+    wanted = contexts.groupBy("t1", "t2").agg(F.collect_list(F.struct("block", "hot", "h", "c1", "c2", "pos", "lo", "hi")).alias("wanted"))
     return texts.join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted").mapInArrow(_pieces, _PIECES)
 
 
@@ -326,11 +327,10 @@ def _narrowed(items: DataFrame, width: int) -> DataFrame:
     return each.select("h", "c1", "c2", F.xxhash64("key", "o1", shared).alias("key"), "o1", "o2", "t1", "t2", "pos", lo.alias("lo"), hi.alias("hi"), *hashes)
 
 
-def _hot(texts: DataFrame, contexts: DataFrame) -> list[DataFrame]:
+def _hot(pieces: DataFrame) -> list[DataFrame]:
     """Spans of the contexts of anchors that have more than HOT, by ever narrower offsets; at single offsets equal parts are equal strings."""
     one = F.element_at("contexts", 1)
-    alone = contexts.withColumn("block", F.xxhash64("h", "c1", "c2"))
-    items = _cut(texts, alone).select(one["h"].alias("h"), one["c1"].alias("c1"), one["c2"].alias("c2"), "t1", "t2", one["pos"].alias("pos"), F.col("start").alias("lo"), "piece")
+    items = pieces.select(one["h"].alias("h"), one["c1"].alias("c1"), one["c2"].alias("c2"), "t1", "t2", one["pos"].alias("pos"), F.col("start").alias("lo"), "piece")
     items = Settled(items.dropDuplicates(["h", "c1", "c2"]), "repeat-hot").df  # a text that comes several times may have been cut as often
     active = items.select("*", F.col("h").alias("key"), F.lit(0).cast("long").alias("o1"), F.lit(_REACH).cast("long").alias("o2"))
     found = []
@@ -366,10 +366,14 @@ def find_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     found = Settled(texts.mapInArrow(_anchored, _ANCHORS), "repeat-anchors").df
     live = Settled(_grouped(found), "repeat-contexts").df
     open_ = live.filter(F.col("n_distinct") > 1)
-    parts = [_whole(live), _compared(_cut(texts, _blocked(open_.filter(F.col("n_distinct") <= HOT))))]
-    hot = open_.filter(F.col("n_distinct") > HOT)
-    if not hot.isEmpty():
-        parts += _hot(texts, hot)
+    few, many = open_.filter(F.col("n_distinct") <= HOT), open_.filter(F.col("n_distinct") > HOT)
+    blocked = _blocked(few).withColumn("hot", F.lit(False))
+    alone = many.select(F.xxhash64("h", "c1", "c2").alias("block"), *blocked.columns[1:-1]).withColumn("hot", F.lit(True))
+    # texts are shuffled once for both
+    pieces = Settled(_cut(texts, blocked.unionByName(alone)), "repeat-pieces").df
+    parts = [_whole(live), _compared(pieces.filter("NOT hot"))]
+    if not many.isEmpty():
+        parts += _hot(pieces.filter("hot"))
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionAll(p)
