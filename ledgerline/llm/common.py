@@ -46,11 +46,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def one_text(rows: DataFrame, ids: list[str], text: str) -> DataFrame:
+    """One row for each of the `ids`: that of the smallest hashed text. So a bound on ids is one on rows, however often an id comes."""
+    return rows.groupBy(*ids).agg(F.min_by(text, F.struct(F.xxhash64(text), F.xxhash64(F.lit("text"), text))).alias(text))
+
+
+class Folder:
+    """A folder in the shared one for what isn't a table; `scratch` drops it as it drops tables."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path = spark, new_path(spark, name)
+        Settled.live.append(self)
+
+    def drop(self) -> None:
+        """Delete the folder; nothing that is still to be computed may read it."""
+        drop_path(self.spark, self.path)
+        Settled.live.remove(self)
+
+
 class Settled:
     """A DataFrame written to the shared folder and read back: its lineage ends there, and lost executors cost no recomputation."""
 
     #: Those written and not dropped yet.
-    live: ClassVar[list[Settled]] = []
+    live: ClassVar[list[Settled | Folder]] = []
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
@@ -66,7 +84,7 @@ class Settled:
 
 
 @contextmanager
-def scratch() -> Iterator[list[Settled]]:
+def scratch() -> Iterator[list[Settled | Folder]]:
     """Drop, at the end, the tables that were settled within, but for those put into the list that it gives."""
     before, kept = list(Settled.live), []
     yield kept

@@ -156,6 +156,8 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         sizes = by_term.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_times").alias("all_total"))
         # a term's place in its chunk, in the order of terms; a chunk has some CHUNK terms, whatever the vocabulary
         placed = by_term.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / CHUNK)).cast("int"))
+        # dealt by chunk, as a language's terms would else meet in one task
+        placed = placed.repartition("lang", "chunk")
         within = Window.partitionBy("lang", "chunk")
         placed = placed.select("lang", "term", "all_times", "all_total", "kept", "chunk", (F.row_number().over(within.orderBy("term")) - 1).alias("at"), F.count("*").over(within).cast("int").alias("size"))
         terms = Settled(placed, "kept-terms").df

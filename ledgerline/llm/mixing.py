@@ -155,8 +155,8 @@ def _blocks(df: DataFrame, n: Column, step: int) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", key: Column | None = None) -> DataFrame:
     """id, key, source, size, source_size, target, copies (0, 1 or 2) and taken for every document.
 
-    `key` orders documents within blocks (by default the id as text, of rows without id a hash of the text); documents that share
-    id, key, source and size are interchangeable. A null text has size 0; a null source is a source of its own, the last one.
+    `key` orders documents within blocks (by default the id as text, of rows without id a hash of the text); rows that share
+    id, key, source and size count as copies of one document. A null text has size 0; a null source is a source of its own, the last one.
     Documents of size 0 may be taken but add no words. Repeated rows are counted and numbered first, so that they spread over blocks
     however many there are. Reruns give equal results, whatever the partitioning. An empty table gives no rows.
     """

@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Settled, held_out, map_texts
+from .common import Settled, held_out, map_texts, one_text
 
 #: Lengths of the n-grams, in characters, and the number of hash buckets (a power of two).
 ORDERS = (4, 5, 6)
 BUCKETS = 1 << 18
-#: Bounds of the fit: labelled rows of each class, features (those with the largest chi-square), steps of the descent.
-SAMPLE_ROWS, FEATURES, STEPS = 4_000, 10_000, 40
-#: A bucket is a feature only if its chi-square against the label exceeds this; one that exceeds it by chance would be noise.
+#: Bound of the fit: labelled rows of each class.
+SAMPLE_ROWS = 4_000
+#: A bucket is a feature if its chi-square against the label exceeds this, which hardly one without a bearing on it does by chance (1 in 600).
 MIN_CHI = 10.0
 SAMPLE_PARTS = 8
 #: Count added to each n-gram, weight of the squared factors against the loss, gain in loss below which the descent ends, and steps it remembers.
@@ -62,14 +62,13 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def choose(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int, features: int = FEATURES, min_chi: float = MIN_CHI) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets kept as features, ascending, and their naive Bayes ratios, from the toxic and other rows that have each bucket."""
+def choose(c1: np.ndarray, c0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """The features, ascending, which are all buckets that the label has to do with, and their naive Bayes ratios, from the toxic and other rows that have each."""
     ratio = np.log((c1 + SMOOTHING) / (n1 + 2 * SMOOTHING)) - np.log((c0 + SMOOTHING) / (n0 + 2 * SMOOTHING))
     seen = c1 + c0
     expected = seen * n1 / max(n1 + n0, 1)
     chi = (c1 - expected) ** 2 / np.maximum(expected * (1 - seen / (n1 + n0 + 1)), 1e-9)
-    kept = np.sort(np.argsort(-chi, kind="stable")[:features])
-    kept = kept[chi[kept] > min_chi]
+    kept = np.flatnonzero(chi > MIN_CHI)
     return kept, ratio[kept]
 
 
@@ -90,11 +89,11 @@ def loss_of(rows: list[tuple[np.ndarray, int]], ratio: np.ndarray, x: np.ndarray
     return loss, slope
 
 
-def descend(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int = STEPS) -> np.ndarray:
+def descend(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
     """Where a convex function (value and gradient) is least: L-BFGS, from x, until a step gains less than GAIN of the value."""
     moves: list[tuple[np.ndarray, np.ndarray, float]] = []
     value, g = f(x)
-    for _ in range(steps):
+    while True:
         d, shares = -g, []
         for s, y, c in reversed(moves):
             shares.append(float(s @ d) / c)
@@ -116,19 +115,17 @@ def descend(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray,
             moves = [*moves[1 - MEMORY :], (s, y, c)]
         gain, x, value, g = value - new, there, new, slope
         if gain < GAIN * max(abs(value), 1e-3):
-            break
-    return x
+            return x
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample_rows: int = SAMPLE_ROWS, features: int = FEATURES, min_chi: float = MIN_CHI,
+    sample_rows: int = SAMPLE_ROWS,
 ) -> Model:
     """Train on labelled rows that aren't held out, at most `sample_rows` of each class: those of the smallest hashed ids.
 
-    Of the n-grams in these rows' whole texts, those with the largest chi-square against the label become features: `features` at
-    most, and only above `min_chi`. An id with several labels counts as toxic if one says so. Rows without id or label are left
-    out. Without rows of both classes, every text gets the score of the one there is (none: not toxic).
+    All n-grams in these rows' whole texts that the label has to do with are features, however many. An id with several labels counts as toxic if one says so; of rows that share an id
+    one is taken, that of the smallest hashed text. Rows without id or label are left out. Without rows of both classes, every text gets the score of the one there is (none: not toxic).
     """
     order = F.xxhash64(F.lit("toxic"), F.col("id"))
     known = (
@@ -136,8 +133,9 @@ def fit(
         .filter(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"), 5, 0)).groupBy("id").agg(F.max("y").alias("y"))
     )
     some = known.filter("y = 1").orderBy(order, "id").limit(sample_rows).unionAll(known.filter("y = 0").orderBy(order, "id").limit(sample_rows))
-    # the sample is bounded by 2 * sample_rows rows of an id and a label
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id")
+    # the sample is bounded by 2 * sample_rows rows of an id and a label, and so is what it picks
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id")
+    picked = one_text(found, ["id", "y"], "text")
     sample = Settled(picked.repartition(SAMPLE_PARTS, "id").sortWithinPartitions("id"), "toxicity")
     spark = docs.sparkSession
 
@@ -162,7 +160,7 @@ def fit(
     if not n1 or not n0:
         sample.drop()
         return Model(weight, 30.0 if n1 else -30.0)
-    kept, ratio = choose(c1, c0, n1, n0, features, min_chi)
+    kept, ratio = choose(c1, c0, n1, n0)
     number = np.full(BUCKETS, -1, dtype=np.int32)
     number[kept] = np.arange(len(kept))
     numbers = spark.sparkContext.broadcast(number)

@@ -26,7 +26,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .common import Settled, new_path, scratch
+from .common import Folder, Settled, scratch
 
 #: Bytes of an archive file after which a task begins the next, and of files that one read task takes on.
 FILE_BYTES = TASK_BYTES = 64 << 20
@@ -432,9 +432,12 @@ def round_trip(pages: DataFrame) -> DataFrame:
     aren't read. An empty table gives no rows.
     """
     spark = pages.sparkSession
-    path = new_path(spark, "archive")
-    with scratch():
-        write(records(pages), path)
+    # the archive is what the result reads: it goes with the caller's scratch, or when the caller drops it
+    with scratch() as kept:
+        archive = Folder(spark, "archive")
+        kept.append(archive)
+        write(records(pages), archive.path)
+    path = archive.path
     page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
     number = lambda c: F.when(page(c) != "", page(c).cast("long"))
     got = read(spark, path, "digest").filter(F.col("record_type").isin("response", "revisit"))
