@@ -55,14 +55,18 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents come as often as the mix takes them: not at all, once or twice.
 
-    Null texts have no words and add none; repeated rows share what the mix takes of them; ties are settled by a hash of id and text.
+    Null texts have no words and add none. Rows that are equal in every column share what the mix takes of them; rows that differ in any, a null
+    beside a text included, are documents of their own. Ties are settled by a hash of the row.
     """
-    key = F.concat_ws(":", F.col("doc_id").cast("string"), "source", F.sha1(F.coalesce("text", F.lit("")).cast("binary")))
+    # the key tells all columns apart, and null from any text; of the text it has a digest
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    row = F.struct(*others, F.sha1(F.col("text").cast("binary")).alias(free_name(docs, "_text")))
+    key = F.sha1(F.to_json(row, {"ignoreNullFields": "false"}).cast("binary"))
     mixed = mixing.mix(docs, key=key).filter("copies > 0").select("key", "copies")
-    # rows that share the key are equal in size and source, and so interchangeable: they share what the mix takes of them
+    # rows that share the key are equal in all columns: they share what the mix takes of them
     share = mixed.groupBy("key").agg(F.sum("copies").alias("_copies"))
     own, more = free_name(docs, "_key"), free_name(docs, "_n")
-    counted = docs.withColumn(own, F.coalesce(key, F.lit("")))
+    counted = docs.withColumn(own, key)
     first = counted.dropDuplicates([own]).join(share.withColumnRenamed("key", "_of"), F.col(own) == F.col("_of"))
     return first.withColumn(more, F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
