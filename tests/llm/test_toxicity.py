@@ -73,7 +73,7 @@ def test_loss_and_gradient():
 
 def test_descent_ends_at_the_least_value():
     a = np.diag([1.0, 10.0, 100.0]) + 0.5
-    x = toxicity.descend(lambda v: (0.5 * float((v - 3) @ a @ (v - 3)) + 1, a @ (v - 3)), np.zeros(3), 60)
+    x = toxicity.descend(lambda v: (0.5 * float((v - 3) @ a @ (v - 3)) + 1, a @ (v - 3)), np.zeros(3))
     assert np.allclose(x, 3, atol=0.02)
 
 
