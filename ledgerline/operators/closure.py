@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.stores import settled
+
 
 def closure(roots: DataFrame, edges: DataFrame, steps: int) -> DataFrame:
     """root, node and depth (the fewest steps) of everything within `steps` of each root; edges have src and dst.
 
-    Each level is made of the one before by one join, and depths are settled once at the end; so the plan grows with the steps, not
-    with their square, and cycles end with the steps.
+    Each step joins what the one before found for the first time, and leaves out what was found already. Steps are written down, so each is
+    worked out once and the plan of a step is one join, however many went before; the walk ends when a step finds nothing.
     """
-    levels = [roots.select("root", F.col("root").alias("node")).distinct()]
-    for _ in range(steps):
-        levels.append(levels[-1].join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct())
-    found = [level.withColumn("depth", F.lit(depth)) for depth, level in enumerate(levels)]
-    return reduce(DataFrame.unionByName, found).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+    ways = settled(edges.select("src", "dst"), "closure-edges")
+    front = settled(roots.select("root", F.col("root").alias("node")).distinct(), "closure-0")
+    found = front.withColumn("depth", F.lit(0))
+    for depth in range(1, steps + 1):
+        ahead = front.join(ways, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
+        front = settled(ahead.join(found.select("root", "node"), ["root", "node"], "left_anti"), f"closure-{depth}")
+        if front.isEmpty():
+            break
+        found = found.unionByName(front.withColumn("depth", F.lit(depth)))
+    return found
 
 
 def settled_closure(roots: DataFrame, edges: DataFrame, steps: int, failed: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import bucket, ratio
 from ..operators.ranks import nearest_ranks
 from ..operators.rollup import fold, minute_points
-from ..sources.stores import Table, shared_path
+from ..sources.stores import append, held, put, shared_path
 from ..sources.telemetry import as_of, load, tasks
 from .base import ORACLES, TASKS, query
 
@@ -74,15 +74,15 @@ def rollup_1min(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rollup_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of minute rollups after two flushes that add up, of tasks of even and odd number, an appended row, and that row put anew."""
     t = tasks(spark, sf_dir)
-    table = Table(spark, shared_path(spark, "rollups"), "metric string, bucket long, sum double, count long")
+    path, schema, keys = shared_path(spark, "rollups"), "metric string, bucket long, sum double, count long, day long", ["metric", "bucket", "day"]
+    dated = lambda rows: rows.withColumn("day", F.expr("bucket div 86400"))
     whole = minute_points(t)
     for side in (0, 1):
-        part = minute_points(t.filter(F.col("id") % 2 == side), as_of(t, "at_s"))
-        table.add_up(part, ["metric", "bucket"], ["sum", "count"])
-    summed = whole.agg(F.lit("all").alias("metric"), F.min("bucket").alias("bucket"), F.sum("sum").alias("sum"), F.sum("count").alias("count"))
-    table.append(summed.withColumn("count", F.lit(-1).cast("long")))
-    table.upsert(summed, ["metric", "bucket"])
-    return table.read()
+        put(dated(minute_points(t.filter(F.col("id") % 2 == side), as_of(t, "at_s"))), path, schema, keys, ["day"], ["sum", "count"])
+    summed = dated(whole.agg(F.lit("all").alias("metric"), F.min("bucket").alias("bucket"), F.sum("sum").alias("sum"), F.sum("count").alias("count")))
+    append(summed.withColumn("count", F.lit(-1).cast("long")), path, ["day"])
+    put(summed, path, schema, keys, ["day"])
+    return held(spark, path, schema).drop("day")
 
 
 @query(f"WITH {TASKS}, {_MINUTE} SELECT metric, bucket // 3600 * 3600 AS bucket, sum(sum) AS sum, sum(count)::BIGINT AS count FROM points GROUP BY 1, 2")

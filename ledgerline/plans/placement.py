@@ -57,8 +57,8 @@ def known(arch: Column) -> Column:
     return F.coalesce(arch, F.lit("")) != ""
 
 
-def scored(kinds: DataFrame, fleet: DataFrame) -> DataFrame:
-    """The columns KIND, worker, reason (the first hard filter that rejects, or empty) and score, for workers that are online and whose architecture may be that of the kind.
+def scored(kinds: DataFrame, fleet: DataFrame, also: Column | None = None) -> DataFrame:
+    """The columns KIND, worker, nation, reason (the first hard filter that rejects, or empty) and score, for workers that are online and whose architecture may be that of the kind.
 
     A known architecture meets its own and, under a key of theirs, those that aren't known; one that isn't known meets all.
     """
@@ -66,7 +66,13 @@ def scored(kinds: DataFrame, fleet: DataFrame) -> DataFrame:
     sides = F.when(known(F.col("arch")), F.array(F.concat(F.lit("="), "arch"), unknown)).otherwise(F.array(any_))
     asked = kinds.withColumn("_key", F.explode(sides))
     own = F.when(known(F.col("w_arch")), F.array(F.concat(F.lit("="), "w_arch"), any_)).otherwise(F.array(unknown, any_))
-    both = asked.join(fleet.filter("online").withColumnRenamed("arch", "w_arch").withColumn("_key", F.explode(own)), "_key")
+    ready = fleet.filter("online").withColumnRenamed("arch", "w_arch").withColumn("_key", F.explode(own)).withColumnRenamed("_key", "_own")
+    meet = F.col("_key") == F.col("_own")
+    return judged(asked.join(ready, meet if also is None else meet & also))
+
+
+def judged(both: DataFrame) -> DataFrame:
+    """KIND, worker, nation, reason and score of kinds that stand beside workers."""
     lacks = F.size(F.array_except(F.filter(F.split("need", ","), lambda x: x != ""), "capable")) > 0
     reason = (
         F.when(lacks, "MissingCapability").when(F.col("slots") == 0, "NoFreeSlot").when((F.col("nation") == F.col("project")) & F.col("busy").eqNullSafe(F.col("worktree")), "WorktreeBusy")
@@ -75,7 +81,7 @@ def scored(kinds: DataFrame, fleet: DataFrame) -> DataFrame:
     disk = F.least(F.col("disk") / (3.0 * F.greatest("est", F.lit(1))), F.lit(1.0))
     cache = F.when((F.col("nation") == F.col("project")) & F.col("cached").eqNullSafe(F.col("worktree")), 1.0).when(F.col("nation") == F.col("project"), 0.6).otherwise(0.0)
     score = W_DISK * disk + W_CPU * (1.0 - F.least(F.greatest("load", F.lit(0.0)), F.lit(1.0))) + W_CACHE * cache + W_IMAGE * F.when(F.col("w_image") == F.col("image"), 1.0).otherwise(0.0)
-    return both.select(*KIND, "worker", reason.alias("reason"), score.alias("score"))
+    return both.select(*KIND, "worker", "nation", reason.alias("reason"), score.alias("score"))
 
 
 def options(queue: DataFrame, fleet: DataFrame) -> DataFrame:
@@ -83,12 +89,47 @@ def options(queue: DataFrame, fleet: DataFrame) -> DataFrame:
     return scored(queue.select(*KIND).distinct(), fleet).filter("reason = ''").select(*KIND, "worker", F.round("score", 6).alias("score"))
 
 
+def shortlist(pairs: DataFrame, kind: list[str]) -> DataFrame:
+    """kind and worker of the four best of each kind, two of a project's place at most: so two stay, whichever place and worker don't count."""
+    order = [F.desc(F.round("score", 6)), "worker"]
+    two = pairs.filter("reason = ''").withColumn("_n", F.row_number().over(Window.partitionBy(*kind, "nation").orderBy(*order))).filter("_n <= 2")
+    return two.withColumn("_n", F.row_number().over(Window.partitionBy(*kind).orderBy(*order))).filter("_n <= 4").select(*kind, "worker")
+
+
+def best_two(queue: DataFrame, fleet: DataFrame) -> DataFrame:
+    """KIND, first and second: the best workers of each kind, without scoring every kind against every worker.
+
+    What a project and an image add to a score is theirs alone. So workers are ranked once for each architecture, estimate and need without either, then,
+    by equality, those that have the image, and those where the project is; the best of a kind are among the few at the top of these lists.
+    """
+    kinds = queue.select(*KIND).distinct()
+    types = {f.name: f.dataType for f in kinds.schema.fields}
+    blank = lambda c: F.lit(None).cast(types[c]).alias(c)
+    plain = kinds.select(*[blank(c) if c in ("project", "worktree", "image") else F.col(c) for c in KIND]).distinct()
+    imaged = kinds.select(*[blank(c) if c in ("project", "worktree") else F.col(c) for c in KIND]).distinct()
+    base, image = ["arch", "est", "need"], ["arch", "est", "need", "image"]
+    lists = [
+        (shortlist(scored(plain, fleet), base), base), (shortlist(scored(imaged, fleet, F.col("image") == F.col("w_image")), image), image),
+        (shortlist(scored(kinds, fleet, F.col("project") == F.col("nation")), KIND), KIND),
+    ]
+    found = None
+    for few, of in lists:
+        named = few.select(*[F.col(c).alias(f"_{c}") for c in of], "worker")
+        on = F.lit(True)
+        for c in of:
+            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        rows = kinds.join(named, on).select(*KIND, "worker")
+        found = rows if found is None else found.unionByName(rows)
+    tops = judged(found.distinct().join(fleet.withColumnRenamed("arch", "w_arch"), "worker")).filter("reason = ''")
+    rank = F.row_number().over(Window.partitionBy(*KIND).orderBy(F.desc(F.round("score", 6)), "worker"))
+    pick = lambda n: F.max(F.when(F.col("rank") == n, F.col("worker")))
+    return tops.withColumn("rank", rank).filter("rank <= 2").groupBy(*KIND).agg(pick(1).alias("first"), pick(2).alias("second"))
+
+
 def picked(queue: DataFrame, fleet: DataFrame) -> DataFrame:
     """task and its best worker, of equals that of the lowest id: the best of its kind, or the second best where it has tried that one."""
-    rank = F.row_number().over(Window.partitionBy(*KIND).orderBy(F.desc("score"), "worker"))
-    best = options(queue, fleet).withColumn("rank", rank).filter("rank <= 2").groupBy(*KIND).agg(F.max(F.when(F.col("rank") == 1, F.col("worker"))).alias("first"), F.max(F.when(F.col("rank") == 2, F.col("worker"))).alias("second"))
     # an image, a worktree or an architecture that isn't known is a value like others here
-    return with_kind(queue, best).select("task", F.when(F.col("first").eqNullSafe(F.col("tried")), F.col("second")).otherwise(F.col("first")).alias("worker")).filter("worker IS NOT NULL")
+    return with_kind(queue, best_two(queue, fleet)).select("task", F.when(F.col("first").eqNullSafe(F.col("tried")), F.col("second")).otherwise(F.col("first")).alias("worker")).filter("worker IS NOT NULL")
 
 
 def with_kind(queue: DataFrame, of: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import human_bytes, length_prefixed, normalized_span
 from ..operators.matching import bag_sides
-from ..sources.stores import Table, blob_path, folder_usage, settled, shared_path
+from ..sources.stores import blob_path, fetch_blobs, held, insert_absent, listed_files, settled, shared_path, store_blobs
 from ..sources.telemetry import diagnostics, load, paths, tasks
 from .base import DIAGS, PATHS, TASKS, query
 
@@ -65,18 +65,40 @@ def snapshot_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.agg(F.lit(scans).alias("scans"), F.lit(stable).alias("stable"), F.count("*").alias("files"), F.sum("hash").alias("revisions"))
 
 
-@query("SELECT doc_id, left(h, 2) || '/' || substr(h, 3, 2) || '/' || h AS path, o_orderkey IS NOT NULL AS stored FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents) LEFT JOIN orders ON o_orderkey = doc_id")
+_HASHED = "h AS (SELECT doc_id, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, '')) AS bytes FROM documents)"
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """Where a store lies that documents of even number were put into; one in sixteen of them went bad since."""
+    docs = load(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
+    bad = F.substring("hash", 64, 1) == "7"
+    path = shared_path(spark, "store")
+    store_blobs(docs.dropDuplicates(["hash"]).select("hash", F.when(bad, F.concat(F.lit("?"), "text")).otherwise(F.col("text")).cast("binary").alias("content")), path)
+    return path
+
+
+@query(f"WITH {_HASHED} SELECT doc_id, left(hash, 2) || '/' || substr(hash, 3, 2) || '/' || hash AS path, EXISTS (SELECT 1 FROM h s WHERE s.hash = h.hash AND s.doc_id % 2 = 0) AS stored FROM h")
 def blob_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where each blob lies in the store, and whether the store's listing has it; the documents whose number is an order's are listed."""
-    blobs = load(spark, sf_dir, "documents").select("doc_id", blob_path(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("path"))
-    stored = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.lit(True).alias("stored"))
-    return blobs.join(stored, "doc_id", "left").na.fill(False, ["stored"])
+    """Where each document's blob lies, and whether the store has one of that hash."""
+    blobs = load(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    listing = spark.read.schema("hash string, shard string").parquet(_stored(spark, sf_dir)).select("hash", F.lit(True).alias("stored"))
+    return blobs.join(listing, "hash", "left").select("doc_id", blob_path(F.col("hash")).alias("path"), F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
+@query(f"WITH {_HASHED}, w AS (SELECT DISTINCT hash, bytes FROM h WHERE doc_id % 3 = 0) SELECT hash, bytes FROM w WHERE right(hash, 1) <> '7' AND hash IN (SELECT hash FROM h WHERE doc_id % 2 = 0)")
+def blob_gets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs asked for by hash that the store has and whose content is still what the hash says, with their sizes."""
+    wanted = load(spark, sf_dir, "documents").filter("doc_id % 3 = 0").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"))
+    return fetch_blobs(wanted, _stored(spark, sf_dir)).select("hash", F.octet_length("content").cast("long").alias("bytes"))
 
 
-@query()
-def store_folder_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files and bytes of the data folder itself, at any depth."""
-    return folder_usage(spark, sf_dir)
+@query(f"WITH {_HASHED}, s AS (SELECT DISTINCT hash, bytes + CASE WHEN right(hash, 1) = '7' THEN 1 ELSE 0 END AS bytes FROM h WHERE doc_id % 2 = 0) SELECT left(hash, 2) AS shard, count(*) AS blobs, sum(bytes)::BIGINT AS bytes, true AS on_disk FROM s GROUP BY 1")
+def store_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blobs and bytes of each shard of the store, and whether the files that its folder lists hold anything."""
+    path = _stored(spark, sf_dir)
+    sums = spark.read.schema("content binary, shard string").parquet(path).groupBy("shard").agg(F.count("*").alias("blobs"), F.sum(F.octet_length("content")).cast("long").alias("bytes"))
+    files = listed_files(spark, path).groupBy(F.regexp_extract("path", "shard=([0-9a-f]+)/", 1).alias("shard")).agg((F.sum("length") > 0).alias("on_disk"))
+    return sums.join(files, "shard", "left").na.fill(False, ["on_disk"])
 
 
 @query("SELECT hash, bytes, min(doc_id) AS doc_id FROM (SELECT doc_id, sha256(coalesce(text, '')) AS hash, strlen(coalesce(text, '')) AS bytes FROM documents) GROUP BY 1, 2")
@@ -84,10 +106,10 @@ def blob_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of blobs after two uploads, of odd documents and then of all: each content is there once, under the document that brought it first."""
     docs = load(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), "doc_id")
     first = lambda rows: rows.groupBy("hash", "bytes").agg(F.min("doc_id").alias("doc_id"))
-    store = Table(spark, shared_path(spark, "blobs"), "hash string, bytes long, doc_id long")
-    store.insert_absent(first(docs).filter("doc_id % 2 = 1"), ["hash"])
-    store.insert_absent(first(docs), ["hash"])
-    return store.read()
+    path, schema = shared_path(spark, "blobs"), "hash string, bytes long, doc_id long, shard string"
+    for rows in (first(docs).filter("doc_id % 2 = 1"), first(docs)):
+        insert_absent(rows.withColumn("shard", F.substring("hash", 1, 1)), path, schema, ["shard", "hash"], ["shard"])
+    return held(spark, path, schema).drop("shard")
 
 
 @query(f"WITH {_SNAP} SELECT doc_id, CASE WHEN b.hash IS NULL THEN 'delete' WHEN a.hash IS NULL THEN 'fetch' WHEN a.hash <> b.hash THEN 'fetch' WHEN doc_id % 13 = 0 THEN 'relink' ELSE 'keep' END AS action FROM before a FULL OUTER JOIN after b USING (doc_id)")

@@ -1,4 +1,4 @@
-"""Places to write: the shared folder, tables in versions with sinks that append, add up or keep the first, and a store of blobs by hash."""
+"""Places to write: the shared folder, sinks that append, keep the first, add up or put anew, and a store of blobs by hash."""
 
 from __future__ import annotations
 
@@ -27,44 +27,43 @@ def settled(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-class Table:
-    """A table of one writer, kept in versions: each change writes a folder of its own, and readers take the last one that is whole.
+def append(rows: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """Add rows to the table at `path`, in partitions by the columns `by`; nothing that is there is read or written."""
+    rows.write.mode("append").partitionBy(*(by or [])).parquet(path)
 
-    So a change that fails midway, or whose tasks run again, leaves the version before as it was.
-    """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema, self.version = spark, path, schema, 0
-        self._write(spark.createDataFrame([], schema))
+def held(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The table at `path`; one that nothing was written to yet is empty."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/version={self.version}")
 
-    def _write(self, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/version={self.version + 1}")
-        self.version += 1
+def insert_absent(rows: DataFrame, path: str, schema: str, keys: list[str], by: list[str]) -> DataFrame:
+    """Append the rows whose keys the table lacks and give them back; of rows with equal keys, any one goes in. Null keys equal each other.
 
-    def append(self, rows: DataFrame) -> None:
-        """Add rows, whatever is there."""
-        self._write(self.read().unionByName(rows))
+    `by` are to be among the keys, so that only partitions that the rows may be in are read.
+    """
+    there = held(rows.sparkSession, path, schema).select(*[F.col(k).alias(f"_{k}") for k in keys])
+    new = settled(rows.dropDuplicates(keys).join(there, _same(keys), "left_anti"), "inserted")
+    append(new, path, by)
+    return new
 
-    def insert_absent(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """Add the rows whose keys the table lacks and give them back; of rows with equal keys, any one goes in. Null keys equal each other."""
-        new = shared_path(self.spark, "inserted")
-        rows.dropDuplicates(keys).join(self.read().select(*[F.col(k).alias(f"_{k}") for k in keys]), _same(keys), "left_anti").write.parquet(new)
-        created = self.spark.read.schema(rows.schema).parquet(new)
-        self.append(created)
-        return created
 
-    def add_up(self, rows: DataFrame, keys: list[str], sums: list[str]) -> None:
-        """Add to the sums of rows with equal keys, and rows where there are none; equal keys among the rows add up too."""
-        both = self.read().select(*keys, *sums).unionByName(rows.select(*keys, *sums))
-        self._write(both.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]))
+def put(rows: DataFrame, path: str, schema: str, keys: list[str], by: list[str], sums: list[str] | None = None) -> None:
+    """Put rows in the place of those with equal keys or, where `sums` are named, add them to those.
 
-    def upsert(self, rows: DataFrame, keys: list[str]) -> None:
-        """Put rows in the place of those with equal keys; the keys of `rows` are to be unique."""
-        kept = self.read().join(rows.select(*[F.col(k).alias(f"_{k}") for k in keys]), _same(keys), "left_anti")
-        self._write(kept.unionByName(rows))
+    Only the partitions (by the columns `by`, which are to be among the keys) that the rows are in are read and written, so what is written grows with
+    the change and not with the table. What they come to is settled first and then takes the place of the old partitions.
+    """
+    touched = rows.select(*[F.col(c).alias(f"_{c}") for c in by]).distinct()
+    old = held(rows.sparkSession, path, schema).join(touched, _same(by), "left_semi")
+    if sums:
+        merged = old.select(*keys, *sums).unionByName(rows.select(*keys, *sums)).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    else:
+        merged = old.join(rows.select(*[F.col(k).alias(f"_{k}") for k in keys]), _same(keys), "left_anti").unionByName(rows)
+    # a partition is one task's, so it is one file
+    settled(merged, "merged").repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
 def _same(keys: list[str]) -> Column:
@@ -79,8 +78,19 @@ def blob_path(digest: Column) -> Column:
     return F.concat_ws("/", F.substring(digest, 1, 2), F.substring(digest, 3, 2), digest)
 
 
-def folder_usage(spark: SparkSession, path: str) -> DataFrame:
-    """files and bytes of all files under a folder, at any depth, as its file system counts them; Spark's readers would pass over empty ones."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = root.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(root)
-    return spark.createDataFrame([(found.getFileCount(), found.getLength())], "files long, bytes long")
+def store_blobs(blobs: DataFrame, path: str) -> None:
+    """Write blobs (hash, content) into a store that is laid out by the first bytes of their hashes."""
+    append(blobs.withColumn("shard", F.substring("hash", 1, 2)).repartition("shard"), path, ["shard"])
+
+
+def fetch_blobs(wanted: DataFrame, path: str) -> DataFrame:
+    """hash and content of the blobs that are wanted (hash) and whose content still has that hash; only their shards are read."""
+    spark = wanted.sparkSession
+    asked = wanted.select("hash", F.substring("hash", 1, 2).alias("shard")).distinct()
+    found = spark.read.schema("hash string, content binary, shard string").parquet(path).join(asked, ["shard", "hash"], "left_semi")
+    return found.filter(F.sha2("content", 256) == F.col("hash")).select("hash", "content")
+
+
+def listed_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, length and time of every file under a folder, at any depth; contents aren't read, as nothing asks for them."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("at"))

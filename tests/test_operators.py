@@ -27,7 +27,8 @@ from ledgerline.plans.placement import demand, drained, explained, picked
 from ledgerline.plans.registry import QUERIES
 from ledgerline.plans.sets import lossy_text, stable_scan
 from ledgerline.plans.windows import fleet_alerts, raised_once, silences
-from ledgerline.sources.stores import Table, folder_usage, shared_path
+from ledgerline.operators.leases import granted
+from ledgerline.sources.stores import append, fetch_blobs, held, insert_absent, listed_files, put, store_blobs
 
 
 #: Small logs to run the parsers on.
@@ -281,26 +282,57 @@ def test_long_logs_are_packed_by_slots(spark):
     assert {r[1] for r in got if r[0] == 4} >= {0, 1, 2} and 8000 < sum(len(r[3].encode()) + 1 for r in got if r[0] == 4) <= 8193
 
 
-def test_sinks_write_versions(spark):
-    t = Table(spark, shared_path(spark, "t"), "k int, v string, n long")
-    t.append(spark.createDataFrame([(1, "a", 1)], "k int, v string, n long"))
-    new = t.insert_absent(spark.createDataFrame([(1, "b", 5), (2, "c", 2), (2, "c", 2), (None, "d", 3)], "k int, v string, n long"), ["k"])
-    assert sorted(map(str, map(tuple, new.collect()))) == ["(2, 'c', 2)", "(None, 'd', 3)"]
-    assert t.insert_absent(spark.createDataFrame([(None, "e", 9)], "k int, v string, n long"), ["k"]).count() == 0
-    t.upsert(spark.createDataFrame([(2, "x", 7), (3, "y", 8)], "k int, v string, n long"), ["k"])
-    assert sorted(map(str, map(tuple, t.read().collect()))) == ["(1, 'a', 1)", "(2, 'x', 7)", "(3, 'y', 8)", "(None, 'd', 3)"]
-    sums = Table(spark, shared_path(spark, "s"), "metric string, bucket long, sum double, count long")
+def test_sinks_touch_only_what_changes(spark, tmp_path):
+    schema, path = "k int, v string, n long, part int", f"file://{tmp_path}/t"
+    row = lambda *rows: spark.createDataFrame([(*r, (r[0] or 0) % 2) for r in rows], schema)
+    files = lambda part: {str(f) for f in (tmp_path / "t" / f"part={part}").glob("*.parquet")}
+    append(row((1, "a", 1)), path, ["part"])
+    new = insert_absent(row((1, "b", 5), (2, "c", 2), (2, "c", 2), (None, "d", 3)), path, schema, ["k", "part"], ["part"])
+    assert sorted(map(str, (tuple(r)[:3] for r in new.collect()))) == ["(2, 'c', 2)", "(None, 'd', 3)"]
+    assert insert_absent(row((None, "e", 9)), path, schema, ["k", "part"], ["part"]).count() == 0
+    odd = files(1)
+    put(row((2, "x", 7), (4, "y", 8)), path, schema, ["k", "part"], ["part"])
+    assert files(1) == odd and len(files(0)) == 1
+    assert sorted(map(str, (tuple(r)[:3] for r in held(spark, path, schema).collect()))) == ["(1, 'a', 1)", "(2, 'x', 7)", "(4, 'y', 8)", "(None, 'd', 3)"]
+    sums, keys = "metric string, bucket long, sum double, count long", ["metric", "bucket"]
+    assert held(spark, f"file://{tmp_path}/s", sums).count() == 0
     for rows in ([("tasks", 60, 2.0, 2)], [("tasks", 60, 3.0, 1), ("tasks", 60, 1.0, 1), ("other", 0, 1.0, 1)]):
-        sums.add_up(spark.createDataFrame(rows, "metric string, bucket long, sum double, count long"), ["metric", "bucket"], ["sum", "count"])
-    assert sorted(tuple(r) for r in sums.read().collect()) == [("other", 0, 1.0, 1), ("tasks", 60, 6.0, 4)]
+        put(spark.createDataFrame(rows, sums), f"file://{tmp_path}/s", sums, keys, ["bucket"], ["sum", "count"])
+    assert sorted(tuple(r) for r in held(spark, f"file://{tmp_path}/s", sums).collect()) == [("other", 0, 1.0, 1), ("tasks", 60, 6.0, 4)]
 
 
-def test_usage_counts_files_at_any_depth(spark, tmp_path):
+def test_listings_count_files_at_any_depth(spark, tmp_path):
     (tmp_path / "a" / "bb").mkdir(parents=True)
     (tmp_path / "a" / "x").write_bytes(b"12345")
     (tmp_path / "a" / "bb" / "y").write_bytes(b"1234")
     (tmp_path / "z").write_bytes(b"")
-    assert tuple(folder_usage(spark, f"file://{tmp_path}").first()) == (3, 9)
+    assert sorted(r["length"] for r in listed_files(spark, f"file://{tmp_path}").collect()) in ([0, 4, 5], [4, 5])
+
+
+def test_blobs_are_verified_when_they_are_read(spark, tmp_path):
+    good, bad = hashlib.sha256(b"x").hexdigest(), hashlib.sha256(b"y").hexdigest()
+    store_blobs(spark.createDataFrame([(good, bytearray(b"x")), (bad, bytearray(b"z"))], "hash string, content binary"), f"file://{tmp_path}/s")
+    wanted = spark.createDataFrame([(good,), (bad,), ("0" * 64,), (good,)], "hash string")
+    assert [(r["hash"], bytes(r["content"])) for r in fetch_blobs(wanted, f"file://{tmp_path}/s").collect()] == [(good, b"x")]
+
+
+def lease_by_hand(claims, offline, lease):
+    out, held = {}, {}
+    for key, i, at, worker in sorted(claims, key=lambda c: (c[0], c[2], c[1])):
+        now = held.get(key)
+        out[i] = now is None or at - now[0] >= lease or any(w == now[1] and a <= at < b for w, a, b in offline)
+        if out[i]:
+            held[key] = at, worker
+    return out
+
+
+def test_leases(spark):
+    claims = [("e", 1, 0, 1), ("e", 2, 40, 2), ("e", 3, 80, 1), ("f", 4, 0, 3), ("f", 5, 10, 1), ("f", 6, 10, 2), ("g", 7, 5, 1)]
+    rng = random.Random(5)
+    claims += [(rng.choice("abc"), k, rng.randrange(400), rng.randrange(4)) for k in range(10, 160)]
+    offline = [(3, 8, 12), (0, 100, 130), (2, 200, 201), (1, 300, 310)]
+    got = granted(spark.createDataFrame(claims, "key string, id long, at long, worker long"), spark.createDataFrame(offline, "worker long, off long, until long"), 60)
+    assert {r["id"]: r["granted"] for r in got.collect()} == lease_by_hand(claims, offline, 60)
 
 
 def test_scans_are_taken_again_while_files_change(spark):
