@@ -53,3 +53,17 @@ def longest_prefix(rows: DataFrame, path: str, owners: DataFrame, owner: str, ke
     spread = rows.select(*key, F.explode(F.array_distinct(prefixes(F.col(path)))).alias("_prefix"))
     best = spread.join(owners.select(F.col(owner).alias("_prefix")).distinct(), "_prefix").groupBy(*key).agg(F.max_by("_prefix", F.length("_prefix")).alias("owner"))
     return rows.join(best, key, "left")
+
+
+def overlapping(left: DataFrame, right: DataFrame, key: str, width: int) -> DataFrame:
+    """Rows of `left` and `right` (key, from_at, to_at; `right` as r_from and r_to) of a key whose spans overlap, ends not included.
+
+    Spans are filed under every bin of `width` that they reach and met by key and bin, so that a key with many spans is spread over its bins and only spans of
+    one time meet. A pair that meets in several bins counts in the one where the later of the two begins. Empty spans overlap nothing.
+    """
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor((b - 1) / width)))
+    l = left.filter("to_at > from_at").withColumn("_bin", bins(F.col("from_at"), F.col("to_at")))  # noqa: E741
+    r = right.filter("r_to > r_from").withColumn("_bin", bins(F.col("r_from"), F.col("r_to")))
+    both = l.join(r, [key, "_bin"])
+    first = F.col("_bin") == F.floor(F.greatest("from_at", "r_from") / width)
+    return both.filter((F.col("from_at") < F.col("r_to")) & (F.col("r_from") < F.col("to_at")) & first).drop("_bin")

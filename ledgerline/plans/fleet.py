@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import bucket, ratio
 from ..operators.ranks import nearest_ranks
 from ..operators.rollup import fold, minute_points
-from ..sources.stores import append, held, put, shared_path
+from ..sources.stores import append, held, put, settled, shared_path
 from ..sources.telemetry import as_of, load, tasks
 from .base import ORACLES, TASKS, query
 
@@ -197,3 +197,28 @@ def suggested_wait(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = nearest_ranks(t, ["project"], "build_ms", {"p50": 0.5})
     wait = F.when(F.col("status").isin("done", "failed", "canceled"), 0).when(F.col("p50").isNull(), 60)
     return t.join(p, "project", "left").select("id", wait.otherwise(F.least(F.greatest(F.round(F.col("p50") * 1.2 / 1000), F.lit(15)), F.lit(120))).cast("long").alias("wait_s"))
+
+
+def stored_sketches(rows: DataFrame) -> DataFrame:
+    """kind, day, n, total and sketches of users and durations: rollups that any coarser counter can be made of, as sketches merge."""
+    return rows.groupBy("kind", "day").agg(F.count("*").alias("n"), F.sum("ms").alias("total"), F.hll_sketch_agg("user", 14).alias("users"), F.kll_sketch_agg_bigint("ms", 400).alias("durations"))
+
+
+def counters(stored: DataFrame) -> DataFrame:
+    """kind and day ('*' and -1: all), n, total, users (estimated) and median (estimated) for every subset of kind and day, merged from rollups alone."""
+    cube = stored.cube("kind", "day").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.hll_union_agg("users").alias("users"), F.kll_merge_agg_bigint("durations").alias("durations"), F.grouping("kind").alias("_k"), F.grouping("day").alias("_d"))
+    return cube.select(F.when(F.col("_k") == 1, "*").otherwise(F.col("kind")).alias("kind"), F.when(F.col("_d") == 1, -1).otherwise(F.col("day")).alias("day"), "n", "total", F.hll_sketch_estimate("users").alias("users"), F.kll_sketch_get_quantile_bigint("durations", F.lit(0.5)).alias("median"))
+
+
+@query(f"""WITH {TASKS}, t AS (SELECT result_kind AS kind, at_s // 86400 AS day, build_ms AS ms FROM tasks) SELECT CASE WHEN GROUPING(kind) = 1 THEN '*' ELSE kind END AS kind, CASE WHEN GROUPING(day) = 1 THEN -1 ELSE day END AS day, count(*) AS n, sum(ms)::BIGINT AS total, true AS users_close, true AS median_close FROM t GROUP BY CUBE (kind, day)""")
+def sketch_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters over every subset of kind and day out of stored sketches, held against exact ones: distinct users within 5 %, the median between the 46th and 54th percentile."""
+    rows = tasks(spark, sf_dir).select(F.col("result_kind").alias("kind"), F.expr("at_s div 86400").alias("day"), F.col("project").alias("user"), F.col("build_ms").alias("ms"))
+    stored = settled(stored_sketches(rows), "sketches")
+    exact = rows.cube("kind", "day").agg(F.count_distinct("user").alias("exact"), F.percentile("ms", F.array(F.lit(0.46), F.lit(0.54))).alias("near"), F.grouping("kind").alias("_k"), F.grouping("day").alias("_d"))
+    exact = exact.select(F.when(F.col("_k") == 1, "*").otherwise(F.col("kind")).alias("kind"), F.when(F.col("_d") == 1, -1).otherwise(F.col("day")).alias("day"), "exact", "near")
+    close = F.abs(F.col("users") - F.col("exact")) <= F.greatest(0.05 * F.col("exact"), F.lit(1.0))
+    # a quantile is one of the values, so between neighbours either may be told
+    inside = (F.col("median") >= F.floor(F.element_at("near", 1))) & (F.col("median") <= F.ceil(F.element_at("near", 2)))
+    few = F.col("n") < 25
+    return counters(stored).join(exact, ["kind", "day"]).select("kind", "day", "n", "total", close.alias("users_close"), (few | inside).alias("median_close"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.matching import latest_before, longest_prefix
+from ..operators.matching import latest_before, longest_prefix, overlapping
 from ..sources.telemetry import as_of, load, paths, tasks
 from .base import PATHS, TASKS, query
 
@@ -193,3 +193,19 @@ def retry_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("project", "worktree").orderBy("at_us", "id")
     t = tasks(spark, sf_dir).withColumn("retry_id", F.lead("id").over(w)).withColumn("again", F.lead("result_kind").over(w))
     return t.filter("result_kind = 'infra_error'").select(F.col("id").alias("first_id"), "retry_id", F.coalesce("again", "result_kind").alias("outcome"))
+
+
+#: Seconds without a report after which a worker is silent, seconds of a bin, and the workers that events stand for: half of them come from one.
+QUIET, BIN, WORKERS = 3600, 7200, 9
+
+
+@query(f"""WITH {TASKS}, w AS (SELECT id, CASE WHEN project % 2 = 0 THEN 0 ELSE project % {WORKERS} END AS worker, at_s, build_ms FROM tasks), s AS (SELECT worker, at_s AS quiet, lead(at_s) OVER (PARTITION BY worker ORDER BY at_s, id) AS heard FROM w WHERE id % 5 = 0),
+ q AS (SELECT * FROM s WHERE heard - quiet > {QUIET}) SELECT id, w.worker, quiet, heard, least(at_s + build_ms // 10, heard) - greatest(at_s, quiet) AS seconds FROM w JOIN q ON q.worker = w.worker AND at_s < heard AND quiet < at_s + build_ms // 10 AND build_ms >= 10""")
+def silent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks that ran while their worker was silent, with that span and for how many seconds; every fifth event is a report of its worker."""
+    t = tasks(spark, sf_dir).withColumn("worker", F.when(F.col("project") % 2 == 0, 0).otherwise(F.col("project") % WORKERS))
+    heard = F.lead("at_s").over(Window.partitionBy("worker").orderBy("at_s", "id"))
+    quiet = t.filter("id % 5 = 0").select("worker", F.col("at_s").alias("r_from"), heard.alias("r_to")).filter(F.col("r_to") - F.col("r_from") > QUIET)
+    ran = t.select("id", "worker", F.col("at_s").alias("from_at"), F.expr("at_s + build_ms div 10").alias("to_at"))
+    both = overlapping(ran, quiet, "worker", BIN)
+    return both.select("id", "worker", F.col("r_from").alias("quiet"), F.col("r_to").alias("heard"), (F.least("to_at", "r_to") - F.greatest("from_at", "r_from")).alias("seconds"))

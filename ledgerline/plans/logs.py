@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.adapters import diagnosed
 from ..functions.classify import ABSENCE, ENVIRONMENT, ENVIRONMENT_WEAK, PACKAGES, PROGRAMS, REMEDIES, environment_at_fault, missing_dependencies, parses_tests, remedy, told
 from ..functions.columns import plain_text
 from ..functions.diagnostics import DIAGNOSTIC
@@ -182,6 +183,23 @@ def env_diag_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scraped(run_logs(spark, sf_dir)).select("log_id", "line_no", environment_at_fault(F.col("file"), F.col("message")).alias("environmental"))
 
 
+# run logs beside other lines: two of their steps go by other names
+_RUN_LOGS_TOO = RUN_LOGS.replace("lines AS (", "run_lines AS (").replace("FROM lines)", "FROM run_lines)").replace("worded AS (", "run_worded AS (").replace("FROM worded WHERE", "FROM run_worded WHERE")
+
+
+@query(
+    f"""WITH {_JSON_FORMS}, {_RUN_LOGS_TOO},
+ b AS (SELECT log_id, line_no, regexp_replace(line, chr(27) || '\\[[0-9;]*m', '', 'g') AS bare FROM logs)
+ SELECT 'cargo' AS adapter, log_id, line_no, CASE form WHEN 1 THEN 'warning' ELSE 'error' END AS level, CASE form WHEN 0 THEN 'E0308' ELSE '' END AS code, 'about ' || w AS message,
+ CASE WHEN form IN (0, 1, 10) THEN 'src/' || w || '.rs' WHEN form = 9 THEN low || '.c' ELSE '' END AS file, CAST(CASE WHEN form IN (0, 1, 9, 10) THEN n ELSE 0 END AS INTEGER) AS line, CAST(CASE WHEN form IN (0, 1, 9, 10) THEN 5 ELSE 0 END AS INTEGER) AS "column" FROM m
+ UNION ALL SELECT 'generic', log_id, line_no, CASE {_DIAGNOSTIC.format(4)} WHEN 'warning' THEN 'warning' ELSE 'error' END, '', trim({_DIAGNOSTIC.format(5)}), {_DIAGNOSTIC.format(1)}, CAST({_DIAGNOSTIC.format(2)} AS INTEGER), coalesce(TRY_CAST({_DIAGNOSTIC.format(3)} AS INTEGER), 0) FROM b WHERE regexp_matches(bare, '{DIAGNOSTIC}')"""
+)
+def adapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The diagnostics of logs by either adapter, out of a table function that is told the adapter's name."""
+    one, two = diagnosed(json_logs(spark, sf_dir), "cargo"), diagnosed(run_logs(spark, sf_dir), "generic")
+    return one.select(F.lit("cargo").alias("adapter"), "*").unionByName(two.select(F.lit("generic").alias("adapter"), "*"))
+
+
 # name and kind that each form of a tool's line tells; forms that tell nothing are left out
 _TOLD = """ VALUES (0, 'pkg-config', '', ''), (1, 'pkg-config', '', ''), (2, 'pkg-config', '', ' >= 3'), (3, 'library', '', ''), (4, 'library', '', ''), (5, 'header', '/', '.h'), (6, 'header', '', '.hpp'), (7, 'program', '', ''), (8, 'program', '', ''), (9, 'program', '', ''),
  (11, 'program', '', ''), (12, 'program', '', ''), (13, 'program', '', ''), (14, 'prose', 'lib', ''), (15, 'prose', 'lib', ''), (16, 'prose', 'lib', ''), (18, 'build-script', '', ' v1'), (20, 'library', '', '')"""

@@ -62,7 +62,7 @@ def image_streaks(t: DataFrame) -> DataFrame:
 #: decides nothing, ticks that a rate looks back over, ticks of silence after which a worker is offline, and ticks after which the queue starts anew.
 BACKLOG, RATE, SAMPLES, LOOK_BACK, SILENCE, PERIOD = 50, 0.2, 20, 15, 24, 96
 
-_TICKS = f"""{TASKS}, t AS (SELECT *, at_s // 3600 AS tick FROM tasks), span AS (SELECT min(tick) AS lo, max(tick) AS hi FROM t), grid AS (SELECT unnest(range(lo, hi + 1)) AS tick FROM span),
+TICKS = f"""{TASKS}, t AS (SELECT *, at_s // 3600 AS tick FROM tasks), span AS (SELECT min(tick) AS lo, max(tick) AS hi FROM t), grid AS (SELECT unnest(range(lo, hi + 1)) AS tick FROM span),
  c AS (SELECT g.tick, count(id) AS n, count(id) AS fin, count(id) FILTER (WHERE result_kind = 'infra_error') AS infra, count(id) FILTER (WHERE result_kind = 'timeout') AS late,
   count(id) FILTER (WHERE result_kind IN ('env_error', 'compile_error')) AS came FROM grid g LEFT JOIN t ON t.tick = g.tick GROUP BY 1),
  w AS (SELECT tick, n, sum(fin) OVER v AS fin, sum(infra) OVER v AS infra, sum(late) OVER v AS late, sum(came) OVER (PARTITION BY tick // {PERIOD} ORDER BY tick) AS waiting FROM c WINDOW v AS (ORDER BY tick ROWS BETWEEN {LOOK_BACK - 1} PRECEDING AND CURRENT ROW)),
@@ -71,7 +71,7 @@ _TICKS = f"""{TASKS}, t AS (SELECT *, at_s // 3600 AS tick FROM tasks), span AS
  e AS (SELECT *, coalesce(lag(firing) OVER (PARTITION BY rule ORDER BY tick), false) AS before FROM f WHERE firing IS NOT NULL)"""
 
 
-@query(f"""WITH {_TICKS}, {_HEALTH.removeprefix(TASKS + ", ").replace("e AS (", "he AS (").replace("FROM e)", "FROM he)")},
+@query(f"""WITH {TICKS}, {_HEALTH.removeprefix(TASKS + ", ").replace("e AS (", "he AS (").replace("FROM e)", "FROM he)")},
  s2 AS (SELECT worker, tick, lead(tick) OVER (PARTITION BY worker ORDER BY tick) AS again FROM (SELECT DISTINCT 'w' || project AS worker, tick FROM t))
  SELECT rule, tick, CASE WHEN firing THEN 'raise' ELSE 'resolve' END AS edge FROM e WHERE firing <> before
  UNION ALL SELECT 'image_failing:' || digest, min(at_s) // 3600, 'raise' FROM s WHERE streak >= 3 GROUP BY 1

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -36,7 +37,8 @@ def held(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table at `path`; one that nothing was written to yet is empty."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    # partition columns come last in the files' schema
+    return spark.read.schema(schema).parquet(path).select(*StructType.fromDDL(schema).fieldNames()) if there else spark.createDataFrame([], schema)
 
 
 def insert_absent(rows: DataFrame, path: str, schema: str, keys: list[str], by: list[str]) -> DataFrame:
