@@ -155,8 +155,8 @@ def profile_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scalar_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single counts, as one row."""
     t = tasks(spark, sf_dir).agg(F.count_if((F.col("status") == "queued") & (F.col("project") == 7)).alias("queued_of_project"), (F.count_if(F.col("status") == "running") > 0).alias("any_running"))
-    online = load(spark, sf_dir, "supplier").agg(F.count_if(F.col("s_acctbal") > 0).alias("online")).first()[0]
-    return t.select(F.lit(online).cast("long").alias("online"), "queued_of_project", "any_running")
+    online = load(spark, sf_dir, "supplier").agg(F.count_if(F.col("s_acctbal") > 0).alias("online")).scalar()
+    return t.select(online.alias("online"), "queued_of_project", "any_running")
 
 
 @query("""SELECT r_name AS arch, count(*) AS workers, count(*) FILTER (WHERE s_acctbal > 0) AS online, sum(4 + s_suppkey % 5)::BIGINT AS capacity, sum(greatest(0, 4 + s_suppkey % 5 - greatest(s_suppkey % 7, s_suppkey % 4)))::BIGINT AS free

@@ -287,7 +287,10 @@ def packed(logs: DataFrame) -> DataFrame:
     n = F.length("line")
     error, e7 = n % 3 == 0, (n % 5 != 0) & (n % 11 == 7)
     slot = F.when(F.col("line_no") == 1, 0).when(F.trim("line") == "", 4).when(error & e7, 1).when(error, 2).when(n % 3 == 1, 3).otherwise(4)
-    slots = logs.select("log_id", "line_no", slot.alias("slot"), elide(F.col("line"), F.lit(LINE_BUDGET)).alias("text"))
+    parted = logs.select("log_id", "line_no", slot.alias("slot"), F.col("line").alias("text"))
+    # few lines are too long, and only those are handed to Python
+    long_ = F.octet_length("text") > LINE_BUDGET
+    slots = parted.filter(~long_).unionByName(parted.filter(long_).withColumn("text", elide(F.col("text"), F.lit(LINE_BUDGET))))
     used = F.expr("sum(octet_length(text) + 1) OVER (PARTITION BY log_id ORDER BY slot, line_no ROWS UNBOUNDED PRECEDING)")
     room = F.lit(BUDGET) - (used - F.octet_length("text") - 1)
     return slots.withColumn("room", room.cast("int")).filter("room > 0").select("log_id", "slot", "line_no", cut_bytes(F.col("text"), F.col("room")).alias("text"))

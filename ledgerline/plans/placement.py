@@ -237,13 +237,13 @@ def retry_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).filter("status = 'failed'").withColumn("attempt", attempt).select("id", "attempt", ((F.col("attempt") < 3) & (F.col("result_kind") == "infra_error")).alias("retry"))
 
 
-@query(f"""WITH {TASKS}, f AS (SELECT project, row_number() OVER (ORDER BY project) AS n FROM (SELECT DISTINCT project FROM tasks WHERE event_type = 'signup')) SELECT f.project, n <= 64 AS admitted,
+@query(f"""WITH {TASKS}, f AS (SELECT project, row_number() OVER (ORDER BY min((at_us, id))) AS n FROM tasks WHERE event_type = 'signup' GROUP BY 1) SELECT f.project, n <= 64 AS admitted,
  coalesce((SELECT arg_max(CASE WHEN k % 2 = 0 THEN 'approved' ELSE 'rejected' END, (at_us, id)) FROM tasks t WHERE t.project = f.project AND t.event_type = 'purchase'), 'pending') AS decision FROM f""")
 def approval_queue_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Requests with their latest decision, which asking again never changes; new ones are taken up to a cap."""
+    """Requests with their latest decision, which asking again never changes; new ones are taken in the order in which they are first made, up to a cap."""
     t = tasks(spark, sf_dir)
-    asked = t.filter("event_type = 'signup'").select("project").distinct()
+    asked = t.filter("event_type = 'signup'").groupBy("project").agg(F.min(F.struct("at_us", "id")).alias("since"))
     decided = t.filter("event_type = 'purchase'").groupBy("project").agg(F.max_by(F.when(F.col("k") % 2 == 0, "approved").otherwise("rejected"), F.struct("at_us", "id")).alias("decision"))
-    # the cap's last member is one number, so the requests needn't be ranked in one place
-    last = asked.orderBy("project").limit(64).agg(F.max("project")).first()[0]
-    return asked.join(decided, "project", "left").select("project", (F.col("project") <= F.lit(last)).alias("admitted"), F.coalesce("decision", F.lit("pending")).alias("decision"))
+    # the cap's last member is one value, so the requests needn't be ranked in one place
+    last = asked.orderBy("since").limit(64).agg(F.max("since").alias("last")).scalar()
+    return asked.join(decided, "project", "left").select("project", (F.col("since") <= last).alias("admitted"), F.coalesce("decision", F.lit("pending")).alias("decision"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType
 from pyspark.sql.window import Window
@@ -40,7 +40,7 @@ def queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 def status_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Membership, an approval gate with an empty sentinel, staleness and a prefix to leave out."""
     o = load(spark, sf_dir, "orders")
-    stale = F.col("o_orderdate") < F.lit(o.agg(F.max("o_orderdate")).first()[0]) - F.expr("INTERVAL 365 DAY")
+    stale = F.col("o_orderdate") < o.agg(F.max("o_orderdate").alias("last")).scalar() - F.expr("INTERVAL 365 DAY")
     kept = o.filter((F.col("o_orderstatus") == "F") & ~F.col("o_orderpriority").startswith("5") & stale)
     return kept.join(load(spark, sf_dir, "customer").filter("c_mktsegment <> ''"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus").isin("O", "P"), "open").otherwise("closed").alias("state"))
 
@@ -182,11 +182,28 @@ def shape_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.sha2("p_name", 256).rlike("^[0-9a-f]{64}$").alias("hash_ok"), F.col("p_brand").rlike("^[A-Za-z0-9_-]{1,64}$").alias("id_ok"), env.alias("env_ok"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS id, o_orderpriority AS key, o_orderstatus AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders)
- SELECT id, CASE WHEN rn > 32 THEN 'too_many' WHEN NOT regexp_matches(replace(replace(key, '-', '_'), ' ', '_'), '^[A-Za-z_][A-Za-z0-9_]*$') THEN 'bad_name' WHEN v = 'P' THEN 'denied' WHEN strlen(v) > 4096 THEN 'too_long' ELSE '' END AS reason FROM e""")
+# Keys that a request's environment may not set, and the prefix of others.
+DENIED = ["PATH", "HOME", "RUSTC_WRAPPER", "CARGO_HOME", "RUSTUP_HOME", "CARGO_TARGET_DIR"]
+DENIED_PREFIX = "SCCACHE_"
+#: Entries of a request, and bytes of a value.
+ENTRIES, VALUE_BYTES = 32, 4096
+_KEYS = ["A_1", "PATH", "SCCACHE_DIR", "1A", "A-B", "", "_x", "path", "HOME2", "CARGO_HOME", "Ä"]
+
+
+def entry_error(key: Column, value: Column, place: Column) -> Column:
+    """The first rule that an entry of a request's environment breaks, or an empty text; keys are compared as they stand."""
+    return (
+        F.when(place > ENTRIES, "too_many").when(~key.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), "bad_name").when(key.isin(DENIED) | key.startswith(DENIED_PREFIX), "denied")
+        .when(F.octet_length(value) > VALUE_BYTES, "too_long").otherwise("")
+    )
+
+
+@query(f"""WITH e AS (SELECT o_orderkey AS id, o_orderkey % {len(_KEYS)} AS form, CASE WHEN o_orderkey % 13 = 0 THEN 4098 WHEN o_orderkey % 13 = 1 THEN 4096 ELSE 1 END AS bytes, row_number() OVER (PARTITION BY o_custkey % 20 ORDER BY o_orderkey) AS rn FROM orders)
+ SELECT id, CASE WHEN rn > {ENTRIES} THEN 'too_many' WHEN form IN (3, 4, 5, 10) THEN 'bad_name' WHEN form IN (1, 2, 9) THEN 'denied' WHEN bytes > {VALUE_BYTES} THEN 'too_long' ELSE '' END AS reason FROM e""")
 def env_key_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first rule that an environment entry breaks, or none."""
-    rn = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    name = F.regexp_replace("o_orderpriority", "[- ]", "_")
-    reason = F.when(F.col("rn") > 32, "too_many").when(~name.rlike("^[A-Za-z_][A-Za-z0-9_]*$"), "bad_name").when(F.col("o_orderstatus") == "P", "denied").when(F.octet_length("o_orderstatus") > 4096, "too_long").otherwise("")
-    return load(spark, sf_dir, "orders").withColumn("rn", rn).select(F.col("o_orderkey").alias("id"), reason.alias("reason"))
+    """The first rule that an environment entry breaks, or none; a request is that of one of twenty customers."""
+    n = F.col("o_orderkey")
+    rn = F.row_number().over(Window.partitionBy(F.col("o_custkey") % 20).orderBy("o_orderkey"))
+    key = F.element_at(F.array(*map(F.lit, _KEYS)), (n % len(_KEYS)).cast("int") + 1)
+    value = F.when(n % 13 == 0, F.repeat(F.lit("é"), 2049)).when(n % 13 == 1, F.repeat(F.lit("é"), 2048)).otherwise("x")
+    return load(spark, sf_dir, "orders").select(n.alias("id"), entry_error(key, value, rn).alias("reason"))

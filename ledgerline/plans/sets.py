@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.columns import human_bytes, length_prefixed, normalized_span
 from ..operators.matching import bag_sides
 from ..sources.stores import blob_path, fetch_blobs, held, insert_absent, listed_files, settled, shared_path, store_blobs
-from ..sources.telemetry import diagnostics, load, paths, tasks
+from ..sources.telemetry import as_of, diagnostics, load, paths, tasks
 from .base import DIAGS, PATHS, TASKS, query
 
 # two snapshots of the documents: the later one lost every seventh, changed every fifth and has some of its own
@@ -189,14 +189,41 @@ def case_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.join(firsts, F.lower("path") == F.col("low")).filter("path <> first").select("page_id", "path", "first")
 
 
-@query(f"""WITH {TASKS} SELECT id, sha256(strlen(project::VARCHAR) || ':' || project || strlen(worktree) || ':' || worktree || strlen(event_type) || ':' || event_type) AS fingerprint,
- CASE WHEN k % 4 = 0 THEN sha256(strlen(event_type) || ':' || event_type) ELSE sha256(sha256(strlen(event_type) || ':' || event_type) || array_to_string(list_sort(list_distinct(['g' || (k % 5), 'g' || (k % 3)])), ',')) END AS granted FROM tasks""")
+def is_digest(image: Column) -> Column:
+    """Whether an image is named by its content, and not by a tag that may move."""
+    return image.rlike("@sha256:[0-9a-f]{64}$")
+
+
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """id, error, fingerprint and granted: one hash over all fields (manifest, image, toolchain, profile), and that with grants folded in.
+
+    Fields are prefixed with their lengths, so no two lists of fields read alike. Without a manifest, or with an image that is no digest, there is no
+    fingerprint, and error tells why. Grants count sorted and once each; none change nothing.
+    """
+    error = F.when(F.coalesce("manifest", F.lit("")) == "", "missing_manifest").when(~F.coalesce(is_digest(F.col("image")), F.lit(False)), "image_not_digest").otherwise("")
+    plain = F.sha2(length_prefixed(F.col("manifest"), F.col("image"), F.col("toolchain"), F.sha2("profile", 256)), 256)
+    grants = F.array_sort(F.array_distinct("grants"))
+    # a grant is prefixed with its length too
+    folded = F.sha2(F.concat(plain, F.array_join(F.transform(grants, lambda g: F.concat(F.octet_length(g).cast("string"), F.lit(":"), g)), "")), 256)
+    out = rows.select("id", error.alias("error"), plain.alias("fingerprint"), F.when(F.size(grants) > 0, folded).otherwise(plain).alias("granted"))
+    return out.select("id", "error", *[F.when(F.col("error") == "", F.col(c)).otherwise("").alias(c) for c in ("fingerprint", "granted")])
+
+
+_PRE = "strlen({0}) || ':' || {0}"
+
+
+@query(f"""WITH {TASKS}, f AS (SELECT id, k, CASE WHEN k % 11 = 0 THEN '' ELSE sha256(worktree) END AS manifest, CASE WHEN k % 7 = 0 THEN 'img:' || k ELSE 'img@sha256:' || sha256(event_type) END AS image, event_type AS toolchain, sha256(project::VARCHAR) AS profile FROM tasks),
+ p AS (SELECT *, CASE WHEN manifest = '' THEN 'missing_manifest' WHEN k % 7 = 0 THEN 'image_not_digest' ELSE '' END AS error, sha256({_PRE.format("manifest")} || {_PRE.format("image")} || {_PRE.format("toolchain")} || {_PRE.format("profile")}) AS plain FROM f)
+ SELECT id, error, CASE WHEN error = '' THEN plain ELSE '' END AS fingerprint, CASE WHEN error <> '' THEN '' WHEN k % 4 = 0 THEN plain ELSE sha256(plain || array_to_string(list_transform(list_sort(list_distinct(['g' || (k % 5), 'g' || (k % 3)])), lambda g: strlen(g) || ':' || g), '')) END AS granted FROM p""")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints over length-prefixed fields, and with grants folded in, sorted and once each; no grants change nothing."""
-    plain = F.sha2(length_prefixed(F.col("event_type")), 256)
-    grants = F.array_join(F.array_sort(F.array_distinct(F.array(F.concat(F.lit("g"), F.col("k") % 5), F.concat(F.lit("g"), F.col("k") % 3)))), ",")
-    granted = F.when(F.col("k") % 4 == 0, plain).otherwise(F.sha2(F.concat(plain, grants), 256))
-    return tasks(spark, sf_dir).select("id", F.sha2(length_prefixed(F.col("project").cast("string"), F.col("worktree"), F.col("event_type")), 256).alias("fingerprint"), granted.alias("granted"))
+    """Fingerprints of tasks, plain and with their grants, or why a task has none."""
+    k = F.col("k")
+    grants = F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("g"), k % 5), F.concat(F.lit("g"), k % 3)))
+    rows = tasks(spark, sf_dir).select(
+        "id", F.when(k % 11 == 0, "").otherwise(F.sha2("worktree", 256)).alias("manifest"), F.when(k % 7 == 0, F.concat(F.lit("img:"), k.cast("string"))).otherwise(F.concat(F.lit("img@sha256:"), F.sha2("event_type", 256))).alias("image"),
+        F.col("event_type").alias("toolchain"), F.col("project").cast("string").alias("profile"), grants.alias("grants"),
+    )
+    return fingerprints(rows)
 
 
 @query(f"""WITH {TASKS}, a AS (SELECT project, list_sort(list(DISTINCT event_type)) AS has FROM tasks WHERE id % 3 = 0 GROUP BY 1) SELECT project, coalesce(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(has, x))[1], '') AS first_missing FROM a""")
@@ -260,6 +287,50 @@ def humanize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks(spark, sf_dir).select("id", human_bytes(F.col("k") * 4097).alias("size"), duration.alias("duration"), F.left(F.concat("worktree", F.col("project").cast("string")), F.lit(8)).alias("short"))
 
 
+def ago(ms: Column, now: Column) -> Column:
+    """How long ago a time (milliseconds) was, in the largest whole unit; 0 is never, and what lies ahead is now."""
+    d = F.greatest(now - ms, F.lit(0))
+    unit = lambda size, name: F.concat(F.floor(d / size).cast("string"), F.lit(name))
+    return F.when(ms == 0, "never").when(d < 5_000, "now").when(d < 60_000, unit(1000, "s ago")).when(d < 3_600_000, unit(60_000, "m ago")).when(d < 86_400_000, unit(3_600_000, "h ago")).otherwise(unit(86_400_000, "d ago"))
+
+
+def percent(share: Column) -> Column:
+    """A share as whole percents, halves rounded up."""
+    return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
+
+
+def whole_duration(seconds: Column) -> Column:
+    """Seconds in the largest unit that holds them whole."""
+    out = F.concat(seconds.cast("string"), F.lit(" s"))
+    for size, name in ((60, " min"), (3600, " h"), (86_400, " d")):
+        out = F.when(seconds % size == 0, F.concat((seconds / size).cast("long").cast("string"), F.lit(name))).otherwise(out)
+    return out
+
+
+def short_id(name: Column, keep: int = 10) -> Column:
+    """An id cut for people: the end of it, behind its kind if it begins with a short one; ids that are hardly longer stay as they are."""
+    dash = F.instr(name, "-")
+    head = F.when((dash > 1) & (dash <= 9), F.substring(name, F.lit(1), dash)).otherwise("")
+    tail = F.when(head == "", keep).otherwise(F.greatest(keep - F.length(head), F.lit(6)))
+    cut = F.concat(head, F.lit("…"), F.right(name, tail))
+    return F.when(F.length(name) <= keep + 3, name).when((head != "") & (F.length(name) - F.length(head) <= tail), name).otherwise(cut)
+
+
+@query(f"""WITH {TASKS}, a AS (SELECT id, k, CASE WHEN id % 9 = 0 THEN 0 ELSE at_us // 1000 + CASE WHEN id % 9 = 1 THEN 10000000000 ELSE 0 END END AS ms, us // 1000 AS now FROM tasks, now), d AS (SELECT *, greatest(now - ms, 0) AS d,
+  CASE id % 4 WHEN 0 THEN 'worker-' || lpad(id::VARCHAR, 12, '0') WHEN 1 THEN repeat('x', 10) || id WHEN 2 THEN 't-1' ELSE 'averylongkind-' || id END AS name FROM a)
+ SELECT id, CASE WHEN ms = 0 THEN 'never' WHEN d < 5000 THEN 'now' WHEN d < 60000 THEN (d // 1000) || 's ago' WHEN d < 3600000 THEN (d // 60000) || 'm ago' WHEN d < 86400000 THEN (d // 3600000) || 'h ago' ELSE (d // 86400000) || 'd ago' END AS age, CAST(floor(k / 64.0::DOUBLE * 100 + 0.5) AS BIGINT) || '%' AS share,
+ CASE WHEN k * 900 % 86400 = 0 THEN (k * 900 // 86400) || ' d' WHEN k * 900 % 3600 = 0 THEN (k * 900 // 3600) || ' h' ELSE (k * 15) || ' min' END AS every,
+ CASE id % 4 WHEN 0 THEN 'worker-…' || right(name, 6) WHEN 1 THEN CASE WHEN length(name) <= 13 THEN name ELSE '…' || right(name, 10) END WHEN 2 THEN name ELSE '…' || right(name, 10) END AS short FROM d""")
+def readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ages, shares, intervals and ids as a page shows them."""
+    t = tasks(spark, sf_dir)
+    n = F.col("id")
+    ms = F.when(n % 9 == 0, 0).otherwise(F.expr("at_us div 1000") + F.when(n % 9 == 1, F.lit(10_000_000_000)).otherwise(F.lit(0)))
+    name = F.when(n % 4 == 0, F.concat(F.lit("worker-"), F.lpad(n.cast("string"), 12, "0"))).when(n % 4 == 1, F.concat(F.repeat(F.lit("x"), 10), n.cast("string"))).when(n % 4 == 2, "t-1").otherwise(F.concat(F.lit("averylongkind-"), n.cast("string")))
+    now = F.floor(as_of(t) / 1000)
+    return t.select("id", ago(ms, now).alias("age"), percent(F.col("k") / 64.0).alias("share"), whole_duration(F.col("k") * 900).alias("every"), short_id(name).alias("short"))
+
+
 @query(f"""WITH {TASKS} SELECT id, CASE WHEN k % 3 = 0 THEN 'workspace' WHEN k % 3 = 1 THEN 'package ' || worktree ELSE 'packages ' || worktree || ', p' || project END AS label, CASE WHEN k % 3 = 0 THEN '--workspace' WHEN k % 3 = 1 THEN '-p ' || worktree ELSE '-p ' || worktree || ' -p p' || project END AS flags FROM tasks""")
 def scope_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A scope's label and the flags that select it."""
