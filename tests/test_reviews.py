@@ -169,11 +169,12 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     first = [(1, 1, 0, "queued"), (1, 2, 50, "done"), (2, 3, 0, "queued"), (3, 4, 10, "queued")]
     late = [(1, 5, 60, "failed"), (2, 6, 500, "done"), (3, 7, 90, "canceled"), (4, 8, 10_000, "queued")]
     for n, rows in enumerate((first, first, late, late)):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/batch={n}")
-    stream = spark.readStream.schema(schema + ", batch int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_millis(F.col("at_ms") + 1_000_000)).withWatermark("at", "1 second")
+        spark.createDataFrame([(t, i, 1_000_000 + at, status) for t, i, at, status in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/in/batch={n}")
+    stream = spark.readStream.schema(schema + ", batch int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", "1 second")
     with state_store(spark):
         got = drained(task_ends(stream.select("task", "id", "at_ms", "status", "at"), 100), "replay")
-    assert sorted(map(tuple, got.collect())) == [(1, 50, "done"), (2, 100, "expired"), (3, 90, "canceled")]
+    ends = sorted((r["task"], r["at"] - 1_000_000, r["status"]) for r in got.collect())
+    assert ends == [(1, 50, "done"), (2, 100, "expired"), (3, 90, "canceled")]
 
 
 def test_a_pin_shows_while_a_worker_is_online():
