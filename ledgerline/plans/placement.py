@@ -1,7 +1,8 @@
 """Placement of tasks on workers: hard filters in order, scores, the best worker, reasons, first fit and a greedy drain.
 
-Tasks of equal project, worktree, architecture, estimate, image and needs are of a kind. Kinds are scored against the fleet, not tasks, so the
-work grows with kinds times workers; what sets a task apart from its kind, the worker it has tried, is put right by joins of equality.
+Tasks of equal project, worktree, architecture, estimate, image and needs are of a kind. To pick and to explain, only architecture, estimate and
+needs are held against the fleet; what a project, an image or a worker that was tried changes is put right by joins of equality. Scores of
+all pairs, and a drain, hold every kind against the fleet.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from .base import TASKS, query
 #: Weights of disk, processor, cache and image, and the least free disk in GB.
 W_DISK, W_CPU, W_CACHE, W_IMAGE, MIN_DISK = 1.0, 1.0, 2.0, 0.8, 20
 KIND = ["project", "worktree", "arch", "est", "image", "need"]
+#: What of a kind counts whatever its project and image.
+BASE = ["arch", "est", "need"]
 
 _FLEET = """w AS (SELECT s_suppkey AS worker, r_name AS arch, s_suppkey % 10 <> 9 AS online, (s_acctbal + 1000) / 11000.0 AS load, s_suppkey % 7 * 20 AS disk, s_suppkey % 4 AS slots, s_nationkey AS nation, s_suppkey % 6 AS image,
   s_suppkey % 2 AS cached, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey // 3 % 2 END AS busy, s_suppkey % 5 <> 2 AS multi_root FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
@@ -68,20 +71,22 @@ def scored(kinds: DataFrame, fleet: DataFrame, also: Column | None = None) -> Da
     own = F.when(known(F.col("w_arch")), F.array(F.concat(F.lit("="), "w_arch"), any_)).otherwise(F.array(unknown, any_))
     ready = fleet.filter("online").withColumnRenamed("arch", "w_arch").withColumn("_key", F.explode(own)).withColumnRenamed("_key", "_own")
     meet = F.col("_key") == F.col("_own")
-    return judged(asked.join(ready, meet if also is None else meet & also))
+    return judged(asked.join(ready, meet if also is None else meet & also)).select(*KIND, "worker", "nation", "reason", "plain", "score")
 
 
 def judged(both: DataFrame) -> DataFrame:
-    """KIND, worker, nation, reason and score of kinds that stand beside workers."""
+    """The columns of `both`, kinds that stand beside workers, with reason, plain (the reason where the project counts for nothing) and score."""
     lacks = F.size(F.array_except(F.filter(F.split("need", ","), lambda x: x != ""), "capable")) > 0
-    reason = (
-        F.when(lacks, "MissingCapability").when(F.col("slots") == 0, "NoFreeSlot").when((F.col("nation") == F.col("project")) & F.col("busy").eqNullSafe(F.col("worktree")), "WorktreeBusy")
-        .when(F.col("disk") < F.greatest(F.lit(MIN_DISK), F.ceil(F.col("est") * 1.5)), "InsufficientDisk").otherwise("")
-    )
+    busy = (F.col("nation") == F.col("project")) & F.col("busy").eqNullSafe(F.col("worktree"))
+
+    def first(busy: Column) -> Column:
+        small = F.col("disk") < F.greatest(F.lit(MIN_DISK), F.ceil(F.col("est") * 1.5))
+        return F.when(lacks, "MissingCapability").when(F.col("slots") == 0, "NoFreeSlot").when(busy, "WorktreeBusy").when(small, "InsufficientDisk").otherwise("")
+
     disk = F.least(F.col("disk") / (3.0 * F.greatest("est", F.lit(1))), F.lit(1.0))
     cache = F.when((F.col("nation") == F.col("project")) & F.col("cached").eqNullSafe(F.col("worktree")), 1.0).when(F.col("nation") == F.col("project"), 0.6).otherwise(0.0)
     score = W_DISK * disk + W_CPU * (1.0 - F.least(F.greatest("load", F.lit(0.0)), F.lit(1.0))) + W_CACHE * cache + W_IMAGE * F.when(F.col("w_image") == F.col("image"), 1.0).otherwise(0.0)
-    return both.select(*KIND, "worker", "nation", reason.alias("reason"), score.alias("score"))
+    return both.withColumns({"reason": first(busy), "plain": first(F.lit(False)), "score": score})
 
 
 def options(queue: DataFrame, fleet: DataFrame) -> DataFrame:
@@ -107,19 +112,13 @@ def best_two(queue: DataFrame, fleet: DataFrame) -> DataFrame:
     blank = lambda c: F.lit(None).cast(types[c]).alias(c)
     plain = kinds.select(*[blank(c) if c in ("project", "worktree", "image") else F.col(c) for c in KIND]).distinct()
     imaged = kinds.select(*[blank(c) if c in ("project", "worktree") else F.col(c) for c in KIND]).distinct()
-    base, image = ["arch", "est", "need"], ["arch", "est", "need", "image"]
+    image = [*BASE, "image"]
     lists = [
-        (shortlist(scored(plain, fleet), base), base), (shortlist(scored(imaged, fleet, F.col("image") == F.col("w_image")), image), image),
+        (shortlist(scored(plain, fleet), BASE), BASE), (shortlist(scored(imaged, fleet, F.col("image") == F.col("w_image")), image), image),
         (shortlist(scored(kinds, fleet, F.col("project") == F.col("nation")), KIND), KIND),
     ]
-    found = None
-    for few, of in lists:
-        named = few.select(*[F.col(c).alias(f"_{c}") for c in of], "worker")
-        on = F.lit(True)
-        for c in of:
-            on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-        rows = kinds.join(named, on).select(*KIND, "worker")
-        found = rows if found is None else found.unionByName(rows)
+    rows = [with_kind(kinds, few, of).select(*KIND, "worker") for few, of in lists]
+    found = rows[0].unionByName(rows[1]).unionByName(rows[2])
     tops = judged(found.distinct().join(fleet.withColumnRenamed("arch", "w_arch"), "worker")).filter("reason = ''")
     rank = F.row_number().over(Window.partitionBy(*KIND).orderBy(F.desc(F.round("score", 6)), "worker"))
     pick = lambda n: F.max(F.when(F.col("rank") == n, F.col("worker")))
@@ -132,20 +131,20 @@ def picked(queue: DataFrame, fleet: DataFrame) -> DataFrame:
     return with_kind(queue, best_two(queue, fleet)).select("task", F.when(F.col("first").eqNullSafe(F.col("tried")), F.col("second")).otherwise(F.col("first")).alias("worker")).filter("worker IS NOT NULL")
 
 
-def with_kind(queue: DataFrame, of: DataFrame) -> DataFrame:
+def with_kind(queue: DataFrame, of: DataFrame, kind: list[str] = KIND) -> DataFrame:
     """Tasks joined to what `of` says of their kind."""
     on = F.lit(True)
-    named = of.select(*[F.col(c).alias(f"_{c}") for c in KIND], *[c for c in of.columns if c not in KIND])
-    for c in KIND:
+    named = of.select(*[F.col(c).alias(f"_{c}") for c in kind], *[c for c in of.columns if c not in kind])
+    for c in kind:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return queue.join(named, on).drop(*[f"_{c}" for c in KIND])
+    return queue.join(named, on).drop(*[f"_{c}" for c in kind])
 
 
 def explained(queue: DataFrame, fleet: DataFrame) -> DataFrame:
     """task, reason and workers: how many workers each hard filter keeps from a task, the first that rejects counting; '*' where there is no worker at all.
 
-    Workers that aren't online or are of another architecture are counted by architecture, all others by kind of task. The worker
-    that a task has tried already then goes over from the reason that its kind gives to AlreadyTried.
+    Workers that aren't online or are of another architecture are counted by architecture, all others by what a task needs, whatever its project. By
+    equality, the workers where its project is then go over to the reason that this gives, and the one it has tried already to AlreadyTried.
     """
     ready = F.col("online") & known(F.col("arch"))
     total = lambda c: fleet.agg(c.cast("long").alias("n")).scalar()
@@ -153,13 +152,20 @@ def explained(queue: DataFrame, fleet: DataFrame) -> DataFrame:
     apart = F.when(known(F.col("arch")), total(F.count_if(ready)) - F.coalesce("own", F.lit(0))).otherwise(0)
     counts = F.array(F.struct(F.lit("NotOnline").alias("reason"), total(F.count_if(~F.col("online"))).alias("n")), F.struct(F.lit("ArchMismatch").alias("reason"), apart.alias("n")))
     of_arch = queue.join(by_arch, F.col("arch") == F.col("_arch"), "left").select("task", F.explode(counts).alias("x")).select("task", "x.reason", "x.n")
-    pairs = scored(queue.select(*KIND).distinct(), fleet)
-    rejected = pairs.filter("reason <> ''").groupBy(*KIND, "reason").agg(F.count("*").alias("n"))
-    of_kind = with_kind(queue, rejected).select("task", "reason", "n")
-    tried = with_kind(queue, pairs.select(*KIND, F.col("worker").alias("_worker"), "reason")).filter("_worker = tried")
-    moved = tried.select("task", F.explode(F.array(F.struct(F.lit("AlreadyTried").alias("reason"), F.lit(1).alias("n")), F.struct(F.col("reason"), F.lit(-1).alias("n")))).alias("x")).select("task", "x.reason", F.col("x.n").cast("long").alias("n"))
+    kinds = queue.select(*KIND).distinct()
+    types = {f.name: f.dataType for f in kinds.schema.fields}
+    base = kinds.select(*[F.col(c) if c in BASE else F.lit(None).cast(types[c]).alias(c) for c in KIND]).distinct()
+    rejected = scored(base, fleet).filter("reason <> ''").groupBy(*BASE, "reason").agg(F.count("*").alias("n"))
+    of_kind = with_kind(queue, rejected, BASE).select("task", "reason", "n")
+    step = lambda reason, n: F.struct(reason.alias("reason"), F.lit(n).cast("long").alias("n"))
+    # what the project changes, for the workers that have it
+    own = scored(kinds, fleet, F.col("project") == F.col("nation")).filter("reason <> plain").select(*KIND, F.explode(F.array(step(F.col("reason"), 1), step(F.col("plain"), -1))).alias("x"))
+    of_project = with_kind(queue, own.select(*KIND, "x.reason", "x.n").groupBy(*KIND, "reason").agg(F.sum("n").alias("n"))).select("task", "reason", "n")
+    meet = (F.col("tried") == F.col("worker")) & (~known(F.col("arch")) | ~known(F.col("w_arch")) | (F.col("arch") == F.col("w_arch")))
+    tried = judged(queue.join(fleet.filter("online").withColumnRenamed("arch", "w_arch"), meet))
+    moved = tried.select("task", F.explode(F.array(step(F.lit("AlreadyTried"), 1), step(F.col("reason"), -1))).alias("x")).select("task", "x.reason", "x.n")
     nobody = queue.filter(total(F.count("*")) == 0).select("task", F.lit("*").alias("reason"), F.lit(0).cast("long").alias("workers"))
-    told = of_arch.unionAll(of_kind).unionAll(moved).filter("reason <> ''").groupBy("task", "reason").agg(F.sum("n").alias("workers")).filter("workers > 0")
+    told = of_arch.unionAll(of_kind).unionAll(of_project).unionAll(moved).filter("reason <> ''").groupBy("task", "reason").agg(F.sum("n").alias("workers")).filter("workers > 0")
     return told.unionAll(nobody)
 
 
