@@ -27,15 +27,14 @@ _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 el
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of terms (of all, and of documents) per group, as far as a task has seen them; a row without a term stands for the group."""
+    """Counts of terms (of all, and of documents) per group, as far as a task has seen them."""
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for (lang, source), (times, docs) in held.items():
-            terms = [None, *times]
-            names = [pa.array([v] * len(terms), pa.string()) for v in (lang, source)]
+            names = [pa.array([v] * len(times), pa.string()) for v in (lang, source)]
             # terms are UTF-8 as the texts are
-            yield pa.RecordBatch.from_arrays([*names, pa.array(terms, pa.binary()), pa.array([0, *times.values()], pa.int64()), pa.array([0, *(docs[t] for t in times)], pa.int64())], names=["lang", "source", "term", "times", "docs"])
+            yield pa.RecordBatch.from_arrays([*names, pa.array(list(times), pa.binary()), pa.array(list(times.values()), pa.int64()), pa.array([docs[t] for t in times], pa.int64())], names=["lang", "source", "term", "times", "docs"])
         held.clear()
 
     for batch in batches:
@@ -49,13 +48,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
+def _plain(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
 def counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, times and docs (documents of the group with the term); a row with null term and zeros for each group.
+    """lang, source, term, times and docs (documents of the group with the term).
 
     Terms are runs of ASCII letters and characters beyond ASCII; only A to Z are lower-cased. Null text, lang and source count as ''.
     """
-    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(plain(lang_col).alias("lang"), plain(source_col).alias("source"), plain(text_col).cast("binary").alias("text"))
+    rows = docs.select(_plain(lang_col).alias("lang"), _plain(source_col).alias("source"), _plain(text_col).cast("binary").alias("text"))
     parts = rows.mapInArrow(_counted, "lang string, source string, term binary, times long, docs long")
     return parts.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("times").alias("times"), F.sum("docs").alias("docs"))
 
@@ -151,8 +153,11 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     come; a group without terms takes part with zeros. Other columns aren't read. An empty table gives no rows.
     """
     with scratch() as kept_tables:
-        made = Settled(counts(docs, text_col, lang_col, source_col), "term-counts")
-        by_term = made.df.filter("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("times").alias("all_times"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs)
+        # most terms are rare: they are found by a sum over the term's groups, and go before anything is written
+        of_term = Window.partitionBy("lang", "term")
+        summed = counts(docs, text_col, lang_col, source_col).withColumn("all_times", F.sum("times").over(of_term)).withColumn("all_docs", F.sum("docs").over(of_term))
+        common = Settled(summed.filter(F.col("all_docs") >= min_docs).select("lang", "source", "term", "times", "all_times"), "term-counts").df
+        by_term = common.groupBy("lang", "term").agg(F.first("all_times").alias("all_times"))
         sizes = by_term.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("all_times").alias("all_total"))
         # a term's place in its chunk, in the order of terms; a chunk has some CHUNK terms, whatever the vocabulary
         placed = by_term.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), F.ceil(F.col("kept") / CHUNK)).cast("int"))
@@ -161,9 +166,9 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         within = Window.partitionBy("lang", "chunk")
         placed = placed.select("lang", "term", "all_times", "all_total", "kept", "chunk", (F.row_number().over(within.orderBy("term")) - 1).alias("at"), F.count("*").over(within).cast("int").alias("size"))
         terms = Settled(placed, "kept-terms").df
-        own = Settled(made.df.join(terms, ["lang", "term"]).select("lang", "source", "term", "times", "all_times", "all_total", "kept", "chunk", "at", "size"), "kept-counts")
+        own = Settled(common.drop("all_times").join(terms, ["lang", "term"]).select("lang", "source", "term", "times", "all_times", "all_total", "kept", "chunk", "at", "size"), "kept-counts")
         totals = own.df.groupBy("lang", "source").agg(F.sum("times").alias("total"))
-        named = made.df.filter("term IS NULL").select("lang", "source")
+        named = docs.select(_plain(lang_col).alias("lang"), _plain(source_col).alias("source")).distinct()
         per_lang = named.groupBy("lang").agg(F.count("*").alias("groups")).join(sizes, "lang", "left")
         groups = named.join(totals, ["lang", "source"], "left").join(per_lang, "lang")
         blocks = F.ceil(F.col("groups") / BLOCK).cast("int")
