@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,9 @@ from ledgerline.operators.matching import overlapping
 from ledgerline.plans.paths import canonical_address, egress_error
 from ledgerline.plans.reviews import collisions, consent, delta_report, log_chunks, notices, reclaimed, script_states, summaries, taken_up
 from ledgerline.plans.search import entry_error
+from ledgerline.plans.registry import QUERIES
 from ledgerline.plans.sets import ago, fingerprints, percent, short_id, whole_duration
+from ledgerline.sources.scratch import scratch, shared_dir
 from ledgerline.streaming.rollups import drained, latest_worker
 from ledgerline.streaming.states import state_store, task_ends
 
@@ -191,3 +194,12 @@ def test_a_pin_shows_while_a_worker_is_online():
     for n, what in enumerate(["view", "error", "click", "signup", "view", "purchase"]):
         shown += [next(latest_worker((1,), iter([pd.DataFrame({"event_id": [n], "event_type": [what]})]), state))["status"][0]]
     assert shown == ["online", "draining", "busy", "offline", "draining", "online"]
+
+
+@pytest.mark.parametrize("name", ["delta_summary", "rollup_sink", "blob_gets", "lease_claims", "dependency_closure", "stream_sessions"])
+def test_scratch_leaves_nothing_behind(spark, name):
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    with scratch():
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 and set(shared.iterdir()) > before
+    assert set(shared.iterdir()) == before
