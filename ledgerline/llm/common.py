@@ -1,19 +1,19 @@
-"""Helpers that the training-data operators share: words, shared scratch tables and deterministic hashes."""
+"""Helpers that the training-data operators share: words, bounded samples and deterministic hashes; scratch tables are those of the sources."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
-from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Folder, Settled, new_path, scratch, settle, shared_dir
+
+__all__ = ["Folder", "Settled", "new_path", "scratch", "settle", "shared_dir"]
+
 #: A word is a run of characters other than the ASCII white space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = " \t\n\x0b\x0c\r"
@@ -24,79 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one, but only if all of Spark runs on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path that no later step reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def one_text(rows: DataFrame, ids: list[str], text: str) -> DataFrame:
     """One row for each of the `ids`: that of the smallest hashed text. So a bound on ids is one on rows, however often an id comes."""
     return rows.groupBy(*ids).agg(F.min_by(text, F.struct(F.xxhash64(text), F.xxhash64(F.lit("text"), text))).alias(text))
 
 
-class Folder:
-    """A folder in the shared one for what isn't a table; `scratch` drops it as it drops tables."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, new_path(spark, name)
-        Settled.live.append(self)
-
-    def drop(self) -> None:
-        """Delete the folder; nothing that is still to be computed may read it."""
-        drop_path(self.spark, self.path)
-        Settled.live.remove(self)
-
-
-class Settled:
-    """A DataFrame written to the shared folder and read back: its lineage ends there, and lost executors cost no recomputation."""
-
-    #: Those written and not dropped yet.
-    live: ClassVar[list[Settled | Folder]] = []
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = new_path(self.spark, name)
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        Settled.live.append(self)
-
-    def drop(self) -> None:
-        """Delete the table; nothing that is still to be computed may read it."""
-        drop_path(self.spark, self.path)
-        Settled.live.remove(self)
-
-
-@contextmanager
-def scratch() -> Iterator[list[Settled | Folder]]:
-    """Drop, at the end, the tables that were settled within, but for those put into the list that it gives."""
-    before, kept = list(Settled.live), []
-    yield kept
-    for table_ in [t for t in Settled.live if t not in before and t not in kept]:
-        table_.drop()
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` to the shared folder and return the table that was written."""
-    return Settled(df, name).df
-
-
 def free_name(df: DataFrame, wanted: str) -> str:
     """A column name that `df` lacks, also when case is ignored."""
     taken = {c.lower() for c in df.columns}
