@@ -1,7 +1,8 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
-Each round joins every node's neighbours to the smallest of them, with minima taken by aggregation, so no node's links are ever
-together in one task. Rounds are written to the shared folder; the loop ends when one changes nothing.
+Each round joins every node's neighbours to the smallest of them. Minima are taken by aggregation; those of nodes with more than HUB links are
+broadcast, so such a node's links stay where they are, and others are joined by node. Rounds are written to the shared folder; the
+loop ends when one changes nothing.
 """
 
 from __future__ import annotations
@@ -11,17 +12,28 @@ from pyspark.sql import functions as F
 
 from .common import Settled
 
+#: Links of a node beyond which its minimum is broadcast: at most one row for so many links, 24 bytes each.
+HUB = 20_000
+
+
+def _with_least(ends: DataFrame, least: DataFrame) -> DataFrame:
+    """ends (u, v) with the minimum m of u; no task gets more than HUB rows of a node from the join, however many links it has."""
+    hubs = F.broadcast(least.filter(F.col("n") > HUB).select(F.col("u").alias("_u"), F.col("m").alias("_m")))
+    marked = ends.join(hubs, F.col("u") == F.col("_u"), "left")
+    rest = marked.filter("_u IS NULL").select("u", "v").join(least.filter(F.col("n") <= HUB).select("u", "m"), "u")
+    return marked.filter("_u IS NOT NULL").select("u", "v", F.col("_m").alias("m")).unionByName(rest)
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """large: link larger neighbours to a node's minimum; else link a node and its smaller neighbours to that minimum."""
     if large:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        out = _with_least(both.filter("v > u"), least).select(F.col("v").alias("b"), F.col("m").alias("a"))
     else:
         down = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        out = down.join(least, "u").select(F.col("v").alias("b"), F.col("m").alias("a")).unionAll(least.select(F.col("u").alias("b"), F.col("m").alias("a")))
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        out = _with_least(down, least).select(F.col("v").alias("b"), F.col("m").alias("a")).unionAll(least.select(F.col("u").alias("b"), F.col("m").alias("a")))
     return out.filter("a <> b").select("a", "b").distinct()
 
 

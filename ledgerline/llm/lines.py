@@ -32,13 +32,23 @@ def exploded(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> Data
     return rows.filter(F.col("line").rlike(WORD)).select("id", "t1", "t2", "site", "pos", *_hashes(F.col("line")))
 
 
+#: Parts over which the occurrences of a line are dealt in a join, as spread lines are the commonest of all.
+SALTS = 16
+
+
+def occurrences(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of `lines` whose hash is among `found` (h1, h2); each found line is there once for every part, and its occurrences are dealt over them by their text."""
+    dealt = found.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return lines.withColumn("salt", F.pmod(F.xxhash64("t1", "t2"), F.lit(SALTS)).cast("int")).join(dealt, ["h1", "h2", "salt"], "left_semi").drop("salt")
+
+
 def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """h1 and h2 of the lines that are on at least min_sites sites."""
     merged = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_agg("site", LG_K).alias("sketch"))
     # a line that occurs less often than min_sites is on fewer sites; its sketch needn't be asked
     asked = Settled(merged.filter(F.col("n") >= min_sites).select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")), "line-sites").df
     near = asked.filter(F.col("sites").between(min_sites * (1 - NEAR), min_sites * (1 + NEAR)))
-    exact = lines.join(near.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").count().groupBy("h1", "h2").count().filter(F.col("count") >= min_sites)
+    exact = occurrences(lines, near.select("h1", "h2")).groupBy("h1", "h2", "site").count().groupBy("h1", "h2").count().filter(F.col("count") >= min_sites)
     return asked.filter(F.col("sites") > min_sites * (1 + NEAR)).select("h1", "h2").unionAll(exact.select("h1", "h2"))
 
 
@@ -54,7 +64,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_
         kept.append(Settled(spread(lines, min_sites), "spread-lines"))
     found = kept[0].df
     own = {n: free_name(docs, f"_{n}") for n in ("id", "t1", "t2", "gone", "k1", "k2")}
-    marks = lines.join(found, ["h1", "h2"]).groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
+    marks = occurrences(lines, found).groupBy("id", "t1", "t2").agg(F.collect_set("pos").alias("gone"))
     marks = marks.select(*[F.col(n).alias(own[n]) for n in ("id", "t1", "t2", "gone")])
     text, gone = F.col(text_col).cast("string"), F.col(own["gone"])
     own_columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]

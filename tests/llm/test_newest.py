@@ -13,7 +13,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerline.llm import common, divergence, quality, suffixes, toxicity, whitening
+from ledgerline.llm import common, components, divergence, lines, quality, suffixes, toxicity, whitening
 from ledgerline.llm.queries import ORACLES, QUERIES
 
 from ..compare import SF, expected, rows_of
@@ -211,3 +211,39 @@ def test_scratch_keeps_what_the_result_reads_alone(spark):
         assert warc.round_trip(pages).count() == 2
         assert any("/archive-" in t.path for t in common.Folder.live)
     assert kept == [] and not any("/archive-" in t.path for t in common.Folder.live)
+
+
+def most_of_a_task(df) -> float:
+    """The share of all rows that the largest partition has."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(n) / sum(n)
+
+
+@pytest.fixture
+def as_dealt(spark):
+    """Joins by shuffles alone, and partitions as they were dealt."""
+    had = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    for k, v in zip(had, ("false", "-1", "8"), strict=True):
+        spark.conf.set(k, v)
+    yield
+    for k, v in had.items():
+        spark.conf.set(k, v)
+
+
+def test_a_hub_stays_where_its_links_are(spark, monkeypatch, as_dealt):
+    links = spark.range(4000, numPartitions=8).select(F.lit(-1).cast("long").alias("a"), F.col("id").alias("b")).unionByName(spark.range(300).select((F.col("id") + 10_000).alias("a"), (F.col("id") + 20_000).alias("b")))
+    ends = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    least = ends.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    together = most_of_a_task(components._with_least(ends, least))
+    monkeypatch.setattr(components, "HUB", 1000)
+    assert together > 0.9 and most_of_a_task(components._with_least(ends, least)) < 0.2
+    got = {r["node"]: r["root"] for r in components.components(links).collect()}
+    assert got == {k: -1 for k in range(4000)} | {k + 20_000: k + 10_000 for k in range(300)}
+
+
+def test_occurrences_of_a_line_are_dealt(spark, as_dealt):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the same line\nown "), F.col("id").cast("string")).alias("text"), (F.col("id") % 40).cast("string").alias("source"))
+    rows = lines.exploded(docs, "doc_id", "text", "source")
+    found = lines.spread(rows)
+    assert found.count() == 1 and most_of_a_task(rows.join(found, ["h1", "h2"])) == 1.0 and most_of_a_task(lines.occurrences(rows, found)) < 0.4
+    assert lines.dedup(docs).agg(F.sum("n_removed")).first()[0] == 3000
