@@ -33,8 +33,8 @@ LOOSE = r"(?<![^\s(,;:=\"'<\[])(?:[A-Za-z0-9._%+-]++(?:\(at\)|\[at\]|@)[A-Za-z0-
 MARK, SPARE = "\x01", "\x02"
 #: A pattern counts if so many different believed values stand in it, and if it is worth so much at least.
 MIN_SEEDS, MIN_SCORE = 4, 0.1
-#: Rounds at most, the share by which beliefs must grow for another one, and the belief from which a value counts as an identifier.
-ROUNDS, GAIN, BELIEVED = 8, 1e-4, 0.9
+#: The share by which beliefs must grow for another round, and the belief from which a value counts as an identifier.
+GAIN, BELIEVED = 1e-4, 0.9
 #: Characters beside a span that patterns are made of, and the longest pattern.
 CONTEXT, LONGEST = 40, 60
 #: Patterns up to which they are broadcast to the texts that are searched for them, at some 100 bytes each; beyond that, the two are joined by a shuffle.
@@ -197,13 +197,13 @@ def _edges(spans: DataFrame) -> DataFrame:
     return spans.select("kind", "value", F.explode(_patterns(F.col("span"))).alias("pattern")).groupBy("kind", "pattern", "value").agg(F.count("*").alias("times"))
 
 
-def believed(docs: DataFrame, rows: DataFrame, loose: DataFrame, text_col: str = "text", rounds: int = ROUNDS, least: float = BELIEVED) -> DataFrame:
+def believed(docs: DataFrame, rows: DataFrame, loose: DataFrame, text_col: str = "text", least: float = BELIEVED) -> DataFrame:
     """kind, value and belief of the candidates that their contexts identify; `rows` are those of base(), `loose` those of candidates(), both written.
 
     Patterns are of a kind, like the values in them. In each round, those take part in which MIN_SEEDS different values stand that are
     seeds or believed so far. A pattern's score is the share of its occurrences in the corpus that are seeds (each counts 1) or
     candidates (each counts its belief so far); so a word that stands beside anything scores low, and under MIN_SCORE it doesn't count.
-    A candidate's belief is 1 - product(1 - score) over its patterns. Beliefs only grow; the rounds end when all of them together grow by less than GAIN.
+    A candidate's belief is 1 - product(1 - score) over its patterns. Beliefs only grow; the rounds end when all of them together grow by less than GAIN, however many that takes.
     """
     seeds = reduce(DataFrame.unionAll, [rows.select(F.lit(k).alias("kind"), F.explode(k).alias("span")) for k in KINDS])
     fixed = _edges(seeds.select("kind", F.lower("span.value").alias("value"), "span")).groupBy("kind", "pattern").agg(F.count("*").alias("seeds"), F.sum("times").alias("seed_times"))
@@ -220,8 +220,8 @@ def believed(docs: DataFrame, rows: DataFrame, loose: DataFrame, text_col: str =
         # nor does one ever count of whose occurrences too few are candidates or seeds
         patterns = Settled(counted.filter(F.col("seed_times") + F.col("other_times") >= MIN_SCORE * F.col("total")).select("kind", "pattern", "seeds", "seed_times", "total"), "pii-patterns")
         graph = Settled(edges.df.join(patterns.df.select("kind", "pattern"), ["kind", "pattern"], "left_semi"), "pii-graph")
-        mass = 0.0
-        for _ in range(rounds if patterns.df.filter(F.col("seeds") >= MIN_SEEDS).count() else 0):
+        mass, grows = 0.0, not patterns.df.filter(F.col("seeds") >= MIN_SEEDS).isEmpty()
+        while grows:
             held = graph.df.join(belief.df, ["kind", "value"], "left").withColumn("belief", F.coalesce("belief", F.lit(0.0)))
             sums = held.groupBy("kind", "pattern").agg(F.sum(F.col("belief") * F.col("times")).alias("mass"), F.count_if(F.col("belief") >= least).alias("sure"))
             scored = patterns.df.join(sums, ["kind", "pattern"]).filter(F.col("seeds") + F.col("sure") >= MIN_SEEDS).select("kind", "pattern", ((F.col("seed_times") + F.col("mass")) / F.col("total")).alias("score"))
@@ -230,8 +230,7 @@ def believed(docs: DataFrame, rows: DataFrame, loose: DataFrame, text_col: str =
             belief.drop()
             belief, before = after, mass
             mass = after.df.agg(F.coalesce(F.sum("belief"), F.lit(0.0))).first()[0]
-            if mass - before <= GAIN * mass:
-                break
+            grows = mass - before > GAIN * mass
         graph.drop()
         patterns.drop()
     edges.drop()

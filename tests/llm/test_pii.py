@@ -70,7 +70,8 @@ def brute(texts):
                     for p in patterns(text, m.start(), m.end()):
                         edges[kind, p, m[0].lower()] += 1
     belief = collections.Counter()
-    for _ in range(pii.ROUNDS):
+    grown, settled = 0.0, False
+    while not settled:
         mass, sure, other = collections.Counter(), collections.Counter(), collections.Counter()
         for (kind, p, v), n in edges.items():
             mass[kind, p] += belief[kind, v] * n
@@ -83,6 +84,7 @@ def brute(texts):
             if len(seed_values[kind, p]) + sure[kind, p] >= pii.MIN_SEEDS and score >= pii.MIN_SCORE:
                 doubt[kind, v] += math.log1p(-min(score, 0.999))
         belief = collections.Counter({k: 1 - math.exp(d) for k, d in doubt.items()})
+        settled, grown = sum(belief.values()) - grown <= pii.GAIN * sum(belief.values()), sum(belief.values())
     out, best = collections.defaultdict(set), {}
     for i, kind, a, b, v in places:
         if belief[kind, v] >= pii.BELIEVED:
