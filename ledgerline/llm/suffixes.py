@@ -385,7 +385,7 @@ def find_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The columns of each row with what is left of its text (the last column but one) without the spans (the last)."""
-    for batch in batches:
+    for batch in (b.slice(low, 512) for b in batches for low in range(0, b.num_rows, 512)):
         size, removed, n_spans, kept = [], [], [], []
         texts, spans = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
         for i in range(batch.num_rows):

@@ -134,7 +134,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """vec_id, component, n, deviation, whitened, explained and identity_error for each usable row and component.
 
     Rows whose vector is null, empty or holds a null or a non-finite entry are dropped, and so are those whose length isn't the commonest (of equals, the
-    largest). Repeated rows, rows that share an id and rows without id count as often as they come. Directions without variance give no component,
+    largest). Repeated rows, rows that share an id and rows without id count as often as they come. Scaled entries beyond FAR count as it. Directions without variance give no component,
     so a single row, or rows that are all equal, give no rows; neither does an empty table. Other columns aren't read.
     """
     spark = vectors.sparkSession
