@@ -26,8 +26,8 @@ def _after(text: Column, cue: str, seen: Column | None = None) -> Column:
     return F.when(at > 0, F.substr(text, at + len(cue)))
 
 
-def _before(text: Column, cue: str) -> Column:
-    at = F.instr(text, cue)
+def _before(text: Column, cue: str, seen: Column | None = None) -> Column:
+    at = F.instr(text if seen is None else seen, cue)
     return F.when(at > 1, F.substr(text, F.lit(1), at - 1))
 
 
@@ -48,7 +48,7 @@ def _leading(rest: Column) -> Column:
 def pkg_config(line: Column) -> Column:
     """Modules that pkg-config, or what asked it, couldn't find; of a probe's arguments the last that is no flag is the module."""
     low = _low(line)
-    unknown = _find(_before(line, " was not found in the pkg-config"), f"(?i)package '?({_NAME}+)'?$")
+    unknown = _find(_before(line, " was not found in the pkg-config", low), f"(?i)package '?({_NAME}+)'?$")
     library = _quoted(_after(line, "system library ", low), " required by crate")
     asked = _find(F.coalesce(_after(line, '"pkg-config"'), _after(line, '"pkg_config"')), r'^((?:\s+"[^"]*")+)')
     words = F.filter(F.split(asked, '"'), lambda a: (F.trim(a) != "") & ~F.trim(a).startswith("-"))
