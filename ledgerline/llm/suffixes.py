@@ -288,9 +288,15 @@ def _compared(pieces: DataFrame) -> DataFrame:
 def _grouped(items: DataFrame) -> DataFrame:
     """h, c1, c2, n and r (the first of those) for all equal contexts of anchors that occur twice, with n_distinct and label (the smallest text) of the anchor."""
     place = F.struct("t1", "t2", "pos", "lo", "hi")
-    contexts = items.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("r"))
-    groups = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("n_distinct"), F.min("r.t1").alias("label")).filter("total > 1")
-    return contexts.join(groups.drop("total"), "h").select("h", "c1", "c2", "n", "r.*", "n_distinct", "label")
+    contexts = Settled(items.groupBy("h", "c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("r")).select("h", "c1", "c2", "n", "r.*"), "repeat-distinct").df
+    groups = contexts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("n_distinct"), F.min("t1").alias("label")).filter("total > 1")
+    groups = Settled(groups.drop("total"), "repeat-anchor-groups").df
+    # too common anchors are broadcast, one row for more than HOT contexts each, so that these stay where they are; others meet their contexts by a shuffle
+    common = F.broadcast(groups.filter(F.col("n_distinct") > HOT).select(F.col("h").alias("_h"), "n_distinct", "label"))
+    marked = contexts.join(common, F.col("h") == F.col("_h"), "left")
+    rest = marked.filter("_h IS NULL").select(*contexts.columns).join(groups.filter(F.col("n_distinct") <= HOT), "h")
+    names = [*contexts.columns, "n_distinct", "label"]
+    return marked.filter("_h IS NOT NULL").select(*names).unionByName(rest.select(*names))
 
 
 def _whole(contexts: DataFrame) -> DataFrame:
