@@ -3,7 +3,7 @@
 Terms are counted per group (language and source). A language's kept terms are cut into vocabulary chunks, and a group's counts of a chunk are
 packed into one row. Groups are cut into blocks, and each pair of blocks is a tile of the matrix of pairs. Packed counts are
 sent to the tiles of their block, where a task goes through the chunks one after another and adds to the tile's part of the matrix; it holds
-one chunk of two blocks at a time.
+one chunk of two blocks at a time. A tile of a large vocabulary is the sum of several tasks, each of which goes through PART chunks.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import Settled, scratch
 MIN_DOCS, TOP = 10, 10
 #: Terms of a vocabulary chunk and groups of a block, in expectation; terms that a task counts before it hands them on.
 CHUNK, BLOCK, HELD = 4096, 32, 400_000
+#: Chunks that one task of a tile goes through.
+PART = 16
 SHARE = 1_000_000_000
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -82,11 +84,8 @@ def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (p - q) ** 2 // (p + q)
 
 
-_PACKED = "lang string, a int, b int, chunk int, size int, kept long, source string, side int, total long, at array<int>, times array<long>"
-
-
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Values of the pairs of each tile; rows come by tile and chunk, and chunk -1 names the groups of the tile first."""
+    """Values of the pairs of each tile over a part of the chunks; rows come by tile, part and chunk, and chunk -1 names the groups of the tile first."""
     tile: tuple | None = None
     chunk, size, rows = -1, 0, []
     state: dict = {}
@@ -110,12 +109,12 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tile is None:
             return
         add()
-        lang, a, b = tile
+        lang, a, b, _ = tile
         names, sums = state["names"], state["sums"]
         if state["kept"]:
             # terms of chunks that no group of the tile has a word of
             zero = [np.array([int(shares(np.zeros(1, np.int64), t, state["kept"])[0]) for t in totals], np.int64) for totals in state["totals"]]
-            sums = sums + (state["kept"] - state["seen"]) * distances(zero[0][:, None], zero[1][None, :])
+            sums = sums + (state["terms"] - state["seen"]) * distances(zero[0][:, None], zero[1][None, :])
         found = [(x, y, int(sums[i, j])) for i, x in enumerate(names[0]) for j, y in enumerate(names[1]) if x != y and (a < b or x < y)]
         found += [(y, x, v) for x, y, v in found]
         for low in range(0, len(found), 10_000):
@@ -124,11 +123,11 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for r in batch.to_pylist():
-            key = (r["lang"], r["a"], r["b"])
+            key = (r["lang"], r["a"], r["b"], r["part"])
             if key != tile:
                 yield from done()
                 tile, chunk, rows = key, -1, []
-                state = {"names": ([], []), "totals": ([], []), "number": ({}, {}), "kept": r["kept"], "seen": 0}
+                state = {"names": ([], []), "totals": ([], []), "number": ({}, {}), "kept": r["kept"], "terms": r["terms"], "seen": 0}
             if r["chunk"] != chunk:
                 add()
                 chunk, size, rows = r["chunk"], r["size"], []
@@ -176,16 +175,20 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
         groups_made = Settled(groups, "term-groups")
         groups = groups_made.df
         packed = own.df.groupBy("lang", "source", "chunk").agg(F.first("size").alias("size"), F.collect_list("at").alias("at"), F.collect_list("times").alias("times"))
-        # chunk -1 heads the rows of a tile with its groups
-        heads = groups.select("*", F.lit(-1).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("at"), F.array().cast("array<long>").alias("times"))
-        body = groups.join(packed, ["lang", "source"]).select(*heads.columns)
+        # chunk -1 heads the rows of a tile's part with its groups and the number of terms in it
+        part = F.expr(f"chunk div {PART}").cast("int")
+        parts = terms.groupBy("lang", part.alias("part")).agg(F.count("*").alias("terms"))
+        heads = groups.join(parts, "lang", "left").na.fill(0, ["part", "terms"])
+        heads = heads.select("*", F.lit(-1).alias("chunk"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("at"), F.array().cast("array<long>").alias("times"))
+        body = groups.join(packed.withColumn("part", part).withColumn("terms", F.lit(0).cast("long")), ["lang", "source"]).select(*heads.columns)
         # each group to the tiles of its block; in the tile of a block with itself it is on both sides
         first = F.transform(F.sequence(F.col("block"), F.col("blocks") - 1), lambda k: F.struct(F.col("block").alias("a"), k.alias("b"), F.lit(0).alias("side")))
         second = F.transform(F.sequence(F.lit(0), F.col("block")), lambda k: F.struct(k.alias("a"), F.col("block").alias("b"), F.lit(1).alias("side")))
         sent = heads.unionByName(body).withColumn("tile", F.explode(F.concat(first, second)))
-        sent = sent.select("lang", "tile.a", "tile.b", "chunk", "size", "kept", "source", "tile.side", "total", "at", "times")
-        tiles = sent.repartition("lang", "a", "b").sortWithinPartitions("lang", "a", "b", "chunk")
-        pairs = Settled(tiles.mapInArrow(_tiles, "lang string, source string, item string, value long"), "source-pairs")
+        sent = sent.select("lang", "tile.a", "tile.b", "part", "chunk", "size", "kept", "terms", "source", "tile.side", "total", "at", "times")
+        tiles = sent.repartition("lang", "a", "b", "part").sortWithinPartitions("lang", "a", "b", "part", "chunk")
+        partial = tiles.mapInArrow(_tiles, "lang string, source string, item string, value long")
+        pairs = Settled(partial.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")), "source-pairs")
         kept_tables += [pairs, own, groups_made]
     by_group = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     ranked = pairs.df.withColumn("rank", F.row_number().over(by_group)).select("lang", "source", F.lit("pair").alias("part"), "item", "value", "rank")

@@ -159,6 +159,7 @@ def test_audit_against_plain_arithmetic(spark, monkeypatch, chunk, block):
     monkeypatch.setattr(divergence, "CHUNK", chunk)
     monkeypatch.setattr(divergence, "BLOCK", block)
     monkeypatch.setattr(divergence, "HELD", 20)
+    monkeypatch.setattr(divergence, "PART", 1 + (chunk > 3))
     rng = random.Random(2)
     words = ["Ab", "ab", "Äb", "äb", "c1d", "字", "x_y", "zz", "Q"]
     rows = [(k, " ".join(rng.choices(words, k=rng.randint(0, 9))), rng.choice(["n", "m", None]), rng.choice(["s1", "s2", "S2", "ß", None, ""])) for k in range(80)]
