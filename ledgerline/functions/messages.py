@@ -104,11 +104,15 @@ def cargo(line: Column) -> Column:
 
 def absent(line: Column) -> Column:
     """Whether a line says that pkg-config itself is missing; a build that asks whether it is installed doesn't."""
-    return F.contains(line, F.lit("pkg-config command could not be found")) | F.arrays_overlap(shell(line), F.array(F.lit("pkg-config"), F.lit("pkgconf")))
+    named = F.contains(line, F.lit("pkg")) & F.contains(line, F.lit("not found"))
+    return F.contains(line, F.lit("pkg-config command could not be found")) | (named & F.arrays_overlap(shell(line), F.array(F.lit("pkg-config"), F.lit("pkgconf"))))
 
 
-#: The readers, the kind of thing each names, and its evidence: 2 names it outright, 1 is prose, 0 only tells the crate.
-READERS = [(pkg_config, "pkg-config", 2), (linker, "library", 2), (compiler, "header", 2), (shell, "program", 2), (program, "program", 2), (prose, "prose", 1), (cargo, "build-script", 0)]
+#: The readers, the kind of thing each names, its evidence (2 names it outright, 1 is prose, 0 only tells the crate), and what every line has that it takes anything from.
+READERS = [
+    (pkg_config, "pkg-config", 2, "pkg|No package|(?i:system library)"), (linker, "library", 2, "find"), (compiler, "header", 2, "No such file|file not found"), (shell, "program", 2, "not found"),
+    (program, "program", 2, "Is |tool|linker"), (prose, "prose", 1, "find"), (cargo, "build-script", 0, "custom build command"),
+]
 #: Words of which every line that a reader may take anything from has one.
 CUES = ["found", "find", "installed", "No such file", "required by crate", "custom build command", "exit status", "did not exit"]
 
@@ -121,8 +125,8 @@ def findings(line: Column) -> Column:
 
 def _findings(line: Column) -> Column:
     out = []
-    for read, kind, weight in READERS:
-        named = F.filter(read(line), lambda n: n != "")
+    for read, kind, weight, cue in READERS:
+        named = F.when(line.rlike(cue), F.filter(read(line), lambda n: n != "")).otherwise(F.array().cast("array<string>"))
         out.append(F.arrays_zip(named.alias("name"), F.array_repeat(F.lit(kind), F.size(named)).alias("kind"), F.array_repeat(F.lit(weight), F.size(named)).alias("weight")))
     tool = F.when(absent(line), F.array(F.struct(F.lit("pkg-config").alias("name"), F.lit("absent").alias("kind"), F.lit(3).alias("weight"))))
     return F.concat(*out, F.coalesce(tool, F.array().cast("array<struct<name: string, kind: string, weight: int>>")))
