@@ -34,7 +34,7 @@ _FACTS = f"""b AS (SELECT *, regexp_replace(line, chr(27) || '\\[[0-9;]*m', '',
  l AS (SELECT log_id, {_DIAGNOSTIC.format(1)} AS file, {_DIAGNOSTIC.format(4)} AS level, {_DIAGNOSTIC.format(5)} AS message, TRY_CAST(regexp_extract(bare, '^test result:\\s*\\w+\\.\\s*[0-9]+ passed; ([0-9]+) failed', 1) AS BIGINT) AS failed FROM b),
  e AS (SELECT log_id, count(*) FILTER (WHERE level LIKE '%error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings,
   count(*) FILTER (WHERE level LIKE '%error' AND NOT ends_with(file, '.rs') AND (regexp_matches(message, '\\.h(pp)?: No such file') OR regexp_matches(message, 'cannot find -l\\w'))) AS env_errors, coalesce(sum(failed), 0)::BIGINT AS failed FROM l GROUP BY 1),
- s AS (SELECT log_id, line, row_number() OVER (PARTITION BY log_id ORDER BY line_no DESC) AS back FROM logs), t AS (SELECT log_id, string_agg(line, chr(10)) AS tail FROM s WHERE back <= {TAIL} GROUP BY 1),
+ s AS (SELECT log_id, line, line_no, max(line_no) OVER (PARTITION BY log_id) AS n FROM logs), t AS (SELECT log_id, string_agg(line, chr(10)) AS tail FROM s WHERE line_no > n - {TAIL} GROUP BY 1),
  f AS (SELECT * FROM e JOIN t USING (log_id))"""
 _RULE = f"""CASE WHEN exit_code = 0 AND NOT timed_out THEN 'success' WHEN timed_out THEN 'timeout' WHEN errors > 0 AND env_errors = errors THEN 'env_diagnostics' WHEN errors > 0 THEN 'compile_error'
  WHEN tests AND failed > 0 THEN 'test_failed' WHEN oom THEN 'oom_killed' WHEN contains(tail, '(signal: 9, SIGKILL: kill)') THEN 'sigkill_suspected_oom'
