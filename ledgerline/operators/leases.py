@@ -1,10 +1,12 @@
-"""Claims of which each depends on the grant before it: chains of grants, followed by doubling."""
+"""Claims of which each depends on the grant before it: a fold over each key's timeline."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..sources.stores import settled
 
@@ -13,29 +15,32 @@ def granted(claims: DataFrame, offline: DataFrame, lease: int, key: str = "key")
     """id and granted for all claims (key, id, at, worker); equal times go by id.
 
     A claim is granted if nothing holds the key: no grant came before it, the last grant is `lease` old, or its worker is offline by then (offline: worker,
-    off, until). A claim that is refused changes nothing. So a grant is followed by the first claim of its key after the lease or in a
-    time that its worker is offline, which is found for every claim; from each key's first claim, grants are the chain of such steps. Steps are
-    doubled, so that a chain of n grants takes log n joins.
+    off, until). A claim that is refused changes nothing. Spark sorts each key's claims together with the times when workers who claim that key go offline;
+    they are read through once, batch by batch. What is held in between is the last grant, and until when each worker is offline. So the work grows
+    with claims and with reports times the keys of their worker, and not with pairs of both.
     """
-    # what may end a grant: its lease, and each time its worker goes offline before that
-    ends = claims.select(key, "id", "at", "worker", (F.col("at") + lease).alias("free"))
-    away = ends.join(offline, "worker").filter((F.col("until") > F.col("at")) & (F.col("off") < F.col("free")))
-    away = away.select(key, F.col("id").alias("of"), F.greatest("off", "at").alias("at"), F.least("until", "free").alias("before"), F.col("at").alias("own"))
-    probes = ends.select(key, F.col("id").alias("of"), F.col("free").alias("at"), F.lit(None).cast("long").alias("before"), F.col("at").alias("own")).unionByName(away)
-    # a probe stands before the claims of its time; one at the grant's own time stands after the grant itself
-    place = F.when(F.col("at") == F.col("own"), F.col("of")).otherwise(F.lit(-(2**62)))
-    rows = probes.select(key, "at", place.alias("id"), "of", "before").unionByName(claims.select(key, "at", "id", F.lit(None).cast("long").alias("of"), F.lit(None).cast("long").alias("before")))
-    rows = rows.withColumn("rank", F.when(F.col("of").isNull(), 0).otherwise(1))
-    after = Window.partitionBy(key).orderBy("at", "id", "rank").rowsBetween(1, Window.unboundedFollowing)
-    found = F.first(F.when(F.col("of").isNull(), F.struct("at", "id")), ignorenulls=True).over(after)
-    met = rows.withColumn("then", found).filter("of IS NOT NULL AND then IS NOT NULL AND (before IS NULL OR then.at < before)")
-    steps = settled(met.groupBy(key, "of").agg(F.min("then").alias("then")).select(F.col("of").alias("id"), F.col("then.id").alias("to")), "lease-steps")
-    first = claims.groupBy(key).agg(F.min(F.struct("at", "id")).alias("f")).select(F.col("f.id").alias("id"))
-    held = settled(first, "lease-grants")
-    while True:
-        reached = settled(held.unionByName(held.join(steps, "id").select(F.col("to").alias("id"))).distinct(), "lease-grants")
-        if reached.count() == held.count():
-            break
-        held = reached
-        steps = settled(steps.join(steps.select(F.col("id").alias("to"), F.col("to").alias("_to")), "to").select("id", F.col("_to").alias("to")), "lease-steps")
-    return claims.select("id").join(held.withColumn("granted", F.lit(True)), "id", "left").select("id", F.coalesce("granted", F.lit(False)).alias("granted"))
+    held = settled(claims.select(F.col(key).alias("key"), "id", "at", "worker"), "lease-claims")
+    pairs = held.select("key", "worker").distinct()
+    away = offline.join(pairs, "worker").select("key", F.lit(None).cast(held.schema["id"].dataType).alias("id"), F.col("off").alias("at"), "worker", "until")
+    rows = held.withColumn("until", F.lit(None).cast("long")).unionByName(away)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, holder, since, ends = None, None, None, {}
+        for b in batches:
+            ids, out = [], []
+            for k, i, at, worker, until in zip(*[b.column(c).to_pylist() for c in ("key", "id", "at", "worker", "until")], strict=True):
+                if now is None or k != now[0]:
+                    now, since, ends = (k,), None, {}
+                if until is not None:
+                    ends[worker] = max(until, ends.get(worker, until))
+                    continue
+                ok = since is None or at - since >= lease or ends.get(holder, at) > at
+                if ok:
+                    holder, since = worker, at
+                ids.append(i)
+                out.append(ok)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("id").type), pa.array(out, pa.bool_())], ["id", "granted"])
+
+    # who goes offline at the time of a claim is offline by then
+    in_order = rows.repartition("key").sortWithinPartitions("key", "at", F.col("until").isNull(), "id")
+    return in_order.mapInArrow(fold, f"id {held.schema['id'].dataType.simpleString()}, granted boolean")

@@ -335,6 +335,16 @@ def test_leases(spark):
     assert {r["id"]: r["granted"] for r in got.collect()} == lease_by_hand(claims, offline, 60)
 
 
+def test_leases_under_many_reports(spark):
+    # pairs of claims and of reports of a worker would be 20 billion here
+    claims = spark.range(200_000).select((F.col("id") % 20).alias("key"), "id", (F.col("id") * 3).alias("at"), F.lit(1).alias("worker"))
+    offline = spark.range(100_000).select(F.lit(1).alias("worker"), (F.col("id") * 6).alias("off"), (F.col("id") * 6 + 1).alias("until"))
+    got = granted(claims, offline, 600)
+    # claims at times that six divides find their holder offline; the others wait for ten claims' time
+    by = {r["id"] % 20: r["n"] for r in got.groupBy((F.col("id") % 20).alias("id")).agg(F.count_if("granted").alias("n")).collect()}
+    assert all(by[k] == (10_000 if k % 2 == 0 else 1_000) for k in range(20))
+
+
 def test_scans_are_taken_again_while_files_change(spark):
     scan = lambda last: lambda n: spark.createDataFrame([("a", "1"), ("b", str(min(n, last)))], "path string, hash string")
     assert [stable_scan(scan(last))[:2] for last in (0, 1, 2, 3, 9)] == [(2, True), (3, True), (4, True), (4, False), (4, False)]
