@@ -59,8 +59,9 @@ def image_streaks(t: DataFrame) -> DataFrame:
 
 
 #: Alerts: tasks waiting above which the queue is too long, share of results above which a rate is too high, results without which a rate
-#: decides nothing, ticks that a rate looks back over, ticks of silence after which a worker is offline, and ticks after which the queue starts anew.
-BACKLOG, RATE, SAMPLES, LOOK_BACK, SILENCE, PERIOD = 50, 0.2, 20, 15, 24, 96
+#: decides nothing, ticks that a rate looks back over, ticks of silence after which a worker is offline, and ticks after which the queue starts anew;
+#: and tasks of a kind of event without which their share of failures in a tick decides nothing.
+BACKLOG, RATE, SAMPLES, LOOK_BACK, SILENCE, PERIOD, FEW = 50, 0.2, 20, 15, 24, 96, 3
 
 TICKS = f"""{TASKS}, t AS (SELECT *, at_s // 3600 AS tick FROM tasks), span AS (SELECT min(tick) AS lo, max(tick) AS hi FROM t), grid AS (SELECT unnest(range(lo, hi + 1)) AS tick FROM span),
  c AS (SELECT g.tick, count(id) AS n, count(id) AS fin, count(id) FILTER (WHERE result_kind = 'infra_error') AS infra, count(id) FILTER (WHERE result_kind = 'timeout') AS late,
@@ -76,7 +77,9 @@ TICKS = f"""{TASKS}, t AS (SELECT *, at_s // 3600 AS tick FROM tasks), span AS (
  SELECT rule, tick, CASE WHEN firing THEN 'raise' ELSE 'resolve' END AS edge FROM e WHERE firing <> before
  UNION ALL SELECT 'image_failing:' || digest, min(at_s) // 3600, 'raise' FROM s WHERE streak >= 3 GROUP BY 1
  UNION ALL SELECT 'worker_offline:' || worker, tick + {SILENCE + 1}, 'raise' FROM s2, span WHERE coalesce(again, hi + 1) > tick + {SILENCE + 1} OR again = tick + {SILENCE + 1}
- UNION ALL SELECT 'worker_offline:' || worker, again, 'resolve' FROM s2 WHERE again > tick + {SILENCE + 1} OR again = tick + {SILENCE + 1}""".replace(f" OR again = tick + {SILENCE + 1}", ""))
+ UNION ALL SELECT 'worker_offline:' || worker, again, 'resolve' FROM s2 WHERE again > tick + {SILENCE + 1} OR again = tick + {SILENCE + 1}
+ UNION ALL SELECT 'failed:' || event_type, tick, CASE WHEN firing THEN 'raise' ELSE 'resolve' END FROM (SELECT *, coalesce(lag(firing) OVER (PARTITION BY event_type ORDER BY tick), false) AS before
+  FROM (SELECT event_type, tick, CASE WHEN count(*) >= {FEW} THEN count(*) FILTER (WHERE status = 'failed') / count(*) > {RATE} END AS firing FROM t GROUP BY 1, 2) WHERE firing IS NOT NULL) WHERE firing <> before""".replace(f" OR again = tick + {SILENCE + 1}", ""))
 def alert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each alert is raised and resolved; an hour of the events stands for a minute of a fleet, projects for workers and images by payload."""
     t = tasks(spark, sf_dir).withColumn("tick", F.expr("at_s div 3600"))
@@ -87,7 +90,14 @@ def alert_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     failing = image_streaks(t).filter("failing").select(F.concat(F.lit("image_failing:"), "digest").alias("rule"), "tick")
     seen = t.select(F.concat(F.lit("w"), "project").alias("worker"), "tick").distinct()
-    return fleet_alerts(counts).unionByName(raised_once(failing)).unionByName(silences(seen))
+    return fleet_alerts(counts).unionByName(raised_once(failing)).unionByName(silences(seen)).unionByName(failures(t))
+
+
+def failures(t: DataFrame) -> DataFrame:
+    """rule, tick and edge of each kind of event (`t`: event_type, tick, status): whether over RATE of its tasks in a tick failed; below FEW nothing is decided."""
+    shares = t.groupBy("event_type", "tick").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("bad"))
+    firing = F.when(F.col("n") >= FEW, F.col("bad") / F.col("n") > RATE)
+    return edges(shares, "event_type", "tick", firing).select(F.concat(F.lit("failed:"), "event_type").alias("rule"), "tick", "edge")
 
 
 def fleet_alerts(counts: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from ledgerline.plans.paths import entries, is_internal, laid_out
 from ledgerline.plans.placement import demand, drained, explained, picked
 from ledgerline.plans.registry import QUERIES
 from ledgerline.plans.sets import lossy_text, stable_scan
-from ledgerline.plans.windows import fleet_alerts, raised_once, silences
+from ledgerline.plans.windows import failures, fleet_alerts, raised_once, silences
 from ledgerline.operators.leases import granted
 from ledgerline.sources.stores import append, fetch_blobs, held, insert_absent, listed_files, put, store_blobs
 
@@ -345,6 +345,14 @@ def test_leases_under_many_reports(spark):
     assert all(by[k] == (10_000 if k % 2 == 0 else 1_000) for k in range(20))
 
 
+def test_failures_of_each_kind_of_event_raise_alerts(spark):
+    per = {0: "fdd", 1: "ff", 2: "fdddd", 3: "dddf", 5: "ddd"}
+    rows = [(kind, tick, {"f": "failed", "d": "done"}[s]) for kind in "ab" for tick, told in per.items() for s in told if kind == "a" or tick > 2]
+    got = failures(spark.createDataFrame(rows, "event_type string, tick long, status string"))
+    # two tasks decide nothing; one of five isn't over the rate
+    assert sorted(map(tuple, got.collect())) == [("failed:a", 0, "raise"), ("failed:a", 2, "resolve"), ("failed:a", 3, "raise"), ("failed:a", 5, "resolve"), ("failed:b", 3, "raise"), ("failed:b", 5, "resolve")]
+
+
 def test_scans_are_taken_again_while_files_change(spark):
     scan = lambda last: lambda n: spark.createDataFrame([("a", "1"), ("b", str(min(n, last)))], "path string, hash string")
     assert [stable_scan(scan(last))[:2] for last in (0, 1, 2, 3, 9)] == [(2, True), (3, True), (4, True), (4, False), (4, False)]
