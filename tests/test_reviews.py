@@ -16,7 +16,7 @@ from ledgerline.plans.reviews import collisions, consent, delta_report, log_chun
 from ledgerline.plans.search import entry_error
 from ledgerline.plans.registry import QUERIES
 from ledgerline.plans.sets import ago, fingerprints, percent, short_id, whole_duration
-from ledgerline.sources.scratch import scratch, shared_dir
+from ledgerline.sources.scratch import Folder, scratch, shared_dir
 from ledgerline.streaming.rollups import drained, latest_worker
 from ledgerline.streaming.states import state_store, task_ends
 
@@ -180,6 +180,19 @@ def test_a_replayed_batch_changes_nothing(spark, tmp_path):
     assert ends == [(1, 50, "done"), (2, 100, "expired"), (3, 90, "canceled")]
 
 
+def test_tasks_share_states(spark, tmp_path):
+    schema = "task long, id long, at_ms long, status string"
+    rows = [(t, 2 * t + k, 1_000_000 + t % 7 + 20 * k, "done" if k and t % 3 else "queued") for t in range(2500) for k in (0, 1)] + [(9000, 9000, 1_010_000, "done")]
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in").withColumn("at", F.timestamp_millis("at_ms")).withWatermark("at", "1 second")
+    with state_store(spark):
+        got = drained(task_ends(stream.select("task", "id", "at_ms", "status", "at"), 100), "shared-states")
+        state = next(f.path for f in Folder.live if "shared-states-state" in f.path)
+        assert spark.read.format("statestore").load(state).count() == 4  # of 2501 tasks
+    want = [(t, 1_000_000 + t % 7 + (20 if t % 3 else 100), "done" if t % 3 else "expired") for t in range(2500)] + [(9000, 1_010_000, "done")]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_a_pin_shows_while_a_worker_is_online():
     import pandas as pd
 
