@@ -23,15 +23,20 @@ def bare(line: Column) -> Column:
 
 def scraped(line: Column) -> Column:
     """level, code, message, file, line, column (0: none) and rendered of a line file:line[:column]: level: message; null of any other."""
-    text = bare(line)
-    part = lambda k: F.regexp_extract(text, DIAGNOSTIC, k)
-    number = lambda k: F.coalesce(part(k).try_cast("int"), F.lit(0))
-    found = F.struct(
-        F.when(part(4) == "warning", "warning").otherwise("error").alias("level"), F.lit("").alias("code"), F.trim(part(5)).alias("message"), part(1).alias("file"), number(2).alias("line"), number(3).alias("column"), F.trim(text).alias("rendered")
-    )
+    # bound as variables, so that escapes are taken out and the form is read once a line, not once for each of its parts; a file holds no colon, nor do numbers and level
+    once = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))
+    read = lambda t: F.when(t.rlike(DIAGNOSTIC), F.struct(F.split(F.regexp_replace(t, DIAGNOSTIC + r"[\s\S]*", "$1:$2:$3:$4:$5"), ":", 5).alias("p"), F.trim(t).alias("rendered")))
+    number = lambda c: F.coalesce(c.try_cast("int"), F.lit(0))
+
+    def told(x: Column) -> Column:
+        part = lambda k: F.get(x["p"], F.lit(k - 1))
+        level = F.when(part(4) == "warning", "warning").otherwise("error")
+        found = F.struct(level.alias("level"), F.lit("").alias("code"), F.trim(part(5)).alias("message"), part(1).alias("file"), number(part(2)).alias("line"), number(part(3)).alias("column"), x["rendered"].alias("rendered"))
+        return F.when(x.isNotNull(), found)
+
     # most lines have none of the words
     may = F.contains(line, F.lit("error")) | F.contains(line, F.lit("warning"))
-    return F.when(may & text.rlike(DIAGNOSTIC), found)
+    return F.when(may, once(once(bare(line), read), told))
 
 
 def compiler_message(line: Column) -> Column:

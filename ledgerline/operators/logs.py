@@ -20,19 +20,21 @@ def classified(logs: DataFrame, runs: DataFrame | None = None) -> DataFrame:
 
     Diagnostics and test results are of the whole log; only marks in raw text are looked for in its end alone. `runs` (log_id, exit_code, timed_out,
     oom, tests: whether its test results may be read) says how each ended; without it, all failed with code 101. A log's end is told by its greatest line
-    number. No line's text is shuffled and no log sorted: counts are added up where the lines lie, and of lines only marks go on. Runs without a log
-    count as those with an empty one.
+    number. No line's text is shuffled and no log sorted: logs are read once, and counts and the last line of each mark are added up where the lines lie. Runs
+    without a log count as those with an empty one.
     """
     d = diagnostics.scraped(F.col("line"))
     failed = F.regexp_extract(diagnostics.bare(F.col("line")), r"^test result:\s*\w+\.\s*[0-9]+ passed; ([0-9]+) failed", 1).try_cast("long")
-    seen = logs.select("log_id", "line_no", d.alias("d"), F.when(F.col("line").startswith("test result:") | F.contains("line", F.lit("\x1b")), failed).alias("failed"))
-    at_fault = environment_at_fault(F.col("d.file"), F.col("d.message"))
-    counts = seen.groupBy("log_id").agg(F.count_if(F.col("d.level") == "error").alias("errors"), F.count_if((F.col("d.level") == "error") & at_fault).alias("env_errors"), F.count_if(F.col("d.level") == "warning").alias("warnings"), F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.max("line_no").alias("n"))
     found = marks(F.col("line"))
-    # few lines have a mark; only they are held against their log's length
-    marked = logs.select("log_id", "line_no", *[c.alias(k) for k, c in found.items()]).filter(" OR ".join(found))
-    tails = marked.join(counts.select("log_id", "n"), "log_id").filter(F.col("line_no") > F.col("n") - TAIL).groupBy("log_id").agg(*[F.bool_or(k).alias(k) for k in found])
-    facts = counts.drop("n").join(tails, "log_id", "left")
+    said = F.when(F.col("line").startswith("test result:") | F.contains("line", F.lit("\x1b")), failed)
+    seen = logs.select("log_id", "line_no", d.alias("d"), said.alias("failed"), *[F.when(c, F.col("line_no")).alias(k) for k, c in found.items()])
+    at_fault = environment_at_fault(F.col("d.file"), F.col("d.message"))
+    counts = seen.groupBy("log_id").agg(
+        F.count_if(F.col("d.level") == "error").alias("errors"), F.count_if((F.col("d.level") == "error") & at_fault).alias("env_errors"), F.count_if(F.col("d.level") == "warning").alias("warnings"),
+        F.coalesce(F.sum("failed"), F.lit(0)).alias("failed"), F.max("line_no").alias("n"), *[F.max(k).alias(k) for k in found],
+    )
+    # a mark is in a log's end if the last line that has it is
+    facts = counts.withColumns({k: F.coalesce(F.col(k) > F.col("n") - TAIL, F.lit(False)) for k in found}).drop("n")
     if runs is None:
         facts = facts.withColumns({"exit_code": F.lit(101), "timed_out": F.lit(False), "oom": F.lit(False), "tests": F.lit(True)})
     else:

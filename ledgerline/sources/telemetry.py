@@ -76,8 +76,9 @@ def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = dealt(load(spark, sf_dir, "documents").select("doc_id", "text"))
     pieces = F.when(F.col("doc_id") % 3 == 2, F.split("text", "[\\n ]")).otherwise(F.split("text", "\n"))
     rows = docs.select(F.col("doc_id").alias("log_id"), F.posexplode(pieces).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
-    n, w = F.length("line"), F.regexp_extract("line", "[A-Za-z]+", 0)
-    low, text = F.lower(w), n.cast("string")
+    # found once a line: most forms name the word, and generated code with a search in each is too long to be compiled
+    rows = rows.select("log_id", "line_no", F.length("line").alias("n"), F.regexp_extract("line", "[A-Za-z]+", 0).alias("w")).filter("w <> ''").withColumn("low", F.lower("w"))
+    n, w, low, text = F.col("n"), F.col("w"), F.col("low"), F.col("n").cast("string")
     code = ("src/", w, ".rs:", text, ":5: error: ", w, " is unknown")
     header = ("\x1b[1m  my dir/", low, ".c:", text, ": fatal error: openssl/", low, ".h: No such file or directory\x1b[0m")
     ways = [
@@ -95,7 +96,7 @@ def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the last way: code and environment are both at fault; and one that says two things, one of them early
     out = F.when(way == 13, F.when(n % 8 == 0, join(code)).when(n % 8 == 4, join(header)).otherwise(join(("note: ", low)))).otherwise(out)
     out = F.when((way == 8) & (F.col("log_id") % 28 == 8) & (F.col("line_no") <= 20) & (n % 4 == 0), join(code)).otherwise(out)
-    return rows.filter(w != "").select("log_id", "line_no", out.alias("line"))
+    return rows.select("log_id", "line_no", out.alias("line"))
 
 
 def json_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from ledgerline.plans.search import entry_error
 from ledgerline.plans.registry import QUERIES
 from ledgerline.plans.sets import ago, fingerprints, percent, short_id, whole_duration
 from ledgerline.sources.scratch import Folder, scratch, shared_dir
+from ledgerline.operators.logs import classified
 from ledgerline.streaming.rollups import drained, latest_worker
 from ledgerline.streaming.states import state_store, task_ends
 
@@ -167,6 +168,13 @@ def test_adapters_shuffle_no_lines_and_tell_what_the_table_function_tells(spark)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_the_classifier_reads_logs_once(spark):
+    rows = [(1, n, "note: x") for n in range(1, 401)] + [(1, 200, "(signal: 9, SIGKILL: kill)"), (2, 1, "(signal: 9, SIGKILL: kill)"), (2, 200, "note: y"), (3, 201, "z"), (3, 1, "No space left on device"), (4, 1, "no space left on device"), (4, 150, "q")]
+    got = classified(spark.createDataFrame(rows, "log_id long, line_no int, line string"))
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    assert {r["log_id"]: r["rule"] for r in got.collect()} == {1: "unknown", 2: "sigkill_suspected_oom", 3: "unknown", 4: "disk_full"}
+
+
 def test_overlaps_against_all_pairs(spark):
     rng = random.Random(8)
     span = lambda: (lambda a: (a, a + rng.choice([0, 1, 5, 40, 200])))(rng.randrange(-100, 500))
