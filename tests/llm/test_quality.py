@@ -73,3 +73,38 @@ def test_features_are_of_the_rule_statistics():
         lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in text.split("\n"))
         want = [symbols / (chars + 150), symbols / (n + 30), (chars + 150) / (n + 30), dup / (lines + 3) + repeat / (n + 30), math.log(n + 1)]
         assert np.allclose(features, want)
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """Far more labelled rows than the trees need: each still grows a tree or calibrates the threshold."""
+    monkeypatch.setattr(quality, "TREE_ROWS", 16)
+    monkeypatch.setattr(quality, "TREES", 8)
+    seen = {}
+    grown, graded = quality.grown, quality.graded
+    monkeypatch.setattr(quality, "grown", lambda rows: seen.setdefault("forest", (rows.count(), grown(rows)))[1])
+    monkeypatch.setattr(quality, "graded", lambda rows, forest: seen.setdefault("threshold", graded(rows, forest)))
+    n = 9_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('plain words that make up a text of some length with a number in it ', id, repeat(if(id % 9 = 0, ' $$#', ' word'), int(id % 4))) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 9 <> 0) AS quality")
+    forest = quality.fit(docs, labels)
+    rows = seen["forest"][0]
+    good = sum(quality.seed_of("forest", i) % 2 == 0 for i in range(n) if i % 9)
+    poor = sum(quality.seed_of("forest", i) % 2 == 0 for i in range(0, n, 9))
+    assert rows == good + poor and rows + seen["threshold"][2].sum() == n
+    # a tree's rows, of those that count: together the trees hold all of them once
+    assert math.isclose(forest.rows * 8, good)
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    docs = spark.range(700).selectExpr("id AS doc_id", "concat('a few words of a text that is not too short ', id, repeat(' $x', int(id % 5))) AS text")
+    labels = spark.range(700).selectExpr("id AS doc_id", "int(id % 5 < 4) AS quality")
+    one, two = quality.fit(docs, labels), quality.fit(docs.repartition(7, "text"), labels.repartition(3))
+    assert one.threshold == two.threshold and (one.cut == two.cut).all() and (one.length == two.length).all()
+
+
+def test_weights_count_as_rows():
+    """A tree of rows that weigh 2 has the leaves of one where each stands twice."""
+    x = np.random.default_rng(4).normal(size=(60, 3))
+    one = quality.Forest.tree(x, np.full(60, 2.0), 6, np.random.default_rng(1))
+    two = quality.Forest.tree(np.repeat(x, 2, 0), np.ones(120), 6, np.random.default_rng(1))
+    assert all(np.array_equal(a, b) for a, b in zip(one, two, strict=True))
