@@ -13,6 +13,7 @@ from ledgerline.functions.classify import environment_at_fault, missing_dependen
 from ledgerline.functions.columns import bucket, length_prefixed, nearest_rank, normalized_span, plain_text
 from ledgerline.functions.globs import to_regex
 from ledgerline.operators.closure import closure, settled_closure
+from ledgerline.operators import drain as drains
 from ledgerline.operators.drain import drain
 from ledgerline.operators.folds import edges, health_fold
 from ledgerline.operators.logs import classified, compiler_messages, progress, scraped, summed_tests
@@ -145,6 +146,23 @@ def test_drain_respects_slots(spark):
     assert sorted((r["task"], r["worker"]) for r in drain(tasks, workers).collect()) == [(0, 1), (1, 2), (2, 2)]
 
 
+def test_the_drain_gathers_a_row_for_each_kind(spark, monkeypatch):
+    """Python gets each kind's workers as one list, not a row for each option of a kind."""
+    seen, assign = spark.sparkContext.accumulator(0), drains._assign
+    monkeypatch.setattr(drains, "_assign", lambda queue, fleet: (seen.add(len(fleet)), assign(queue, fleet))[1])
+    options = spark.range(600).selectExpr("'a' AS arch", "concat('kind ', id % 6) AS kind", "id div 6 AS worker", "1 AS slots", "double(id * 7 % 13) AS score")
+    queue = spark.range(300).selectExpr("'a' AS arch", "concat('kind ', id % 6) AS kind", "id AS task", "id % 5 AS tried")
+    got = sorted((r["task"], r["worker"]) for r in drains.drain_scored(queue, options).collect())
+    assert seen.value == 7
+    free, want = dict.fromkeys(range(100), 1), []
+    for task in range(300):
+        able = sorted((-float((w * 6 + task % 6) * 7 % 13), w) for w in free if free[w] and w != task % 5)
+        if able:
+            free[able[0][1]] = 0
+            want.append((task, able[0][1]))
+    assert got == want
+
+
 def test_the_drain_is_asked_for_every_task(spark):
     sf = "/root/testdata/sf0.001"
     asked = demand(spark, sf)
